@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from .decontamination import OP8_SQL, op8_decontamination
 from .fingerprints import op7_fingerprints
+from .near_duplicates import op6_simhash_components
 from .packing import op5_best_fit_packing
 from .token_output import op9_token_output
 
 QUERIES = {
     "op5_best_fit_packing": op5_best_fit_packing,
+    "op6_simhash_components": op6_simhash_components,
     "op7_fingerprints": op7_fingerprints,
     "op8_decontamination": op8_decontamination,
     "op9_token_output": op9_token_output,
