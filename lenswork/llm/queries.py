@@ -5,18 +5,22 @@ from __future__ import annotations
 from .decontamination import OP8_SQL, op8_decontamination
 from .fingerprints import op7_fingerprints
 from .language import op3_language_id
+from .lines import op10_line_dedup
 from .near_duplicates import op6_simhash_components
 from .packing import op5_best_fit_packing
 from .substrings import OP1_SQL, op1_substring_dedup
 from .token_output import op9_token_output
+from .warc import op4_warc
 
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op3_language_id": op3_language_id,
+    "op4_warc": op4_warc,
     "op5_best_fit_packing": op5_best_fit_packing,
     "op6_simhash_components": op6_simhash_components,
     "op7_fingerprints": op7_fingerprints,
     "op8_decontamination": op8_decontamination,
     "op9_token_output": op9_token_output,
+    "op10_line_dedup": op10_line_dedup,
 }
 ORACLE_SQL: dict[str, str] = {"op1_substring_dedup": OP1_SQL, "op8_decontamination": OP8_SQL}

@@ -190,7 +190,7 @@ def read_token_files(manifest: DataFrame) -> DataFrame:
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row per write partition
     bases = manifest.select("part", F.coalesce(F.sum("n_ids").over(before), F.lit(0)).alias("base"))
     docs = manifest.select("part", "path").repartition(shuffle_partitions(spark)).mapInArrow(read, schema)
-    return docs.join(bases, "part").select("doc_id", (F.col("start") + F.col("base")).alias("start"), "n_tokens", "ids_crc32")
+    return docs.join(F.broadcast(bases), "part").select("doc_id", (F.col("start") + F.col("base")).alias("start"), "n_tokens", "ids_crc32")
 
 
 def op9_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,12 +7,12 @@ so the ids are always those of the whole text.
 
 from __future__ import annotations
 
-import re
 from array import array
 
-#: Chunks kept per worker (about 80 MB), and the longest chunk that is kept.
-CACHE_ENTRIES, CACHE_CHARS = 400_000, 40
-_DOUBTFUL = re.compile(r"\s\s|^\s|\s$")
+#: Chunks kept per worker (about 160 MB), and the longest chunk that is kept.
+CACHE_ENTRIES, CACHE_CHARS = 800_000, 40
+_WHITE = [chr(c) for c in range(0x3001) if chr(c).isspace()]
+_DOUBTFUL = tuple({pair for c in _WHITE for pair in (c + " ", " " + c)})
 _encoders: dict = {}
 
 
@@ -34,33 +34,34 @@ class Encoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
         out: list[bytes] = [b""] * len(texts)
-        rest, whole = [], []
+        whole, heads, parts, missing = [], [], {}, {}
+        get = self.known.get
         for i, text in enumerate(texts):
             if not text:
                 continue
-            (whole if self.prefix and _DOUBTFUL.search(text) else rest).append(i)
+            if self.prefix and (text[0].isspace() or text[-1].isspace() or any(pair in text for pair in _DOUBTFUL)):
+                whole.append(i)
+                continue
+            chunks = text.split(" ")
+            if self.prefix:
+                heads.append(chunks.pop(0))
+            found = list(map(get, chunks))
+            parts[i] = found
+            if None in found:
+                missing[i] = [(k, chunks[k]) for k, ids in enumerate(found) if ids is None]
+        wanted = list({c for x in missing.values() for _, c in x})
+        new = dict(zip(wanted, self._encode([self.prefix + c for c in wanted])))
+        for i, x in missing.items():
+            found = parts[i]
+            for k, c in x:
+                found[k] = new[c]
+        if len(self.known) + len(new) <= CACHE_ENTRIES:
+            self.known.update((c, v) for c, v in new.items() if len(c) <= CACHE_CHARS)
+        first = self._encode(heads) if self.prefix else [b""] * len(parts)
+        for head, (i, found) in zip(first, parts.items()):
+            out[i] = head + b"".join(found)
         for i, ids in zip(whole, self._encode([texts[i] for i in whole])):
             out[i] = ids
-        known, chunks = self.known, {}
-        for i in rest:
-            chunks[i] = texts[i].split(" ")
-        wanted = set()
-        for i in rest:
-            wanted.update(chunks[i][1 if self.prefix else 0 :])
-        wanted = [c for c in wanted if c not in known]
-        new = dict(zip(wanted, self._encode([self.prefix + c for c in wanted])))
-        if len(known) + len(new) <= CACHE_ENTRIES:
-            known.update((c, v) for c, v in new.items() if len(c) <= CACHE_CHARS)
-        first = iter(self._encode([chunks[i][0] for i in rest])) if self.prefix else None
-        for i in rest:
-            parts = chunks[i]
-            head = b""
-            if self.prefix:
-                head, parts = next(first), parts[1:]
-            try:
-                out[i] = head + b"".join([known[c] for c in parts])
-            except KeyError:
-                out[i] = head + b"".join([known[c] if c in known else new[c] for c in parts])
         return out
 
 
