@@ -129,21 +129,25 @@ def _settle(key: np.ndarray, weight: np.ndarray, occurrence: np.ndarray):
     return np.where(common, own, key), np.where(common, 2, counted), names[total > 1], total[total > 1]
 
 
-def _rows(key, count, ids, hashes, lo, hi):
-    return pa.RecordBatch.from_arrays(
-        [pa.array(key.view(np.int64), pa.int64()), pa.array(count, pa.int64()), pa.array(ids, pa.int64()), pa.array(hashes, pa.int64()), pa.array(lo, pa.int32()), pa.array(hi, pa.int32())],
-        ["key", "n", "doc_id", "text_hash", "lo", "hi"],
-    )
+def _rows(key, count, ids, hashes, place):
+    columns = (key.view(np.int64), place, count, ids, hashes)
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["key", "place", "n", "doc_id", "text_hash"])
 
 
-_SCHEMA = "key long, n long, doc_id long, text_hash long, lo int, hi int"
+#: place holds a range of window starts, the first in the low half and how many more in the high one: next to
+#: the key, few bytes of a row differ from the row before, so shuffles compress well. -1: none.
+_SCHEMA = "key long, place long, n long, doc_id long, text_hash long"
 
 
 def _emit(key, weight, occurrence, ids, hashes, lo, hi):
     sent, count, more, totals = _settle(key, weight, occurrence)
-    yield _rows(sent, count, ids, hashes, lo, hi)
-    none = np.full(len(more), -1)
-    yield _rows(more, totals, np.full(len(more), NO_ID), np.zeros(len(more), np.int64), none, none)
+    yield _rows(sent, count, ids, hashes, lo.astype(np.int64) | ((hi - lo).astype(np.int64) << 32))
+    yield _rows(more, totals, np.full(len(more), NO_ID), np.zeros(len(more), np.int64), np.full(len(more), -1))
+
+
+def _ranges(place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    lo = place & 0xFFFFFFFF
+    return lo, lo + (place >> 32)
 
 
 def anchors(window: int, rounds: int, levels: tuple[int, ...]):
@@ -185,8 +189,8 @@ def windows(window: int):
         for b in batches:
             ids, hashes = b.column(0).to_numpy(), b.column(1).to_numpy()
             offsets, values = b.column(2).offsets.to_numpy(), b.column(2).values.to_numpy().view(np.uint64)
-            at, ranges = b.column(3).offsets.to_numpy(), b.column(3).values
-            lo, hi = ranges.field(0).to_numpy(), ranges.field(1).to_numpy()
+            at = b.column(3).offsets.to_numpy()
+            lo, hi = _ranges(b.column(3).values.to_numpy())
             lengths = np.diff(offsets)
             for a, z in _slices(lengths):
                 h = values[offsets[a] : offsets[z]]
@@ -221,8 +225,8 @@ def windows(window: int):
 def _repeated(rows: DataFrame) -> DataFrame:
     """Per text the ranges whose key counts more than one."""
     total = rows.withColumn("total", F.sum("n").over(Window.partitionBy("key")))
-    found = total.filter((F.col("total") > 1) & (F.col("lo") >= 0))
-    return found.groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("lo", "hi")).alias("ranges"))
+    found = total.filter((F.col("total") > 1) & (F.col("place") >= 0))
+    return found.groupBy("doc_id", "text_hash").agg(F.collect_set("place").alias("ranges"))
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -243,8 +247,9 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                 n = len(found)
                 if ranges:
                     change = np.zeros(n + 1, np.int64)
-                    np.add.at(change, [r["lo"] for r in ranges], 1)
-                    np.add.at(change, [r["hi"] + window for r in ranges], -1)
+                    lo, hi = _ranges(np.array(ranges, np.int64))
+                    np.add.at(change, lo, 1)
+                    np.add.at(change, hi + window, -1)
                     keep = (np.cumsum(change[:-1]) == 0).tolist()
                     found = [w for w, k in zip(found, keep) if k]
                 kept = b" ".join(found)
