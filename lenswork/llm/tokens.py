@@ -7,15 +7,23 @@ so the ids are always those of the whole text.
 
 from __future__ import annotations
 
+import re
 from array import array
 
+import numpy as np
+
 #: Chunks kept per worker (about 160 MB), and the longest chunk that is kept.
 CACHE_ENTRIES, CACHE_CHARS = 800_000, 40
 _WHITE = [chr(c) for c in range(0x3001) if chr(c).isspace()]
-_DOUBTFUL = tuple({pair for c in _WHITE for pair in (c + " ", " " + c)})
+_RARE = re.compile("[" + "".join(c for c in _WHITE if c not in " \n") + "]")
 _encoders: dict = {}
 
 
+def _doubtful(text: str) -> bool:
+    """Whether a space may stand beside other white space or at an end."""
+    return text[0].isspace() or text[-1].isspace() or "  " in text or " \n" in text or "\n " in text or _RARE.search(text) is not None
+
+
 class Encoder:
     def __init__(self, path: str, leading_space: bool):
         import os
@@ -27,10 +35,27 @@ class Encoder:
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.prefix = " " if leading_space else ""
         self.known: dict[str, bytes] = {}
+        #: A text of one token that never joins its neighbours, to encode many chunks in one call.
+        self.mark, self.between = ("\n", "\n ") if leading_space else ("|", " | ")
+        self.mark_id = self.tokenizer.encode(self.mark, add_special_tokens=False).ids
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _encode_chunks(self, chunks: list[str]) -> list[bytes]:
+        """The same for chunks without spaces (with the prefix): most of them in one call, cut at the marks."""
+        plain = [c for c in chunks if c and self.mark not in c]
+        found: dict[str, bytes] = {}
+        if plain:
+            ids = np.array(self.tokenizer.encode_batch_fast([self.prefix + self.between.join(plain)], add_special_tokens=False)[0].ids, np.uint32)
+            cuts = np.flatnonzero(ids == self.mark_id[0])
+            if len(self.mark_id) == 1 and len(cuts) == len(plain) - 1:
+                raw, stops = ids.tobytes(), [*(4 * cuts).tolist(), 4 * len(ids)]
+                found = {c: raw[a:z] for c, a, z in zip(plain, [0, *(x + 4 for x in stops)], stops)}
+        rest = [c for c in chunks if c not in found]
+        found.update(zip(rest, self._encode([self.prefix + c for c in rest])))
+        return [found[c] for c in chunks]
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
         out: list[bytes] = [b""] * len(texts)
@@ -39,7 +64,7 @@ class Encoder:
         for i, text in enumerate(texts):
             if not text:
                 continue
-            if self.prefix and (text[0].isspace() or text[-1].isspace() or any(pair in text for pair in _DOUBTFUL)):
+            if self.prefix and _doubtful(text):
                 whole.append(i)
                 continue
             chunks = text.split(" ")
@@ -47,10 +72,10 @@ class Encoder:
                 heads.append(chunks.pop(0))
             found = list(map(get, chunks))
             parts[i] = found
-            if None in found:
-                missing[i] = [(k, chunks[k]) for k, ids in enumerate(found) if ids is None]
+            if new := [(k, chunks[k]) for k, ids in enumerate(found) if ids is None]:
+                missing[i] = new
         wanted = list({c for x in missing.values() for _, c in x})
-        new = dict(zip(wanted, self._encode([self.prefix + c for c in wanted])))
+        new = dict(zip(wanted, self._encode_chunks(wanted)))
         for i, x in missing.items():
             found = parts[i]
             for k, c in x:
