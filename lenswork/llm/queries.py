@@ -6,6 +6,7 @@ from .decontamination import OP8_SQL, op8_decontamination
 from .fingerprints import op7_fingerprints
 from .language import op3_language_id
 from .lines import op10_line_dedup
+from .lm_scoring import OP2_SQL, op2_lm_scoring
 from .near_duplicates import op6_simhash_components
 from .packing import op5_best_fit_packing
 from .substrings import OP1_SQL, op1_substring_dedup
@@ -14,6 +15,7 @@ from .warc import op4_warc
 
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
+    "op2_lm_scoring": op2_lm_scoring,
     "op3_language_id": op3_language_id,
     "op4_warc": op4_warc,
     "op5_best_fit_packing": op5_best_fit_packing,
@@ -23,4 +25,4 @@ QUERIES = {
     "op9_token_output": op9_token_output,
     "op10_line_dedup": op10_line_dedup,
 }
-ORACLE_SQL: dict[str, str] = {"op1_substring_dedup": OP1_SQL, "op8_decontamination": OP8_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_substring_dedup": OP1_SQL, "op2_lm_scoring": OP2_SQL, "op8_decontamination": OP8_SQL}
