@@ -4,13 +4,14 @@ A line (white space collapsed, lower-cased, at least LEAST_CHARS long) is remove
 table equals it or is one edit away (one character changed, put in or left out). Earlier goes by
 (doc_id, hash of the text, line number), over the table as it comes in, removed lines included.
 
-Two lines one edit apart agree outside of one quarter of them, so Spark first counts hashed
-keys of lines without a quarter; only lines that share such a key with another text go on, and only with the
-deletions inside that quarter. Equal variants then meet by their hash. The place of the deletion
-verifies the distance: equal variants with the same place are one change apart, a variant equal to
-a whole line is one insertion apart, equal variants with other places (two edits) don't count. A
-line takes the least of its group's first places, so no pairs are formed and a hot variant is just a
-minimum. Equal lines are one row from the start.
+Two lines one edit apart agree outside of one quarter of them, so Spark first counts hashed keys of lines
+without a quarter; lines that share such a key with another text go on to the quarters of that quarter, and
+those that meet again to the deletions inside of it. Equal variants then meet by their hash. The place of the
+deletion verifies the distance: equal variants with the same place are one change apart, a variant equal to
+a whole line is one insertion apart, equal variants with other places (two edits) don't count. A line takes
+the least of its group's first places, so no pairs are formed. Equal lines are one row from the start, and a
+variant has no more different lines than places times characters, so no key is hot. The texts are shuffled
+once; all passes read that shuffle.
 
 Rows: null texts stay null; blank and short lines are kept; equal rows keep the same lines.
 """
@@ -35,33 +36,38 @@ def _hash(text: str, seed: int = 0) -> int:
     return xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass"), seed) - (1 << 63)
 
 
-def quarters(length: int) -> list[int]:
-    return [length * k // 4 for k in range(5)]
+def span(length: int, k: int, level: int) -> tuple[int, int, int]:
+    """Part k of a line of that length: its first place and its end in a line of `base` characters, and base.
 
+    Level 0 has the quarters, as a line of its length (0 to 3) and as one with a character too many (4 to 7);
+    level 1 the quarters of these.
+    """
+    if level == 0:
+        base = length - k // 4
+        return base * (k % 4) // 4, base * (k % 4 + 1) // 4, base
+    a, z, base = span(length, k // 4, 0)
+    return a + (z - a) * (k % 4) // 4, a + (z - a) * (k % 4 + 1) // 4, base
 
-def keys(line: str) -> list[int]:
-    """Hashes of the line without one quarter: as a line of its length, and as one with a character too many."""
-    found = []
-    for base in (len(line), len(line) - 1):
-        q, more = quarters(base), len(line) - base
-        found += [_hash(f"{base} {k} {line[: q[k]]}\n{line[q[k + 1] + more :]}") for k in range(4)]
-    return found
+
+def key(line: str, k: int, level: int) -> int:
+    """Hash of the line without part k."""
+    a, z, base = span(len(line), k, level)
+    return _hash(f"{base} {a} {z} {line[:a]}\n{line[z + len(line) - base :]}")
 
 
 def variants(line: str, shared: list[int]):
-    """(hash, place) of the line itself (-1) and of its deletions in the quarters left out of shared keys (0-7, as in keys())."""
+    """(hash, place) of the line itself (-1) and of its deletions in the parts (of level 1) left out of shared keys."""
     places: set[int] = set()
     for k in shared:
-        base, quarter = len(line) - k // 4, k % 4
-        q = quarters(base)
-        places.update(range(q[quarter], q[quarter + 1] + k // 4))
+        a, z, base = span(len(line), k, 1)
+        places.update(range(a, min(len(line), z + len(line) - base)))
     yield _hash(line), -1
     for p in sorted(places):
         yield _hash(line[:p] + line[p + 1 :]), p
 
 
 def line_table(docs: DataFrame, least_chars: int) -> DataFrame:
-    """Rows (doc_id, text_hash, line, times, h, keys), one per different line of a text that is long enough, at its first place."""
+    """Rows (doc_id, text_hash, line, times, h), one per different line of a text that is long enough, at its first place."""
 
     def run(batches):
         for b in batches:
@@ -73,50 +79,63 @@ def line_table(docs: DataFrame, least_chars: int) -> DataFrame:
                     for n, line in enumerate(texts[i].split("\n") if texts[i] else []):
                         if len(line) >= least_chars and len(x := normal(line)) >= least_chars:
                             seen.setdefault(x, [n, 0])[1] += 1
-                    out += [(ids[i], hashes[i], n, times, _hash(x), keys(x)) for x, (n, times) in seen.items()]
+                    out += [(ids[i], hashes[i], n, times, _hash(x)) for x, (n, times) in seen.items()]
                 if out:
-                    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int64())]
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], ["doc_id", "text_hash", "line", "times", "h", "keys"])
-
-    return docs.mapInArrow(run, "doc_id long, text_hash long, line int, times int, h long, keys array<long>")
+                    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64()]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], ["doc_id", "text_hash", "line", "times", "h"])
 
+    return docs.mapInArrow(run, "doc_id long, text_hash long, line int, times int, h long")
 
-def _candidates(first: DataFrame) -> DataFrame:
-    """Rows (h, shared): different lines that share keys, and which."""
-    each = first.select("h", F.posexplode("keys").alias("k", "key"))
-    ends = each.groupBy("key").agg(F.min("h").alias("a"), F.max("h").alias("b")).filter("a <> b").select("key")
-    return each.join(ends, "key", "left_semi").groupBy("h").agg(F.collect_set("k").alias("shared"))
 
-
-def earliest(docs: DataFrame, lines: DataFrame) -> DataFrame:
-    """Rows (h, earliest): for lines that come again or have a near line, the first place of all of these."""
-    place = F.struct("doc_id", "text_hash", "line")
-    first = stored(lines.groupBy("h").agg(F.min(place).alias("first"), F.sum("times").alias("n"), F.first("keys").alias("keys")), "distinct-lines")
-    near = first.join(_candidates(first), "h").select("h", "first", "shared")
-    asked = near.groupBy("first.doc_id", "first.text_hash").agg(F.collect_list(F.struct(F.col("first.line").alias("line"), "shared", "h")).alias("asked"))
+def _emit(docs: DataFrame, asked: DataFrame, level: int) -> DataFrame:
+    """asked: h, first, shared. Rows (h, key, k): keys without parts (levels 0 and 1), or deletions and their places (2)."""
+    asked = asked.groupBy("first.doc_id", "first.text_hash").agg(F.collect_list(F.struct(F.col("first.line").alias("line"), "h", "shared")).alias("asked"))
 
     def run(batches):
         for b in batches:
+            out: list[tuple] = []
             for text, wanted in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 split = text.split("\n")
-                of, key, at = [], [], []
                 for x in wanted:
-                    for v, p in variants(normal(split[x["line"]]), x["shared"]):
-                        of.append(x["h"])
-                        key.append(v)
-                        at.append(p)
-                yield pa.RecordBatch.from_arrays([pa.array(of, pa.int64()), pa.array(key, pa.int64()), pa.array(at, pa.int32())], ["h", "key", "at"])
-
-    emitted = docs.join(asked, ["doc_id", "text_hash"]).select("text", "asked").mapInArrow(run, "h long, key long, at int")
-    emitted = emitted.join(near.select("h", "first"), "h")
-    # a variant's lines: least first place for each place of deletion, then for the whole line
-    groups = emitted.groupBy("key", "at").agg(F.min("first").alias("least"), F.min("h").alias("lo"), F.max("h").alias("hi"))
+                    line = normal(split[x["line"]])
+                    if level == 2:
+                        out += [(x["h"], v, p) for v, p in variants(line, x["shared"])]
+                    else:
+                        parts = range(8) if level == 0 else [4 * k + j for k in x["shared"] for j in range(4)]
+                        out += [(x["h"], key(line, k, level), k) for k in parts]
+                if len(out) > 50_000:
+                    yield _triples(out)
+                    out = []
+            if out:
+                yield _triples(out)
+
+    return docs.join(asked, ["doc_id", "text_hash"]).select("text", "asked").mapInArrow(run, "h long, key long, k int")
+
+
+def _triples(out: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), (pa.int64(), pa.int64(), pa.int32()))], ["h", "key", "k"])
+
+
+def _meeting(rows: DataFrame) -> DataFrame:
+    """The rows whose key another line has too."""
     over = Window.partitionBy("key")
-    groups = groups.withColumns({"all": F.min("least").over(over), "whole": F.min(F.when(F.col("at") < 0, F.col("least"))).over(over), "places": F.count(F.lit(1)).over(over)})
-    groups = groups.withColumn("best", F.when(F.col("at") < 0, F.col("all")).otherwise(F.least("least", F.coalesce("whole", "least"))))
-    groups = groups.filter("lo <> hi or places > 1 and whole is not null")
-    linked = emitted.select("h", "key", "at").join(groups.select("key", "at", "best"), ["key", "at"]).groupBy("h").agg(F.min("best").alias("best"))
-    out = first.join(linked, "h", "left").filter((F.col("n") > 1) | F.col("best").isNotNull())
+    return rows.withColumns({"lo": F.min("h").over(over), "hi": F.max("h").over(over)}).filter("lo <> hi").drop("lo", "hi")
+
+
+def earliest(docs: DataFrame, lines: DataFrame) -> DataFrame:
+    """Rows (h, earliest): for lines that come again or have a near line, the first place of all of these."""
+    place = F.struct("doc_id", "text_hash", "line")
+    first = stored(lines.groupBy("h").agg(F.min(place).alias("first"), F.sum("times").alias("n")), "distinct-lines")
+    asked = first.select("h", "first", F.array().cast("array<int>").alias("shared"))
+    for level in (0, 1):
+        shared = _meeting(_emit(docs, asked, level)).groupBy("h").agg(F.collect_set("k").alias("shared"))
+        asked = shared.join(first.select("h", "first"), "h")
+    rows = _meeting(_emit(docs, asked, 2)).join(first.select("h", "first"), "h")
+    over, same = Window.partitionBy("key"), Window.partitionBy("key", "k")
+    whole = F.min(F.when(F.col("k") < 0, F.col("first"))).over(over)
+    best = F.when(F.col("k") < 0, F.min("first").over(over)).otherwise(F.least(F.min("first").over(same), F.coalesce(whole, "first")))
+    linked = rows.withColumn("best", best).groupBy("h").agg(F.min("best").alias("best"))
+    out = first.join(linked, "h", "left").filter((F.col("n") > 1) | (F.col("best") < F.col("first")))
     return out.select("h", F.least("first", F.coalesce("best", "first")).alias("earliest"))
 
 
@@ -125,7 +144,7 @@ def dedup_lines(docs: DataFrame, least_chars: int = LEAST_CHARS) -> DataFrame:
     texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.coalesce(F.xxhash64("text"), F.lit(0)).alias("text_hash"), "text")
     dealt = texts.repartition(shuffle_partitions(docs.sparkSession), "doc_id", "text_hash")
     lines = stored(line_table(texts, least_chars), "lines")
-    decided = stored(earliest(dealt, lines), "earliest")
+    decided = earliest(dealt, lines)
     place = F.struct("doc_id", "text_hash", "line")
     first_gone = lines.select("doc_id", "text_hash", "line", "h").join(decided, "h").select("doc_id", "text_hash", "h", (place > F.col("earliest")).alias("all"))
     gone = first_gone.groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("h", "all")).alias("gone"))
