@@ -139,8 +139,12 @@ def earliest(docs: DataFrame, lines: DataFrame) -> DataFrame:
     return out.select("h", F.least("first", F.coalesce("best", "first")).alias("earliest"))
 
 
-def dedup_lines(docs: DataFrame, least_chars: int = LEAST_CHARS) -> DataFrame:
-    """Rows (doc_id, text_hash, new_text, n_lines, n_removed)."""
+def dedup_lines(docs: DataFrame, least_chars: int = LEAST_CHARS, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Rows (doc_id, text_hash, new_text, n_lines, n_removed, *carry).
+
+    carry: further columns of docs; they join by id and text, so the texts don't move for them. Rows
+    with equal ids and texts but other values there all get the least of these.
+    """
     texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.coalesce(F.xxhash64("text"), F.lit(0)).alias("text_hash"), "text")
     dealt = texts.repartition(shuffle_partitions(docs.sparkSession), "doc_id", "text_hash")
     lines = stored(line_table(texts, least_chars), "lines")
@@ -152,7 +156,7 @@ def dedup_lines(docs: DataFrame, least_chars: int = LEAST_CHARS) -> DataFrame:
     def run(batches):
         for b in batches:
             out, total, removed = [], [], []
-            for text, drop in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
+            for text, drop in zip(b.column("text").to_pylist(), b.column("gone").to_pylist()):
                 split = text.split("\n") if text is not None else []
                 rule = {x["h"]: x["all"] for x in drop or []}
                 kept, seen = [], set()
@@ -166,11 +170,18 @@ def dedup_lines(docs: DataFrame, least_chars: int = LEAST_CHARS) -> DataFrame:
                 total.append(len(split))
                 removed.append(len(split) - len(kept) if rule else 0)
                 out.append("\n".join(kept) if rule else text)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.string()), pa.array(total, pa.int64()), pa.array(removed, pa.int64())], ["doc_id", "text_hash", "new_text", "n_lines", "n_removed"])
-
-    rows = dealt.join(gone, ["doc_id", "text_hash"], "left").select("doc_id", "text_hash", "text", "gone")
-    out = rows.mapInArrow(run, "doc_id long, text_hash long, new_text string, n_lines long, n_removed long")
-    return out.withColumn("doc_id", F.nullif("doc_id", F.lit(NO_ID)))
+            columns = [b.column(0), b.column(1), pa.array(out, pa.string()), pa.array(total, pa.int64()), pa.array(removed, pa.int64())]
+            names = ["doc_id", "text_hash", "new_text", "n_lines", "n_removed"]
+            yield pa.RecordBatch.from_arrays(columns + ([b.column("rest")] if carry else []), names + (["rest"] if carry else []))
+
+    rows = dealt.join(gone, ["doc_id", "text_hash"], "left")
+    schema = "doc_id long, text_hash long, new_text string, n_lines long, n_removed long"
+    if carry:
+        keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.coalesce(F.xxhash64("text"), F.lit(0)).alias("text_hash"), F.struct(*carry).alias("rest"))
+        rows = rows.join(keyed.groupBy("doc_id", "text_hash").agg(F.min("rest").alias("rest")), ["doc_id", "text_hash"], "left")
+        schema += f", rest {docs.select(F.struct(*carry)).schema[0].dataType.simpleString()}"
+    out = rows.select("doc_id", "text_hash", "text", "gone", *["rest"] * bool(carry)).mapInArrow(run, schema).withColumn("doc_id", F.nullif("doc_id", F.lit(NO_ID)))
+    return out.select("doc_id", "text_hash", "new_text", "n_lines", "n_removed", *[F.col("rest")[c].alias(c) for c in carry]) if carry else out
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
