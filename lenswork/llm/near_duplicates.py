@@ -4,7 +4,7 @@
 `near_duplicate_groups` finds documents that share at least SIMILARITY of their sets of five-word
 shingles: such a pair differs in about 15 % of the bits, too many for one trie join, so TABLES short
 fingerprints of BITS bits are joined within RADIUS bits (a pair at 0.8 meets in at least one with
-99 %); all of them together (512 bits) sort out most chance meetings, and the sets themselves decide.
+99 %); a signature of SIGNATURE bits sorts out most chance meetings, and the sets themselves decide.
 
 Rows: a null or blank text has the fingerprint zero and no shingles; documents without shingles form
 one group of their own. Equal texts share everything. Repeated ids are one document per text.
@@ -23,9 +23,10 @@ from .components import components
 from .trie_join import links
 
 SEED = 42
-SHINGLE, SIMILARITY, TABLES, BITS, RADIUS = 5, 0.8, 16, 32, 3
-#: Signature bits that may differ: at 0.75 similarity 17.3 % differ on average, plus three deviations.
-MOST_SIGNATURE_BITS = 114
+SHINGLE, SIMILARITY, TABLES, BITS, RADIUS = 5, 0.8, 24, 20, 1
+#: Bits computed for each document, those of them that go along into the join, and how many of these may
+#: differ: at 0.75 similarity 17.3 % do on average, plus three deviations.
+ALL_BITS, SIGNATURE, MOST_SIGNATURE_BITS = 512, 256, 62
 
 
 def shingle_hashes(text: str | None, size: int) -> np.ndarray:
@@ -94,7 +95,7 @@ def _mixed(h: np.ndarray, k: int) -> np.ndarray:
 def signature(shingles: np.ndarray) -> bytes:
     """512 SimHash bits of a set of hashes."""
     if not len(shingles):
-        return bytes(8 * BITS * TABLES // 64)
+        return bytes(ALL_BITS // 8)
     total, n = np.zeros(64 * 8, np.int64), len(shingles)
     for at in range(0, n, 50_000):
         part = shingles[at : at + 50_000]
@@ -121,11 +122,12 @@ def near_duplicate_groups(docs: DataFrame, size: int = SHINGLE, similarity: floa
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
     rows = stored(texts.mapInArrow(run, schema), "signatures")  # id: the hash of the set of shingles
     nodes = rows.groupBy("id").agg(F.min("doc_id").alias("first"), F.first("sig").alias("sig"), F.min_by("text_hash", "doc_id").alias("text_hash"))
-    bytes_each = BITS // 8
-    tabs = F.explode(F.array(*[F.struct(F.lit(t).alias("tab"), F.conv(F.hex(F.substring("sig", t * bytes_each + 1, bytes_each)), 16, 10).cast("long").alias("fp")) for t in range(TABLES)]))
-    points = nodes.select("id", "sig", tabs.alias("x")).select("x.tab", "x.fp", "id", "sig")
-    candidates = stored(links(points, BITS, RADIUS, MOST_SIGNATURE_BITS), "candidates")
-    verified = verify(candidates, nodes, docs, size, similarity)
+    nodes = stored(nodes, "shingle-sets")
+    digits = BITS // 4
+    tabs = F.explode(F.array(*[F.struct(F.lit(t).alias("tab"), F.conv(F.substring(F.hex("sig"), t * digits + 1, digits), 16, 10).cast("long").alias("fp")) for t in range(TABLES)]))
+    points = nodes.select("id", F.substring("sig", 1, SIGNATURE // 8).alias("sig"), tabs.alias("x")).select("x.tab", "x.fp", "id", "sig")
+    candidates = stored(links(points, BITS, RADIUS, MOST_SIGNATURE_BITS, blocks=True), "candidates")
+    verified = verify(candidates, nodes.select("id", "first", "text_hash"), docs, size, similarity)
     roots = components(verified)
     of = nodes.join(roots, nodes.id == roots.node, "left").select("id", "first", F.coalesce("root", "id").alias("root"))
     of = stored(of, "nodes")

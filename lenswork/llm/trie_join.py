@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-NODE, FRONTIER, EDGES = 4096, 200_000, 1_000_000
+NODE, FRONTIER, EDGES, SMALL_NODES = 4096, 200_000, 1_000_000, 1 << 14
 
 
 class Forest:
@@ -116,15 +116,25 @@ def _leaves(a, b, al, ah, bl, bh, radius, found) -> None:
         lo = hi
 
 
-def links(points: DataFrame, bits: int, radius: int, most: int | None = None) -> DataFrame:
+def links(points: DataFrame, bits: int, radius: int, most: int | None = None, blocks: bool = False) -> DataFrame:
     """points: tab, fp (long), id (long) and sig (binary; null: the fingerprint itself). Rows (a, b) of ids.
 
     A link joins points of one tab within the radius in fp's low `bits` bits and, with signatures,
     at most `most` different bits in those. Returned is a forest of each task's links.
+
+    blocks (fewer than 64 bits): the bits are cut into radius + 1 blocks, one of which is equal in a pair
+    within the radius. Each turn of fp that puts a block on top is a tab of its own, and Spark pairs a node
+    only with itself: every fingerprint goes to radius + 1 nodes, however many there are.
     """
     n = points.groupBy("tab").count().agg(F.max("count")).first()[0] or 0
-    depth = min(bits, max(0, int(np.ceil(np.log2(max(1, n) / NODE)))))
-    masks = [sum(1 << k for k in c) for r in range(radius + 1) for c in combinations(range(depth), r)]
+    depth = min(bits // (radius + 1) if blocks else bits, max(0, int(np.ceil(np.log2(max(1, n) / NODE)))))
+    masks = [0] if blocks else [sum(1 << k for k in c) for r in range(radius + 1) for c in combinations(range(depth), r)]
+    if blocks:
+        turns = [bits * k // (radius + 1) for k in range(radius + 1)]
+        low = F.col("fp").bitwiseAND(F.lit((1 << bits) - 1))
+        turned = [F.shiftleft(low, k).bitwiseOR(F.shiftrightunsigned(low, bits - k)).bitwiseAND(F.lit((1 << bits) - 1)) for k in turns]
+        each = F.array(*[F.struct((F.col("tab") * len(turns) + i).alias("tab"), t.alias("fp")) for i, t in enumerate(turned)])
+        points = points.withColumn("turn", F.explode(each)).select("turn.tab", "turn.fp", "id", "sig")
     node = F.shiftrightunsigned("fp", bits - depth) if depth else F.lit(0).cast("long")
     if 0 < depth and bits < 64:
         node = node.bitwiseAND(F.lit((1 << depth) - 1))
@@ -132,11 +142,13 @@ def links(points: DataFrame, bits: int, radius: int, most: int | None = None) ->
     parts = placed.groupBy("tab", "node").agg(F.ceil(F.count(F.lit(1)) / F.lit(2 * NODE)).cast("int").alias("parts"))
     pairs = placed.withColumn("other", F.explode(F.array([F.col("node").bitwiseXOR(F.lit(m)) for m in masks])))
     pairs = pairs.withColumns({"low": F.least("node", "other"), "high": F.greatest("node", "other")})
+    if (1 << depth) <= SMALL_NODES:  # at most so many rows for each tab
+        parts = F.broadcast(parts)
     pairs = pairs.join(parts.withColumnRenamed("node", "low"), ["tab", "low"])
     own = F.array(F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
     every = F.sequence(F.lit(0), F.col("parts") - 1)
     left = pairs.filter("node = low").select("tab", "low", "high", F.lit(0).alias("side"), F.explode(own).alias("part"), "fp", "id", "sig")
-    right = pairs.filter("node = high").select("tab", "low", "high", F.lit(1).alias("side"), F.explode(every).alias("part"), "fp", "id", "sig")
+    right = pairs.filter("node = high and (low <> high or parts > 1)").select("tab", "low", "high", F.lit(1).alias("side"), F.explode(every).alias("part"), "fp", "id", "sig")
 
     def join(table: pa.Table) -> pa.Table:
         side, fp, ids = (table.column(c).to_numpy() for c in ("side", "fp", "id"))
@@ -146,6 +158,7 @@ def links(points: DataFrame, bits: int, radius: int, most: int | None = None) ->
             fp = fp & np.uint64((1 << bits) - 1)
         order = np.lexsort((ids, fp))
         x, y = order[side[order] == 0], order[side[order] == 1]
+        y = y if len(y) else x  # a node in one part comes once, to meet itself
         names, place = np.unique(ids, return_inverse=True)
         sig = None
         if table.column("sig").null_count == 0 and len(table):
