@@ -57,6 +57,13 @@ def test_odd_rows(spark, name):
     assert OPERATORS[name](docs.limit(0)).count() == 0
 
 
+def test_scores_do_not_depend_on_blocks_and_ranges(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").repartition(3)
+    found = [lm_scoring.score_documents(docs, block_words=b, range_words=r) for b, r in ((2_000_000, 2_000_000), (700, 3000), (1, 50_000))]
+    found = [sorted((r.doc_id, r.text_hash, r.n_words, round(r.score, 6)) for r in d.collect()) for d in found]
+    assert found[0] == found[1] == found[2] and len(found[0]) == docs.count()
+
+
 def test_recompression_finds_every_repeat(spark):
     rng = np.random.default_rng(3)
     texts = []
