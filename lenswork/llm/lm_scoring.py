@@ -20,6 +20,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,21 +29,22 @@ from .common import load, stored, words
 
 BACKOFF, LEAST_COUNT = 0.4, 2
 #: Words (or rows) after which a block is full, and words of the corpus for each hash range.
-BLOCK_WORDS, BLOCK_ROWS, RANGE_WORDS = 2_000_000, 200_000, 2_000_000
+BLOCK_WORDS, BLOCK_ROWS, RANGE_WORDS = 1_000_000, 100_000, 2_000_000
 
 
 def _planes(values: np.ndarray) -> bytes:
-    """Byte planes, lowest bytes first: high bytes are mostly zero and compress to nothing."""
-    return np.ascontiguousarray(values.view(np.uint8).reshape(len(values), values.itemsize).T).tobytes()
+    """Compressed byte planes: high bytes are mostly zero."""
+    return zstandard.compress(np.ascontiguousarray(values.view(np.uint8).reshape(len(values), values.itemsize).T), 3)
 
 
 def _from_planes(raw: bytes, kind) -> np.ndarray:
     size = np.dtype(kind).itemsize
-    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(size, -1).T).reshape(-1).view(kind)
+    return np.ascontiguousarray(np.frombuffer(zstandard.decompress(raw), np.uint8).reshape(size, -1).T).reshape(-1).view(kind)
 
 
-def _deltas(ordered: np.ndarray) -> bytes:
-    return _planes(np.diff(ordered, prepend=np.uint64(0)))
+def _deltas(values: np.ndarray) -> bytes:
+    """Differences, which wrap where the values fall."""
+    return _planes(np.diff(values, prepend=np.uint64(0)))
 
 
 def _from_deltas(raw: bytes) -> np.ndarray:
@@ -59,14 +61,17 @@ def _pair_hash(v: np.ndarray, w: np.ndarray) -> np.ndarray:
 
 def _blocker(block_words: int):
     def blocks(batches):
-        """Rows (doc_id, text_hash, h) to blocks: a sorted vocabulary of word hashes and each word's place in it."""
+        """Rows (doc_id, text_hash, h) to blocks: a vocabulary of word hashes, most frequent first, and each word's place in it."""
         part, number = TaskContext.get().partitionId(), 0
         ids, hashes, lengths, values, size, rows = [], [], [], [], 0, 0
 
         def block():
-            vocabulary, places = np.unique(np.concatenate(values).view(np.uint64), return_inverse=True)
+            found, of, n = np.unique(np.concatenate(values).view(np.uint64), return_inverse=True, return_counts=True)
+            order = np.argsort(-n, kind="stable")  # equally frequent words stay in hash order
+            rank = np.empty(len(order), np.uint32)
+            rank[order] = np.arange(len(order), dtype=np.uint32)
             lists = [pa.array([pa.concat_arrays(x).to_pylist()], pa.list_(pa.int64())) for x in (ids, hashes)]
-            packed = [pa.array([x], pa.binary()) for x in (_deltas(vocabulary), _planes(places.astype(np.uint32)))]
+            packed = [pa.array([x], pa.binary()) for x in (_deltas(found[order]), _planes(rank[of]))]
             columns = [pa.array([part << 32 | number], pa.int64()), *lists, pa.array([np.concatenate(lengths)], pa.list_(pa.int64())), *packed]
             return pa.RecordBatch.from_arrays(columns, ["block", "doc_ids", "text_hashes", "lengths", "vocabulary", "places"])
 
@@ -115,13 +120,14 @@ def _sender(ranges: int):
 
     def send(batches):
         for b in batches:
-            for row in b.to_pylist():
+            for i in range(len(b)):
+                row = b.slice(i, 1).to_pylist()[0]
                 grams, words_at, bigrams_at = _grams(*_read_block(row))
                 n = np.bincount(words_at, minlength=len(grams)) + np.bincount(bigrams_at[bigrams_at >= 0], minlength=len(grams))
                 cuts = np.append(np.searchsorted(grams, bounds), len(grams))
-                full = [(i, a, z) for i, (a, z) in enumerate(zip(cuts[:-1], cuts[1:])) if z > a]
+                full = [(k, a, z) for k, (a, z) in enumerate(zip(cuts[:-1], cuts[1:])) if z > a]
                 columns = [
-                    pa.array([i for i, _, _ in full], pa.int64()), pa.array([row["block"]] * len(full), pa.int64()),
+                    pa.array([k for k, _, _ in full], pa.int64()), pa.array([row["block"]] * len(full), pa.int64()),
                     pa.array([_deltas(grams[a:z]) for _, a, z in full], pa.binary()), pa.array([_planes(n[a:z].astype(np.uint32)) for _, a, z in full], pa.binary()),
                 ]
                 yield pa.RecordBatch.from_arrays(columns, ["part", "block", "grams", "n"])
