@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import tempfile
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Frames that one task sums up in the two-level running sums.
@@ -42,3 +45,9 @@ def as_of(ticks: DataFrame, events: DataFrame, group: list[str], at: str, order:
     both = e.unionByName(t, allowMissingColumns=True)
     found = both.withColumn("_packet", F.last("_packet", ignorenulls=True).over(w)).filter("_kind = 1")
     return found.select(*group, F.col("_at").alias(at), *[F.col(f"_packet.{c}").alias(c) for c in packet])
+
+
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that driver and executors share; a temporary one only where the session names none."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-lenswork-")
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -15,6 +15,8 @@ from ..operators import overlays as O
 from ..operators import pixels as P
 from ..operators import telemetry as T
 from ..operators import timeline as L
+from ..sources import files, records
+from ..streaming import streams
 from .fixtures import duck, view
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -621,3 +623,56 @@ def _(e):
     rows = e.select("vec_id", F.col("embedding").alias("features"), F.col("label").cast("double").alias("label"))
     model = M.train_classifier(rows.filter("vec_id % 5 <> 0"))
     return M.evaluate(M.predict(model, rows.filter("vec_id % 5 = 0")))
+
+
+# messages and features, written and read again
+
+@query("detection_messages", KEPT + "select frame_number, det_idx, class, score, x1, y1, x2, y2, track_id from c", "raw_preds", recursive=True)
+def _(p):
+    found = chain(p)
+    frames = p.select("frame_number").distinct().withColumns({"ts_ms": F.col("frame_number") * 33, "fps": F.lit(30.0)})
+    got = records.parse_detections_json(records.to_detections_json(found, frames)).withColumn("det_idx", F.col("det_idx").cast("long"))
+    return got.select("frame_number", "det_idx", "class", "score", *[F.col("bbox")[i].alias(c) for i, c in enumerate(D.BOX)], "track_id")
+
+
+@query(
+    "geojson_features",
+    """select route_id overlay_id, 'LineString' kind, 'ROUTE ' || route_id as label, count(*) n_points, arg_min(lng, seq) first_lng, arg_min(lat, seq) first_lat from routes group by route_id
+    union all select zone_id + 10000000, 'Polygon', 'ZONE', count(*) + 1, arg_min(lng, vtx), arg_min(lat, vtx) from zone_vertices where ring = 0 group by zone_id""",
+    "routes",
+    "zone_vertices",
+)
+def _(r, z):
+    lines = r.select(F.col("route_id").alias("overlay_id"), F.lit(0).alias("ring"), F.col("seq").alias("vtx"), "lat", "lng")
+    zones = z.select((F.col("zone_id") + 10000000).alias("overlay_id"), "ring", "vtx", "lat", "lng")
+    o = lines.select("overlay_id", F.lit("polyline").alias("type"), F.concat(F.lit("ROUTE "), F.col("overlay_id").cast("string")).alias("label")).distinct()
+    o = o.unionByName(zones.select("overlay_id", F.lit("polygon").alias("type"), F.lit("ZONE").alias("label")).distinct())
+    at = lambda path: F.get_json_object("feature", path)
+    rows = files.to_geojson(o, lines.unionByName(zones)).withColumn("kind", at("$.geometry.type"))
+    path = F.when(F.col("kind") == "Polygon", at("$.geometry.coordinates[0]")).otherwise(at("$.geometry.coordinates"))
+    rows = rows.withColumn("p", F.from_json(path, "array<array<double>>"))
+    return rows.select("overlay_id", "kind", at("$.properties.label").alias("label"), F.size("p").cast("long").alias("n_points"), F.col("p")[0][0].alias("first_lng"), F.col("p")[0][1].alias("first_lat"))
+
+
+# streams over the event table
+
+def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
+    events = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parque[t]")  # a pattern may name a file; a plain path has to be a folder
+    ts_ms = F.expr("unix_micros(cast(ts as timestamp)) div 5000000 - 340813440")
+    return events.select((F.col("user_id") % 4).alias("camera_id"), "event_id", ts_ms.alias("ts_ms"), "event_type")
+
+
+def stream_smoothed_fps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = streams.drained(streams.numbered_frames(_events(spark, sf_dir)), "stream-fps")
+    return rounded(rows, "fps").select("camera_id", "frame_number", "fps")
+
+
+def stream_stalls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    component = F.when(F.col("event_type") == "click", "capture").when(F.col("event_type") == "view", "processing").otherwise("encoding")
+    beats = _events(spark, sf_dir).filter("event_type in ('click', 'view', 'purchase')").withColumn("component", component)
+    return streams.drained(streams.stall_alerts(beats), "stream-stalls").filter("gap_ms is not null")
+
+
+for _name, _batch, _f in (("stream_smoothed_fps", "smoothed_fps", stream_smoothed_fps), ("stream_stalls", "stalls", stream_stalls)):
+    QUERIES[_name], ORACLE_SQL[_name] = _f, ORACLE_SQL[_batch]

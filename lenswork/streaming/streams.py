@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 
-from ..functions.common import keys_of
+from ..functions.common import keys_of, shared_path
 from ..operators.detection import detect_chain
 from ..operators.health import STALL
 from ..operators.timeline import ALPHA, HISTORY, frame_history, latest_frame
@@ -98,6 +98,15 @@ def inflight_stream(dispatch: DataFrame, done: DataFrame, within: str = "30 seco
     return a.join(b, on, "full_outer").select(*both, status.alias("status"), (F.col("done_ms") - F.col("sent_ms")).alias("latency_ms"))
 
 
+def drained(stream: DataFrame, name: str) -> DataFrame:
+    """Runs the stream over all that is there, into files of the shared folder, and reads them."""
+    spark = stream.sparkSession
+    path = shared_path(spark, name)
+    writer = stream.writeStream.format("parquet").option("path", f"{path}/rows").option("checkpointLocation", f"{path}/state")
+    writer.trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{path}/rows")
+
+
 def fold_into(path: str, fold: Callable[[DataFrame], DataFrame]) -> Callable[[DataFrame, int], None]:
     """For foreachBatch: the table of batch n is fold(table of batch n - 1 and batch n), written to path/batch=n.
 
