@@ -178,11 +178,11 @@ def overlay_meta(routes: DataFrame, zones: DataFrame, boxes: DataFrame) -> DataF
 
 
 def format_lat(c: Column) -> Column:
-    return F.concat(F.format_string("%.5f", F.abs(c)), F.lit("° "), F.when(c >= 0, "N").otherwise("S"))
+    return F.concat(F.when(c >= 0, "N ").otherwise("S "), F.format_string("%.5f", F.abs(c)))
 
 
 def format_lng(c: Column) -> Column:
-    return F.concat(F.format_string("%.5f", F.abs(c)), F.lit("° "), F.when(c >= 0, "E").otherwise("W"))
+    return F.concat(F.when(c >= 0, "E ").otherwise("W "), F.format_string("%.5f", F.abs(c)))
 
 
 def format_length(c: Column) -> Column:

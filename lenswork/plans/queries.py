@@ -625,6 +625,102 @@ def _(e):
     return M.evaluate(M.predict(model, rows.filter("vec_id % 5 = 0")))
 
 
+# operators on arrays, texts and rigs
+
+@query("explode_predictions", "select frame_number, pred_idx, x, y, w, h, score, class_id from raw_preds", "raw_preds")
+def _(p):
+    channels = ["x", "y", "w", "h", "score", "class_id"]
+    frames = p.groupBy("frame_number").agg(F.array_sort(F.collect_list(F.struct("pred_idx", *channels))).alias("s"))
+    tensor = F.array(*[F.transform(F.col("s")[c], lambda x: x.cast("double")) for c in channels])
+    return D.explode_predictions(frames.select("frame_number", tensor.alias("tensor")))
+
+
+@query(
+    "format_measures",
+    """with m as (select *, abs(lat) * 1000 l, abs(lng) * 31234.567 a from markers)
+    select marker_id, case when lat >= 0 then 'N ' else 'S ' end || printf('%.5f', abs(lat)) lat_text, case when lng >= 0 then 'E ' else 'W ' end || printf('%.5f', abs(lng)) lng_text,
+      case when l = 0 then '0 m' when l >= 1000 then printf('%.2f km', l / 1000) else printf('%.0f m', l) end length_text,
+      case when a = 0 then '0 m²' when a >= 1000000 then printf('%.2f km²', a / 1000000) when a >= 10000 then printf('%.1f ha', a / 10000) else printf('%.0f m²', a) end area_text from m""",
+    "markers",
+)
+def _(m):
+    length, area = F.abs("lat") * 1000, F.abs("lng") * F.lit(31234.567)
+    return m.select("marker_id", O.format_lat(F.col("lat")).alias("lat_text"), O.format_lng(F.col("lng")).alias("lng_text"), O.format_length(length).alias("length_text"), O.format_area(area).alias("area_text"))
+
+
+@query(
+    "score_color",
+    """with c as (select frame_number, pred_idx, score * 120 hue, (1 - abs(2 * cast(0.55 as double) - 1)) * 0.9 chroma, cast(0.55 as double) - (1 - abs(2 * cast(0.55 as double) - 1)) * 0.45 low from raw_preds),
+    x as (select *, chroma * (1 - abs((hue / 60) % 2 - 1)) x from c)
+    select frame_number, pred_idx, printf('#%02x%02x%02x', cast(round((case when hue < 60 then chroma else x end + low) * 255) as int), cast(round((case when hue < 60 then x else chroma end + low) * 255) as int), cast(round(low * 255) as int)) color from x""",
+    "raw_preds",
+)
+def _(p):
+    return p.select("frame_number", "pred_idx", G.score_color(F.col("score")).alias("color"))
+
+
+@query(
+    "rig_frustum",
+    """with c as (select n_nationkey camera_id, cast(n_nationkey as double) x, cast(5 as double) y, -n_nationkey / cast(2 as double) z, radians(n_nationkey * 15) + pi() a, 4.5 / tan(radians(25)) dist from nation),
+    k as (select * from c cross join (values ('near', 'TL', 1, -1), ('near', 'TR', 1, 1), ('near', 'BL', -1, -1), ('near', 'BR', -1, 1), ('far', 'TL', 1, -1), ('far', 'TR', 1, 1), ('far', 'BL', -1, -1), ('far', 'BR', -1, 1)) v(plane, corner, up, side)),
+    s as (select *, case plane when 'near' then 1 else 60 / dist end s, case plane when 'near' then 0 else 60 - dist end ahead from k),
+    r as (select camera_id, 'origin' plane, 'O' corner, x - sin(a) * dist x, y, z - cos(a) * dist z from c
+      union all select camera_id, plane, corner, x + sin(a) * ahead + cos(a) * 8 * s * side, y + 4.5 * s * up, z + cos(a) * ahead - sin(a) * 8 * s * side from s)
+    select camera_id, plane, corner, round(x, 6) + 0.0 x, round(y, 6) + 0.0 y, round(z, 6) + 0.0 z from r""",
+    "nation",
+)
+def _(n):
+    key = F.col("n_nationkey")
+    cameras = n.select(key.alias("camera_id"), key.cast("double").alias("x"), F.lit(5.0).alias("y"), (-key / 2).alias("z"), (key * 15.0).alias("yaw_deg"), F.lit(8.0).alias("half_w"), F.lit(4.5).alias("half_h"))
+    return rounded(G.rig_frustum(cameras), "x", "y", "z")
+
+
+@query(
+    "connector_arrows",
+    f"""with p as (select marker_id, lat, lng, {PX} from markers),
+    c as (select o.overlay_id, ['start', 'end', 'both', 'none'][o.overlay_id % 4 + 1] direction, s.lat slat, s.lng slng, e.lat elat, e.lng elng, atan2(e.py - s.py, e.px - s.px) angle
+      from overlays o join p s on s.marker_id = o.start_id join p e on e.marker_id = o.end_id where o.type = 'connector')
+    select overlay_id, 'start' side, slat lat, slng lng, round(angle + pi(), 5) + 0.0 angle from c where direction in ('start', 'both')
+    union all select overlay_id, 'end', elat, elng, round(angle, 5) + 0.0 from c where direction in ('end', 'both')""",
+    "overlays",
+    "markers",
+)
+def _(o, m):
+    ends = O.connector_endpoints(o.filter("type = 'connector'"), m.withColumnRenamed("marker_id", "overlay_id"))
+    names = F.array(*map(F.lit, ["start", "end", "both", "none"]))
+    ends = ends.withColumn("direction", F.element_at(names, (F.col("overlay_id") % 4 + 1).cast("int")))
+    return rounded(O.connector_arrows(ends, 16.0), "angle", digits=5)
+
+
+@query(
+    "closed_rings",
+    """with r as (select route_id, list({'lat': lat, 'lng': lng} order by seq) p from routes group by 1)
+    select route_id, len(p) + case when p[1] <> p[-1] then 1 else 0 end n_closed, case when len(p) > 1 and p[1] = p[-1] then len(p) - 1 else len(p) end n_open from r where len(p) >= 3""",
+    "routes",
+)
+def _(r):
+    shapes = r.groupBy("route_id").agg(F.array_sort(F.collect_list(F.struct("seq", F.struct("lat", "lng").alias("at")))).alias("s"))
+    shapes = O.validate_geometry(shapes.select("route_id", F.lit("polygon").alias("type"), F.transform("s", lambda x: x["at"]).alias("points")))
+    ring = O.normalise_rings(F.array("points"), 2)[0]
+    return shapes.select("route_id", F.size(O.close_ring(ring)).cast("long").alias("n_closed"), F.size(O.drop_closing_point(ring)).cast("long").alias("n_open"))
+
+
+@query(
+    "overlay_meta",
+    f"""with {SEG}, e as (select *, coalesce(lead(lat) over o, first(lat) over o) lat2, coalesce(lead(lng) over o, first(lng) over o) lng2 from zone_vertices where ring = 0 window o as (partition by zone_id order by vtx))
+    select 'polyline' kind, route_id overlay_id, round(coalesce(sum(len), 0) / 1000, 3) length_km, cast(null as double) area_km2 from s group by route_id
+    union all select 'polygon', zone_id, null, round({AREA} / 1000000, 3) from e group by zone_id
+    union all select 'rectangle', marker_id, null, round(abs(radians(2) * (2 + 2 * sin(radians(lat))) - radians(2) * (2 + 2 * sin(radians(lat + 1)))) * 6378137.0 * 6378137.0 / 2 / 1000000, 3) from markers""",
+    "routes",
+    "zone_vertices",
+    "markers",
+)
+def _(r, z, m):
+    boxes = m.select(F.col("marker_id").alias("box_id"), F.col("lat").alias("south"), F.col("lng").alias("west"), (F.col("lat") + 1).alias("north"), (F.col("lng") + 2).alias("east"))
+    rows = O.overlay_meta(r, z, boxes)
+    return rows.select("kind", "overlay_id", F.round(F.col("length_m") / 1000, 3).alias("length_km"), F.round(F.col("area_m2") / 1e6, 3).alias("area_km2"))
+
+
 # messages and features, written and read again
 
 @query("detection_messages", KEPT + "select frame_number, det_idx, class, score, x1, y1, x2, y2, track_id from c", "raw_preds", recursive=True)

@@ -112,3 +112,32 @@ def test_detect_needs_a_result_for_each_frame(spark):
     frames = spark.createDataFrame([(i,) for i in range(20)], "frame_number long")
     got = D.detect(frames, lambda pdf: [{"score": float(x)} for x in pdf.frame_number], "score double", ["frame_number"], 3)
     assert sorted((r.frame_number, r.score) for r in got.collect()) == [(i, float(i)) for i in range(20)]
+
+
+def test_frame_delta_of_bytes(spark):
+    import numpy as np
+
+    from lenswork.operators import pixels as P
+
+    rng = np.random.default_rng(3)
+    shots = [rng.integers(0, 256, 36).astype(np.uint8) for _ in range(4)]
+    frames = spark.createDataFrame([(i, bytearray(x.tobytes())) for i, x in enumerate(shots)] + [(4, None), (5, bytearray(b"abc"))], "frame_number long, data binary")
+    got = {r.frame_number: r.mags for r in P.frame_delta(frames).collect()}
+    for i in (1, 2, 3):
+        d = np.abs(shots[i].astype(int) - shots[i - 1]).reshape(-1, 3).sum(axis=1) / 3
+        assert list(got[i]) == [0 if x < 20 else int(x) for x in d]
+    assert got[0] is None and got[4] is None and got[5] is None
+    swapped = {r.frame_number: r.data for r in P.bgr_to_rgb(frames).collect()}
+    assert bytes(swapped[5]) == b"cba" and swapped[4] is None
+
+
+def test_model_is_saved_and_read(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from lenswork.operators import ml as M
+
+    rows = spark.range(60).select(F.array([(F.col("id") % 2).cast("double")] * 3).alias("features"), (F.col("id") % 2).cast("double").alias("label"))
+    model = M.train_classifier(rows, max_iter=5)
+    M.save_model(model, str(tmp_path / "m"))
+    a, b = (M.predict(m, rows).select("digit").collect() for m in (model, M.load_model(str(tmp_path / "m"))))
+    assert a == b and M.epoch_loss(spark, model).count() > 0
