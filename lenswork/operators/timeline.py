@@ -136,23 +136,36 @@ def tick_snapshots(df: DataFrame, step_ms: int = SSE_TICK, keep_alive: bool = Tr
 
 
 def window_fps(df: DataFrame, window_ms: int = FPS_WINDOW) -> DataFrame:
-    """Rate over drifting windows: a window closes on the first frame more than window_ms after the last close."""
+    """Rate over drifting windows: a window closes on the first frame more than window_ms after the last close.
+
+    After a silence of more than window_ms the next frame closes the window whenever it began. So the sessions
+    between such silences are folded apart, and a session's first close needs one row of the session before.
+    """
     keys = keys_of(df)
+    order = Window.partitionBy(*keys).orderBy("ts_ms", "frame_number")
+    silent = F.coalesce(F.col("ts_ms") - F.lag("ts_ms").over(order) > window_ms, F.lit(False)).cast("long")
+    rows = df.select(*keys, "ts_ms", "frame_number").withColumn("_silent", silent).withColumn("session", F.sum("_silent").over(order.rowsBetween(Window.unboundedPreceding, 0)))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["ts_ms", "frame_number"])
-        out, start, n = [], None, 0
-        for ts in pdf.ts_ms:
-            if start is None:
-                start = ts
+        session, first = int(pdf.session.iloc[0]), int(pdf.ts_ms.iloc[0])
+        out, start, n = [], first, 1 if session == 0 else 0
+        for ts in map(int, pdf.ts_ms.iloc[1:]):
             n += 1
             if ts - start > window_ms:
-                out.append((*pdf.iloc[0][keys], int(ts), n * 1000 / (ts - start)))
+                out.append((session, ts, n * 1000 / (ts - start), None, None))
                 start, n = ts, 0
-        return pd.DataFrame(out, columns=[*keys, "ts_ms", "fps"])
+        out.append((session, first, None, start, n))  # how the session ended
+        found = pd.DataFrame(out, columns=["session", "ts_ms", "fps", "start", "n"]).astype({"fps": "float64", "start": "Int64", "n": "Int64"})
+        return found.assign(**{k: pdf[k].iloc[0] for k in keys})[[*keys, *found.columns]]
 
     typed = "".join(f"{k} {df.schema[k].dataType.simpleString()}, " for k in keys)
-    return df.groupBy(*keys).applyInPandas(run, f"{typed}ts_ms long, fps double")
+    folded = rows.drop("_silent").groupBy(*keys, "session").applyInPandas(run, f"{typed}session long, ts_ms long, fps double, start long, n long")
+    # the last row of the session before, of which there is one each
+    before = F.lag(F.struct("start", "n")).over(Window.partitionBy(*keys, F.col("start").isNull()).orderBy("session"))
+    first = (before["n"] + 1) * F.lit(1000.0) / (F.col("ts_ms") - before["start"])
+    closed = folded.withColumn("fps", F.when(F.col("start").isNull(), F.col("fps")).otherwise(first))
+    return closed.filter("fps is not null").select(*keys, "ts_ms", "fps")
 
 
 def tumbling_fps(df: DataFrame, window: str = "1 second") -> DataFrame:

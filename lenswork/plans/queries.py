@@ -272,7 +272,15 @@ def _(f):
     return L.tick_snapshots(f)
 
 
-@query("window_fps", None, "frames")
+@query(
+    "window_fps",
+    """with s as (select camera_id, frame_number, ts_ms, ts_ms start, 1 n, cast(null as double) fps from frames where frame_number = 1
+      union all select f.camera_id, f.frame_number, f.ts_ms, case when f.ts_ms - s.start > 1000 then f.ts_ms else s.start end, case when f.ts_ms - s.start > 1000 then 0 else s.n + 1 end,
+        case when f.ts_ms - s.start > 1000 then (s.n + 1) * cast(1000 as double) / (f.ts_ms - s.start) end from s join frames f on f.camera_id = s.camera_id and f.frame_number = s.frame_number + 1)
+    select camera_id, ts_ms, round(fps, 6) + 0.0 fps from s where fps is not null""",
+    "frames",
+    recursive=True,
+)
 def _(f):
     return rounded(L.window_fps(f), "fps")
 

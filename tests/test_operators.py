@@ -141,3 +141,21 @@ def test_model_is_saved_and_read(spark, tmp_path):
     M.save_model(model, str(tmp_path / "m"))
     a, b = (M.predict(m, rows).select("digit").collect() for m in (model, M.load_model(str(tmp_path / "m"))))
     assert a == b and M.epoch_loss(spark, model).count() > 0
+
+
+def test_window_fps_with_and_without_silences(spark):
+    from lenswork.operators import timeline as L
+
+    times = {0: [0, 400, 900, 1001, 1500, 2001, 2002, 9000, 9001, 10_500, 20_000], 1: [5], 2: [0, 5000]}
+    frames = spark.createDataFrame([(c, i + 1, t) for c, ts in times.items() for i, t in enumerate(ts)], "camera_id long, frame_number long, ts_ms long")
+    want = []
+    for c, ts in times.items():
+        start, n = ts[0], 0
+        for t in ts:
+            n += 1
+            if t - start > 1000:
+                want.append((c, t, round(n * 1000 / (t - start), 6)))
+                start, n = t, 0
+    assert sorted((r.camera_id, r.ts_ms, round(r.fps, 6)) for r in L.window_fps(frames).collect()) == sorted(want)
+    one = L.window_fps(frames.filter("camera_id = 0").drop("camera_id")).collect()
+    assert len(one) == sum(c == 0 for c, _, _ in want)
