@@ -2,9 +2,12 @@
 
 `fingerprint_components` links documents whose 64-bit fingerprints differ in few bits.
 `near_duplicate_groups` finds documents that share at least SIMILARITY of their sets of five-word
-shingles: such a pair differs in about 15 % of the bits, too many for one trie join, so TABLES short
-fingerprints of BITS bits are joined within RADIUS bits (a pair at 0.8 meets in at least one with
-99 %); a signature of SIGNATURE bits sorts out most chance meetings, and the sets themselves decide.
+shingles. Such a pair differs in about 15 % of the bits, too many for one trie join, so TABLES short
+fingerprints of BITS bits are joined within RADIUS bits, a signature of SIGNATURE bits sorts out most
+chance meetings, and the sets themselves decide. That only puts most of each group together. What it
+misses an exact join finds: in any fixed order of the shingles, two sets this similar share one of the
+first n - ceil(similarity n) + 1 of each (the order puts shingles of many texts last, by a sample). Pairs
+of these between different groups are bounded by sizes, places and bitmaps, and again the sets decide.
 
 Rows: a null or blank text has the fingerprint zero and no shingles; documents without shingles form
 one group of their own. Equal texts share everything. Repeated ids are one document per text.
@@ -27,6 +30,9 @@ SHINGLE, SIMILARITY, TABLES, BITS, RADIUS = 5, 0.8, 24, 20, 1
 #: Bits computed for each document, those of them that go along into the join, and how many of these may
 #: differ: at 0.75 similarity 17.3 % do on average, plus three deviations.
 ALL_BITS, SIGNATURE, MOST_SIGNATURE_BITS = 512, 256, 62
+#: Texts looked at for the order of the shingles, how many of their shingles are put last at most, and bits
+#: of a set's bitmap. None of these changes the result.
+ORDER_TEXTS, LAST_SHINGLES, BITMAP, ROUNDING = 10_000, 200_000, 1024, 1e-9
 
 
 def shingle_hashes(text: str | None, size: int) -> np.ndarray:
@@ -106,20 +112,67 @@ def signature(shingles: np.ndarray) -> bytes:
     return np.packbits(2 * total > n).tobytes()
 
 
+def shingle_counts(texts: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that come in several of about ORDER_TEXTS texts, sorted, and in how many."""
+
+    def run(batches):
+        for b in batches:
+            found = [np.unique(shingle_hashes(t, size).astype(np.uint64)) for t in b.column(0).to_pylist()]
+            h, n = np.unique(np.concatenate(found or [np.zeros(0, np.uint64)]), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n)], ["h", "n"])
+
+    every = max(1, texts.count() // ORDER_TEXTS)
+    counts = texts.filter(F.pmod("text_hash", F.lit(every)) == 0).select("text").mapInArrow(run, "h long, n long")
+    found = counts.groupBy("h").agg(F.sum("n").alias("n")).filter("n > 1").orderBy(F.desc("n"), "h").limit(LAST_SHINGLES).toArrow()
+    h, n = found.column("h").to_numpy().view(np.uint64), found.column("n").to_numpy()
+    order = np.argsort(h)
+    return h[order], n[order]
+
+
+def prefix(shingles: np.ndarray, counts: tuple[np.ndarray, np.ndarray], similarity: float) -> np.ndarray:
+    """Of a sorted set the first shingles in the order of counts, one of which every similar set shares."""
+    n, (h, times) = len(shingles), counts
+    weight = np.zeros(n, np.int64)
+    if n and len(h):
+        at = np.minimum(np.searchsorted(h, shingles), len(h) - 1)
+        weight = np.where(h[at] == shingles, times[at], 0)
+    k = min(n, n - int(np.ceil(similarity * n - ROUNDING)) + 1)
+    return shingles[np.lexsort((shingles, weight))[:k]].view(np.int64)
+
+
+def exact_candidates(rows: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
+    """rows: id, n, prefix; roots: id, root. Pairs (a, b) of sets under different roots that may be similar enough: no similar pair is missing."""
+    points = rows.join(roots, "id").select("id", "root", "n", F.posexplode("prefix").alias("pos", "key"))
+    shared = points.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("key")
+    met = stored(points.join(shared, "key").distinct(), "shared-shingles")
+    a, b = (met.select("key", *[F.col(c).alias(f"{c}_{x}") for c in ("id", "root", "n", "pos")]) for x in "ab")
+    pairs = a.join(b, "key").filter("id_a < id_b and root_a <> root_b")
+    pairs = pairs.filter(F.least("n_a", "n_b") >= similarity * F.greatest("n_a", "n_b") - ROUNDING)
+    both = F.least(F.col("n_a") - F.col("pos_a"), F.col("n_b") - F.col("pos_b"))  # at most, at the first shared shingle
+    pairs = pairs.filter(both >= (F.col("n_a") + F.col("n_b")) * (similarity / (1 + similarity)) - ROUNDING)
+    return stored(pairs.select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct(), "exact-candidates")
+
+
 def near_duplicate_groups(docs: DataFrame, size: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
     """Rows (doc_id, text_hash, group_id): group_id is the smallest doc_id of the group, by links of the similarity or more."""
-    schema = "doc_id long, text_hash long, id long, sig binary"
+    schema = "doc_id long, text_hash long, id long, sig binary, n int, prefix array<long>"
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
+    counts = docs.sparkSession.sparkContext.broadcast(shingle_counts(texts, size))
 
     def run(batches):
         for b in batches:
-            ids, sigs = [], []
+            ids, sigs, sizes, firsts = [], [], [], []
             for t in b.column(2).to_pylist():
                 s = np.unique(shingle_hashes(t, size).astype(np.uint64))
                 ids.append(xxhash.xxh64_intdigest(s.tobytes()) - (1 << 63))
                 sigs.append(signature(s))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(ids, pa.int64()), pa.array(sigs, pa.binary())], ["doc_id", "text_hash", "id", "sig"])
+                sizes.append(len(s))
+                firsts.append(prefix(s, counts.value, similarity))
+            ends = np.cumsum([0, *map(len, firsts)]).astype(np.int32)
+            firsts = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(firsts or [np.zeros(0, np.int64)])))
+            made = [pa.array(ids, pa.int64()), pa.array(sigs, pa.binary()), pa.array(sizes, pa.int32()), firsts]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *made], ["doc_id", "text_hash", "id", "sig", "n", "prefix"])
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
     rows = stored(texts.mapInArrow(run, schema), "signatures")  # id: the hash of the set of shingles
     nodes = rows.groupBy("id").agg(F.min("doc_id").alias("first"), F.first("sig").alias("sig"), F.min_by("text_hash", "doc_id").alias("text_hash"))
     nodes = stored(nodes, "shingle-sets")
@@ -129,6 +182,9 @@ def near_duplicate_groups(docs: DataFrame, size: int = SHINGLE, similarity: floa
     candidates = stored(links(points, BITS, RADIUS, MOST_SIGNATURE_BITS, blocks=True), "candidates")
     verified = verify(candidates, nodes.select("id", "first", "text_hash"), docs, size, similarity)
     roots = components(verified)
+    of = stored(nodes.join(roots, nodes.id == roots.node, "left").select("id", F.coalesce("root", "id").alias("root")), "tables-nodes")
+    more = verify(exact_candidates(rows, of, similarity), nodes.select("id", "first", "text_hash"), docs, size, similarity)
+    roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
     of = nodes.join(roots, nodes.id == roots.node, "left").select("id", "first", F.coalesce("root", "id").alias("root"))
     of = stored(of, "nodes")
     least = of.groupBy("root").agg(F.min("first").alias("group_id"))
@@ -140,8 +196,23 @@ def verify(candidates: DataFrame, nodes: DataFrame, docs: DataFrame, size: int,
 
     def sets(batches):
         for b in batches:
-            found = [np.unique(shingle_hashes(t, size).astype(np.uint64)).tobytes() for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.binary())], ["id", "shingles"])
+            found = [np.unique(shingle_hashes(t, size).astype(np.uint64)) for t in b.column(1).to_pylist()]
+            bits = []
+            for x in found:
+                flags = np.zeros(BITMAP, bool)
+                flags[(x % np.uint64(BITMAP)).astype(np.int64)] = True
+                bits.append(np.packbits(flags).tobytes())
+            made = [pa.array([len(x) for x in found], pa.int64()), pa.array(bits, pa.binary()), pa.array([x.tobytes() for x in found], pa.binary())]
+            yield pa.RecordBatch.from_arrays([b.column(0), *made], ["id", "n", "bits", "shingles"])
+
+    def possible(batches):
+        """A bit that only one set has stands for a shingle that the other lacks."""
+        for b in batches:
+            x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint64).reshape(b.num_rows, -1) for c in ("x", "y"))
+            nx, ny = b.column("nx").to_numpy(), b.column("ny").to_numpy()
+            both = np.minimum(nx - np.bitwise_count(x & ~y).sum(axis=1, dtype=np.int64), ny - np.bitwise_count(y & ~x).sum(axis=1, dtype=np.int64))
+            keep = pa.array(both >= similarity / (1 + similarity) * (nx + ny) - ROUNDING)
+            yield pa.RecordBatch.from_arrays([b.column(c).filter(keep) for c in ("a", "b")], ["a", "b"])
 
     def similar(batches):
         for b in batches:
@@ -155,8 +226,10 @@ def verify(candidates: DataFrame, nodes: DataFrame, docs: DataFrame, size: int,
     wanted = candidates.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(nodes.select("id", "first", "text_hash"), "id")
     texts = docs.select(F.col("doc_id").cast("long").alias("first"), F.xxhash64("text").alias("text_hash"), "text")
     texts = texts.join(wanted, (texts["first"].eqNullSafe(wanted["first"])) & (texts.text_hash == wanted.text_hash)).select("id", "text").dropDuplicates(["id"])
-    have = stored(texts.mapInArrow(sets, "id long, shingles binary"), "shingles")
-    pairs = candidates.join(have.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a").join(have.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b")
+    have = stored(texts.mapInArrow(sets, "id long, n long, bits binary, shingles binary"), "shingles")
+    left, right = (have.select(F.col("id").alias(c), F.col("n").alias(f"n{x}"), F.col("bits").alias(x)) for c, x in (("a", "x"), ("b", "y")))
+    pairs = candidates.join(left, "a").join(right, "b").mapInArrow(possible, "a long, b long")
+    pairs = pairs.join(have.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a").join(have.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b")
     return pairs.select("a", "b", "x", "y").mapInArrow(similar, "a long, b long")
 
 

@@ -117,6 +117,36 @@ def test_near_duplicates_by_shingles(spark):
         assert r.group_id == wanted
 
 
+def groups_by_brute_force(texts):
+    sets = [set(near_duplicates.shingle_hashes(t, 5).tolist()) for t in texts]
+    group = list(range(len(texts)))
+    for i, j in itertools.combinations(range(len(texts)), 2):
+        if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) and group[i] != group[j]:
+            lo, hi = sorted((group[i], group[j]))
+            group = [lo if g == hi else g for g in group]
+    return group
+
+
+def test_near_duplicates_among_many_of_one_template(spark):
+    rng = np.random.default_rng(8)
+    texts = []
+
+    def put(places, mark):  # a changed word takes five shingles
+        words = [f"t{i}" for i in range(1000)]
+        for p in places:
+            words[5 * p + 2] = f"{mark}x{p}"
+        texts.append(" ".join(words))
+
+    for i in range(200):  # any two at about 0.76; every fifth has a copy at 0.83
+        places = rng.choice(200, 19, replace=False)
+        put(places[:14], f"d{i}")
+        if i % 5 == 0:
+            put(places[5:], f"c{i}")
+    wanted = groups_by_brute_force(texts)
+    got = {r.doc_id: r.group_id for r in near_duplicates.near_duplicate_groups(docs_of(spark, texts)).collect()}
+    assert [got[i] for i in range(len(texts))] == wanted and 20 < len(set(wanted)) < len(texts)
+
+
 def test_lines_within_one_edit(spark):
     one = "the quick brown fox jumps over the lazy dog"
     texts = [f"{one}\nshort", one.replace("quick", "quack"), one + "s\nkept line number one of this text", one.replace("fox ", "fx "), one.replace("quick", "quaak"), one.upper(), f"{one}\n{one}"]
