@@ -147,6 +147,16 @@ def test_near_duplicates_among_many_of_one_template(spark):
     assert [got[i] for i in range(len(texts))] == wanted and 20 < len(set(wanted)) < len(texts)
 
 
+def test_near_duplicates_of_short_texts(spark):
+    rng = np.random.default_rng(9)
+    texts = []
+    for i in range(300):
+        w = [f"s{i}w{x}" for x in rng.integers(0, 1000, 8)]
+        texts += [" ".join(w), " ".join([*w, "more"])]  # 4 of 5 shingles
+    got = {r.doc_id: r.group_id for r in near_duplicates.near_duplicate_groups(docs_of(spark, texts)).collect()}
+    assert [got[i] for i in range(len(texts))] == [i - i % 2 for i in range(len(texts))]
+
+
 def test_lines_within_one_edit(spark):
     one = "the quick brown fox jumps over the lazy dog"
     texts = [f"{one}\nshort", one.replace("quick", "quack"), one + "s\nkept line number one of this text", one.replace("fox ", "fx "), one.replace("quick", "quaak"), one.upper(), f"{one}\n{one}"]
