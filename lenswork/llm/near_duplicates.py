@@ -10,7 +10,7 @@ first n - ceil(similarity n) + 1 of each (the order puts shingles of many texts
 of these between different groups are bounded by sizes, places and bitmaps, and again the sets decide.
 
 Rows: a null or blank text has the fingerprint zero and no shingles; documents without shingles form
-one group of their own. Equal texts share everything. Repeated ids are one document per text.
+one group of their own. Equal texts share everything. Repeated and null ids are one document per text.
 """
 
 from __future__ import annotations
@@ -155,6 +155,16 @@ def exact_candidates(rows: DataFrame, roots: DataFrame, similarity: float) -> Da
 
 def near_duplicate_groups(docs: DataFrame, size: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
     """Rows (doc_id, text_hash, group_id): group_id is the smallest doc_id of the group, by links of the similarity or more."""
+    return _grouped(docs, size, similarity).select("doc_id", "text_hash", F.col("first.doc_id").alias("group_id"))
+
+
+def _least_row():
+    """The row with the smallest doc_id, null ids last, then the smallest text_hash."""
+    return F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash"))
+
+
+def _grouped(docs: DataFrame, size: int, similarity: float) -> DataFrame:
+    """Rows (doc_id, text_hash, first): first is the least row of the group, which groups with equal ids don't share."""
     schema = "doc_id long, text_hash long, id long, sig binary, n int, prefix array<long>"
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
     counts = docs.sparkSession.sparkContext.broadcast(shingle_counts(texts, size))
@@ -174,21 +184,21 @@ def near_duplicate_groups(docs: DataFrame, size: int = SHINGLE, similarity: floa
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *made], ["doc_id", "text_hash", "id", "sig", "n", "prefix"])
 
     rows = stored(texts.mapInArrow(run, schema), "signatures")  # id: the hash of the set of shingles
-    nodes = rows.groupBy("id").agg(F.min("doc_id").alias("first"), F.first("sig").alias("sig"), F.min_by("text_hash", "doc_id").alias("text_hash"))
+    nodes = rows.groupBy("id").agg(_least_row().alias("first"), F.first("sig").alias("sig"))
     nodes = stored(nodes, "shingle-sets")
     digits = BITS // 4
     tabs = F.explode(F.array(*[F.struct(F.lit(t).alias("tab"), F.conv(F.substring(F.hex("sig"), t * digits + 1, digits), 16, 10).cast("long").alias("fp")) for t in range(TABLES)]))
     points = nodes.select("id", F.substring("sig", 1, SIGNATURE // 8).alias("sig"), tabs.alias("x")).select("x.tab", "x.fp", "id", "sig")
     candidates = stored(links(points, BITS, RADIUS, MOST_SIGNATURE_BITS, blocks=True), "candidates")
-    verified = verify(candidates, nodes.select("id", "first", "text_hash"), docs, size, similarity)
+    verified = verify(candidates, nodes.select("id", "first.doc_id", "first.text_hash"), docs, size, similarity)
     roots = components(verified)
     of = stored(nodes.join(roots, nodes.id == roots.node, "left").select("id", F.coalesce("root", "id").alias("root")), "tables-nodes")
-    more = verify(exact_candidates(rows, of, similarity), nodes.select("id", "first", "text_hash"), docs, size, similarity)
+    more = verify(exact_candidates(rows, of, similarity), nodes.select("id", "first.doc_id", "first.text_hash"), docs, size, similarity)
     roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
     of = nodes.join(roots, nodes.id == roots.node, "left").select("id", "first", F.coalesce("root", "id").alias("root"))
     of = stored(of, "nodes")
-    least = of.groupBy("root").agg(F.min("first").alias("group_id"))
-    return rows.join(of.join(least, "root").select("id", "group_id"), "id").select("doc_id", "text_hash", "group_id")
+    least = of.groupBy("root").agg(F.min("first").alias("first"))
+    return rows.join(of.join(least, "root").select("id", least["first"]), "id").select("doc_id", "text_hash", "first")
 
 
 def verify(candidates: DataFrame, nodes: DataFrame, docs: DataFrame, size: int, similarity: float) -> DataFrame:
@@ -223,9 +233,9 @@ def verify(candidates: DataFrame, nodes: DataFrame, docs: DataFrame, size: int,
                 keep.append(both >= similarity * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep)) for c in b.columns[:2]], ["a", "b"])
 
-    wanted = candidates.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(nodes.select("id", "first", "text_hash"), "id")
-    texts = docs.select(F.col("doc_id").cast("long").alias("first"), F.xxhash64("text").alias("text_hash"), "text")
-    texts = texts.join(wanted, (texts["first"].eqNullSafe(wanted["first"])) & (texts.text_hash == wanted.text_hash)).select("id", "text").dropDuplicates(["id"])
+    wanted = candidates.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(nodes, "id")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
+    texts = texts.join(wanted, (texts.doc_id.eqNullSafe(wanted.doc_id)) & (texts.text_hash == wanted.text_hash)).select("id", "text").dropDuplicates(["id"])
     have = stored(texts.mapInArrow(sets, "id long, n long, bits binary, shingles binary"), "shingles")
     left, right = (have.select(F.col("id").alias(c), F.col("n").alias(f"n{x}"), F.col("bits").alias(x)) for c, x in (("a", "x"), ("b", "y")))
     pairs = candidates.join(left, "a").join(right, "b").mapInArrow(possible, "a long, b long")
@@ -234,9 +244,8 @@ def verify(candidates: DataFrame, nodes: DataFrame, docs: DataFrame, size: int,
 
 
 def drop_near_duplicates(docs: DataFrame, size: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
-    """docs with one document of each group, that with the smallest doc_id; repeated rows of it are one."""
-    groups = near_duplicate_groups(docs, size, similarity)
-    keep = groups.filter(F.col("doc_id").eqNullSafe(F.col("group_id"))).groupBy("doc_id").agg(F.min("text_hash").alias("text_hash"))
-    keep = keep.withColumnsRenamed({"doc_id": "_d", "text_hash": "_t"})
-    rows = docs.join(keep, docs.doc_id.eqNullSafe(F.col("_d")) & (F.xxhash64(docs.text) == F.col("_t")), "left_semi")
-    return rows.dropDuplicates(["doc_id"])
+    """docs with one document of each group, that with the smallest doc_id (null ids last), of several texts under it that with the smallest hash; repeated rows of it are one."""
+    keep = _grouped(docs, size, similarity).select(F.col("first.doc_id").alias("_d"), F.col("first.text_hash").alias("_t")).distinct()
+    rows = docs.withColumn("_h", F.xxhash64("text"))
+    rows = rows.join(keep, rows.doc_id.cast("long").eqNullSafe(F.col("_d")) & (rows["_h"] == F.col("_t")), "left_semi")
+    return rows.dropDuplicates(["doc_id", "_h"]).drop("_h")
