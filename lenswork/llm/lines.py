@@ -1,7 +1,7 @@
 """Line dedup by a deletion-neighbourhood join, edit bound 1.
 
-A line (white space collapsed, lower-cased, at least LEAST_CHARS long) is removed if an earlier line of the
-table equals it or is one edit away (one character changed, put in or left out). Earlier goes by
+A line (white space collapsed, lower-cased) is removed if an earlier line of the table equals it or, where
+both have at least LEAST_CHARS, is one edit away (one character changed, put in or left out). Earlier goes by
 (doc_id, hash of the text, line number), over the table as it comes in, removed lines included.
 
 Two lines one edit apart agree outside of one quarter of them, so Spark first counts hashed keys of lines
@@ -13,7 +13,7 @@ the least of its group's first places, so no pairs are formed. Equal lines are o
 variant has no more different lines than places times characters, so no key is hot. The texts are shuffled
 once; all passes read that shuffle.
 
-Rows: null texts stay null; blank and short lines are kept; equal rows keep the same lines.
+Rows: null texts stay null; blank lines are kept; equal rows keep the same lines.
 """
 
 from __future__ import annotations
@@ -67,7 +67,7 @@ def variants(line: str, shared: list[int]):
 
 
 def line_table(docs: DataFrame, least_chars: int) -> DataFrame:
-    """Rows (doc_id, text_hash, line, times, h), one per different line of a text that is long enough, at its first place."""
+    """Rows (doc_id, text_hash, line, times, h, near), one per different line of a text that is not blank, at its first place; near: long enough for one edit."""
 
     def run(batches):
         for b in batches:
@@ -77,14 +77,14 @@ def line_table(docs: DataFrame, least_chars: int) -> DataFrame:
                 for i in range(lo, min(lo + 500, len(texts))):
                     seen: dict[str, list[int]] = {}  # first place, times
                     for n, line in enumerate(texts[i].split("\n") if texts[i] else []):
-                        if len(line) >= least_chars and len(x := normal(line)) >= least_chars:
+                        if x := normal(line):
                             seen.setdefault(x, [n, 0])[1] += 1
-                    out += [(ids[i], hashes[i], n, times, _hash(x)) for x, (n, times) in seen.items()]
+                    out += [(ids[i], hashes[i], n, times, _hash(x), len(x) >= least_chars) for x, (n, times) in seen.items()]
                 if out:
-                    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64()]
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], ["doc_id", "text_hash", "line", "times", "h"])
+                    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.bool_()]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], ["doc_id", "text_hash", "line", "times", "h", "near"])
 
-    return docs.mapInArrow(run, "doc_id long, text_hash long, line int, times int, h long")
+    return docs.mapInArrow(run, "doc_id long, text_hash long, line int, times int, h long, near boolean")
 
 
 def _emit(docs: DataFrame, asked: DataFrame, level: int) -> DataFrame:
@@ -125,8 +125,8 @@ def _meeting(rows: DataFrame) -> DataFrame:
 def earliest(docs: DataFrame, lines: DataFrame) -> DataFrame:
     """Rows (h, earliest): for lines that come again or have a near line, the first place of all of these."""
     place = F.struct("doc_id", "text_hash", "line")
-    first = stored(lines.groupBy("h").agg(F.min(place).alias("first"), F.sum("times").alias("n")), "distinct-lines")
-    asked = first.select("h", "first", F.array().cast("array<int>").alias("shared"))
+    first = stored(lines.groupBy("h").agg(F.min(place).alias("first"), F.sum("times").alias("n"), F.first("near").alias("near")), "distinct-lines")
+    asked = first.filter("near").select("h", "first", F.array().cast("array<int>").alias("shared"))
     for level in (0, 1):
         shared = _meeting(_emit(docs, asked, level)).groupBy("h").agg(F.collect_set("k").alias("shared"))
         asked = shared.join(first.select("h", "first"), "h")
@@ -161,8 +161,8 @@ def dedup_lines(docs: DataFrame, least_chars: int = LEAST_CHARS, carry: tuple[st
                 rule = {x["h"]: x["all"] for x in drop or []}
                 kept, seen = [], set()
                 for line in split if rule else []:
-                    x = normal(line) if len(line) >= least_chars else ""
-                    h = _hash(x) if len(x) >= least_chars else None
+                    x = normal(line)
+                    h = _hash(x) if x else None
                     if h in rule and (rule[h] or h in seen):
                         continue
                     seen.add(h)

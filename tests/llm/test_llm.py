@@ -174,6 +174,12 @@ def test_lines_within_one_edit(spark):
     assert got == {0: texts[0], 1: "", 2: "kept line number one of this text", 3: "", 4: "", 5: "", 6: ""}
 
 
+def test_short_lines_are_equal_or_kept(spark):
+    texts = ["Le treque.\n\nfirst line of this text", "le  Treque.\n\nle trequ.\nsecond text has its own line\nle trequ.", "Le trequf.\n \nLE TREQUE."]
+    got = {r.doc_id: (r.new_text, r.n_removed) for r in lines.dedup_lines(docs_of(spark, texts).distinct()).collect()}
+    assert got == {0: (texts[0], 0), 1: ("\nle trequ.\nsecond text has its own line", 2), 2: ("Le trequf.\n ", 1)}
+
+
 def test_token_blocks_round_trip(spark, sf):
     rng = np.random.default_rng(6)
     for ids in (np.zeros(1, np.uint32), rng.integers(0, 2**32, 300, dtype=np.uint32), np.r_[rng.integers(5, 90, 8000), 2**31].astype(np.uint32), np.full(17, 7, np.uint32)):
