@@ -48,6 +48,10 @@ def as_of(ticks: DataFrame, events: DataFrame, group: list[str], at: str, order:
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that driver and executors share; a temporary one only where the session names none."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-lenswork-")
+    """A new path in the folder that driver and executors share; a temporary one only in one process without such a setting."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="spark-lenswork-")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
