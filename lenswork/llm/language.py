@@ -22,7 +22,10 @@ from .common import load
 SAMPLE, BUCKETS, SIZES, SWITCH, SHARPNESS = 2000, 1 << 16, (1, 2, 3, 4), 6.0, 0.35
 #: Share of a language's letters in a script that makes it a candidate there.
 LEAST_SHARE = 0.005
-CACHE_WORDS = 600_000
+#: Words kept per task (about 100 MB), and words of mixed texts that are labelled together (or one text).
+CACHE_WORDS, TOGETHER = 400_000, 400_000
+#: Languages beyond which learning refuses: the table has BUCKETS numbers for each (32 MB at most in all).
+MOST_LANGUAGES = 128
 #: Unicode ranges of scripts (first and last code point).
 SCRIPTS = [
     ("latin", 0x41, 0x24F), ("greek", 0x370, 0x3FF), ("cyrillic", 0x400, 0x52F), ("armenian", 0x530, 0x58F), ("hebrew", 0x590, 0x5FF),
@@ -88,33 +91,54 @@ class Model:
         return out.astype(np.float32) * SHARPNESS, letters
 
 
-def label(e: np.ndarray, switch: float = SWITCH) -> np.ndarray:
-    """The best path through scores e (words x languages).
+def _alone(e: np.ndarray, switch: float) -> int:
+    """The language of the best path through scores e (words x languages) if it has no switch, else -1.
 
-    First the language with the largest sum is tried: if no stretch, start or end gains more elsewhere
-    than its switches cost, it is the best path, and no step through the words is needed.
+    The language with the largest sum is tried: if no stretch, start or end gains more elsewhere than its
+    switches cost, it is the best path.
     """
-    n, k = e.shape
     a = int(np.argmax(e.sum(axis=0)))
-    if k == 1:
-        return np.zeros(n, np.int64)
+    if e.shape[1] == 1:
+        return 0
     others = np.delete(e, a, axis=1).max(axis=1) - e[:, a]
     c = np.concatenate([[0.0], np.cumsum(others, dtype=np.float64)])
-    if c.max() <= switch and (c[-1] - c).max() <= switch and (c - np.minimum.accumulate(c)).max() <= 2 * switch:
-        return np.full(n, a)
-    back = np.empty((n, k), np.int64)
-    score = e[0].astype(np.float64)
-    stay = np.arange(k)
-    for t in range(1, n):
-        top = int(score.argmax())
-        moved = score < score[top] - switch
-        back[t] = np.where(moved, top, stay)
-        score = np.where(moved, score[top] - switch, score) + e[t]
-    path = np.empty(n, np.int64)
-    path[-1] = int(score.argmax())
-    for t in range(n - 1, 0, -1):
-        path[t - 1] = back[t, path[t]]
-    return path
+    sure = c.max() <= switch and (c[-1] - c).max() <= switch and (c - np.minimum.accumulate(c)).max() <= 2 * switch
+    return a if sure else -1
+
+
+def viterbi(texts: list[np.ndarray], switch: float = SWITCH) -> list[np.ndarray]:
+    """The best path through each text's scores (words x languages); all texts take a step together, the longest first."""
+    order = sorted(range(len(texts)), key=lambda i: -len(texts[i]))
+    lengths = np.array([len(texts[i]) for i in order])
+    k = texts[0].shape[1]
+    flat, start = np.concatenate([texts[i] for i in order]), np.cumsum(lengths) - lengths
+    back = np.zeros((len(flat), k), np.int16)
+    live = np.searchsorted(-lengths, -np.arange(lengths[0]), "left")  # texts that have a word at each step
+    stay, rows = np.arange(k, dtype=np.int16), np.arange(len(order))
+    score = flat[start].astype(np.float64)
+    for t in range(1, int(lengths[0])):
+        n = live[t]
+        at, s = start[:n] + t, score[:n]
+        top = s.argmax(axis=1)
+        other = (s[rows[:n], top] - switch)[:, None]
+        moved = s < other
+        back[at] = np.where(moved, top[:, None], stay)
+        score[:n] = np.where(moved, other, s) + flat[at]
+    path = np.zeros(len(flat), np.int64)
+    path[start + lengths - 1] = score.argmax(axis=1)
+    for t in range(int(lengths[0]) - 1, 0, -1):
+        at = start[: live[t]] + t
+        path[at - 1] = back[at, path[at]]
+    out: list[np.ndarray] = [path] * len(texts)
+    for i, a, n in zip(order, start.tolist(), lengths.tolist()):
+        out[i] = path[a : a + n]
+    return out
+
+
+def label(e: np.ndarray, switch: float = SWITCH) -> np.ndarray:
+    """The best path through the scores of one text with words."""
+    a = _alone(e, switch)
+    return np.full(len(e), a) if a >= 0 else viterbi([e], switch)[0]
 
 
 def held_out(doc_id):
@@ -124,8 +148,10 @@ def held_out(doc_id):
 def learn(docs: DataFrame, sample: int = SAMPLE) -> Model:
     """From the labelled rows of docs (doc_id, text, lang), at most about `sample` of each language."""
     rows = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull()).select(F.col("doc_id").alias("doc_id"), "text", "lang")
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(MOST_LANGUAGES + 1).collect()}
     langs = sorted(sizes)
+    if len(langs) > MOST_LANGUAGES:
+        raise ValueError(f"{len(langs)} languages are labelled; at most {MOST_LANGUAGES} can be learned")
     if not langs:
         return Model([], np.zeros((BUCKETS, 0)), np.zeros((len(NAMES) + 1, 0)))
     share = F.create_map(*[x for lang in langs for x in (F.lit(lang), F.lit(int(min(1.0, sample / sizes[lang]) * 1_000_000)))])
@@ -156,51 +182,91 @@ def learn(docs: DataFrame, sample: int = SAMPLE) -> Model:
     return Model(langs, counts[:BUCKETS], counts[BUCKETS:])
 
 
+def _predictor(model: Model):
+    """A function from texts to (lang_pred, score, spans) of each; it keeps the scores of words it has seen."""
+    known: dict[str, int] = {}
+    kept = {"scores": np.zeros((1024, max(1, len(model.langs))), np.float32), "letters": np.zeros(1024, np.int16)}
+
+    def look_up(group: list[list[str]]) -> list[list[int]]:
+        if len(known) > CACHE_WORDS:
+            known.clear()
+        found = [list(map(known.get, w)) for w in group]
+        new = list({w for ws, f in zip(group, found) if None in f for w, i in zip(ws, f) if i is None})
+        if not new:
+            return found
+        s, n = model.word_scores(new)
+        at = len(known)
+        while len(kept["letters"]) < at + len(new):
+            kept.update({k: np.concatenate([x, np.zeros_like(x)]) for k, x in kept.items()})
+        kept["scores"][at : at + len(new)], kept["letters"][at : at + len(new)] = s, np.minimum(n, 32_000)
+        known.update(zip(new, range(at, at + len(new))))
+        return [[known[w] if i is None else i for w, i in zip(ws, f)] if None in f else f for ws, f in zip(group, found)]
+
+    def predict_texts(texts: list[str | None]) -> list[tuple]:
+        out: list[tuple] = [("und", 0.0, [])] * len(texts)
+        mixed: list[tuple[int, np.ndarray, np.ndarray]] = []
+        held = 0
+
+        def settle():
+            if mixed:
+                for (i, e, letters), path in zip(mixed, viterbi([e for _, e, _ in mixed])):
+                    out[i] = _judge(model, e, letters, path)
+                mixed.clear()
+
+        for lo in range(0, len(texts) if model.langs else 0, 200):
+            found = look_up([t.split() if t else [] for t in texts[lo : lo + 200]])
+            for i, f in enumerate(found, lo):
+                at = np.array(f, np.int64)
+                letters = kept["letters"][at]
+                if not letters.any():
+                    continue
+                e = kept["scores"][at]
+                a = _alone(e, SWITCH)
+                if a >= 0:
+                    out[i] = _judge(model, e, letters, np.full(len(e), a))
+                    continue
+                if held + len(e) > TOGETHER:
+                    settle()
+                    held = 0
+                mixed.append((i, e, letters))
+                held += len(e)
+        settle()
+        return out
+
+    return predict_texts
+
+
 def predict(docs: DataFrame, model: Model) -> DataFrame:
     """docs' doc_id and text with lang_pred, score and spans (start and stop count words; lang)."""
-    spark = docs.sparkSession
-    sent = spark.sparkContext.broadcast(model)
+    sent = docs.sparkSession.sparkContext.broadcast(model)
     schema = "doc_id long, text_hash long, lang_pred string, score double, spans array<struct<start:int,stop:int,lang:string>>"
-    memory: dict = {}
+    spans = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32()), ("lang", pa.string())]))
 
     def run(batches):
-        m = sent.value
-        langs = m.langs
-        if "known" not in memory:
-            memory.update(known={}, scores=np.zeros((1024, max(1, len(langs))), np.float32), letters=np.zeros(1024, np.int64))
+        predictor = _predictor(sent.value)
         for b in batches:
-            preds, scores, spans = [], [], []
-            texts = b.column(2).to_pylist()
-            for lo in range(0, len(texts), 200):
-                group = [t.split() if t and langs else [] for t in texts[lo : lo + 200]]
-                known = memory["known"]
-                if len(known) > CACHE_WORDS:
-                    known.clear()
-                found = [list(map(known.get, w)) for w in group]
-                new = list({w for ws, f in zip(group, found) if None in f for w, i in zip(ws, f) if i is None})
-                if new:
-                    s, n = m.word_scores(new)
-                    at = len(known)
-                    while len(memory["letters"]) < at + len(new):
-                        memory["scores"], memory["letters"] = (np.concatenate([x, np.zeros_like(x)]) for x in (memory["scores"], memory["letters"]))
-                    memory["scores"][at : at + len(new)], memory["letters"][at : at + len(new)] = s, n
-                    known.update(zip(new, range(at, at + len(new))))
-                    found = [[known[w] if i is None else i for w, i in zip(ws, f)] if None in f else f for ws, f in zip(group, found)]
-                for f in found:
-                    p, s, x = _judge(m, memory["scores"][f], memory["letters"][f]) if f else ("und", 0.0, [])
-                    preds.append(p)
-                    scores.append(s)
-                    spans.append(x)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(preds), pa.array(scores, pa.float64()), pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32()), ("lang", pa.string())])))], ["doc_id", "text_hash", "lang_pred", "score", "spans"])
+            found = list(zip(*predictor(b.column(2).to_pylist()))) or [(), (), ()]
+            made = [pa.array(c, kind) for c, kind in zip(found, (pa.string(), pa.float64(), spans))]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *made], ["doc_id", "text_hash", "lang_pred", "score", "spans"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
     return rows.mapInArrow(run, schema)
 
 
-def _judge(m: Model, e: np.ndarray, letters: np.ndarray):
-    if not letters.any():
-        return "und", 0.0, []
-    path = label(e)
+def keep_known(docs: DataFrame, model: Model, least_score: float) -> DataFrame:
+    """The rows of docs, whole and in place, whose language is found with at least that score."""
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches):
+        predictor = _predictor(sent.value)
+        for b in batches:
+            found = predictor(b.column("text").to_pylist())
+            yield b.filter(pa.array([lang != "und" and score >= least_score for lang, score, _ in found], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
+def _judge(m: Model, e: np.ndarray, letters: np.ndarray, path: np.ndarray):
     cut = np.flatnonzero(np.diff(path)) + 1
     edges = [0, *cut.tolist(), len(path)]
     spans = [{"start": a, "stop": z, "lang": m.langs[path[a]]} for a, z in zip(edges, edges[1:])]

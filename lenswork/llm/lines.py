@@ -10,8 +10,9 @@ those that meet again to the deletions inside of it. Equal variants then meet by
 deletion verifies the distance: equal variants with the same place are one change apart, a variant equal to
 a whole line is one insertion apart, equal variants with other places (two edits) don't count. A line takes
 the least of its group's first places, so no pairs are formed. Equal lines are one row from the start, and a
-variant has no more different lines than places times characters, so no key is hot. The texts are shuffled
-once; all passes read that shuffle.
+variant has no more different lines than places times characters. A key without a quarter can be shared by
+any number of different lines (numbered ones); they are sorted in one task. The texts are shuffled once; all
+passes read that shuffle.
 
 Rows: null texts stay null; blank lines are kept; equal rows keep the same lines.
 """
@@ -22,10 +23,14 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .common import load, shuffle_partitions, stored
 
 LEAST_CHARS, NO_ID = 16, -(1 << 63)
+#: A line is common if it makes up this share of all (so there are at most as many common ones) and comes so
+#: often; the join of common lines is dealt over SALTS tasks each.
+SHARE, COMMON, SALTS = 1000, 1000, 64
 
 
 def normal(line: str) -> str:
@@ -136,52 +141,84 @@ def earliest(docs: DataFrame, lines: DataFrame) -> DataFrame:
     best = F.when(F.col("k") < 0, F.min("first").over(over)).otherwise(F.least(F.min("first").over(same), F.coalesce(whole, "first")))
     linked = rows.withColumn("best", best).groupBy("h").agg(F.min("best").alias("best"))
     out = first.join(linked, "h", "left").filter((F.col("n") > 1) | (F.col("best") < F.col("first")))
-    return out.select("h", F.least("first", F.coalesce("best", "first")).alias("earliest"))
+    return out.select("h", "n", F.least("first", F.coalesce("best", "first")).alias("earliest"))
 
 
-def dedup_lines(docs: DataFrame, least_chars: int = LEAST_CHARS, carry: tuple[str, ...] = ()) -> DataFrame:
-    """Rows (doc_id, text_hash, new_text, n_lines, n_removed, *carry).
+def _decided_lines(lines: DataFrame, decided: DataFrame) -> DataFrame:
+    """Rows (doc_id, text_hash, h, all) of the lines that come again or have a near one; all: the first place in the text goes too."""
+    most = max(COMMON, lines.count() // SHARE)
+    common = lines.groupBy("h").agg(F.sum("times").alias("n")).filter(F.col("n") >= most).select("h", F.lit(True).alias("common"))
+    dealt = lines.select("doc_id", "text_hash", "line", "h").join(F.broadcast(common), "h", "left")
+    dealt = dealt.withColumn("salt", F.when(F.col("common"), F.pmod("text_hash", F.lit(SALTS)).cast("int")).otherwise(0))
+    salts = F.when(F.col("n") >= most, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    found = dealt.join(decided.select("h", "earliest", F.explode(salts).alias("salt")), ["h", "salt"])
+    return found.select("doc_id", "text_hash", "h", (F.struct("doc_id", "text_hash", "line") > F.col("earliest")).alias("all"))
 
-    carry: further columns of docs; they join by id and text, so the texts don't move for them. Rows
-    with equal ids and texts but other values there all get the least of these.
-    """
-    texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.coalesce(F.xxhash64("text"), F.lit(0)).alias("text_hash"), "text")
+
+def _keyed(docs: DataFrame, *more) -> DataFrame:
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.coalesce(F.xxhash64("text"), F.lit(0)).alias("text_hash"), *more)
+
+
+def _texts_and_rules(docs: DataFrame, least_chars: int) -> DataFrame:
+    """Rows (doc_id, text_hash, text, gone), one per row of docs, partitioned by the first two; gone: lines to remove (h) and whether the first goes too (all)."""
+    texts = _keyed(docs, "text")
     dealt = texts.repartition(shuffle_partitions(docs.sparkSession), "doc_id", "text_hash")
     lines = stored(line_table(texts, least_chars), "lines")
-    decided = earliest(dealt, lines)
-    place = F.struct("doc_id", "text_hash", "line")
-    first_gone = lines.select("doc_id", "text_hash", "line", "h").join(decided, "h").select("doc_id", "text_hash", "h", (place > F.col("earliest")).alias("all"))
-    gone = first_gone.groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("h", "all")).alias("gone"))
+    gone = _decided_lines(lines, earliest(dealt, lines)).groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("h", "all")).alias("gone"))
+    return dealt.join(gone, ["doc_id", "text_hash"], "left")
+
+
+def _without(text: str | None, gone: list | None) -> tuple[str | None, int, int]:
+    """The text that is left, lines before, lines removed."""
+    split = text.split("\n") if text is not None else []
+    if not gone:
+        return text, len(split), 0
+    rule = {x["h"]: x["all"] for x in gone}
+    kept, seen = [], set()
+    for line in split:
+        x = normal(line)
+        h = _hash(x) if x else None
+        if h in rule and (rule[h] or h in seen):
+            continue
+        seen.add(h)
+        kept.append(line)
+    return "\n".join(kept), len(split), len(split) - len(kept)
+
+
+def _apply(rows: DataFrame, *more: str) -> DataFrame:
+    """rows: doc_id, text_hash, text, gone, *more. The same with new_text, n_lines and n_removed instead of text and gone."""
 
     def run(batches):
         for b in batches:
-            out, total, removed = [], [], []
-            for text, drop in zip(b.column("text").to_pylist(), b.column("gone").to_pylist()):
-                split = text.split("\n") if text is not None else []
-                rule = {x["h"]: x["all"] for x in drop or []}
-                kept, seen = [], set()
-                for line in split if rule else []:
-                    x = normal(line)
-                    h = _hash(x) if x else None
-                    if h in rule and (rule[h] or h in seen):
-                        continue
-                    seen.add(h)
-                    kept.append(line)
-                total.append(len(split))
-                removed.append(len(split) - len(kept) if rule else 0)
-                out.append("\n".join(kept) if rule else text)
-            columns = [b.column(0), b.column(1), pa.array(out, pa.string()), pa.array(total, pa.int64()), pa.array(removed, pa.int64())]
-            names = ["doc_id", "text_hash", "new_text", "n_lines", "n_removed"]
-            yield pa.RecordBatch.from_arrays(columns + ([b.column("rest")] if carry else []), names + (["rest"] if carry else []))
-
-    rows = dealt.join(gone, ["doc_id", "text_hash"], "left")
-    schema = "doc_id long, text_hash long, new_text string, n_lines long, n_removed long"
-    if carry:
-        keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.coalesce(F.xxhash64("text"), F.lit(0)).alias("text_hash"), F.struct(*carry).alias("rest"))
-        rows = rows.join(keyed.groupBy("doc_id", "text_hash").agg(F.min("rest").alias("rest")), ["doc_id", "text_hash"], "left")
-        schema += f", rest {docs.select(F.struct(*carry)).schema[0].dataType.simpleString()}"
-    out = rows.select("doc_id", "text_hash", "text", "gone", *["rest"] * bool(carry)).mapInArrow(run, schema).withColumn("doc_id", F.nullif("doc_id", F.lit(NO_ID)))
-    return out.select("doc_id", "text_hash", "new_text", "n_lines", "n_removed", *[F.col("rest")[c].alias(c) for c in carry]) if carry else out
+            found = list(zip(*map(_without, b.column("text").to_pylist(), b.column("gone").to_pylist()))) or [(), (), ()]
+            made = [pa.array(c, kind) for c, kind in zip(found, (pa.string(), pa.int64(), pa.int64()))]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *made, *[b.column(c) for c in more]], schema.names)
+
+    schema = StructType([rows.schema[c] for c in ("doc_id", "text_hash")])
+    schema = schema.add("new_text", "string").add("n_lines", "long").add("n_removed", "long")
+    for c in more:
+        schema = schema.add(rows.schema[c])
+    return rows.select("doc_id", "text_hash", "text", "gone", *more).mapInArrow(run, schema)
+
+
+def dedup_lines(docs: DataFrame, least_chars: int = LEAST_CHARS) -> DataFrame:
+    """Rows (doc_id, text_hash, new_text, n_lines, n_removed), one per row of docs."""
+    return _apply(_texts_and_rules(docs, least_chars)).withColumn("doc_id", F.nullif("doc_id", F.lit(NO_ID)))
+
+
+def drop_repeated_lines(docs: DataFrame, least_chars: int = LEAST_CHARS) -> DataFrame:
+    """docs with the lines left in text (and n_chars, where a column has that name, to match); rows of which no line is left go.
+
+    All other columns stay as they are: rows with equal ids and texts are one row with its different other
+    values and their numbers until the lines are removed.
+    """
+    rows = _texts_and_rules(docs, least_chars).groupBy("doc_id", "text_hash").agg(F.first("text").alias("text"), F.first("gone").alias("gone"))
+    others = [c for c in docs.columns if c != "text"]
+    rest = _keyed(docs, F.struct(*others).alias("rest")).groupBy("doc_id", "text_hash", "rest").agg(F.count(F.lit(1)).cast("int").alias("rows"))
+    left = _apply(rows.join(rest, ["doc_id", "text_hash"]), "rest", "rows").filter("n_removed = 0 or trim(new_text) <> ''")
+    left = left.select("new_text", "n_removed", "rest", F.explode(F.sequence(F.lit(1), "rows")))
+    chars = F.when(F.col("n_removed") == 0, F.col("rest")["n_chars"]).otherwise(F.char_length("new_text").cast("long")) if "n_chars" in others else None
+    return left.select(*[F.col("new_text").alias(c) if c == "text" else chars.alias(c) if c == "n_chars" else F.col("rest")[c].alias(c) for c in docs.columns])
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,12 +2,13 @@
 
 `fingerprint_components` links documents whose 64-bit fingerprints differ in few bits.
 `near_duplicate_groups` finds documents that share at least SIMILARITY of their sets of five-word
-shingles. Such a pair differs in about 15 % of the bits, too many for one trie join, so TABLES short
-fingerprints of BITS bits are joined within RADIUS bits, a signature of SIGNATURE bits sorts out most
-chance meetings, and the sets themselves decide. That only puts most of each group together. What it
-misses an exact join finds: in any fixed order of the shingles, two sets this similar share one of the
-first n - ceil(similarity n) + 1 of each (the order puts shingles of many texts last, by a sample). Pairs
-of these between different groups are bounded by sizes, places and bitmaps, and again the sets decide.
+shingles. Such a pair differs in about 15 % of the SimHash bits of the sets, so the trie join takes TABLES
+windows of each signature: below a block of BLOCK equal bits the walk allows RADIUS different ones, a whole
+signature sorts out most chance meetings, and the sets themselves decide. That only puts most of each group
+together. What it misses an exact join finds: in any fixed order of the shingles, two sets this similar
+share one of the first n - ceil(similarity n) + 1 of each (the order puts shingles of many texts last, by a
+sample). Pairs of these between different groups are bounded by sizes, places and bitmaps, and again the
+sets decide.
 
 Rows: a null or blank text has the fingerprint zero and no shingles; documents without shingles form
 one group of their own. Equal texts share everything. Repeated and null ids are one document per text.
@@ -21,15 +22,16 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import load, stored
+from .common import load, stored, unused
 from .components import components
-from .trie_join import links
+from .trie_join import block_links, links
 
 SEED = 42
-SHINGLE, SIMILARITY, TABLES, BITS, RADIUS = 5, 0.8, 24, 20, 1
-#: Bits computed for each document, those of them that go along into the join, and how many of these may
-#: differ: at 0.75 similarity 17.3 % do on average, plus three deviations.
-ALL_BITS, SIGNATURE, MOST_SIGNATURE_BITS = 512, 256, 62
+SHINGLE, SIMILARITY = 5, 0.8
+#: Bits of a signature and how many of these may differ (at 0.75 similarity 17.3 % do on average, plus three
+#: deviations); windows of it that are joined, and of their bits those that must be equal and those that may
+#: differ in the rest (at 0.8 on average 15 % of 44, plus three deviations). None of these changes the result.
+SIGNATURE, MOST_SIGNATURE_BITS, TABLES, WINDOW_BITS, BLOCK, RADIUS = 256, 62, 12, 64, 20, 14
 #: Texts looked at for the order of the shingles, how many of their shingles are put last at most, and bits
 #: of a set's bitmap. None of these changes the result.
 ORDER_TEXTS, LAST_SHINGLES, BITMAP, ROUNDING = 10_000, 200_000, 1024, 1e-9
@@ -76,8 +78,7 @@ def fingerprint_components(docs: DataFrame, size: int = 3, radius: int = 2) -> D
     """Rows (doc_id, fp, component_id): component_id is the smallest doc_id reachable over links of at most radius bits."""
     rows = stored(fingerprints(docs, size), "simhash")
     nodes = rows.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    points = nodes.select(F.lit(0).alias("tab"), "fp", F.col("fp").alias("id"), F.lit(None).cast("binary").alias("sig"))
-    roots = components(links(points, 64, radius))
+    roots = components(links(nodes.select("fp", F.col("fp").alias("id")), 64, radius))
     of = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     of = stored(of, "nodes")
     least = of.groupBy("root").agg(F.min("first").alias("component_id"))
@@ -99,15 +100,15 @@ def _mixed(h: np.ndarray, k: int) -> np.ndarray:
 
 
 def signature(shingles: np.ndarray) -> bytes:
-    """512 SimHash bits of a set of hashes."""
+    """SimHash bits of a set of hashes."""
     if not len(shingles):
-        return bytes(ALL_BITS // 8)
-    total, n = np.zeros(64 * 8, np.int64), len(shingles)
+        return bytes(SIGNATURE // 8)
+    total, n = np.zeros(SIGNATURE, np.int64), len(shingles)
     for at in range(0, n, 50_000):
         part = shingles[at : at + 50_000]
-        hashes = np.stack([_mixed(part, k) for k in range(8)], axis=1).astype(">u8")
+        hashes = np.stack([_mixed(part, k) for k in range(SIGNATURE // 64)], axis=1).astype(">u8")
         for k in range(0, len(part), 255):
-            rows = np.ascontiguousarray(hashes[k : k + 255]).view(np.uint8).reshape(-1, 64)
+            rows = np.ascontiguousarray(hashes[k : k + 255]).view(np.uint8).reshape(-1, SIGNATURE // 8)
             total += np.unpackbits(rows, axis=1).sum(axis=0, dtype=np.uint8)
     return np.packbits(2 * total > n).tobytes()
 
@@ -140,17 +141,23 @@ def prefix(shingles: np.ndarray, counts: tuple[np.ndarray, np.ndarray], similari
     return shingles[np.lexsort((shingles, weight))[:k]].view(np.int64)
 
 
-def exact_candidates(rows: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
-    """rows: id, n, prefix; roots: id, root. Pairs (a, b) of sets under different roots that may be similar enough: no similar pair is missing."""
-    points = rows.join(roots, "id").select("id", "root", "n", F.posexplode("prefix").alias("pos", "key"))
-    shared = points.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("key")
-    met = stored(points.join(shared, "key").distinct(), "shared-shingles")
-    a, b = (met.select("key", *[F.col(c).alias(f"{c}_{x}") for c in ("id", "root", "n", "pos")]) for x in "ab")
-    pairs = a.join(b, "key").filter("id_a < id_b and root_a <> root_b")
+def exact_candidates(sets: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
+    """sets: id, n, prefix; roots: id, root. Pairs (a, b) of sets under different roots that may be similar enough: no similar pair is missing.
+
+    Of the root with most sets at a key only the others' partners are formed, never its own pairs.
+    """
+    of = stored(sets.join(roots, "id"), "sets-under-roots")
+    keys = of.select("root", F.explode("prefix").alias("key")).groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"))
+    shared = stored(keys.filter("lo < hi").select("key"), "shared-shingles")
+    met = stored(of.select("id", "root", "n", F.posexplode("prefix").alias("pos", "key")).join(shared, "key"), "sets-at-shared-shingles")
+    most = met.groupBy("key", "root").agg(F.count(F.lit(1)).alias("times")).groupBy("key").agg(F.max(F.struct("times", "root"))["root"].alias("most"))
+    met = met.join(most, "key")
+    a, b = (met.select("key", "most", *[F.col(c).alias(f"{c}_{x}") for c in ("id", "root", "n", "pos")]) for x in "ab")
+    pairs = a.filter("root_a <> most").join(b.drop("most"), "key").filter("root_a <> root_b and (root_b = most or id_a < id_b)")
     pairs = pairs.filter(F.least("n_a", "n_b") >= similarity * F.greatest("n_a", "n_b") - ROUNDING)
     both = F.least(F.col("n_a") - F.col("pos_a"), F.col("n_b") - F.col("pos_b"))  # at most, at the first shared shingle
     pairs = pairs.filter(both >= (F.col("n_a") + F.col("n_b")) * (similarity / (1 + similarity)) - ROUNDING)
-    return stored(pairs.select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct(), "exact-candidates")
+    return stored(pairs.select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b")).distinct(), "exact-candidates")
 
 
 def near_duplicate_groups(docs: DataFrame, size: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
@@ -184,21 +191,23 @@ def _grouped(docs: DataFrame, size: int, similarity: float) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *made], ["doc_id", "text_hash", "id", "sig", "n", "prefix"])
 
     rows = stored(texts.mapInArrow(run, schema), "signatures")  # id: the hash of the set of shingles
-    nodes = rows.groupBy("id").agg(_least_row().alias("first"), F.first("sig").alias("sig"))
+    nodes = rows.groupBy("id").agg(_least_row().alias("first"), F.first("sig").alias("sig"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
     nodes = stored(nodes, "shingle-sets")
-    digits = BITS // 4
-    tabs = F.explode(F.array(*[F.struct(F.lit(t).alias("tab"), F.conv(F.substring(F.hex("sig"), t * digits + 1, digits), 16, 10).cast("long").alias("fp")) for t in range(TABLES)]))
-    points = nodes.select("id", F.substring("sig", 1, SIGNATURE // 8).alias("sig"), tabs.alias("x")).select("x.tab", "x.fp", "id", "sig")
-    candidates = stored(links(points, BITS, RADIUS, MOST_SIGNATURE_BITS, blocks=True), "candidates")
-    verified = verify(candidates, nodes.select("id", "first.doc_id", "first.text_hash"), docs, size, similarity)
+    digits = F.concat(F.hex("sig"), F.hex("sig"))
+    part = lambda t, k: F.conv(F.substring(digits, t * BLOCK // 4 + 1 + 8 * k, 8), 16, 10).cast("long")
+    tabs = F.explode(F.array(*[F.struct(F.lit(t).alias("tab"), F.shiftleft(part(t, 0), 32).bitwiseOR(part(t, 1)).alias("fp")) for t in range(TABLES)]))
+    points = nodes.select("id", "sig", tabs.alias("x")).select("x.tab", "x.fp", "id", "sig")
+    candidates = stored(block_links(points, WINDOW_BITS, BLOCK, RADIUS, MOST_SIGNATURE_BITS), "candidates")
+    places = nodes.select("id", "first.doc_id", "first.text_hash")
+    verified = stored(verify(candidates, places, docs, size, similarity), "verified")
     roots = components(verified)
-    of = stored(nodes.join(roots, nodes.id == roots.node, "left").select("id", F.coalesce("root", "id").alias("root")), "tables-nodes")
-    more = verify(exact_candidates(rows, of, similarity), nodes.select("id", "first.doc_id", "first.text_hash"), docs, size, similarity)
+    of = nodes.select("id").join(roots, nodes.id == roots.node, "left").select("id", F.coalesce("root", "id").alias("root"))
+    more = verify(exact_candidates(nodes.select("id", "n", "prefix"), of, similarity), places, docs, size, similarity)
     roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
-    of = nodes.join(roots, nodes.id == roots.node, "left").select("id", "first", F.coalesce("root", "id").alias("root"))
+    of = nodes.select("id", "first").join(roots, nodes.id == roots.node, "left").select("id", "first", F.coalesce("root", "id").alias("root"))
     of = stored(of, "nodes")
     least = of.groupBy("root").agg(F.min("first").alias("first"))
-    return rows.join(of.join(least, "root").select("id", least["first"]), "id").select("doc_id", "text_hash", "first")
+    return rows.select("doc_id", "text_hash", "id").join(of.join(least, "root").select("id", least["first"]), "id").select("doc_id", "text_hash", "first")
 
 
 def verify(candidates: DataFrame, nodes: DataFrame, docs: DataFrame, size: int, similarity: float) -> DataFrame:
@@ -245,7 +254,10 @@ def verify(candidates: DataFrame, nodes: DataFrame, docs: DataFrame, size: int,
 
 def drop_near_duplicates(docs: DataFrame, size: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
     """docs with one document of each group, that with the smallest doc_id (null ids last), of several texts under it that with the smallest hash; repeated rows of it are one."""
-    keep = _grouped(docs, size, similarity).select(F.col("first.doc_id").alias("_d"), F.col("first.text_hash").alias("_t")).distinct()
-    rows = docs.withColumn("_h", F.xxhash64("text"))
-    rows = rows.join(keep, rows.doc_id.cast("long").eqNullSafe(F.col("_d")) & (rows["_h"] == F.col("_t")), "left_semi")
-    return rows.dropDuplicates(["doc_id", "_h"]).drop("_h")
+    d, h, rest = unused(docs.columns, "_d", "_h", "_rest")
+    no_id = F.lit(-(1 << 63))
+    first = _grouped(docs.select("doc_id", "text"), size, similarity).select("first.doc_id", "first.text_hash")
+    keep = first.select(F.coalesce("doc_id", no_id).alias(d), F.coalesce("text_hash", F.lit(0)).alias(h)).distinct()
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), no_id).alias(d), F.coalesce(F.xxhash64("text"), F.lit(0)).alias(h), F.struct(*docs.columns).alias(rest))
+    rows = rows.join(keep, [d, h], "left_semi").groupBy(d, h).agg(F.first(rest).alias(rest))
+    return rows.select(*[F.col(rest)[c].alias(c) for c in docs.columns])

@@ -1,25 +1,30 @@
 """Self-join of bit strings within a Hamming radius by walking pairs of binary trie nodes together.
 
-Spark walks the upper levels: a fingerprint goes to every pair of nodes at depth d (its own node and
-one whose prefix differs in no more bits than the radius), with d growing with the number of
-fingerprints so that a node holds about NODE of them. A node with many more is cut into parts, each of
-which meets the whole other node, so one dense node is no single task. Inside a task the walk goes
-on over sorted arrays: the pair of intervals splits by the next bit, differing bits add up, and a pair
-is dropped when they exceed the radius. What a task returns are not all pairs but a forest with the
-nearest of them that keeps everything connected that any pair connects.
+Spark walks the upper levels, in which a pair must agree: `links` turns each fingerprint so that each of
+radius + 1 blocks stands on top once (one of them is equal in any pair within the radius), and what has an
+equal block meets in one task, however many fingerprints there are. Light blocks share tasks of about NODE
+fingerprints; a block of more is cut into parts. Inside a task the walk goes on over sorted arrays: the pair
+of intervals splits by the next bit, differing bits add up, and a pair is dropped when they exceed the
+radius. What a task returns are not all pairs but a forest with the nearest of them that keeps everything
+connected that any pair connects.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-NODE, FRONTIER, EDGES, SMALL_NODES = 4096, 200_000, 1_000_000, 1 << 14
+from .common import stored
+
+NODE, FRONTIER, EDGES, LEAVES = 4096, 100_000, 250_000, 250_000
+#: Heavy blocks up to which their table is broadcast (about 24 bytes each); beyond that it is shuffled.
+FEW_HEAVY = 1 << 14
+#: With signatures: fingerprints of a block from which some of them stand for the rest, and how many do.
+CROWD, PIVOTS = 256, 16
 
 
 class Forest:
@@ -61,10 +66,19 @@ class Forest:
         return a[keep], b[keep]
 
 
-def walk(a: np.ndarray, b: np.ndarray, same: bool, bits: int, radius: int, found: Callable[[np.ndarray, np.ndarray], None]) -> None:
-    """Calls found(i, j) with places in the sorted arrays a and b (uint64) of all pairs within the radius."""
-    whole = (np.array([0]), np.array([len(a)]), np.array([0]), np.array([len(b)]), np.array([0]), bits - 1)
-    stack = [whole] if len(a) and len(b) else []
+def walk(a: np.ndarray, b: np.ndarray, same: bool, bits: int, radius: int, found: Callable[[np.ndarray, np.ndarray], None], block: int = 0) -> None:
+    """Calls found(i, j) with places in the sorted arrays a and b (uint64) of all pairs within the radius.
+
+    block: so many top bits must be equal. If a and b aren't the same, all of both have them equal.
+    """
+    if not len(a) or not len(b):
+        return
+    al, ah, bl, bh = (np.array([x]) for x in (0, len(a), 0, len(b)))
+    if same and block:
+        top = a >> np.uint64(bits - block)
+        al = bl = np.flatnonzero(np.append(True, top[1:] != top[:-1]))
+        ah = bh = np.append(al[1:], len(a))
+    stack = [(al, ah, bl, bh, np.zeros(len(al), np.int64), bits - block - 1)]
     while stack:
         al, ah, bl, bh, err, bit = stack.pop()
         if len(al) > FRONTIER:
@@ -98,9 +112,9 @@ def _leaves(a, b, al, ah, bl, bh, radius, found) -> None:
     ends = np.cumsum(size)
     lo = 0
     while lo < len(size):  # so many pairs at a time, or one pair of nodes
-        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + 4_000_000, "right")))
-        if hi == lo + 1 and size[lo] > 4_000_000:
-            step = max(1, 4_000_000 // int(nb[lo]))
+        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + LEAVES, "right")))
+        if hi == lo + 1 and size[lo] > LEAVES:
+            step = max(1, LEAVES // int(nb[lo]))
             for x in range(int(al[lo]), int(ah[lo]), step):
                 i = np.repeat(np.arange(x, min(x + step, int(ah[lo]))), nb[lo])
                 j = np.tile(np.arange(bl[lo], bh[lo]), len(i) // int(nb[lo]))
@@ -116,73 +130,110 @@ def _leaves(a, b, al, ah, bl, bh, radius, found) -> None:
         lo = hi
 
 
-def links(points: DataFrame, bits: int, radius: int, most: int | None = None, blocks: bool = False) -> DataFrame:
-    """points: tab, fp (long), id (long) and sig (binary; null: the fingerprint itself). Rows (a, b) of ids.
+def links(points: DataFrame, bits: int, radius: int) -> DataFrame:
+    """points: fp (long) and id (long). Rows (a, b) of ids: a forest of the links of fingerprints within the radius in fp's low `bits` bits."""
+    low = F.col("fp").bitwiseAND(F.lit(-1 if bits == 64 else (1 << bits) - 1))
+    turns = []
+    for k in range(radius + 1):
+        by = bits * k // (radius + 1)
+        turned = F.shiftleft(low, by).bitwiseOR(F.shiftrightunsigned(low, bits - by)) if by else low
+        turns.append(F.struct(F.lit(k).alias("tab"), turned.bitwiseAND(F.lit(-1 if bits == 64 else (1 << bits) - 1)).alias("fp")))
+    points = points.select("id", F.lit(None).cast("binary").alias("sig"), F.explode(F.array(*turns)).alias("turn")).select("turn.tab", "turn.fp", "id", "sig")
+    return block_links(points, bits, bits // (radius + 1), radius)
 
-    A link joins points of one tab within the radius in fp's low `bits` bits and, with signatures,
-    at most `most` different bits in those. Returned is a forest of each task's links.
 
-    blocks (fewer than 64 bits): the bits are cut into radius + 1 blocks, one of which is equal in a pair
-    within the radius. Each turn of fp that puts a block on top is a tab of its own, and Spark pairs a node
-    only with itself: every fingerprint goes to radius + 1 nodes, however many there are.
+def _crowds(fp: np.ndarray, ids: np.ndarray, distance, most: int, shift: np.uint64, add) -> np.ndarray:
+    """Links the members of each crowded block to the nearest of a few that stand for them; the places, in fp's order, that are still to meet each other.
+
+    The few are those with the least hashes of their ids, so that they are the same in other tables and parts.
+    """
+    left = np.argsort(fp, kind="stable")
+    top = fp[left] >> shift
+    starts = np.flatnonzero(np.append(True, top[1:] != top[:-1]))
+    kept = []
+    for lo, hi in zip(starts.tolist(), [*starts[1:].tolist(), len(left)]):
+        here = left[lo:hi]
+        while len(here) > CROWD:
+            order = here[np.argsort(ids[here].view(np.uint64) * np.uint64(0x9E3779B97F4A7C15), kind="stable")]
+            pivots, rest = order[:PIVOTS], order[PIVOTS:]
+            best, which = np.full(len(rest), most + 1), np.zeros(len(rest), np.int64)
+            for p in pivots:
+                d = distance(rest, np.full(len(rest), p))
+                nearer = d < best
+                best[nearer], which[nearer] = d[nearer], p
+            ok = best <= most
+            add(rest[ok], which[ok], best[ok])
+            kept.append(pivots)
+            here = rest[~ok]
+            if ok.mean() < 0.1:  # no crowd around anyone
+                break
+        kept.append(here)
+    kept = np.concatenate(kept) if kept else left
+    return kept[np.lexsort((ids[kept], fp[kept]))]
+
+
+def block_links(points: DataFrame, bits: int, block: int, radius: int, most: int | None = None) -> DataFrame:
+    """points: tab, fp (long), id (long) and sig (binary; null: the fingerprint itself). Rows (a, b) of ids.
+
+    A link joins points of one tab that have equal top `block` bits, are within the radius in all `bits`
+    bits and, with signatures, have at most `most` different bits in those. Returned is a forest of each
+    task's links. Without signatures no group is torn apart: a part of a heavy block meets the whole block.
+    With signatures (guesses that the caller verifies, with a way to find the rest) a part meets itself and a
+    few fingerprints that all parts get, so the work grows with the block and not with its square.
     """
     n = points.groupBy("tab").count().agg(F.max("count")).first()[0] or 0
-    depth = min(bits // (radius + 1) if blocks else bits, max(0, int(np.ceil(np.log2(max(1, n) / NODE)))))
-    masks = [0] if blocks else [sum(1 << k for k in c) for r in range(radius + 1) for c in combinations(range(depth), r)]
-    if blocks:
-        turns = [bits * k // (radius + 1) for k in range(radius + 1)]
-        low = F.col("fp").bitwiseAND(F.lit((1 << bits) - 1))
-        turned = [F.shiftleft(low, k).bitwiseOR(F.shiftrightunsigned(low, bits - k)).bitwiseAND(F.lit((1 << bits) - 1)) for k in turns]
-        each = F.array(*[F.struct((F.col("tab") * len(turns) + i).alias("tab"), t.alias("fp")) for i, t in enumerate(turned)])
-        points = points.withColumn("turn", F.explode(each)).select("turn.tab", "turn.fp", "id", "sig")
-    node = F.shiftrightunsigned("fp", bits - depth) if depth else F.lit(0).cast("long")
-    if 0 < depth and bits < 64:
-        node = node.bitwiseAND(F.lit((1 << depth) - 1))
-    placed = points.withColumn("node", node)
-    parts = placed.groupBy("tab", "node").agg(F.ceil(F.count(F.lit(1)) / F.lit(2 * NODE)).cast("int").alias("parts"))
-    pairs = placed.withColumn("other", F.explode(F.array([F.col("node").bitwiseXOR(F.lit(m)) for m in masks])))
-    pairs = pairs.withColumns({"low": F.least("node", "other"), "high": F.greatest("node", "other")})
-    if (1 << depth) <= SMALL_NODES:  # at most so many rows for each tab
-        parts = F.broadcast(parts)
-    pairs = pairs.join(parts.withColumnRenamed("node", "low"), ["tab", "low"])
-    own = F.array(F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
-    every = F.sequence(F.lit(0), F.col("parts") - 1)
-    left = pairs.filter("node = low").select("tab", "low", "high", F.lit(0).alias("side"), F.explode(own).alias("part"), "fp", "id", "sig")
-    right = pairs.filter("node = high and (low <> high or parts > 1)").select("tab", "low", "high", F.lit(1).alias("side"), F.explode(every).alias("part"), "fp", "id", "sig")
+    value = F.shiftrightunsigned("fp", bits - block)
+    placed = points.withColumn("value", value if bits == 64 else value.bitwiseAND(F.lit((1 << block) - 1)))
+    heavy = stored(placed.groupBy("tab", "value").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 2 * NODE), "heavy-blocks")
+    few = heavy.limit(FEW_HEAVY + 1).count()
+    placed = placed.join(F.broadcast(heavy) if few <= FEW_HEAVY else heavy, ["tab", "value"], "left") if few else placed.withColumn("n", F.lit(None).cast("long"))
+    parts = F.coalesce(F.ceil(F.col("n") / (2 * NODE)), F.lit(1)).cast("int")
+    lump = F.when(F.col("n").isNull(), F.pmod(F.xxhash64("value"), F.lit(max(1, -(-n // NODE)))))
+    own, every = F.pmod(F.xxhash64("id"), parts).cast("int"), F.sequence(F.lit(0), parts - 1)
+    rows = placed.select("tab", "value", "fp", "id", "sig", parts.alias("parts"), lump.alias("lump"), own.alias("own"), every.alias("every"), "n")
+    key = F.when(F.col("n").isNotNull(), F.col("value")).alias("block")
+    first = rows.select("tab", "lump", key, F.col("own").alias("part"), F.lit(0).alias("side"), "fp", "id", "sig")
+    other = rows.filter("parts > 1")
+    if most is not None:
+        other = other.filter(F.pmod(F.xxhash64("id", F.lit(1)), F.ceil(F.col("n") / PIVOTS)) == 0)
+    second = other.select("tab", "lump", key, F.explode("every").alias("part"), F.lit(1).alias("side"), "fp", "id", "sig")
 
     def join(table: pa.Table) -> pa.Table:
         side, fp, ids = (table.column(c).to_numpy() for c in ("side", "fp", "id"))
-        same = table.column("low")[0].as_py() == table.column("high")[0].as_py()
         fp = fp.astype(np.int64).view(np.uint64)
         if bits < 64:
             fp = fp & np.uint64((1 << bits) - 1)
-        order = np.lexsort((ids, fp))
-        x, y = order[side[order] == 0], order[side[order] == 1]
-        y = y if len(y) else x  # a node in one part comes once, to meet itself
         names, place = np.unique(ids, return_inverse=True)
-        sig = None
-        if table.column("sig").null_count == 0 and len(table):
-            sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint64).reshape(len(table), -1)
         forest = Forest(len(names))
-        both = same and len(x) == len(y)
+        if most is not None:
+            sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint64).reshape(len(table), -1)
+
+        def distance(i, j):
+            return np.bitwise_count(fp[i] ^ fp[j]) if most is None else np.bitwise_count(sig[i] ^ sig[j]).sum(axis=1, dtype=np.int64)
+
+        def add(i, j, d):
+            ok = ids[i] != ids[j]
+            forest.add(place[i[ok]], place[j[ok]], d[ok].astype(np.int64))
+
+        if most is None:
+            order = np.lexsort((ids, fp))
+            x, y = order[side[order] == 0], order[side[order] == 1]
+            same = not len(y)
+            y = x if same else y
+        else:
+            _, once = np.unique(ids, return_index=True)  # those that all parts get are there twice in their own
+            x = y = once[_crowds(fp[once], ids[once], lambda i, j: distance(once[i], once[j]), most, np.uint64(bits - block), lambda i, j, d: add(once[i], once[j], d))]
+            same = True
 
         def found(i, j):
             i, j = x[i], y[j]
-            apart = ids[i] != ids[j]
-            i, j = i[apart], j[apart]
-            if sig is None:
-                d = np.bitwise_count(fp[i] ^ fp[j])
-            else:
-                d = np.zeros(len(i), np.int64)
-                for k in range(sig.shape[1]):
-                    d += np.bitwise_count(sig[i, k] ^ sig[j, k])
-                ok = d <= most
-                i, j, d = i[ok], j[ok], d[ok]
-            if len(i):
-                forest.add(place[i], place[j], d.astype(np.int64))
-
-        walk(fp[x], fp[y], both, bits, radius, found)
+            d = distance(i, j)
+            ok = np.ones(len(d), bool) if most is None else d <= most
+            if ok.any():
+                add(i[ok], j[ok], d[ok])
+
+        walk(fp[x], fp[y], same, bits, radius, found, block)
         a, b = forest.reduce()
         return pa.table({"a": pa.array(names[a], pa.int64()), "b": pa.array(names[b], pa.int64())})
 
-    return left.unionByName(right).groupBy("tab", "low", "high", "part").applyInArrow(join, "a long, b long").distinct()
+    return first.unionByName(second).groupBy("tab", "lump", "block", "part").applyInArrow(join, "a long, b long").distinct()
