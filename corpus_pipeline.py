@@ -10,7 +10,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from lenswork.llm import decontamination, language, lines, near_duplicates, packing
 from lenswork.llm.common import load, stored
@@ -18,25 +17,12 @@ from lenswork.llm.common import load, stored
 LEAST_LANGUAGE_SCORE = 0.5
 
 
-def _keyed(docs: DataFrame) -> tuple[DataFrame, list[str]]:
-    """docs with _d and _t, which name a row up to equal ones, and the columns of documents."""
-    return docs.withColumns({"_d": F.coalesce(F.col("doc_id").cast("long"), F.lit(lines.NO_ID)), "_t": F.coalesce(F.xxhash64("text"), F.lit(0))}), docs.columns
-
-
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = language.predict(docs, language.learn(docs))
-    good = found.filter((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_LANGUAGE_SCORE))
-    good = good.select(F.coalesce("doc_id", F.lit(lines.NO_ID)).alias("_d"), F.coalesce("text_hash", F.lit(0)).alias("_t")).distinct()
-    keyed, columns = _keyed(docs)
-    return keyed.join(good, ["_d", "_t"], "left_semi").select(*columns)
+    return language.keep_known(docs, language.learn(docs), LEAST_LANGUAGE_SCORE)
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    rows = lines.dedup_lines(docs, carry=tuple(c for c in docs.columns if c not in ("doc_id", "text")))
-    rows = rows.filter("n_removed = 0 or trim(new_text) <> ''").withColumn("text", F.col("new_text"))
-    if "n_chars" in docs.columns:
-        rows = rows.withColumn("n_chars", F.when(F.col("n_removed") == 0, F.col("n_chars")).otherwise(F.char_length("text").cast("long")))
-    return rows.select(*docs.columns)
+    return lines.drop_repeated_lines(docs)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
