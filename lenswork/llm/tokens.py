@@ -1,8 +1,9 @@
 """Token ids of whole texts with the tokenizers library, for the packing and the id writing operators.
 
-A text is cut at single spaces, where neither vocabulary lets a token cross, and each distinct
-chunk is encoded once per Python worker. Texts with runs of white space go to the tokenizer whole,
-so the ids are always those of the whole text.
+The ids are those of the tokenizer as its file states it: the strings of its special tokens become those
+tokens also inside a text. A text is cut at single spaces, where neither vocabulary lets a token cross, and
+each distinct chunk is encoded once per Python worker. Texts with runs of white space or with the string of
+a special token go to the tokenizer whole, so the ids are always those of the whole text.
 """
 
 from __future__ import annotations
@@ -14,6 +15,8 @@ import numpy as np
 
 #: Chunks kept per worker (about 160 MB), and the longest chunk that is kept.
 CACHE_ENTRIES, CACHE_CHARS = 800_000, 40
+#: Chunks in one string for the tokenizer.
+GROUP = 64
 _WHITE = [chr(c) for c in range(0x3001) if chr(c).isspace()]
 _RARE = re.compile("[" + "".join(c for c in _WHITE if c not in " \n") + "]")
 _encoders: dict = {}
@@ -32,7 +35,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.prefix = " " if leading_space else ""
         self.known: dict[str, bytes] = {}
         #: A text of one token that never joins its neighbours, to encode many chunks in one call.
@@ -46,12 +49,14 @@ class Encoder:
         """The same for chunks without spaces (with the prefix): most of them in one call, cut at the marks."""
         plain = [c for c in chunks if c and self.mark not in c]
         found: dict[str, bytes] = {}
-        if plain:
-            ids = np.array(self.tokenizer.encode_batch_fast([self.prefix + self.between.join(plain)], add_special_tokens=False)[0].ids, np.uint32)
-            cuts = np.flatnonzero(ids == self.mark_id[0])
-            if len(self.mark_id) == 1 and len(cuts) == len(plain) - 1:
-                raw, stops = ids.tobytes(), [*(4 * cuts).tolist(), 4 * len(ids)]
-                found = {c: raw[a:z] for c, a, z in zip(plain, [0, *(x + 4 for x in stops)], stops)}
+        groups = [plain[i : i + GROUP] for i in range(0, len(plain), GROUP)] if len(self.mark_id) == 1 else []
+        made = self.tokenizer.encode_batch_fast([self.prefix + self.between.join(g) for g in groups], add_special_tokens=False)
+        for group, one in zip(groups, made):
+            ids = np.array(one.ids, np.uint32)
+            cuts = (4 * np.flatnonzero(ids == self.mark_id[0])).tolist()
+            if len(cuts) == len(group) - 1:
+                raw = ids.tobytes()
+                found.update({c: raw[a:z] for c, a, z in zip(group, [0, *(x + 4 for x in cuts)], [*cuts, len(raw)])})
         rest = [c for c in chunks if c not in found]
         found.update(zip(rest, self._encode([self.prefix + c for c in rest])))
         return [found[c] for c in chunks]
@@ -64,7 +69,7 @@ class Encoder:
         for i, text in enumerate(texts):
             if not text:
                 continue
-            if self.prefix and _doubtful(text):
+            if any(x in text for x in self.special) or self.prefix and _doubtful(text):
                 whole.append(i)
                 continue
             chunks = text.split(" ")
