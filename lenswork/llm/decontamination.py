@@ -1,10 +1,11 @@
 """Benchmark decontamination, with DataFrame functions only.
 
 The benchmark's windows (WINDOW consecutive normalised words; a shorter item is one window) form
-a hash set: equal windows are one row with the list of their items. The rows of the set are counted
-first; up to BROADCAST_ROWS it is broadcast, beyond that the windows of the documents meet it in a
-shuffled join. Each document's window hashes are formed inside generated code from the array of its word
-hashes; a hash hit counts only if the words themselves are equal.
+a hash set: equal windows are one row with the list of their items. The set's rows and bytes are counted
+first. Up to BROADCAST_ROWS and BROADCAST_BYTES it is broadcast, and each document's windows are hashed and
+verified inside generated code, in one scan for all sizes of windows. Beyond that only rows (document, place,
+size, hash) meet the set in a shuffled join, and the texts with hash hits are read again to verify the words.
+A hash hit counts only if the words themselves are equal.
 
 Rows: null or wordless texts have no windows; equal rows give equal results; a document id used
 for several texts keeps each text's own hits. An item without words matches nothing; an empty
@@ -18,9 +19,9 @@ import string
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import load, words
+from .common import load, stored, unused, words
 
-WINDOW, BROADCAST_ROWS = 10, 500_000
+WINDOW, BROADCAST_ROWS, BROADCAST_BYTES = 10, 500_000, 64 << 20
 #: Fixed value: ASCII characters that stand between words, after lower-casing A-Z.
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -38,22 +39,32 @@ def benchmark_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     return grams.select(F.size("gram").alias("size"), F.xxhash64(F.transform("gram", lambda x: F.xxhash64(x))).alias("hash"), "gram", "items")
 
 
+def _is_small(grams: DataFrame) -> bool:
+    size = F.aggregate(F.concat("gram", "items"), F.lit(64).cast("long"), lambda n, x: n + F.octet_length(x) + 16)
+    found = grams.agg(F.count(F.lit(1)).alias("n"), F.sum(size).alias("bytes")).first()
+    return found["n"] <= BROADCAST_ROWS and (found["bytes"] or 0) <= BROADCAST_BYTES
+
+
 def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """Rows (doc_id, text_hash, start, size, items), one per verified occurrence; start counts words from 0."""
     grams = benchmark_windows(benchmark, window)
-    sizes = [r["size"] for r in grams.groupBy("size").count().collect()]  # at most `window` different ones
-    if grams.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
-        grams = F.broadcast(grams)
+    sizes = sorted(r["size"] for r in grams.groupBy("size").count().collect()) or [window]  # at most `window` different ones
     w = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), normalised_words(F.col("text")).alias("w"))
-    w = w.withColumn("h", F.transform("w", lambda x: F.xxhash64(x)))
-    found = None
-    for size in sizes or [window]:
-        at = w.filter(F.size("w") >= size).select("doc_id", "text_hash", "w", "h", F.explode(F.sequence(F.lit(0), F.size("w") - size)).alias("start"))
-        at = at.withColumn("hash", F.xxhash64(F.array(*[F.get("h", F.col("start") + k) for k in range(size)])))
-        one = at.join(grams.filter(F.col("size") == size), "hash").filter(F.slice("w", F.col("start") + 1, F.lit(size)) == F.col("gram"))
-        one = one.select("doc_id", "text_hash", "start", "size", "items")
-        found = one if found is None else found.unionByName(one)
-    return found
+    at = w.filter(F.size("w") >= sizes[0]).select("*", F.transform("w", lambda x: F.xxhash64(x)).alias("h"))
+    at = at.select("doc_id", "text_hash", "w", "h", F.explode(F.sequence(F.lit(0), F.size("w") - sizes[0])).alias("start"))
+    one = lambda n: F.struct(F.lit(n).alias("size"), F.when(F.col("start") + n <= F.size("w"), F.xxhash64(F.array(*[F.get("h", F.col("start") + k) for k in range(n)]))).alias("hash"))
+    if len(sizes) == 1:
+        at = at.select("doc_id", "text_hash", "w", "start", one(sizes[0]).alias("x"))
+    else:
+        at = at.select("doc_id", "text_hash", "w", "start", F.explode(F.array(*[one(n) for n in sizes])).alias("x"))
+    words_equal = F.slice("w", F.col("start") + 1, F.col("size")) == F.col("gram")
+    if _is_small(grams):
+        at = at.select("doc_id", "text_hash", "w", "start", F.col("x.size").alias("size"), F.col("x.hash").alias("hash"))
+        return at.join(F.broadcast(grams), ["size", "hash"]).filter(words_equal).select("doc_id", "text_hash", "start", "size", "items")
+    at = at.select("doc_id", "text_hash", "start", F.col("x.size").alias("size"), F.col("x.hash").alias("hash")).filter(F.col("hash").isNotNull())
+    met = at.join(grams, ["size", "hash"]).withColumnsRenamed({"doc_id": "d", "text_hash": "t"})
+    texts = w.dropDuplicates(["doc_id", "text_hash"])
+    return met.join(texts, F.col("d").eqNullSafe(F.col("doc_id")) & (F.col("t") == F.col("text_hash"))).filter(words_equal).select("doc_id", "text_hash", "start", "size", "items")
 
 
 def report(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -80,17 +91,21 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, remove: str = "document
 
     With "spans" a changed text is the rest of its normalised words, joined by spaces; all other texts stay as they are.
     """
-    found = hits(docs, benchmark, window)
+    d, t, gone, row = unused(docs.columns, "_d", "_t", "_gone", "_row")
+    found = hits(docs.select("doc_id", "text"), benchmark, window)
+    here = docs.select(F.struct(*docs.columns).alias(row))
+    same = F.col(row)["doc_id"].eqNullSafe(F.col(d)) & (F.xxhash64(F.col(row)["text"]) == F.col(t))
     if remove == "documents":
-        bad = found.select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_t")).distinct()
-        return docs.join(bad, docs.doc_id.eqNullSafe(F.col("_d")) & (F.xxhash64(docs.text) == F.col("_t")), "left_anti")
-    gone = found.select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_t"), F.explode(F.sequence("start", F.col("start") + F.col("size") - 1)).alias("p")).groupBy("_d", "_t").agg(F.collect_set("p").alias("_gone"))
-    joined = docs.join(gone, docs.doc_id.eqNullSafe(F.col("_d")) & (F.xxhash64(docs.text) == F.col("_t")), "left")
-    index = F.map_from_entries(F.transform("_gone", lambda p: F.struct(p, F.lit(True))))
-    rest = F.filter(normalised_words(docs.text), lambda x, i: ~F.coalesce(F.map_contains_key("_gone_map", i), F.lit(False)))
-    joined = joined.withColumn("_gone_map", index)
-    text = F.when(F.col("_gone").isNull(), docs.text).otherwise(F.concat_ws(" ", rest))
-    return joined.withColumn("text", text).drop("_d", "_t", "_gone", "_gone_map")
+        bad = stored(found.select(F.col("doc_id").alias(d), F.col("text_hash").alias(t)).distinct(), "contaminated")
+        if bad.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:  # two numbers a row
+            bad = F.broadcast(bad)
+        return here.join(bad, same, "left_anti").select(*[F.col(row)[c].alias(c) for c in docs.columns])
+    places = F.explode(F.sequence("start", F.col("start") + F.col("size") - 1))
+    spans = found.select(F.col("doc_id").alias(d), F.col("text_hash").alias(t), places.alias("p")).groupBy(d, t).agg(F.map_from_entries(F.collect_set(F.struct("p", F.lit(True)))).alias(gone))
+    joined = here.join(spans, same, "left")
+    rest = F.filter(normalised_words(F.col(row)["text"]), lambda x, i: ~F.coalesce(F.map_contains_key(gone, i), F.lit(False)))
+    text = F.when(F.col(gone).isNull(), F.col(row)["text"]).otherwise(F.concat_ws(" ", rest))
+    return joined.select(*[text.alias(c) if c == "text" else F.col(row)[c].alias(c) for c in docs.columns])
 
 
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
