@@ -4,7 +4,8 @@ Each task writes its pages as one archive of a single gzip stream. The normalise
 file once, piece by piece, writes every record as a gzip member of its own and, beside it, an index
 (an Arrow file: record id, type, offset and length of the member). Reading seeks by that index.
 Spark's shuffles carry a page at most once; which page of equal payloads is the response is
-decided on digests, with the maximum formed before the shuffle, so copies are no hot key.
+decided on digests, with the maximum formed before the shuffle; only digests that come again are joined back,
+and very common ones (an empty payload, say) are dealt over many tasks.
 
 Rows: a null html is an empty payload; pages with equal ids and payloads are all responses (or all
 revisits of the same page); a null url is an empty target. An empty table gives no archives and no rows.
@@ -25,6 +26,8 @@ from .common import filesystem, fresh_path, load, shuffle_partitions, stored
 
 #: Payloads smaller than this are never revisits.
 LEAST_BYTES, CHUNK, GZIP = 0, 1 << 18, 31
+#: A digest is common if it has this share of all pages (so there are at most as many) and so many pages.
+SHARE, COMMON, SALTS = 1000, 1000, 64
 #: Fixed value: the profile of revisits by payload digest (WARC 1.1).
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "1970-01-01T00:00:00Z"  # the table has no crawl time
@@ -36,7 +39,7 @@ def record(kind: str, headers: dict[str, str], block: bytes) -> bytes:
 
 
 def page_record(page_id: int | None, url: str | None, payload: bytes, digest: str, size: int, refers_to: int | None, revisit: bool) -> bytes:
-    target = "".join(c if c.isprintable() and c != " " else "%{:02X}".format(ord(c)) for c in url or "")
+    target = "".join(c if c.isprintable() and c != " " else "".join(f"%{x:02X}" for x in c.encode("utf-8", "surrogatepass")) for c in url or "")
     headers = {"WARC-Record-ID": f"<urn:x-page:{page_id}>", "WARC-Date": DATE, "WARC-Target-URI": target, "WARC-Payload-Digest": f"sha1:{digest}", "X-Payload-Bytes": str(size), "Content-Type": "application/http;msgtype=response"}
     if revisit:
         headers |= {"WARC-Refers-To": f"<urn:x-page:{refers_to}>", "WARC-Profile": PROFILE}
@@ -48,8 +51,12 @@ def roles(pages: DataFrame, least_bytes: int = LEAST_BYTES) -> DataFrame:
     """Rows (page_id, digest, refers_to): refers_to is null for responses. Only ids and digests are shuffled."""
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     small = pages.select("page_id", F.unhex(F.sha1(payload)).alias("digest"), (F.octet_length(payload) >= least_bytes).alias("counts")).distinct()
-    top = small.filter("counts").groupBy("digest").agg(F.max("page_id").alias("top"))
-    joined = small.join(top, "digest", "left")
+    top = stored(small.filter("counts").groupBy("digest").agg(F.max("page_id").alias("top"), F.count(F.lit(1)).alias("n")).filter("n > 1"), "repeated-payloads")
+    most = max(COMMON, (top.agg(F.sum("n")).first()[0] or 0) // SHARE)
+    common = F.broadcast(top.filter(F.col("n") >= most).select("digest", F.lit(True).alias("common")))
+    salt = F.when(F.col("common"), F.pmod(F.xxhash64("page_id"), F.lit(SALTS)).cast("int")).otherwise(0)
+    salts = F.when(F.col("n") >= most, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    joined = small.join(common, "digest", "left").withColumn("salt", salt).join(top.select("digest", "top", F.explode(salts).alias("salt")), ["digest", "salt"], "left")
     return joined.select("page_id", "digest", F.when(F.col("counts") & (F.col("top") > F.col("page_id")), F.col("top")).when(F.col("counts") & F.col("page_id").isNull(), F.col("top")).alias("refers_to"))
 
 
