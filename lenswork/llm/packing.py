@@ -2,8 +2,9 @@
 
 Items (pieces of documents) are dealt by hash into blocks of about BLOCK_ITEMS. In every block a
 few islands each evolve a small population of packings: crossover puts whole well-filled bins of
-one parent into the other, drops the bins that now hold something twice and best-fits what was
-displaced. Between rounds each island's elite also goes to the next island of its block. Then the
+one parent into the other, drops the bins that now hold something twice, swaps displaced items for
+smaller ones where that fills a bin better, and best-fits the rest. An island whose best packing has as few
+bins as the sizes allow stops: plain best-fit often gets there. Between rounds each island's elite also goes to the next island of its block. Then the
 least-filled bins of 16 neighbouring blocks are packed anew together, up to a single block, so
 that blocks cost next to nothing against one global packing. Blocks have a bounded size, so no
 task sees all items; full-length pieces are sequences of their own and skip all this.
@@ -17,17 +18,20 @@ from __future__ import annotations
 import random
 import zlib
 from bisect import bisect_left, insort
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import load, shuffle_partitions, stored
+from .common import load, stored
 from .tokens import encoder, in_groups
 
-SEQUENCE, BLOCK_ITEMS, ISLANDS, ROUNDS, GENERATIONS, POPULATION = 4096, 2000, 2, 2, 4, 4
+SEQUENCE, BLOCK_ITEMS, ISLANDS, ROUNDS, GENERATIONS, POPULATION = 4096, 2000, 3, 2, 16, 6
+#: Generations without a better packing after which an island stops.
+PATIENCE = 6
 #: Blocks joined at each further level, and bins that each of them hands on.
 FAN_IN, HANDED_ON = 16, 24
 
@@ -88,18 +92,42 @@ def crossover(a: list[list[int]], b: list[list[int]], size: list[int], most: int
     kept = [x for x in b if there.isdisjoint(x)]
     placed = there.union(*kept)
     child = [list(x) for x in share + kept]
-    best_fit(child, [most - sum(size[i] for i in x) for x in child], [i for x in b for i in x if i not in placed], size, most)
-    return child
+    return settle(child, [i for x in b for i in x if i not in placed], size, most)
+
+
+def settle(bins: list[list[int]], loose: list[int], size: list[int], most: int) -> list[list[int]]:
+    """Put loose items into bins: first in exchange for one or two that fill their bin less, then by best fit."""
+    room = [most - sum(size[i] for i in x) for x in bins]
+    free = sorted((size[i], i) for i in loose)
+
+    def swap(b: int, out: list[int]) -> bool:
+        weight = sum(size[i] for i in out)
+        k = bisect_left(free, (weight + room[b] + 1, -1)) - 1
+        if k < 0 or free[k][0] <= weight:
+            return False
+        better, x = free.pop(k)
+        for i in out:
+            bins[b].remove(i)
+            insort(free, (size[i], i))
+        bins[b].append(x)
+        room[b] -= better - weight
+        return True
+
+    for b in sorted(range(len(bins)), key=lambda k: -room[k]):
+        if not free:
+            break
+        if room[b] and not any(swap(b, [i]) for i in sorted(bins[b], key=lambda i: size[i])):
+            any(swap(b, list(pair)) for pair in combinations(bins[b][:8], 2))
+    best_fit(bins, room, [i for _, i in free], size, most)
+    return bins
 
 
 def mutate(bins: list[list[int]], size: list[int], most: int, rng: random.Random) -> list[list[int]]:
-    """Dissolve the least-filled bin and a few others at random, and best-fit their items."""
+    """Dissolve the least-filled bin and a few others at random, and settle their items."""
     order = sorted(range(len(bins)), key=lambda b: sum(size[i] for i in bins[b]))
-    gone = {order[0], *rng.sample(range(len(bins)), min(len(bins), 1 + len(bins) // 50))}
+    gone = {order[0], *rng.sample(range(len(bins)), min(len(bins), 1 + len(bins) // 20))}
     kept = [list(x) for k, x in enumerate(bins) if k not in gone]
-    loose = [i for k in gone for i in bins[k]]
-    best_fit(kept, [most - sum(size[i] for i in x) for x in kept], loose, size, most)
-    return kept
+    return settle(kept, [i for k in gone for i in bins[k]], size, most)
 
 
 def evolve(size: list[int], seeds: list[list[list[int]]], most: int, generations: int, population: int, rng: random.Random) -> list[list[list[int]]]:
@@ -118,13 +146,15 @@ def evolve(size: list[int], seeds: list[list[list[int]]], most: int, generations
         start.append(bins)
     rank = lambda x: fitness(x, [most - sum(size[i] for i in b) for b in x], most)
     people = sorted(start, key=rank, reverse=True)[:population]
-    least = -(-sum(size) // most)
+    least, waited = -(-sum(size) // most), 0
     for _ in range(generations):
-        if len(people[0]) <= least:
+        if len(people[0]) <= least or waited >= PATIENCE:
             break
+        best = rank(people[0])
         a, b = rng.sample(people[: max(2, population // 2)], 2)
         child = crossover(a, b, size, most, rng)
         people = sorted([*people, child, mutate(child, size, most, rng)], key=rank, reverse=True)[:population]
+        waited = 0 if rank(people[0]) > best else waited + 1
     return people[:2]
 
 
@@ -182,21 +212,20 @@ def pack(pieces: DataFrame, most: int = SEQUENCE) -> DataFrame:
     while True:
         packed = stored(_pack_blocks(items, most), "packed")
         if blocks == 1:
-            done.append(packed.select("uid", "block", "bin"))
+            done.append(packed)
             break
         fill = packed.groupBy("block", "bin").agg(F.sum("length").alias("fill"))
         loose = fill.groupBy("block").agg(F.slice(F.array_sort(F.collect_list(F.struct("fill", "bin"))), 1, HANDED_ON).alias("b")).select("block", F.explode("b.bin").alias("bin"))
-        done.append(packed.join(loose, ["block", "bin"], "left_anti").select("uid", "block", "bin"))
+        done.append(packed.join(loose, ["block", "bin"], "left_anti"))
         items = packed.join(loose, ["block", "bin"], "left_semi").select(F.floor(F.col("block") / FAN_IN).alias("block"), "uid", "length")
         blocks = -(-blocks // FAN_IN)
     placed = None
     for level, d in enumerate(done):  # a sequence takes the smallest id of its pieces as its number
-        d = d.withColumn("level", F.lit(level))
+        d = d.select("uid", "block", "bin", "length", F.lit(level).alias("level"))
         placed = d if placed is None else placed.unionByName(d)
-    rows = placed.join(pieces.select("uid", "length"), "uid").groupBy("level", "block", "bin").agg(F.array_sort(F.collect_list(F.struct("uid", "length"))).alias("x"))
-    rows = rows.select(F.col("x")[0]["uid"].alias("sequence_id"), "x", F.posexplode("x").alias("k", "one"))
-    offset = F.aggregate(F.slice("x", F.lit(1), F.col("k")), F.lit(0).cast("long"), lambda s, y: s + y["length"])
-    return rows.select(F.col("one.uid").alias("uid"), "sequence_id", offset.alias("offset")).unionByName(full)
+    sequence = Window.partitionBy("level", "block", "bin")  # at most `most` pieces
+    before = F.sum("length").over(sequence.orderBy("uid").rowsBetween(Window.unboundedPreceding, -1))
+    return placed.select("uid", F.min("uid").over(sequence).alias("sequence_id"), F.coalesce(before, F.lit(0)).alias("offset")).unionByName(full)
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 1, leading_space: bool = False, most: int = SEQUENCE) -> DataFrame:
