@@ -7,11 +7,12 @@ passage gets the same symbols except near its ends. Which symbols of a window ar
 its words occur follows from the window alone (`_first`, `_stop`): the longest of these is its anchor.
 
 1. Spark counts anchors over all texts. A window whose anchor occurs once can't be repeated.
-2. For the other windows the words decide: Spark counts the hashes of whole windows.
+2. For the other windows the words decide: Spark counts whole windows by two independent 64-bit hashes of
+   their words, so that equal hashes of other words don't happen at any real size.
 3. The words of windows that occur more than once are removed.
 
-What is common within a task's rows is settled there and sent on once, so a passage that a third of the
-texts share is no hot key. The texts are shuffled once (by id) and that shuffle serves steps 2 and 3.
+What is common within SLICE_WORDS words of a task is settled there and sent on once, so of a passage that a
+third of the texts share one row for each so many words of the corpus meets. The texts are shuffled once (by id) and that shuffle serves steps 2 and 3.
 
 Rows: null and blank texts have no words and keep nothing; texts shorter than the window stay whole;
 equal rows are occurrences of each other. An id used by several texts keeps them apart. An empty
@@ -27,13 +28,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import load, shuffle_partitions, words
+from .common import load, shuffle_partitions, stored, words
 
 WINDOW, PAIR_ROUNDS, ANCHOR_LEVELS = 35, 7, (7, 5, 3, 0)
 #: Words that are worked on at a time in a task.
 SLICE_WORDS = 400_000
 NO_ID = -(1 << 63)
 _ODD = np.uint64(0x9E3779B97F4A7C15)
+#: Odd numbers whose powers make the two hashes of a window.
+BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 
 
 def _mix(z: np.ndarray, salt: int = 0) -> np.ndarray:
@@ -112,37 +115,42 @@ def _slices(lengths: np.ndarray):
         lo = hi
 
 
-def _settle(key: np.ndarray, weight: np.ndarray, occurrence: np.ndarray):
-    """Keys common within the rows at hand: (key to send, count to send, keys to send besides, their counts).
+def _settle(key: np.ndarray, check: np.ndarray, weight: np.ndarray, occurrence: np.ndarray):
+    """Keys common within the rows at hand: (key to send, count to send, first rows of keys to send besides, their counts).
 
-    key, weight: of each row; occurrence: rows with equal numbers are parts of one occurrence. Rows of
+    key, check, weight: of each row; occurrence: rows with equal numbers are parts of one occurrence. Rows of
     a key with several occurrences get a key of their own and a count that settles them; the
     common key goes along once.
     """
     seen, where = np.unique(occurrence, return_index=True)
     counted = np.zeros(len(key), np.int64)
     counted[where] = weight[where]
-    names, inverse = np.unique(key, return_inverse=True)
-    total = np.bincount(inverse, counted, len(names)).astype(np.int64)
+    order = np.lexsort((check, key))
+    new = np.ones(len(key), bool)
+    new[1:] = (key[order][1:] != key[order][:-1]) | (check[order][1:] != check[order][:-1])
+    inverse = np.empty(len(key), np.int64)
+    inverse[order] = np.cumsum(new) - 1
+    firsts = order[new]
+    total = np.bincount(inverse, counted, len(firsts)).astype(np.int64)
     common = total[inverse] > 1
     own = _mix(np.arange(len(key), dtype=np.uint64) ^ key, 77)
-    return np.where(common, own, key), np.where(common, 2, counted), names[total > 1], total[total > 1]
+    return np.where(common, own, key), np.where(common, 2, counted), firsts[total > 1], total[total > 1]
 
 
-def _rows(key, count, ids, hashes, place):
-    columns = (key.view(np.int64), place, count, ids, hashes)
-    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["key", "place", "n", "doc_id", "text_hash"])
+def _rows(key, check, count, ids, hashes, place):
+    columns = (key.view(np.int64), check.view(np.int64), place, count, ids, hashes)
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["key", "check", "place", "n", "doc_id", "text_hash"])
 
 
 #: place holds a range of window starts, the first in the low half and how many more in the high one: next to
-#: the key, few bytes of a row differ from the row before, so shuffles compress well. -1: none.
-_SCHEMA = "key long, place long, n long, doc_id long, text_hash long"
+#: the keys, few bytes of a row differ from the row before, so shuffles compress well. -1: none.
+_SCHEMA = "key long, check long, place long, n long, doc_id long, text_hash long"
 
 
-def _emit(key, weight, occurrence, ids, hashes, lo, hi):
-    sent, count, more, totals = _settle(key, weight, occurrence)
-    yield _rows(sent, count, ids, hashes, lo.astype(np.int64) | ((hi - lo).astype(np.int64) << 32))
-    yield _rows(more, totals, np.full(len(more), NO_ID), np.zeros(len(more), np.int64), np.full(len(more), -1))
+def _emit(key, check, weight, occurrence, ids, hashes, lo, hi):
+    sent, count, more, totals = _settle(key, check, weight, occurrence)
+    yield _rows(sent, check, count, ids, hashes, lo.astype(np.int64) | ((hi - lo).astype(np.int64) << 32))
+    yield _rows(key[more], check[more], totals, np.full(len(more), NO_ID), np.zeros(len(more), np.int64), np.full(len(more), -1))
 
 
 def _ranges(place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -176,14 +184,24 @@ def anchors(window: int, rounds: int, levels: tuple[int, ...]):
                 weight = np.where(unsure, 2, 1)
                 number = np.where(unsure, -1 - np.arange(len(number)), number)
                 name = np.where(unsure, _mix(s.astype(np.uint64) ^ hashes[a + doc[s]].view(np.uint64), 5), name)
-                yield from _emit(name, weight, number, ids[a + doc[s]], hashes[a + doc[s]], place[s], place[starts[tail]])
+                yield from _emit(name, np.zeros(len(name), np.uint64), weight, number, ids[a + doc[s]], hashes[a + doc[s]], place[s], place[starts[tail]])
 
     return run
 
 
 def windows(window: int):
     """Task function over (doc_id, text_hash, h, ranges): rows for the hashes of the windows in the ranges."""
-    powers, inverse = {}, {}
+    powers: dict[int, np.ndarray] = {}
+
+    def rolling(h, p, odd):
+        """A hash of the window at each place p: the words' hashes times powers of an odd number, shifted to a common power."""
+        n, inverse = len(h), pow(odd, -1, 1 << 64)
+        if len(powers.get(odd, ())) <= n:
+            with np.errstate(over="ignore"):
+                powers.update({x: np.multiply.accumulate(np.full(n + 1, np.uint64(x))) for x in (odd, inverse)})
+        with np.errstate(over="ignore"):
+            sums = np.concatenate([[np.uint64(0)], np.cumsum(_mix(h, odd & 1023) * powers[odd][:n], dtype=np.uint64)])
+            return _mix((sums[p + window] - sums[p]) * powers[inverse][p])
 
     def run(batches):
         for b in batches:
@@ -203,28 +221,21 @@ def windows(window: int):
                 p = np.flatnonzero(np.cumsum(marks) > 0)
                 if not len(p):
                     continue
-                n = len(h)
-                if powers.get("n", -1) < n:
-                    with np.errstate(over="ignore"):
-                        powers.update(n=n, x=np.multiply.accumulate(np.full(n + 1, _ODD)))
-                        inverse.update(x=np.multiply.accumulate(np.full(n + 1, np.uint64(pow(int(_ODD), -1, 1 << 64)))))
-                with np.errstate(over="ignore"):
-                    sums = np.concatenate([[np.uint64(0)], np.cumsum(_mix(h) * powers["x"][:n], dtype=np.uint64)])
-                    key = _mix((sums[p + window] - sums[p]) * inverse["x"][p])
+                key, check = (rolling(h, p, odd) for odd in BASES)
                 doc = np.searchsorted(begin, p, "right") - 1
                 same = np.zeros(len(p), bool)
-                same[1:] = (key[1:] == key[:-1]) & (p[1:] == p[:-1] + 1) & (doc[1:] == doc[:-1])
+                same[1:] = (key[1:] == key[:-1]) & (check[1:] == check[:-1]) & (p[1:] == p[:-1] + 1) & (doc[1:] == doc[:-1])
                 head = np.flatnonzero(~same)
                 tail = np.append(head[1:], len(p)) - 1
                 s = p[head]
-                yield from _emit(key[head], tail - head + 1, np.arange(len(head)), ids[a + doc[head]], hashes[a + doc[head]], s - begin[doc[head]], p[tail] - begin[doc[head]])
+                yield from _emit(key[head], check[head], tail - head + 1, np.arange(len(head)), ids[a + doc[head]], hashes[a + doc[head]], s - begin[doc[head]], p[tail] - begin[doc[head]])
 
     return run
 
 
 def _repeated(rows: DataFrame) -> DataFrame:
     """Per text the ranges whose key counts more than one."""
-    total = rows.withColumn("total", F.sum("n").over(Window.partitionBy("key")))
+    total = rows.withColumn("total", F.sum("n").over(Window.partitionBy("key", "check")))
     found = total.filter((F.col("total") > 1) & (F.col("place") >= 0))
     return found.groupBy("doc_id", "text_hash").agg(F.collect_set("place").alias("ranges"))
 
@@ -236,7 +247,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     rounds, levels = (PAIR_ROUNDS, ANCHOR_LEVELS) if window >= 16 else (2, (2, 0))
     first = texts.select("doc_id", "text_hash", hashed.alias("h")).mapInArrow(anchors(window, rounds, levels), _SCHEMA)
     dealt = texts.repartition(shuffle_partitions(docs.sparkSession), "doc_id", "text_hash")
-    again = dealt.join(_repeated(first), ["doc_id", "text_hash"]).select("doc_id", "text_hash", hashed.alias("h"), "ranges")
+    again = dealt.join(stored(_repeated(first), "repeated-anchors"), ["doc_id", "text_hash"]).select("doc_id", "text_hash", hashed.alias("h"), "ranges")
     gone = _repeated(again.mapInArrow(windows(window), _SCHEMA))
 
     def finish(batches):
