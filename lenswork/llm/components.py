@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import discard, stored
 
 
 def _mark(edges: DataFrame) -> tuple:
@@ -29,7 +29,8 @@ def components(links: DataFrame) -> DataFrame:
         large = stored(large, "large-star")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v")).filter("u <> v")
-        edges = stored(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "small-star")
+        before, edges = edges, stored(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "small-star")
+        discard(before, large)
         new = _mark(edges)
         if new == mark:
             break

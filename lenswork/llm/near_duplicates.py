@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import load, stored, unused
+from .common import discard, load, stored, unused
 from .components import components
 from .trie_join import block_links, links
 
@@ -149,15 +149,17 @@ def exact_candidates(sets: DataFrame, roots: DataFrame, similarity: float) -> Da
     of = stored(sets.join(roots, "id"), "sets-under-roots")
     keys = of.select("root", F.explode("prefix").alias("key")).groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"))
     shared = stored(keys.filter("lo < hi").select("key"), "shared-shingles")
-    met = stored(of.select("id", "root", "n", F.posexplode("prefix").alias("pos", "key")).join(shared, "key"), "sets-at-shared-shingles")
-    most = met.groupBy("key", "root").agg(F.count(F.lit(1)).alias("times")).groupBy("key").agg(F.max(F.struct("times", "root"))["root"].alias("most"))
-    met = met.join(most, "key")
+    sets_at = stored(of.select("id", "root", "n", F.posexplode("prefix").alias("pos", "key")).join(shared, "key"), "sets-at-shared-shingles")
+    most = sets_at.groupBy("key", "root").agg(F.count(F.lit(1)).alias("times")).groupBy("key").agg(F.max(F.struct("times", "root"))["root"].alias("most"))
+    met = sets_at.join(most, "key")
     a, b = (met.select("key", "most", *[F.col(c).alias(f"{c}_{x}") for c in ("id", "root", "n", "pos")]) for x in "ab")
     pairs = a.filter("root_a <> most").join(b.drop("most"), "key").filter("root_a <> root_b and (root_b = most or id_a < id_b)")
     pairs = pairs.filter(F.least("n_a", "n_b") >= similarity * F.greatest("n_a", "n_b") - ROUNDING)
     both = F.least(F.col("n_a") - F.col("pos_a"), F.col("n_b") - F.col("pos_b"))  # at most, at the first shared shingle
     pairs = pairs.filter(both >= (F.col("n_a") + F.col("n_b")) * (similarity / (1 + similarity)) - ROUNDING)
-    return stored(pairs.select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b")).distinct(), "exact-candidates")
+    found = stored(pairs.select(F.col("id_b").alias("a"), F.col("id_a").alias("b")).distinct(), "exact-candidates")
+    discard(of, shared, sets_at)
+    return found
 
 
 def near_duplicate_groups(docs: DataFrame, size: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
@@ -199,19 +201,22 @@ def _grouped(docs: DataFrame, size: int, similarity: float) -> DataFrame:
     points = nodes.select("id", "sig", tabs.alias("x")).select("x.tab", "x.fp", "id", "sig")
     candidates = stored(block_links(points, WINDOW_BITS, BLOCK, RADIUS, MOST_SIGNATURE_BITS), "candidates")
     places = nodes.select("id", "first.doc_id", "first.text_hash")
-    verified = stored(verify(candidates, places, docs, size, similarity), "verified")
-    roots = components(verified)
+    roots = components(verify(candidates, places, docs, size, similarity))
     of = nodes.select("id").join(roots, nodes.id == roots.node, "left").select("id", F.coalesce("root", "id").alias("root"))
     more = verify(exact_candidates(nodes.select("id", "n", "prefix"), of, similarity), places, docs, size, similarity)
     roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
     of = nodes.select("id", "first").join(roots, nodes.id == roots.node, "left").select("id", "first", F.coalesce("root", "id").alias("root"))
     of = stored(of, "nodes")
+    discard(nodes)
     least = of.groupBy("root").agg(F.min("first").alias("first"))
     return rows.select("doc_id", "text_hash", "id").join(of.join(least, "root").select("id", least["first"]), "id").select("doc_id", "text_hash", "first")
 
 
 def verify(candidates: DataFrame, nodes: DataFrame, docs: DataFrame, size: int, similarity: float) -> DataFrame:
-    """Those of the pairs whose sets of shingles are similar enough; only texts that are in a pair are looked at."""
+    """Those of the pairs (a stored table, which goes) whose sets of shingles are similar enough; only texts that are in a pair are looked at.
+
+    A text with very many partners is b in most of its pairs; sets are joined to b first, while pairs are short.
+    """
 
     def sets(batches):
         for b in batches:
@@ -247,9 +252,11 @@ def verify(candidates: DataFrame, nodes: DataFrame, docs: DataFrame, size: int,
     texts = texts.join(wanted, (texts.doc_id.eqNullSafe(wanted.doc_id)) & (texts.text_hash == wanted.text_hash)).select("id", "text").dropDuplicates(["id"])
     have = stored(texts.mapInArrow(sets, "id long, n long, bits binary, shingles binary"), "shingles")
     left, right = (have.select(F.col("id").alias(c), F.col("n").alias(f"n{x}"), F.col("bits").alias(x)) for c, x in (("a", "x"), ("b", "y")))
-    pairs = candidates.join(left, "a").join(right, "b").mapInArrow(possible, "a long, b long")
-    pairs = pairs.join(have.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a").join(have.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b")
-    return pairs.select("a", "b", "x", "y").mapInArrow(similar, "a long, b long")
+    pairs = candidates.join(right, "b").join(left, "a").mapInArrow(possible, "a long, b long")
+    pairs = pairs.join(have.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b").join(have.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a")
+    found = stored(pairs.select("a", "b", "x", "y").mapInArrow(similar, "a long, b long"), "verified")
+    discard(candidates, have)
+    return found
 
 
 def drop_near_duplicates(docs: DataFrame, size: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
