@@ -138,8 +138,9 @@ def read_blocks(fs, path: str):
     blocks = json.loads(index.schema.metadata[b"blocks"])
 
     def ids():
-        with fs.open_input_stream(path + ".pfor") as f:
-            for _ in blocks:
+        with fs.open_input_file(path + ".pfor") as f:
+            for at, _ in blocks:
+                f.seek(at)
                 head = f.read(HEADER.itemsize)
                 yield unpack_block(head + f.read(block_bytes(np.frombuffer(head, HEADER, 1)[0]) - len(head)))
 

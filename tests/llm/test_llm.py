@@ -194,6 +194,16 @@ def test_token_blocks_round_trip(spark, sf):
         at += len(ids)
 
 
+def test_ranges_of_token_files(spark):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    manifest = token_output.write_token_files(docs_of(spark, [LONG, "two words", LONG]).select("doc_id", "text"), path, 0, partitions=1).collect()
+    fs, p = token_output.filesystem(manifest[0].path)
+    ids = np.concatenate(list(token_output.read_blocks(fs, p)[1]))
+    assert len(ids) == manifest[0].n_ids > 2 * token_output.BLOCK
+    for start, count in ((0, 5), (token_output.BLOCK - 3, 9), (token_output.BLOCK, token_output.BLOCK), (len(ids) - 4, 4), (100, 2 * token_output.BLOCK)):
+        assert (token_output.read_range(manifest[0].path, start, count) == ids[start : start + count]).all()
+
+
 def test_packing_is_gapless_and_close_to_the_bound(spark, sf):
     rows = QUERIES["op5_best_fit_packing"](spark, sf).collect()
     sequences = {}
