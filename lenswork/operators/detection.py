@@ -19,6 +19,7 @@ CONFIDENCE, IOU, TOP_K = 0.25, 0.45, 512
 LABELS = {0: "FACE", 1: "PERSON"}
 OTHER_LABEL = "OBJECT"
 LABEL_RISE, GLYPH_WIDTH, GLYPH_HEIGHT = 12, 6, 8
+LABEL_COLOR, BACKGROUND, INFO_COLOR = "0,255,0,255", "0,0,0,180", "255,255,255,255"
 EPSILON = 1e-6
 BOX = ["x1", "y1", "x2", "y2"]
 
@@ -137,23 +138,34 @@ def label_layout(df: DataFrame) -> DataFrame:
 
 
 def frame_info_text(df: DataFrame, width: str = "width", height: str = "height") -> DataFrame:
-    """The frame's own line, at the lower right."""
-    text = F.format_string("FRAME %06d  FPS %4.1f", "frame_number", "fps")
-    return df.withColumn("info_text", text).withColumns({"info_x": F.greatest(F.lit(0), F.col(width) - F.length(text) * GLYPH_WIDTH - 4), "info_y": F.greatest(F.lit(0), F.col(height) - LABEL_RISE)})
+    """The frame's own line, its corner at the lower right and its width; a rate half-way between two tenths goes to the even one."""
+    half_way = F.col("fps") * 4 % 2 == 1  # only quarters are exactly half-way
+    text = F.format_string("FRAME %06d  FPS %4.1f", "frame_number", F.when(half_way, F.bround("fps", 1)).otherwise(F.col("fps")))
+    rows = df.withColumn("info_text", text).withColumn("info_w", F.least(F.length("info_text") * GLYPH_WIDTH, F.col(width)))
+    return rows.withColumns({"info_x": F.greatest(F.lit(0), F.col(width) - F.col("info_w") - 4), "info_y": F.greatest(F.lit(0), F.col(height) - LABEL_RISE)})
 
 
-def draw_list(df: DataFrame) -> DataFrame:
-    """What annotation draws, as rows (keys, track_id, kind, x, y, w, h, text)."""
-    px = lambda c: F.round(c).cast("int")
-    item = lambda kind, x, y, w, h, text: F.struct(F.lit(kind).alias("kind"), x.alias("x"), y.alias("y"), w.alias("w"), h.alias("h"), text.alias("text"))
-    none = F.lit(None).cast("string")
-    c = F.col
+def _item(kind: str, x, y, w, h, text, color: str) -> Column:
+    return F.struct(F.lit(kind).alias("kind"), x.cast("int").alias("x"), y.cast("int").alias("y"), w.cast("int").alias("w"), h.cast("int").alias("h"), text.alias("text"), F.lit(color).alias("color"))
+
+
+def draw_list(df: DataFrame, frames: DataFrame | None = None) -> DataFrame:
+    """What annotation draws, as rows (keys, track_id, kind, x, y, w, h, text, color as red, green, blue, opacity).
+
+    frames: rows of frame_info_text, whose lines are drawn too (without a track).
+    """
+    none, c = F.lit(None).cast("string"), F.col
     items = F.array(
-        item("rect", px("x1"), px("y1"), px("x2") - px("x1"), px("y2") - px("y1"), none),
-        item("label_bg", c("label_x"), c("label_y"), c("label_w"), c("label_h"), none),
-        item("text", c("label_x"), c("label_y"), c("label_w"), c("label_h"), c("label_text")),
+        _item("rect", F.round("x1"), F.round("y1"), F.round("x2").cast("int") - F.round("x1").cast("int"), F.round("y2").cast("int") - F.round("y1").cast("int"), none, LABEL_COLOR),
+        _item("label_bg", c("label_x"), c("label_y"), c("label_w"), c("label_h"), none, BACKGROUND),
+        _item("text", c("label_x"), c("label_y"), c("label_w"), c("label_h"), c("label_text"), LABEL_COLOR),
     )
-    return df.select(*keys_of(df, "frame_number", "track_id"), F.inline(items))
+    out = df.select(*keys_of(df, "frame_number", "track_id"), F.inline(items))
+    if frames is None:
+        return out
+    high = F.lit(GLYPH_HEIGHT)
+    info = F.array(_item("info_bg", c("info_x"), c("info_y"), c("info_w") + 4, high, none, BACKGROUND), _item("info", c("info_x") + 2, c("info_y"), c("info_w"), high, c("info_text"), INFO_COLOR))
+    return out.unionByName(frames.select(*keys_of(frames, "frame_number"), F.lit(None).cast("long").alias("track_id"), F.inline(info)))
 
 
 def detect(frames: DataFrame, model_fn: Callable, schema: str, columns: list[str], batch_size: int = 8) -> DataFrame:

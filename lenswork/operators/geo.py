@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StructType
 
 from ..functions.common import clamp
 
@@ -76,18 +79,34 @@ def bbox_center_uv(bbox: Column, width, height) -> tuple[Column, Column]:
     return share(a, c, w), share(b, d, h)
 
 
-def corners_center_uv(x1: Column, y1: Column, x2: Column, y2: Column, width, height) -> tuple[Column, Column]:
-    """The same for named corners (x1..y2 or left..bottom); all at most 1 means shares."""
-    small = (x1 <= 1) & (y1 <= 1) & (x2 <= 1) & (y2 <= 1)
-    share = lambda lo, hi, side: clamp((lo + hi) * 0.5 / F.when(small, F.lit(1.0)).otherwise(_num(side)), 0.0, 1.0)
-    return share(x1, x2, width), share(y1, y2, height)
+def _fields(df: DataFrame, bbox: str):
+    """A function that gives the first of some fields that a struct column has with a value."""
+    kind = df.schema[bbox].dataType
+    have = {f.name for f in kind.fields} if isinstance(kind, StructType) else set()
+    return lambda *names: F.coalesce(*[F.col(bbox)[n].cast("double") for n in names if n in have], F.lit(None).cast("double"))
+
+
+def _all(*columns: Column) -> Column:
+    return reduce(lambda a, b: a & b, [c.isNotNull() for c in columns])
+
 
+def box_center_uv(df: DataFrame, bbox: str, width, height) -> tuple[Column, Column]:
+    """Centre of a box of any shape in 0 to 1, by the first shape that fits: named corners (x1..y2, else left..bottom),
+    a named corner and size (w or width, h or height), four numbers; all at most 1 means shares. Others: the middle."""
+    if isinstance(df.schema[bbox].dataType, ArrayType):
+        return bbox_center_uv(F.col(bbox), width, height)
+    get = _fields(df, bbox)
+    corners = _all(*map(get, ("x1", "y1", "x2", "y2"))) | _all(*map(get, ("left", "top", "right", "bottom")))
+    x1, y1, x2, y2 = get("x1", "left"), get("y1", "top"), get("x2", "right"), get("y2", "bottom")
+    x, y, w, h = get("x"), get("y"), get("w", "width"), get("h", "height")
+    small, tiny = (x1 <= 1) & (y1 <= 1) & (x2 <= 1) & (y2 <= 1), (x <= 1) & (y <= 1) & (w <= 1) & (h <= 1)
 
-def sized_center_uv(x: Column, y: Column, w: Column, h: Column, width, height) -> tuple[Column, Column]:
-    """The same for a named corner and size."""
-    small = (x <= 1) & (y <= 1) & (w <= 1) & (h <= 1)
-    share = lambda lo, size, side: clamp((lo + size * 0.5) / F.when(small, F.lit(1.0)).otherwise(_num(side)), 0.0, 1.0)
-    return share(x, w, width), share(y, h, height)
+    def share(lo, hi, at, size, side):
+        between = (lo + hi) * 0.5 / F.when(small, F.lit(1.0)).otherwise(_num(side))
+        sized = (at + size * 0.5) / F.when(tiny, F.lit(1.0)).otherwise(_num(side))
+        return F.when(corners, clamp(between, 0.0, 1.0)).when(_all(x, y, w, h), clamp(sized, 0.0, 1.0)).otherwise(0.5)
+
+    return share(x1, x2, x, w, width), share(y1, y2, y, h, height)
 
 
 def bbox_size(bbox: Column) -> tuple[Column, Column]:
@@ -95,6 +114,17 @@ def bbox_size(bbox: Column) -> tuple[Column, Column]:
     return F.abs(bbox[2] - bbox[0]), F.abs(bbox[3] - bbox[1])
 
 
+def box_size(df: DataFrame, bbox: str) -> tuple[Column, Column]:
+    """Width and height of a box of any shape: four numbers as corners, left..bottom, w or width (with h or height, else 0); others 0."""
+    if isinstance(df.schema[bbox].dataType, ArrayType):
+        of = lambda lo, hi: F.when(F.size(bbox) == 4, F.abs(F.get(bbox, F.lit(hi)) - F.get(bbox, F.lit(lo)))).otherwise(0.0)
+        return of(0, 2), of(1, 3)
+    get = _fields(df, bbox)
+    left, top, right, bottom, w, h = get("left"), get("top"), get("right"), get("bottom"), get("w", "width"), get("h", "height")
+    of = lambda lo, hi, size: F.when(_all(left, top, right, bottom), F.abs(hi - lo)).when(w.isNotNull(), F.abs(F.coalesce(size, F.lit(0.0)))).otherwise(0.0)
+    return of(left, right, w), of(top, bottom, h)
+
+
 def uv_to_world(u: Column, v: Column, feed_w, feed_h, yaw_deg: Column, pos_x: Column, pos_y: Column, pos_z: Column) -> tuple[Column, Column, Column]:
     """A place on a camera's picture plane in the world: turned by the yaw about the upright axis, then moved."""
     lx, ly = (u - 0.5) * _num(feed_w), (0.5 - v) * _num(feed_h)
@@ -141,16 +171,22 @@ def rig_frustum(cameras: DataFrame, fov: float = FIELD_OF_VIEW, far: float = FAR
     return cameras.select("camera_id", F.inline(F.array(*items)))
 
 
-def bearings(detections: DataFrame, cameras: DataFrame, feed: tuple[float, float] = (16.0, 9.0), zoom: float = 16.0, height: float = 5.0) -> DataFrame:
-    """detections: camera_id, bbox, width, height, score; cameras: camera_id, lat, lon, yaw_deg, centre_lat, centre_lon (a row per camera).
+def bearings(detections: DataFrame, cameras: DataFrame, feed: tuple[float, float] = (16.0, 9.0), zoom: float = 16.0, height: float = 5.0, fov: float = FIELD_OF_VIEW, only: str = "FACE") -> DataFrame:
+    """detections: camera_id, bbox, width, height, score, maybe class; cameras: camera_id, lat, lon, yaw_deg, centre_lat, centre_lon (a row per camera).
 
-    Adds u, v, the place in the world, azimuth from the centre, and its wind.
+    Of the class `only` (a null class is one of it) with u, v, the place on the camera's picture plane, the box's
+    size, the azimuth as seen from the rig's origin behind that plane, and its wind. A null score counts as 0.
     """
     rows = detections.join(cameras, "camera_id")
-    u, v = bbox_center_uv(F.col("bbox"), F.col("width").cast("double"), F.col("height").cast("double"))
+    if "class" in detections.columns:
+        rows = rows.filter(F.coalesce("class", F.lit(only)) == only)
+    u, v = box_center_uv(rows, "bbox", F.col("width").cast("double"), F.col("height").cast("double"))
+    w, h = box_size(rows, "bbox")
     ax, az = latlon_to_world(F.col("lat"), F.col("lon"), F.col("centre_lat"), F.col("centre_lon"), zoom)
-    rows = rows.withColumns({"u": u, "v": v, "_ax": ax, "_az": az})
+    rows = rows.withColumns({"u": u, "v": v, "box_w": w, "box_h": h, "_ax": ax, "_az": az})
     x, y, z = uv_to_world(F.col("u"), F.col("v"), *feed, F.col("yaw_deg"), F.col("_ax"), F.lit(height), F.col("_az"))
-    rows = rows.withColumns({"world_x": x, "world_y": y, "world_z": z}).drop("_ax", "_az")
-    rows = rows.withColumn("azimuth", azimuth_deg(F.col("world_x"), F.col("world_z")))
-    return rows.withColumns({"wind": compass8(F.col("azimuth")), "color": score_color(F.col("score")), "key": detection_key(F.col("u"), F.col("v"), F.col("score"))})
+    angle, behind = F.radians("yaw_deg") + YAW_OFFSET, feed[1] / 2 / F.tan(F.radians(F.lit(fov / 2)))
+    rows = rows.withColumns({"world_x": x, "world_y": y, "world_z": z, "_ox": F.col("_ax") - F.sin(angle) * behind, "_oz": F.col("_az") - F.cos(angle) * behind})
+    rows = rows.withColumn("azimuth", azimuth_deg(F.col("world_x") - F.col("_ox"), F.col("world_z") - F.col("_oz"))).drop("_ax", "_az", "_ox", "_oz")
+    score = F.coalesce("score", F.lit(0.0))
+    return rows.withColumns({"wind": compass8(F.col("azimuth")), "color": score_color(score), "key": detection_key(F.col("u"), F.col("v"), score)})

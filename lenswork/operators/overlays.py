@@ -130,6 +130,19 @@ def auto_label(df: DataFrame) -> DataFrame:
     return df.withColumn("auto_label", label)
 
 
+def anchors(markers: DataFrame, routes: DataFrame, zones: DataFrame, mode: str = "polyline-mid") -> DataFrame:
+    """Where connectors attach, rows (overlay_id, lat, lng): markers (overlay_id, lat, lng) at their place, routes
+    (overlay_id, seq, lat, lng) at half their length or, by mode polyline-start or polyline-end, at an end, zones
+    and boxes (overlay_id, lat, lng of the vertices) at the centre of their bounds."""
+    if mode == "polyline-mid":
+        on_routes = route_midpoint(routes, "overlay_id")
+    else:
+        end = F.max_by if mode == "polyline-end" else F.min_by
+        on_routes = routes.groupBy("overlay_id").agg(end(F.struct("lat", "lng"), "seq").alias("p")).select("overlay_id", "p.lat", "p.lng")
+    centres = bounds(zones, "overlay_id").select("overlay_id", F.col("center_lat").alias("lat"), F.col("center_lng").alias("lng"))
+    return markers.select("overlay_id", "lat", "lng").unionByName(on_routes).unionByName(centres)
+
+
 def connector_endpoints(connectors: DataFrame, anchors: DataFrame) -> DataFrame:
     """connectors: overlay_id, start_id, end_id; anchors: overlay_id, lat, lng. Both ends and the length; open ends are null."""
     at = lambda side: anchors.select(F.col("overlay_id").alias(f"{side}_id"), F.col("lat").alias(f"{side}_lat"), F.col("lng").alias(f"{side}_lng"))

@@ -101,9 +101,9 @@ def frame_delta(frames: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
 
 
 def motion_overlay(delta: DataFrame, alpha: float = PAGE_ALPHA, ramp: tuple[float, float] = PAGE_RAMP) -> DataFrame:
-    """Adds green and alpha of the picture of motion."""
+    """Adds green and alpha of the picture of motion; an exact half of an alpha goes up."""
     mag = F.col("mag")
-    return delta.withColumns({"green": F.least(F.lit(255.0), ramp[0] + ramp[1] * mag), "alpha": F.round(mag / 255.0 * alpha * 255).cast("int")})
+    return delta.withColumns({"green": F.least(F.lit(255.0), ramp[0] + ramp[1] * mag), "alpha": F.floor(mag * alpha + 0.5).cast("int")})
 
 
 def motion_stats(delta: DataFrame) -> DataFrame:

@@ -121,7 +121,7 @@ def frame_lookup(requests: DataFrame, df: DataFrame, n: int = HISTORY, done: str
     rows = requests.join(first, [*keys, "frame_number"], "left")
     rows = rows.join(latest, keys, "left") if keys else rows.join(F.broadcast(latest), F.lit(True), "left")  # one row
     hit = F.col("done_seq").isNotNull()
-    warning = F.when(F.col("any") & ~hit, F.concat(F.lit("frame "), F.col("frame_number").cast("string"), F.lit(" is not in the history; the latest is sent")))
+    warning = F.when(F.col("any") & ~hit, F.concat(F.lit('299 vision "frame '), F.col("frame_number").cast("string"), F.lit(" not buffered; returning latest "), F.col("latest_frame").cast("string"), F.lit('"')))
     return rows.select("request_id", *keys, "frame_number", F.when(F.col("any"), 200).otherwise(204).alias("status"), F.when(hit, F.col("frame_number")).otherwise(F.col("latest_frame")).alias("sent_frame"), warning.alias("warning"))
 
 

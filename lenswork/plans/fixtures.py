@@ -31,6 +31,8 @@ VIEWS = {
     "zone_vertices": """select n_nationkey zone_id, ring, vtx, cast(-50 + n_nationkey * 4 + dlat as double) lat, cast(-170 + n_nationkey * 13 + dlng as double) lng
         from nation cross join (values (0,0,0,0),(0,1,0,20),(0,2,8,20),(0,3,4,10),(0,4,8,0),(1,0,1,2),(1,1,1,5),(1,2,3,5),(1,3,3,2)) v(ring, vtx, dlat, dlng)
         where ring = 0 or n_nationkey % 2 = 0""",
+    "plots": """select c_custkey zone_id, ring, vtx, cast(-50 + c_custkey % 25 * 4 + dlat * (1 + c_custkey % 7) / cast(7 as double) as double) lat, cast(-170 + c_custkey % 25 * 13 + dlng as double) lng
+        from customer cross join (values (0,0,0,0),(0,1,0,20),(0,2,8,20),(0,3,4,10),(0,4,8,0)) v(ring, vtx, dlat, dlng)""",
     "routes": """select o_custkey route_id, row_number() over (partition by o_custkey order by o_orderdate, o_orderkey) seq,
         (o_orderkey * 37 % 12000 - 6000) / cast(100 as double) lat, (o_orderkey * 91 % 36000 - 18000) / cast(100 as double) lng from orders""",
     "overlay_log": """select event_id op_id, user_id % 50 overlay_id, case when event_type = 'error' then 'delete' else 'upsert' end op,

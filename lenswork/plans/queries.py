@@ -153,14 +153,18 @@ def _(p):
 @query(
     "draw_list",
     KEPT + f""", q as (select *, cast(round(x1) as int) px1, cast(round(y1) as int) py1, cast(round(x2) as int) px2, cast(round(y2) as int) py2, {TEXT} t from c)
-    select frame_number, track_id, 'rect' kind, px1 x, py1 y, px2 - px1 w, py2 - py1 h, null as text from q
-    union all select frame_number, track_id, 'label_bg', px1, greatest(0, py1 - 12), length(t) * 6, 8, null from q
-    union all select frame_number, track_id, 'text', px1, greatest(0, py1 - 12), length(t) * 6, 8, t from q""",
+    , i as (select frame_number, 'FRAME ' || lpad(cast(frame_number as varchar), 6, '0') || '  FPS ' || printf('%4.1f', cast(frame_number % 600 as double) / 8) t from (select distinct frame_number from raw_preds) f)
+    select frame_number, track_id, 'rect' kind, px1 x, py1 y, px2 - px1 w, py2 - py1 h, null as text, '0,255,0,255' color from q
+    union all select frame_number, track_id, 'label_bg', px1, greatest(0, py1 - 12), length(t) * 6, 8, null, '0,0,0,180' from q
+    union all select frame_number, track_id, 'text', px1, greatest(0, py1 - 12), length(t) * 6, 8, t, '0,255,0,255' from q
+    union all select frame_number, null, 'info_bg', 1280 - length(t) * 6 - 4, 708, length(t) * 6 + 4, 8, null, '0,0,0,180' from i
+    union all select frame_number, null, 'info', 1280 - length(t) * 6 - 2, 708, length(t) * 6, 8, t, '255,255,255,255' from i""",
     "raw_preds",
     recursive=True,
 )
 def _(p):
-    return D.draw_list(D.label_layout(D.label_text(chain(p))))
+    frames = p.select("frame_number").distinct().select("frame_number", ((F.col("frame_number") % 600) / 8).alias("fps"), F.lit(SRC_W).alias("width"), F.lit(SRC_H).alias("height"))
+    return D.draw_list(D.label_layout(D.label_text(chain(p))), D.frame_info_text(frames))
 
 
 @query("detections_per_frame", KEPT + "select f.frame_number, count(n.det_idx) n from (select distinct frame_number from raw_preds) f left join n using (frame_number) group by 1", "raw_preds", recursive=True)
@@ -170,12 +174,13 @@ def _(p):
 
 @query(
     "frame_info_text",
-    "select camera_id, frame_number, 'FRAME ' || lpad(cast(frame_number as varchar), 6, '0') || '  FPS ' || printf('%4.1f', cast(frame_number % 600 as double) / 8) info_text from frames where frame_number % 600 * 10 % 8 <> 4",
+    """with t as (select camera_id, frame_number, 100 + frame_number % 60 width, frame_number % 20 height, 'FRAME ' || lpad(cast(frame_number as varchar), 6, '0') || '  FPS ' || printf('%4.1f', cast(frame_number % 600 as double) / 8) info_text from frames)
+    select camera_id, frame_number, info_text, greatest(0, width - least(width, length(info_text) * 6) - 4) info_x, greatest(0, height - 12) info_y from t""",
     "frames",
 )
 def _(f):
-    rows = f.filter("frame_number % 600 * 10 % 8 <> 4").withColumn("fps", (F.col("frame_number") % 600).cast("double") / 8)
-    return D.frame_info_text(rows).select("camera_id", "frame_number", "info_text")
+    rows = f.select("camera_id", "frame_number", (F.col("frame_number") % 60 + 100).alias("width"), (F.col("frame_number") % 20).alias("height"), ((F.col("frame_number") % 600) / 8).alias("fps"))
+    return D.frame_info_text(rows).select("camera_id", "frame_number", "info_text", "info_x", "info_y")
 
 
 # timelines
@@ -251,7 +256,7 @@ def _(f):
     f"""with {DONE}, h as (select * from (select *, row_number() over (partition by camera_id order by done_seq desc) r from p) where r <= 64), l as (select camera_id, frame_number latest from h where r = 1),
     q as (select event_id request_id, camera_id, frame_number from frames where event_id % 11 = 0)
     select request_id, q.camera_id, q.frame_number, 200 status, coalesce(h.frame_number, latest) sent_frame,
-      case when h.frame_number is null then 'frame ' || q.frame_number || ' is not in the history; the latest is sent' end warning
+      case when h.frame_number is null then '299 vision "frame ' || q.frame_number || ' not buffered; returning latest ' || latest || '"' end warning
     from q left join h on q.camera_id = h.camera_id and q.frame_number = h.frame_number join l on l.camera_id = q.camera_id""",
     "frames",
 )
@@ -399,9 +404,9 @@ def _(p):
     return rounded(P.motion_stats(P.pixel_delta(coloured(p))), "moving", "mean_mag", "max_mag")
 
 
-@query("motion_overlay", f"with {RGB}, v as (select frame_number, px, case when mean < 20 then 0 else mean end mag from m) select frame_number, px, round(least(255, 80 + 1.1 * mag), 6) green, cast(round(mag / 255.0 * 0.5 * 255) as int) alpha from v where mag * 6 % 6 <> 3", "pixels")
+@query("motion_overlay", f"with {RGB}, v as (select frame_number, px, case when mean < 20 then 0 else mean end mag from m) select frame_number, px, round(least(255, 80 + 1.1 * mag), 6) green, cast(floor(mag * cast(0.5 as double) + 0.5) as int) alpha from v", "pixels")
 def _(p):
-    rows = P.motion_overlay(P.pixel_delta(coloured(p))).filter("mag * 6 % 6 <> 3")
+    rows = P.motion_overlay(P.pixel_delta(coloured(p)))
     return rounded(rows, "green").select("frame_number", "px", "green", "alpha")
 
 
@@ -450,22 +455,25 @@ def _(m):
 
 @query(
     "bearings",
-    f"""with b as (select frame_number, pred_idx, frame_number % 4 camera_id, score, (x / 640.0) u, (y / 640.0) v from raw_preds where score >= 0.25),
+    f"""with b as (select frame_number, pred_idx, frame_number % 4 camera_id, score, (x / 640.0) u, (y / 640.0) v, w, h from raw_preds where score >= 0.25 and class_id < 2),
     c as (select *, 47.6 + camera_id * 0.001 lat, -122.3 + camera_id * 0.002 lng, camera_id * 90.0 yaw from b),
     p as (select *, {PX}, radians(yaw) + pi() a from c),
     o as (select (-122.299 + 180) / 360 * 256 * 65536 ox, (0.5 - ln((1 + sin(radians(47.601))) / (1 - sin(radians(47.601)))) / (4 * pi())) * 256 * 65536 oy),
-    w as (select frame_number, pred_idx, u, v, px - ox + (u - 0.5) * 16 * cos(a) wx, -(py - oy) - (u - 0.5) * 16 * sin(a) wz from p, o),
-    z as (select *, ((540 - degrees(atan2(wx, wz))) % 360 + 360) % 360 d from w)
-    select frame_number, pred_idx, round(u, 6) u, round(v, 6) v, round(wx, 4) + 0.0 world_x, round(wz, 4) + 0.0 world_z, round(d, 4) azimuth, {WIND} wind from z""",
+    w as (select *, px - ox sx, -(py - oy) sz from p, o),
+    r as (select *, sx + (u - 0.5) * 16 * cos(a) wx, sz - (u - 0.5) * 16 * sin(a) wz, sx - sin(a) * 4.5 / tan(radians(25)) rx, sz - cos(a) * 4.5 / tan(radians(25)) rz from w),
+    z as (select *, ((540 - degrees(atan2(wx - rx, wz - rz))) % 360 + 360) % 360 d from r)
+    select frame_number, pred_idx, round(u, 6) u, round(v, 6) v, w box_w, h box_h, round(wx, 4) + 0.0 world_x, round(wz, 4) + 0.0 world_z, round(d, 4) azimuth, {WIND} wind from z""",
     "raw_preds",
 )
 def _(p):
     spark = p.sparkSession
     cameras = spark.range(4).select(F.col("id").alias("camera_id"), (F.lit(47.6) + F.col("id") * F.lit(0.001)).alias("lat"), (F.lit(-122.3) + F.col("id") * F.lit(0.002)).alias("lon"), (F.col("id") * 90.0).alias("yaw_deg"), F.lit(47.601).alias("centre_lat"), F.lit(-122.299).alias("centre_lon"))
-    boxes = D.filter_confidence(p).select("frame_number", "pred_idx", "score", (F.col("frame_number") % 4).alias("camera_id"), F.lit(640).alias("width"), F.lit(640).alias("height"), F.array(F.col("x") - 20.0, F.col("y") - 20.0, F.col("x") + 20.0, F.col("y") + 20.0).alias("bbox"))
+    named = F.when(F.col("class_id") == 0, "FACE").when(F.col("class_id") > 1, "OBJECT")  # class 1 is left without a name
+    box = F.struct((F.col("x") - F.col("w") / 2).alias("left"), (F.col("y") - F.col("h") / 2).alias("top"), (F.col("x") + F.col("w") / 2).alias("right"), (F.col("y") + F.col("h") / 2).alias("bottom"))
+    boxes = D.filter_confidence(p).select("frame_number", "pred_idx", "score", (F.col("frame_number") % 4).alias("camera_id"), F.lit(640).alias("width"), F.lit(640).alias("height"), box.alias("bbox"), named.alias("class"))
     rows = G.bearings(boxes, F.broadcast(cameras))  # four rows
     rows = rounded(rounded(rows, "u", "v"), "world_x", "world_z", "azimuth", digits=4)
-    return rows.select("frame_number", "pred_idx", "u", "v", "world_x", "world_z", "azimuth", "wind")
+    return rows.select("frame_number", "pred_idx", "u", "v", "box_w", "box_h", "world_x", "world_z", "azimuth", "wind")
 
 
 @query("bbox_size", "select frame_number, pred_idx, w, h from raw_preds", "raw_preds")
@@ -503,7 +511,7 @@ def _(r):
 AREA = "abs(sum(radians(lng2 - lng) * (2 + sin(radians(lat)) + sin(radians(lat2))))) * 6378137.0 * 6378137.0 / 2"
 
 
-@query("polygon_area", f"with e as (select *, coalesce(lead(lat) over o, first(lat) over o) lat2, coalesce(lead(lng) over o, first(lng) over o) lng2 from zone_vertices where ring = 0 window o as (partition by zone_id order by vtx)) select zone_id, round({AREA} / 1000000, 3) area_km2 from e group by 1", "zone_vertices")
+@query("polygon_area", f"with e as (select *, coalesce(lead(lat) over o, first(lat) over o) lat2, coalesce(lead(lng) over o, first(lng) over o) lng2 from plots where ring = 0 window o as (partition by zone_id order by vtx)) select zone_id, round({AREA} / 1000000, 3) area_km2 from e group by 1", "plots")
 def _(z):
     return O.polygon_area(z).select("zone_id", F.round(F.col("area_m2") / 1e6, 3).alias("area_km2"))
 
@@ -592,6 +600,28 @@ def _(o, m):
     return rows.select("overlay_id", F.round("length_m", 3).alias("length_m"))
 
 
+@query(
+    "overlay_anchors",
+    f"""with {SEG}, c as (select *, sum(len) over (partition by route_id order by seq) til, sum(len) over (partition by route_id) / 2 half, count(*) over (partition by route_id) n from s),
+    f as (select *, row_number() over (partition by route_id order by seq) k from c where n = 1 or (len is not null and til >= half))
+    select marker_id overlay_id, lat, lng from markers
+    union all select route_id + 10000000, round(lat + coalesce(lat2 - lat, 0) * r, 5) + 0.0, round(lng + coalesce(lng2 - lng, 0) * r, 5) + 0.0 from (select *, case when coalesce(len, 0) = 0 then 0 else (half - (til - len)) / len end r from f where k = 1)
+    union all select zone_id + 20000000, (min(lat) + max(lat)) / 2, (min(lng) + max(lng)) / 2 from zone_vertices where ring = 0 group by 1
+    union all select route_id + 30000000, arg_max(lat, seq), arg_max(lng, seq) from routes group by 1""",
+    "markers",
+    "routes",
+    "zone_vertices",
+)
+def _(m, r, z):
+    markers, routes = m.select(F.col("marker_id").alias("overlay_id"), "lat", "lng"), r.withColumnRenamed("route_id", "overlay_id")
+    zones = z.filter("ring = 0").select((F.col("zone_id") + 20000000).alias("overlay_id"), "lat", "lng")
+    middle = O.anchors(markers, routes.withColumn("overlay_id", F.col("overlay_id") + 10000000), zones)
+    ends = O.anchors(markers.limit(0), routes.withColumn("overlay_id", F.col("overlay_id") + 30000000), zones.limit(0), "polyline-end")
+    rows = middle.unionByName(ends)
+    on_route = F.col("overlay_id").between(10000000, 20000000)
+    return rows.select("overlay_id", *[F.when(on_route, F.round(c, 5) + F.lit(0.0)).otherwise(F.col(c)).alias(c) for c in ("lat", "lng")])
+
+
 @query("overlay_labels", "select overlay_id, label from overlays where overlay_id % 3 = 0 union all select c_custkey + 10000000, 'ID ' || (c_custkey + 10000000) from customer where c_custkey % 3 = 1", "overlays", "customer")
 def _(o, c):
     ids = o.filter("overlay_id % 3 = 0").select("overlay_id").unionByName(c.filter("c_custkey % 3 = 1").select((F.col("c_custkey") + 10000000).alias("overlay_id")))
@@ -669,16 +699,16 @@ def _(p):
 
 @query(
     "rig_frustum",
-    """with c as (select n_nationkey camera_id, cast(n_nationkey as double) x, cast(5 as double) y, -n_nationkey / cast(2 as double) z, radians(n_nationkey * 15) + pi() a, 4.5 / tan(radians(25)) dist from nation),
+    """with c as (select c_custkey camera_id, cast(c_custkey as double) x, cast(5 as double) y, -c_custkey / cast(2 as double) z, radians(c_custkey * 15) + pi() a, 4.5 / tan(radians(25)) dist from customer),
     k as (select * from c cross join (values ('near', 'TL', 1, -1), ('near', 'TR', 1, 1), ('near', 'BL', -1, -1), ('near', 'BR', -1, 1), ('far', 'TL', 1, -1), ('far', 'TR', 1, 1), ('far', 'BL', -1, -1), ('far', 'BR', -1, 1)) v(plane, corner, up, side)),
     s as (select *, case plane when 'near' then 1 else 60 / dist end s, case plane when 'near' then 0 else 60 - dist end ahead from k),
     r as (select camera_id, 'origin' plane, 'O' corner, x - sin(a) * dist x, y, z - cos(a) * dist z from c
       union all select camera_id, plane, corner, x + sin(a) * ahead + cos(a) * 8 * s * side, y + 4.5 * s * up, z + cos(a) * ahead - sin(a) * 8 * s * side from s)
     select camera_id, plane, corner, round(x, 6) + 0.0 x, round(y, 6) + 0.0 y, round(z, 6) + 0.0 z from r""",
-    "nation",
+    "customer",
 )
 def _(n):
-    key = F.col("n_nationkey")
+    key = F.col("c_custkey")
     cameras = n.select(key.alias("camera_id"), key.cast("double").alias("x"), F.lit(5.0).alias("y"), (-key / 2).alias("z"), (key * 15.0).alias("yaw_deg"), F.lit(8.0).alias("half_w"), F.lit(4.5).alias("half_h"))
     return rounded(G.rig_frustum(cameras), "x", "y", "z")
 

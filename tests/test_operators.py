@@ -159,3 +159,19 @@ def test_window_fps_with_and_without_silences(spark):
     assert sorted((r.camera_id, r.ts_ms, round(r.fps, 6)) for r in L.window_fps(frames).collect()) == sorted(want)
     one = L.window_fps(frames.filter("camera_id = 0").drop("camera_id")).collect()
     assert len(one) == sum(c == 0 for c, _, _ in want)
+
+
+def test_boxes_of_every_shape(spark):
+    def centre_and_size(fields, values):
+        df = spark.createDataFrame([(values,)], f"b struct<{', '.join(f + ':double' for f in fields)}>")
+        return df.select(*G.box_center_uv(df, "b", 100, 50), *G.box_size(df, "b")).first()[:]
+
+    assert centre_and_size(["x1", "y1", "x2", "y2"], (10.0, 10.0, 30.0, 20.0)) == (0.2, 0.3, 0.0, 0.0)
+    assert centre_and_size(["x1", "y1", "x2", "y2"], (0.0, 0.2, 0.5, 0.6)) == (0.25, 0.4, 0.0, 0.0)
+    assert centre_and_size(["left", "top", "right", "bottom"], (30.0, 20.0, 10.0, 10.0)) == (0.2, 0.3, 20.0, 10.0)
+    assert centre_and_size(["x", "y", "w", "h"], (10.0, 10.0, 20.0, 10.0)) == (0.2, 0.3, 20.0, 10.0)
+    assert centre_and_size(["x", "y", "width", "height"], (0.5, 0.5, 0.5, 0.25)) == (0.75, 0.625, 0.5, 0.25)
+    assert centre_and_size(["x", "y", "width", "height"], (1.0, None, 5.0, None)) == (0.5, 0.5, 5.0, 0.0)
+    assert centre_and_size(["x1", "y1", "x2", "y2", "x", "y", "w", "h"], (None, 1.0, 2.0, 3.0, 10.0, 10.0, 20.0, 10.0)) == (0.2, 0.3, 20.0, 10.0)
+    df = spark.createDataFrame([([10.0, 10.0, 30.0, 20.0],), ([1.0, 2.0],)], "b array<double>")
+    assert [r[:] for r in df.select(*G.box_center_uv(df, "b", 100, 50), *G.box_size(df, "b")).collect()] == [(0.2, 0.3, 20.0, 10.0), (0.5, 0.5, 0.0, 0.0)]
