@@ -90,6 +90,7 @@ def near_fingerprints(fps: DataFrame, queries: DataFrame, radius: int = RADIUS)
     tables = fps.select("fp", "n", F.explode(keys).alias("k")).select(F.col("fp").alias("other"), "n", "k.table", "k.key")
     probes = queries.select("fp", F.explode(keys).alias("k")).select("fp", "k.table", "k.key")
     bits = F.bit_count(F.col("fp").bitwiseXOR(F.col("other")))
+    probes = probes.hint("merge")  # not broadcast: ten rows for each query
     return probes.join(tables, ["table", "key"]).filter(bits <= radius).select("fp", "other", bits.alias("bits"), "n").distinct()
 
 
