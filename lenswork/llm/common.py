@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import pyarrow
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -55,6 +56,25 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+_caches: dict[str, dict] = {}
+
+
+def worker_cache(name: str) -> dict:
+    """What an operator keeps between tasks of one Python worker; that of other operators is let go."""
+    if name not in _caches:
+        _caches.clear()
+        pyarrow.default_memory_pool().release_unused()
+    return _caches.setdefault(name, {})
+
+
+def in_slices(batches, most_bytes: int = 8 << 20):
+    """Arrow batches in slices of about so many bytes (or one row), as Python objects take several times the room."""
+    for b in batches:
+        rows = max(1, b.num_rows * most_bytes // max(1, b.get_total_buffer_size()))
+        for lo in range(0, b.num_rows, rows):
+            yield b.slice(lo, rows)
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete tables that `stored` wrote, once all that is read from them is written itself."""
     for table in tables:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import load
+from .common import in_slices, load, worker_cache
 
 SAMPLE, BUCKETS, SIZES, SWITCH, SHARPNESS = 2000, 1 << 16, (1, 2, 3, 4), 6.0, 0.35
 #: Share of a language's letters in a script that makes it a candidate there.
@@ -243,8 +243,9 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     spans = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32()), ("lang", pa.string())]))
 
     def run(batches):
+        worker_cache("language")
         predictor = _predictor(sent.value)
-        for b in batches:
+        for b in in_slices(batches):
             found = list(zip(*predictor(b.column(2).to_pylist()))) or [(), (), ()]
             made = [pa.array(c, kind) for c, kind in zip(found, (pa.string(), pa.float64(), spans))]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *made], ["doc_id", "text_hash", "lang_pred", "score", "spans"])
@@ -258,8 +259,9 @@ def keep_known(docs: DataFrame, model: Model, least_score: float) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
+        worker_cache("language")
         predictor = _predictor(sent.value)
-        for b in batches:
+        for b in in_slices(batches):
             found = predictor(b.column("text").to_pylist())
             yield b.filter(pa.array([lang != "und" and score >= least_score for lang, score, _ in found], pa.bool_()))
 

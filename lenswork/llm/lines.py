@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import load, shuffle_partitions, stored
+from .common import in_slices, load, shuffle_partitions, stored, worker_cache
 
 LEAST_CHARS, NO_ID = 16, -(1 << 63)
 #: A line is common if it makes up this share of all (so there are at most as many common ones) and comes so
@@ -75,7 +75,8 @@ def line_table(docs: DataFrame, least_chars: int) -> DataFrame:
     """Rows (doc_id, text_hash, line, times, h, near), one per different line of a text that is not blank, at its first place; near: long enough for one edit."""
 
     def run(batches):
-        for b in batches:
+        worker_cache("lines")
+        for b in in_slices(batches):
             ids, hashes, texts = (c.to_pylist() for c in b.columns)
             for lo in range(0, len(texts), 500):
                 out: list[tuple] = []
@@ -97,7 +98,7 @@ def _emit(docs: DataFrame, asked: DataFrame, level: int) -> DataFrame:
     asked = asked.groupBy("first.doc_id", "first.text_hash").agg(F.collect_list(F.struct(F.col("first.line").alias("line"), "h", "shared")).alias("asked"))
 
     def run(batches):
-        for b in batches:
+        for b in in_slices(batches):
             out: list[tuple] = []
             for text, wanted in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 split = text.split("\n")
@@ -189,7 +190,7 @@ def _apply(rows: DataFrame, *more: str) -> DataFrame:
     """rows: doc_id, text_hash, text, gone, *more. The same with new_text, n_lines and n_removed instead of text and gone."""
 
     def run(batches):
-        for b in batches:
+        for b in in_slices(batches):
             found = list(zip(*map(_without, b.column("text").to_pylist(), b.column("gone").to_pylist()))) or [(), (), ()]
             made = [pa.array(c, kind) for c, kind in zip(found, (pa.string(), pa.int64(), pa.int64()))]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *made, *[b.column(c) for c in more]], schema.names)

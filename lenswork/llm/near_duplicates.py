@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import discard, load, stored, unused
+from .common import discard, in_slices, load, stored, unused, worker_cache
 from .components import components
 from .trie_join import block_links, links
 
@@ -179,7 +179,8 @@ def _grouped(docs: DataFrame, size: int, similarity: float) -> DataFrame:
     counts = docs.sparkSession.sparkContext.broadcast(shingle_counts(texts, size))
 
     def run(batches):
-        for b in batches:
+        worker_cache("signatures")
+        for b in in_slices(batches):
             ids, sigs, sizes, firsts = [], [], [], []
             for t in b.column(2).to_pylist():
                 s = np.unique(shingle_hashes(t, size).astype(np.uint64))
@@ -219,7 +220,7 @@ def verify(candidates: DataFrame, nodes: DataFrame, docs: DataFrame, size: int,
     """
 
     def sets(batches):
-        for b in batches:
+        for b in in_slices(batches):
             found = [np.unique(shingle_hashes(t, size).astype(np.uint64)) for t in b.column(1).to_pylist()]
             bits = []
             for x in found:
@@ -239,7 +240,7 @@ def verify(candidates: DataFrame, nodes: DataFrame, docs: DataFrame, size: int,
             yield pa.RecordBatch.from_arrays([b.column(c).filter(keep) for c in ("a", "b")], ["a", "b"])
 
     def similar(batches):
-        for b in batches:
+        for b in in_slices(batches):
             keep = []
             for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
                 x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)

@@ -13,13 +13,14 @@ from array import array
 
 import numpy as np
 
+from .common import worker_cache
+
 #: Chunks kept per worker (about 160 MB), and the longest chunk that is kept.
 CACHE_ENTRIES, CACHE_CHARS = 800_000, 40
 #: Chunks in one string for the tokenizer.
 GROUP = 64
 _WHITE = [chr(c) for c in range(0x3001) if chr(c).isspace()]
 _RARE = re.compile("[" + "".join(c for c in _WHITE if c not in " \n") + "]")
-_encoders: dict = {}
 
 
 def _doubtful(text: str) -> bool:
@@ -97,10 +98,10 @@ class Encoder:
 
 def encoder(path: str, leading_space: bool) -> Encoder:
     """One per Python worker and file; workers are used again, so the chunks stay known."""
-    key = (path, leading_space)
-    if key not in _encoders:
-        _encoders[key] = Encoder(path, leading_space)
-    return _encoders[key]
+    encoders, key = worker_cache("tokens"), (path, leading_space)
+    if key not in encoders:
+        encoders[key] = Encoder(path, leading_space)
+    return encoders[key]
 
 
 def in_groups(values: list, most_chars: int = 2_000_000):
