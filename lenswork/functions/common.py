@@ -8,8 +8,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Frames that one task sums up in the two-level running sums.
-BUCKET = 4096
+#: Frames that one task sums up in the two-level running sums, and milliseconds of one camera that one task sorts.
+BUCKET, RANGE_MS = 4096, 600_000
 
 
 def clamp(c: Column, low, high) -> Column:
@@ -37,13 +37,48 @@ def exclusive_sum(df: DataFrame, group: list[str], order: str, value: str, name:
     return rows.select("r.*", F.col("t._start")).withColumn(name, (F.col("_inside") + F.col("_start")).cast("long")).drop("_inside", "_start", "_bucket")
 
 
-def as_of(ticks: DataFrame, events: DataFrame, group: list[str], at: str, order: list[str], packet: list[str]) -> DataFrame:
-    """Each tick with the columns `packet` of the last event at or before it (nulls before the first)."""
+def _with_range_row(rows: DataFrame, ranges: DataFrame, group: list[str], *columns: str) -> DataFrame:
+    """rows with the columns of their range's row (one for each group and _bucket)."""
+    on = [F.col(f"r.{c}").eqNullSafe(F.col(f"t.{c}")) for c in [*group, "_bucket"]]
+    return rows.alias("r").join(ranges.alias("t"), on).select("r.*", *[f"t.{c}" for c in columns])
+
+
+def numbered(df: DataFrame, group: list[str], order: list[str], width: int, name: str) -> DataFrame:
+    """Adds 1, 2, ... per group by `order`, as row_number does, but sorts ranges of `width` of its first column apart."""
+    rows = df.withColumn("_bucket", F.floor(F.col(order[0]) / F.lit(width)))
+    ranges = rows.groupBy(*group, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy(*group).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = ranges.withColumn("_start", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    rows = rows.withColumn("_place", F.row_number().over(Window.partitionBy(*group, "_bucket").orderBy(*order)))
+    rows = _with_range_row(rows, ranges, group, "_start")
+    return rows.withColumn(name, (F.col("_start") + F.col("_place")).cast("long")).drop("_start", "_place", "_bucket")
+
+
+def previous(df: DataFrame, group: list[str], order: str, value: str, width: int, name: str) -> DataFrame:
+    """Adds `value` of the group's row before, as lag does; a range of `width` orders gets one row of the range before."""
+    rows, held = df.withColumn("_bucket", F.floor(F.col(order) / F.lit(width))), F.struct(F.col(value).alias("v"))
+    ranges = rows.groupBy(*group, "_bucket").agg(F.max_by(held, order).alias("_end"))
+    ranges = ranges.withColumn("_carried", F.lag("_end").over(Window.partitionBy(*group).orderBy("_bucket")))
+    rows = rows.withColumn("_inside", F.lag(held).over(Window.partitionBy(*group, "_bucket").orderBy(order)))
+    rows = _with_range_row(rows, ranges, group, "_carried")
+    return rows.withColumn(name, F.coalesce("_inside", "_carried")["v"]).drop("_inside", "_carried", "_bucket")
+
+
+def as_of(ticks: DataFrame, events: DataFrame, group: list[str], at: str, order: list[str], packet: list[str], width: int = RANGE_MS) -> DataFrame:
+    """Each tick with the columns `packet` of the last event at or before it (nulls before the first).
+
+    Ranges of `width` are sorted apart; each gets the last event before it, of which there is one.
+    """
     e = events.select(*group, F.col(at).alias("_at"), F.lit(0).alias("_kind"), *[F.col(c).alias(f"_o{i}") for i, c in enumerate(order)], F.struct(*packet).alias("_packet"))
     t = ticks.select(*group, F.col(at).alias("_at"), F.lit(1).alias("_kind"))
-    w = Window.partitionBy(*group).orderBy("_at", "_kind", *[f"_o{i}" for i in range(len(order))]).rowsBetween(Window.unboundedPreceding, 0)
-    both = e.unionByName(t, allowMissingColumns=True)
+    both = e.unionByName(t, allowMissingColumns=True).withColumn("_bucket", F.floor(F.col("_at") / F.lit(width))).repartition(*group, "_bucket")
+    place = [f"_o{i}" for i in range(len(order))]
+    ranges = both.groupBy(*group, "_bucket").agg(F.max_by("_packet", F.when(F.col("_kind") == 0, F.struct("_at", *place))).alias("_end"))
+    earlier = Window.partitionBy(*group).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = ranges.withColumn("_carried", F.last("_end", ignorenulls=True).over(earlier))
+    w = Window.partitionBy(*group, "_bucket").orderBy("_at", "_kind", *place).rowsBetween(Window.unboundedPreceding, 0)
     found = both.withColumn("_packet", F.last("_packet", ignorenulls=True).over(w)).filter("_kind = 1")
+    found = _with_range_row(found, ranges, group, "_carried").withColumn("_packet", F.coalesce("_packet", "_carried"))
     return found.select(*group, F.col("_at").alias(at), *[F.col(f"_packet.{c}").alias(c) for c in packet])
 
 

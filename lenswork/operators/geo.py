@@ -153,8 +153,14 @@ def score_color(score: Column) -> Column:
     return F.concat(F.lit("#"), byte(r), byte(g), byte(F.lit(0.0)))
 
 
+def _fixed(c: Column, digits: int) -> Column:
+    """So many decimals of the exact value; an exact half, which only odd multiples of a power of two are, away from zero."""
+    tie = F.abs(c * 2 ** (digits + 1)) % 2 == 1
+    return F.call_function("format_number", F.when(tie, c + F.signum(c) * 1e-9).otherwise(c), F.lit("0." + "0" * digits))
+
+
 def detection_key(u: Column, v: Column, score: Column) -> Column:
-    return F.format_string("%.3f:%.3f:%.2f", u, v, score)
+    return F.concat_ws(":", _fixed(u, 3), _fixed(v, 3), _fixed(score, 2))
 
 
 def rig_frustum(cameras: DataFrame, fov: float = FIELD_OF_VIEW, far: float = FAR) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.common import BUCKET, numbered
 from .geo import global_pixels
 
 #: Earth radii in m (distances, areas), pixels around a marker, cluster cells and the zoom that ends them.
@@ -76,27 +77,38 @@ def _edges(vertices: DataFrame, key: str) -> DataFrame:
 def point_in_zone(points: DataFrame, vertices: DataFrame, point: str = "marker_id", zone: str = "zone_id") -> DataFrame:
     """Pairs of points and zones (vertices: zone, ring, vtx, lat, lng) with the point inside ring 0 and outside of the others.
 
-    Pairs come from a join on one-degree cells of latitude under the zone's bounds; a ray's crossings
-    of a ring's edges decide by their parity, summed per (point, zone, ring).
+    Pairs come from a join on one-degree cells under the zone's bounds. A zone's edges are one array, and the
+    parity of a ray's crossings of a ring decides within the row; so points can be a stream.
     """
-    box = bounds(vertices.filter("ring = 0"), zone).drop("center_lat", "center_lng")
-    cells = box.withColumn("cell", F.explode(F.sequence(F.floor("south"), F.floor("north"))))
-    p = points.select(point, F.col("lat").alias("plat"), F.col("lng").alias("plng"), F.floor("lat").alias("cell"))
-    near = p.join(cells, "cell").filter("plat between south and north and plng between west and east").select(point, zone, "plat", "plng")
-    rows = near.join(_edges(vertices, zone), zone)
-    dy = F.col("lat0") - F.col("lat")
-    dy = F.when(dy == 0, TINY).otherwise(dy)
-    crosses = ((F.col("lat") > F.col("plat")) != (F.col("lat0") > F.col("plat"))) & (F.col("plng") < (F.col("lng0") - F.col("lng")) * (F.col("plat") - F.col("lat")) / dy + F.col("lng"))
-    rings = rows.groupBy(point, zone, "ring").agg((F.sum(crosses.cast("int")) % 2 == 1).alias("inside"))
-    out = rings.groupBy(point, zone).agg(F.max(F.col("inside") & (F.col("ring") == 0)).alias("outer"), F.max(F.col("inside") & (F.col("ring") > 0)).alias("hole"))
-    return out.filter("outer and not hole").select(point, zone)
+    box = _cells(bounds(vertices.filter("ring = 0"), zone))
+    p = points.select(point, F.col("lat").alias("plat"), F.col("lng").alias("plng"), F.floor("lat").alias("row"), F.floor("lng").alias("column"))
+    near = p.join(box, ["row", "column"]).filter("plat between south and north and plng between west and east").select(point, zone, "plat", "plng")
+    edge = F.struct("ring", "lat", "lng", "lat0", "lng0")
+    shapes = _edges(vertices, zone).groupBy(zone).agg(F.collect_list(edge).alias("edges"))
+    rows = near.join(shapes, zone)
+
+    def crosses(e: Column) -> Column:
+        dy = e["lat0"] - e["lat"]
+        at = (e["lng0"] - e["lng"]) * (F.col("plat") - e["lat"]) / F.when(dy == 0, TINY).otherwise(dy) + e["lng"]
+        return ((e["lat"] > F.col("plat")) != (e["lat0"] > F.col("plat"))) & (F.col("plng") < at)
+
+    crossed = F.transform(F.filter("edges", crosses), lambda e: e["ring"])
+    inside = lambda ring: F.size(F.filter("crossed", lambda r: r == ring)) % 2 == 1
+    hole = F.exists(F.array_distinct("crossed"), lambda r: (r > 0) & inside(r))
+    return rows.withColumn("crossed", crossed).filter(inside(0) & ~hole).select(point, zone)
+
+
+def _cells(box: DataFrame) -> DataFrame:
+    """Bounds, once for each one-degree cell (row, column) that they touch."""
+    over = lambda low, high: F.explode(F.sequence(F.floor(low), F.floor(high)))
+    return box.drop("center_lat", "center_lng").withColumn("row", over("south", "north")).withColumn("column", over("west", "east"))
 
 
 def hit_test(points: DataFrame, markers: DataFrame, shapes: DataFrame, zoom: float) -> DataFrame:
     """Pairs (point_id, overlay_id): markers (overlay_id, lat, lng) within MARKER_PIXELS, shapes (overlay_id, ring, vtx, lat, lng) whose bounds or any ring hold the point.
 
     A ring lies within its shape's bounds, so the bounds decide. Markers meet points in cells of pixels,
-    shapes in cells of latitude.
+    shapes in cells of one degree.
     """
     x, y = global_pixels(F.col("lat"), F.col("lng"), zoom)
     cell = lambda c: F.floor(c / MARKER_PIXELS)
@@ -106,8 +118,8 @@ def hit_test(points: DataFrame, markers: DataFrame, shapes: DataFrame, zoom: flo
     cells = p.withColumn("dx", F.explode(around)).withColumn("dy", F.explode(around)).select("point_id", "px", "py", (cell(F.col("px")) + F.col("dx")).alias("cx"), (cell(F.col("py")) + F.col("dy")).alias("cy"))
     on_marker = cells.join(m.select("overlay_id", "mx", "my", cell(F.col("mx")).alias("cx"), cell(F.col("my")).alias("cy")), ["cx", "cy"])
     on_marker = on_marker.filter(F.pow(F.col("px") - F.col("mx"), 2) + F.pow(F.col("py") - F.col("my"), 2) <= MARKER_PIXELS**2).select("point_id", "overlay_id")
-    box = bounds(shapes, "overlay_id").withColumn("cell", F.explode(F.sequence(F.floor("south"), F.floor("north"))))
-    on_shape = p.withColumn("cell", F.floor("lat")).join(box, "cell").filter("lat between south and north and lng between west and east").select("point_id", "overlay_id")
+    box = _cells(bounds(shapes, "overlay_id"))
+    on_shape = p.withColumns({"row": F.floor("lat"), "column": F.floor("lng")}).join(box, ["row", "column"]).filter("lat between south and north and lng between west and east").select("point_id", "overlay_id")
     return on_marker.unionByName(on_shape).distinct()
 
 
@@ -124,10 +136,10 @@ def filter_overlays(df: DataFrame, kind: str) -> DataFrame:
 
 def auto_label(df: DataFrame) -> DataFrame:
     """Numbers per type by time of creation: POINT 001, ROUTE 1, ZONE 1, BOX 1, LINK 1, else ENTITY 1."""
-    n = F.row_number().over(Window.partitionBy("type").orderBy("created", "overlay_id"))
+    n = F.col("_nth")
     name = F.when(F.col("type") == "polyline", "ROUTE").when(F.col("type") == "polygon", "ZONE").when(F.col("type") == "rectangle", "BOX").when(F.col("type") == "connector", "LINK").otherwise("ENTITY")
     label = F.when(F.col("type") == "marker", F.format_string("POINT %03d", n)).otherwise(F.format_string("%s %d", name, n))
-    return df.withColumn("auto_label", label)
+    return numbered(df, ["type"], ["created", "overlay_id"], BUCKET, "_nth").withColumn("auto_label", label).drop("_nth")
 
 
 def anchors(markers: DataFrame, routes: DataFrame, zones: DataFrame, mode: str = "polyline-mid") -> DataFrame:

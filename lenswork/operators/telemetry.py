@@ -12,8 +12,11 @@ STAGE_METRIC, STAGES, ERROR_METRIC = "vision_stage_latency_seconds", ["capture",
 
 
 def aggregate_metrics(df: DataFrame, quantiles: tuple[float, ...] = QUANTILES) -> DataFrame:
-    """metrics (name, kind, label_key, label_val, value, ts, seq): counters' sums, gauges' last values, histograms' count, sum and quantiles."""
-    at = F.percentile("value", F.array(*map(F.lit, quantiles)))
+    """metrics (name, kind, label_key, label_val, value, ts, seq): counters' sums, gauges' last values, histograms' count, sum and quantiles.
+
+    Quantiles are exact: a series' distinct values, not its rows, meet in one task, for histograms only.
+    """
+    at = F.percentile(F.when(F.col("kind") == "histogram", F.col("value")), F.array(*map(F.lit, quantiles)))
     rows = df.groupBy("name", "kind", "label_key", "label_val").agg(F.count(F.lit(1)).alias("count"), F.sum("value").alias("_sum"), F.max_by("value", F.struct("ts", "seq")).alias("_last"), at.alias("_q"))
     out = rows.withColumn("value", F.when(F.col("kind") == "gauge", F.col("_last")).otherwise(F.col("_sum")))
     q = [F.when(F.col("kind") == "histogram", F.col("_q")[i]).alias(f"p{round(100 * x)}") for i, x in enumerate(quantiles)]
@@ -25,15 +28,10 @@ def stage_latency(df: DataFrame) -> DataFrame:
     return df.groupBy("stage").agg(F.count(F.lit(1)).alias("n"), *[F.percentile("value", F.lit(x)).alias(f"p{round(100 * x)}") for x in QUANTILES])
 
 
-def pair_spans(events: DataFrame) -> DataFrame:
-    """Last-in-first-out pairs of begins (`b`) and ends (`e`) of an id, by windows alone.
-
-    An end is an orphan (and goes) where the running sum of begins less ends reaches a new low under zero. Below
-    the rest, a begin and the next event at its depth belong together if that is an end. Ends without an id stay
-    alone. Adds pair (idx of the partner), span_id (a begin's number in file order, also on its end).
-    """
+def _paired(events: DataFrame) -> DataFrame:
+    """What pair_spans gives, with the partner's thread and time; windows give them, so no join meets unpaired events."""
     rows = events.filter("ph in ('b', 'e')").withColumn("tid", F.coalesce("tid", F.lit(0)))
-    free = rows.filter("ph = 'e' and id is null").select("idx", "ph", "id", "tid", "ts", "name", F.lit(None).cast("long").alias("pair"))
+    free = rows.filter("ph = 'e' and id is null").select("idx", "ph", "id", "tid", "ts", "name", *[F.lit(None).cast(t).alias(n) for n, t in (("pair", "long"), ("other_tid", "int"), ("other_ts", events.schema["ts"].dataType))])
     rows = rows.filter("ph = 'b' or id is not null")
     w = Window.partitionBy("id").orderBy("idx").rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumn("raw", F.sum(F.when(F.col("ph") == "b", 1).otherwise(-1)).over(w))
@@ -44,15 +42,23 @@ def pair_spans(events: DataFrame) -> DataFrame:
     rows = rows.withColumn("depth", F.col("raw") - F.col("floor") + F.when(F.col("ph") == "e", 1).otherwise(0))
     at = Window.partitionBy("id", "depth").orderBy("idx")
     after, before = F.lead("ph").over(at), F.lag("ph").over(at)
-    pair = F.when((F.col("ph") == "b") & (after == "e"), F.lead("idx").over(at)).when((F.col("ph") == "e") & (before == "b"), F.lag("idx").over(at))
-    return rows.select("idx", "ph", "id", "tid", "ts", "name", pair.alias("pair")).unionByName(free)
+    of = lambda c: F.when((F.col("ph") == "b") & (after == "e"), F.lead(c).over(at)).when((F.col("ph") == "e") & (before == "b"), F.lag(c).over(at))
+    return rows.select("idx", "ph", "id", "tid", "ts", "name", of("idx").alias("pair"), of("tid").alias("other_tid"), of("ts").alias("other_ts")).unionByName(free)
+
+
+def pair_spans(events: DataFrame) -> DataFrame:
+    """Last-in-first-out pairs of begins (`b`) and ends (`e`) of an id, by windows alone.
+
+    An end is an orphan (and goes) where the running sum of begins less ends reaches a new low under zero. Below
+    the rest, a begin and the next event at its depth belong together if that is an end. Ends without an id stay
+    alone. Adds pair (idx of the partner).
+    """
+    return _paired(events).drop("other_tid", "other_ts")
 
 
 def normalise_trace(events: DataFrame) -> DataFrame:
     """Metadata first, then spans by time: pairs on one thread as B and E without an id, others as b and e; begins before ends at equal times."""
-    paired = pair_spans(events)
-    other = paired.select(F.col("idx").alias("pair"), F.col("tid").alias("other_tid"))
-    rows = paired.join(other, "pair", "left")
+    rows = _paired(events)
     sync = F.col("tid") == F.col("other_tid")
     span = F.when(F.col("pair").isNotNull(), F.least("idx", "pair")).when(F.col("ph") == "b", F.col("idx"))
     spans = rows.select("idx", F.when(sync, F.upper("ph")).otherwise(F.col("ph")).alias("ph"), F.when(~F.coalesce(sync, F.lit(False)), span).alias("id"), "tid", F.coalesce("ts", F.lit(0)).alias("ts"), "name")
@@ -69,9 +75,7 @@ def trace_order() -> list:
 
 def span_durations(events: DataFrame) -> DataFrame:
     """Count, mean and longest duration of the paired spans by name of the begin."""
-    p = pair_spans(events)
-    ends = p.filter("ph = 'e'").select(F.col("idx").alias("pair"), F.col("ts").alias("end_ts"))
-    rows = p.filter("ph = 'b'").join(ends, "pair").withColumn("d", F.col("end_ts") - F.col("ts"))
+    rows = _paired(events).filter("ph = 'b' and pair is not null").withColumn("d", F.col("other_ts") - F.col("ts"))
     return rows.groupBy("name").agg(F.count(F.lit(1)).alias("n"), F.sum("d").alias("total"), F.max("d").alias("longest"))
 
 

@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.common import as_of, exclusive_sum, keys_of
+from ..functions.common import BUCKET, RANGE_MS, as_of, exclusive_sum, keys_of, numbered, previous
 
 #: Weight of the newest rate, depth of the history, tick lengths in ms.
 ALPHA, HISTORY, MJPEG_TICK, SSE_TICK, FPS_WINDOW = 0.1, 64, 33, 250, 1000
@@ -14,17 +14,19 @@ CHUNK = 10_000
 
 
 def number_frames(df: DataFrame, order: tuple[str, ...] = ("ts_ms", "event_id")) -> DataFrame:
-    """1, 2, ... per run and camera in order of arrival; frames that are dropped later keep their numbers."""
-    return df.withColumn("frame_number", F.row_number().over(Window.partitionBy(*keys_of(df)).orderBy(*order)).cast("long"))
+    """1, 2, ... per run and camera in order of arrival; frames that are dropped later keep their numbers.
+
+    The first column of the order is a time in ms; ranges of it are sorted apart, so a camera is many tasks.
+    """
+    return numbered(df, keys_of(df), list(order), RANGE_MS, "frame_number")
 
 
 def frame_interval(df: DataFrame, start_ms: str | None = None) -> DataFrame:
     """Seconds since the frame before, null unless above 0; the first one counts from start_ms, if there is such a column."""
-    w = Window.partitionBy(*keys_of(df)).orderBy("frame_number")
-    before = F.lag("ts_ms").over(w)
-    before = F.coalesce(before, F.col(start_ms)) if start_ms else before
+    rows = previous(df, keys_of(df), "frame_number", "ts_ms", BUCKET, "_before")
+    before = F.coalesce(F.col("_before"), F.col(start_ms)) if start_ms else F.col("_before")
     dt = (F.col("ts_ms") - before) / F.lit(1000.0)
-    return df.withColumn("interval_s", F.when(dt > 0, dt))
+    return rows.withColumn("interval_s", F.when(dt > 0, dt)).drop("_before")
 
 
 def smoothed_fps(df: DataFrame, alpha: float = ALPHA) -> DataFrame:
@@ -140,6 +142,7 @@ def window_fps(df: DataFrame, window_ms: int = FPS_WINDOW) -> DataFrame:
 
     After a silence of more than window_ms the next frame closes the window whenever it began. So the sessions
     between such silences are folded apart, and a session's first close needs one row of the session before.
+    A camera that is never silent is one session, and so one task: each close depends on the one before.
     """
     keys = keys_of(df)
     order = Window.partitionBy(*keys).orderBy("ts_ms", "frame_number")
@@ -176,5 +179,5 @@ def tumbling_fps(df: DataFrame, window: str = "1 second") -> DataFrame:
 
 def micro_batches(df: DataFrame, size: int) -> DataFrame:
     """Groups of at most `size` frames in order."""
-    w = Window.partitionBy(*keys_of(df)).orderBy("frame_number")
-    return df.withColumn("batch", F.floor((F.row_number().over(w) - 1) / size))
+    rows = numbered(df, keys_of(df), ["frame_number"], BUCKET, "_nth")
+    return rows.withColumn("batch", F.floor((F.col("_nth") - 1) / size)).drop("_nth")

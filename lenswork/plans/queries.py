@@ -75,6 +75,17 @@ def chain(preds: DataFrame) -> DataFrame:
     return D.detect_chain(preds, DET, (SRC_W, SRC_H))
 
 
+CLAMPED = {"x - w / 2": "greatest(0, least(639, x - w / 2))", "y - h / 2": "greatest(0, least(639, y - h / 2))", "x + w / 2": "greatest(0, least(639, x + w / 2))", "y + h / 2": "greatest(0, least(639, y + h / 2))"}
+KEPT_CPU = KEPT.replace("order by score desc, pred_idx) r", "order by pred_idx) r")
+for _plain, _clamped in CLAMPED.items():
+    KEPT_CPU = KEPT_CPU.replace(_plain, _clamped)
+
+
+@query("cpu_detections", KEPT_CPU + "select frame_number, det_idx, pred_idx, class, x1, y1, x2, y2, track_id from c", "raw_preds", recursive=True)
+def _(p):
+    return D.detect_chain(p, DET, (SRC_W, SRC_H), mode="cpu").select("frame_number", "det_idx", "pred_idx", "class", *D.BOX, "track_id")
+
+
 @query("confidence_filter", "select * from raw_preds where score >= 0.25", "raw_preds")
 def _(p):
     return D.filter_confidence(p)
@@ -183,6 +194,38 @@ def _(f):
     return D.frame_info_text(rows).select("camera_id", "frame_number", "info_text", "info_x", "info_y")
 
 
+@query(
+    "event_stream",
+    KEPT + """, m as (select frame_number, string_agg('{"class":"' || class || '","score":' || score || ',"bbox":[' || x1 || ',' || y1 || ',' || x2 || ',' || y2 || '],"track_id":' || track_id || '}', ',' order by det_idx) items from c group by 1)
+    select 'id: ' || frame_number || chr(10) || 'data: {"timestamp_ms":' || (frame_number * 33) || ',"frame_number":' || frame_number || ',"fps":30.0,"detections":[' || coalesce(items, '') || ']}' as value
+    from (select distinct frame_number from raw_preds) left join m using (frame_number)""",
+    "raw_preds",
+    recursive=True,
+)
+def _(p):
+    frames = p.select("frame_number").distinct().withColumns({"ts_ms": F.col("frame_number") * 33, "fps": F.lit(30.0)})
+    return records.to_sse(records.to_detections_json(chain(p), frames))
+
+
+@query(
+    "source_catalog",
+    """with u as (select c_custkey k, case c_custkey % 6 when 0 then 'rtsp://cam' || c_custkey || '.example/live' when 1 then 'udp://10.0.0.' || c_custkey % 250 || ':' || (5000 + c_custkey) || '?pt=' || c_custkey % 128 || '&sprop=x' || c_custkey
+      when 2 then 'udp://:' || (c_custkey % 80000) when 3 then '/dev/video' || c_custkey when 4 then cast(c_custkey as varchar) else c_name end uri from customer)
+    select k, uri, case k % 6 when 0 then 'rtsp' when 1 then 'udp' when 2 then 'udp' else 'device' end kind, case when k % 6 in (3, 4) then cast(k as int) end device_index,
+      case k % 6 when 1 then '10.0.0.' || k % 250 when 2 then '0.0.0.0' end host,
+      case when k % 6 = 1 and 5000 + k <= 65535 then cast(5000 + k as int) when k % 6 = 2 and k % 80000 <= 65535 then cast(k % 80000 as int) end port,
+      case k % 6 when 1 then cast(k % 128 as varchar) when 2 then '96' end payload, case when k % 6 = 1 then 'x' || k end sprop,
+      case when k % 6 = 1 and 5000 + k > 65535 or k % 6 = 2 and k % 80000 > 65535 then 'invalid port' end as error from u""",
+    "customer",
+)
+def _(c):
+    uri = F.expr(
+        """case c_custkey % 6 when 0 then concat('rtsp://cam', c_custkey, '.example/live') when 1 then concat('udp://10.0.0.', c_custkey % 250, ':', 5000 + c_custkey, '?pt=', c_custkey % 128, '&sprop=x', c_custkey)
+        when 2 then concat('udp://:', c_custkey % 80000) when 3 then concat('/dev/video', c_custkey) when 4 then cast(c_custkey as string) else c_name end"""
+    )
+    return records.source_catalog(c.select(F.col("c_custkey").alias("k"), uri.alias("uri")))
+
+
 # timelines
 
 DT = "w as (select *, case when ts_ms > lag(ts_ms) over o then (ts_ms - lag(ts_ms) over o) / cast(1000 as double) end interval_s from frames window o as (partition by camera_id order by frame_number))"
@@ -344,6 +387,20 @@ def _(m):
     return rounded(T.aggregate_metrics(m), "value", "p50", "p95", "p99")
 
 
+@query(
+    "metric_lines",
+    """with q as (select name, kind, case when label_key = 'none' then '' else label_key || '="' || label_val || '"' end l, count(*) n, sum(value) s, arg_max(value, {'ts': ts, 'seq': seq}) g, quantile_cont(value, [0.5, 0.95, 0.99]) q from metrics group by name, kind, label_key, label_val),
+    b as (select *, case when l = '' then '' else '{' || l || '}' end lb, case when l = '' then '' else l || ',' end lq from q)
+    select name || lb || ' ' || case kind when 'gauge' then g else s end as value from b where kind <> 'histogram'
+    union all select name || '{' || lq || 'quantile="' || unnest(['0.5', '0.95', '0.99']) || '"} ' || unnest([round(q[1], 6), round(q[2], 6), round(q[3], 6)]) from b where kind = 'histogram'
+    union all select name || '_sum' || lb || ' ' || s from b where kind = 'histogram'
+    union all select name || '_count' || lb || ' ' || n from b where kind = 'histogram'""",
+    "metrics",
+)
+def _(m):
+    return records.to_prometheus(rounded(T.aggregate_metrics(m), "p50", "p95", "p99"))
+
+
 @query("stage_latency", "select label_val stage, count(*) n, round(quantile_cont(value, 0.5), 6) p50, round(quantile_cont(value, 0.95), 6) p95, round(quantile_cont(value, 0.99), 6) p99 from metrics where name = 'vision_stage_latency_seconds' group by 1", "metrics")
 def _(m):
     rows = m.filter(F.col("name") == T.STAGE_METRIC).select(F.col("label_val").alias("stage"), "value")
@@ -380,6 +437,18 @@ def _(e):
     return T.normalise_trace(e)
 
 
+@query(
+    "trace_lines",
+    PAIRS + """, r as (select p.*, o.tid other from p left join p o on p.pair = o.idx),
+    s as (select case when tid = other then upper(ph) else ph end ph, case when tid = other then null when pair is not null then least(idx, pair) when ph = 'b' then idx end id, tid, coalesce(ts, 0) ts, name from r
+      union all select ph, id, tid, coalesce(ts, 0), name from trace_events where ph not in ('b', 'e'))
+    select '{"ph":"' || ph || '"' || coalesce(',"id":' || id, '') || coalesce(',"tid":' || tid, '') || ',"ts":' || ts || coalesce(',"name":"' || name || '"', '') || '}' as value from s""",
+    "trace_events",
+)
+def _(e):
+    return files.trace_lines(T.normalise_trace(e))
+
+
 @query("span_durations", PAIRS + "select p.name, count(*) n, sum(e.ts - p.ts) total, max(e.ts - p.ts) longest from p join p e on e.idx = p.pair where p.ph = 'b' group by 1", "trace_events")
 def _(e):
     return T.span_durations(e)
@@ -476,6 +545,16 @@ def _(p):
     return rows.select("frame_number", "pred_idx", "u", "v", "box_w", "box_h", "world_x", "world_z", "azimuth", "wind")
 
 
+@query(
+    "detection_keys",
+    """select frame_number, pred_idx, printf('%.3f', case when u * 16 % 2 = 1 then u + 1e-9 else u end) || ':' || printf('%.3f', case when v * 16 % 2 = 1 then v + 1e-9 else v end) || ':' || printf('%.2f', case when score * 8 % 2 = 1 then score + 1e-9 else score end) as key
+    from (select frame_number, pred_idx, x / 640.0 u, y / 640.0 v, score from raw_preds)""",
+    "raw_preds",
+)
+def _(p):
+    return p.select("frame_number", "pred_idx", G.detection_key(F.col("x") / 640.0, F.col("y") / 640.0, F.col("score")).alias("key"))
+
+
 @query("bbox_size", "select frame_number, pred_idx, w, h from raw_preds", "raw_preds")
 def _(p):
     w, h = G.bbox_size(F.array("x1", "y1", "x2", "y2"))
@@ -540,21 +619,36 @@ def _(m, z):
     return O.point_in_zone(m, z)
 
 
-@query(
-    "hit_test",
-    """with p as (select marker_id point_id, lat + 0.02 lat, lng + 0.02 lng from markers),
+HITS = """with p as (select marker_id point_id, lat + 0.02 lat, lng + 0.02 lng from markers),
     x as (select point_id, lat, lng, (lng + 180) / 360 * 256 * 64 px, (0.5 - ln((1 + sin(radians(lat))) / (1 - sin(radians(lat)))) / (4 * pi())) * 256 * 64 py from p),
     y as (select marker_id, (lng + 180) / 360 * 256 * 64 mx, (0.5 - ln((1 + sin(radians(lat))) / (1 - sin(radians(lat)))) / (4 * pi())) * 256 * 64 my from markers),
     b as (select zone_id + 1000000 id, min(lat) s, max(lat) n, min(lng) w, max(lng) e from zone_vertices group by 1)
     select point_id, marker_id overlay_id from x, y where pow(px - mx, 2) + pow(py - my, 2) <= 256
-    union select point_id, id from x, b where lat between s and n and lng between w and e""",
+    union select point_id, id from x, b where lat between s and n and lng between w and e"""
+
+
+def hits(m, z):
+    points = m.select(F.col("marker_id").alias("point_id"), (F.col("lat") + 0.02).alias("lat"), (F.col("lng") + 0.02).alias("lng"))
+    shapes = z.select((F.col("zone_id") + 1000000).alias("overlay_id"), "ring", "vtx", "lat", "lng")
+    return O.hit_test(points, m.withColumnRenamed("marker_id", "overlay_id"), shapes, 6)
+
+
+@query("hit_test", HITS, "markers", "zone_vertices")
+def _(m, z):
+    return hits(m, z)
+
+
+@query(
+    "overlays_at",
+    "with " + HITS[5:].replace("\n    select point_id, marker_id overlay_id from x, y", ",\n    h as (select point_id, marker_id overlay_id from x, y") + """)
+    select point_id, list(overlay_id order by overlay_id * 7919 % 10007, overlay_id) overlays from h group by point_id""",
     "markers",
     "zone_vertices",
 )
 def _(m, z):
-    points = m.select(F.col("marker_id").alias("point_id"), (F.col("lat") + 0.02).alias("lat"), (F.col("lng") + 0.02).alias("lng"))
-    shapes = z.select((F.col("zone_id") + 1000000).alias("overlay_id"), "ring", "vtx", "lat", "lng")
-    return O.hit_test(points, m.withColumnRenamed("marker_id", "overlay_id"), shapes, 6)
+    found = hits(m, z)
+    order = found.select("overlay_id").distinct().withColumn("created", F.col("overlay_id") * 7919 % 10007)
+    return O.overlays_at(found, order)
 
 
 STATE = "select overlay_id, op_id, type, ts from (select *, row_number() over (partition by overlay_id order by op_id desc) r from overlay_log) where r = 1 and op <> 'delete'"
@@ -640,6 +734,12 @@ def _(m):
 
 # arrays and the classifier
 
+@query("normalised_pixels", "select vec_id, list_transform(embedding, lambda x: greatest(0, least(255, round(128 + cast(x as double) * 400))) / 255) pixels from embeddings", "embeddings")
+def _(e):
+    grey = F.transform("embedding", lambda x: F.greatest(F.lit(0.0), F.least(F.lit(255.0), F.round(128 + x.cast("double") * 400))))
+    return e.select("vec_id", M.normalise_pixels(grey).alias("pixels"))
+
+
 @query("add_vectors", "select vec_id, list_transform(embedding, lambda x, i: round(cast(x as double) + cast(embedding[65 - i] as double), 6) + 0.0) total from embeddings", "embeddings")
 def _(e):
     total = M.add_vectors(F.col("embedding").cast("array<double>"), F.reverse(F.col("embedding").cast("array<double>")))
