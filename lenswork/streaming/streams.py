@@ -1,7 +1,7 @@
 """Structured Streaming forms of the operators that keep something between batches.
 
-Stateless operators (confidence filter, boxes, labels, bearings, message readers) take a streaming DataFrame as
-they are; aggregate_metrics does too, in complete or update mode. Those here keep state per camera in Spark's
+Stateless operators (confidence filter, boxes, labels, bearings, message readers, points of point_in_zone against
+fixed zones) take a streaming DataFrame as they are; aggregate_metrics does too, in complete or update mode. Those here keep state per camera in Spark's
 state store, or fold each batch into a small stored table (`fold_into`).
 """
 
@@ -17,7 +17,7 @@ from pyspark.sql.streaming.state import GroupStateTimeout
 from ..functions.common import keys_of, shared_path
 from ..operators.detection import detect_chain
 from ..operators.health import STALL
-from ..operators.timeline import ALPHA, HISTORY, frame_history, latest_frame
+from ..operators.timeline import ALPHA, FPS_WINDOW, HISTORY, frame_history, latest_frame
 
 
 def _typed(df: DataFrame, columns: list[str]) -> str:
@@ -98,6 +98,50 @@ def inflight_stream(dispatch: DataFrame, done: DataFrame, within: str = "30 seco
     return a.join(b, on, "full_outer").select(*both, status.alias("status"), (F.col("done_ms") - F.col("sent_ms")).alias("latency_ms"))
 
 
+def window_rates(frames: DataFrame, window_ms: int = FPS_WINDOW) -> DataFrame:
+    """As window_fps: rows (keys, ts_ms, fps), one for each window that a frame closes. A camera's state is its window's start and count."""
+    keys = keys_of(frames)
+
+    def step(key, pdfs, state):
+        start, n = state.get if state.exists else (None, 0)
+        out = []
+        for ts in map(int, _one_frame(pdfs, ["ts_ms", "frame_number"]).ts_ms):
+            start, n = ts if start is None else start, n + 1
+            if ts - start > window_ms:
+                out.append((*key, ts, n * 1000 / (ts - start)))
+                start, n = ts, 0
+        state.update((start, n))
+        yield pd.DataFrame(out, columns=[*keys, "ts_ms", "fps"])
+
+    rows = frames.select(*keys, "ts_ms", "frame_number").groupBy(*keys)
+    return rows.applyInPandasWithState(step, f"{_typed(frames, keys)}, ts_ms long, fps double", "start long, n long", "append", GroupStateTimeout.NoTimeout)
+
+
+def lost_frames(captured: DataFrame, dispatched: DataFrame) -> DataFrame:
+    """As dropped_frames: rows (keys, frame_number, dropped_total) once a later frame of the camera is dispatched.
+
+    Frames are dispatched in the order of their numbers. A camera's state is its total, the highest number
+    dispatched, and the numbers that only one of the two streams has told yet; dropped_total counts in the order found.
+    """
+    keys = keys_of(captured)
+
+    def step(key, pdfs, state):
+        total, high, waiting, early = state.get if state.exists else (0, -1, [], [])
+        pdf = pd.concat(list(pdfs))
+        sent = {int(n) for n in pdf.frame_number[pdf["sent"]]} | set(early)
+        seen = {int(n) for n in pdf.frame_number[~pdf["sent"]]} | set(waiting)
+        high = max([high, *sent])
+        lost = sorted(n for n in seen - sent if n < high)
+        out = [(*key, n, total + k) for k, n in enumerate(lost, 1)]
+        state.update((total + len(lost), high, sorted(n for n in seen - sent if n > high), sorted(sent - seen)))
+        yield pd.DataFrame(out, columns=[*keys, "frame_number", "dropped_total"])
+
+    told = lambda df, sent: df.select(*keys, "frame_number", F.lit(sent).alias("sent"))
+    rows = told(captured, False).unionByName(told(dispatched, True)).groupBy(*keys)
+    state = "total long, high long, waiting array<long>, early array<long>"
+    return rows.applyInPandasWithState(step, f"{_typed(captured, keys)}, frame_number long, dropped_total long", state, "append", GroupStateTimeout.NoTimeout)
+
+
 def drained(stream: DataFrame, name: str) -> DataFrame:
     """Runs the stream over all that is there, into files of the shared folder, and reads them."""
     spark = stream.sparkSession

@@ -1,6 +1,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
+from lenswork.functions import common as C
 from lenswork.operators import detection as D
 from lenswork.operators import geo as G
 from lenswork.operators import health as H
@@ -175,3 +176,67 @@ def test_boxes_of_every_shape(spark):
     assert centre_and_size(["x1", "y1", "x2", "y2", "x", "y", "w", "h"], (None, 1.0, 2.0, 3.0, 10.0, 10.0, 20.0, 10.0)) == (0.2, 0.3, 20.0, 10.0)
     df = spark.createDataFrame([([10.0, 10.0, 30.0, 20.0],), ([1.0, 2.0],)], "b array<double>")
     assert [r[:] for r in df.select(*G.box_center_uv(df, "b", 100, 50), *G.box_size(df, "b")).collect()] == [(0.2, 0.3, 20.0, 10.0), (0.5, 0.5, 0.0, 0.0)]
+
+
+def test_one_camera_over_many_ranges(spark):
+    import random
+
+    rng = random.Random(3)
+    times = sorted(rng.choice(range(0, 60_000, 7)) for _ in range(400))
+    events = spark.createDataFrame([(t, i) for i, t in enumerate(times)], "ts_ms long, event_id long").repartition(5)
+    got = C.previous(C.numbered(events, [], ["ts_ms", "event_id"], 1000, "n"), [], "n", "ts_ms", 16, "before").orderBy("n").collect()
+    assert [(r.n, r.event_id, r.before) for r in got] == [(i + 1, i, times[i - 1] if i else None) for i in range(400)]
+    ticks = spark.createDataFrame([(t,) for t in range(-500, 61_000, 250)], "ts_ms long")
+    found = C.as_of(ticks, events, [], "ts_ms", ["event_id"], ["event_id"], width=1000).collect()
+    assert len(found) == 246
+    for r in found:
+        assert r.event_id == max((i for i, t in enumerate(times) if t <= r.ts_ms), default=None)
+
+
+def test_preprocess_resizes_by_pixel_centres(spark):
+    rng = np.random.default_rng(1)
+    for (h, w), (th, tw) in (((5, 7), (3, 4)), ((3, 2), (8, 9))):
+        image = rng.integers(0, 256, (h, w, 3), dtype=np.uint8)
+        frame = spark.createDataFrame([(1, bytearray(image.tobytes()), w, h)], "frame_number long, data binary, width int, height int")
+        want = np.zeros((th, tw, 3))
+        for y in range(th):
+            for x in range(tw):
+                fy, fx = (y + 0.5) * h / th - 0.5, (x + 0.5) * w / tw - 0.5
+                y0, x0 = max(0, int(np.floor(fy))), max(0, int(np.floor(fx)))
+                ty, tx = (fy - y0 if fy > 0 else 0.0), (fx - x0 if fx > 0 else 0.0)
+                y1, x1 = min(y0 + 1, h - 1), min(x0 + 1, w - 1)
+                a, b, c, d = (image[p].astype(float) for p in ((y0, x0), (y0, x1), (y1, x0), (y1, x1)))
+                want[y, x] = (a * (1 - tx) + b * tx) * (1 - ty) + (c * (1 - tx) + d * tx) * ty
+        for order in ("rgb", "bgr"):
+            got = P.preprocess(frame, tw, th, order).first()
+            channels = want[:, :, ::-1] if order == "rgb" else want
+            assert np.allclose(np.array(got.tensor).reshape(3, th, tw), channels.transpose(2, 0, 1) / 255)
+            assert np.abs(np.frombuffer(got.resized, np.uint8).reshape(th, tw, 3) - want).max() <= 1
+
+
+def test_image_to_features_like_a_plain_loop(spark):
+    rng = np.random.default_rng(2)
+    h, w, side = 40, 31, M.SIDE
+    image = rng.integers(0, 256, (h, w, 3), dtype=np.uint8)
+    frame = spark.createDataFrame([(1, bytearray(image.tobytes()), w, h)], "frame_number long, data binary, width int, height int")
+    grey = image[:, :, 0] * 0.114 + image[:, :, 1] * 0.587 + image[:, :, 2] * 0.299
+
+    def kernel(x):
+        x = abs(x)
+        return 1.5 * x**3 - 2.5 * x**2 + 1 if x < 1 else -0.5 * x**3 + 2.5 * x**2 - 4 * x + 2 if x < 2 else 0.0
+
+    def weights(n, at):
+        scale = max(1.0, n / side)
+        k = [kernel((i - ((at + 0.5) * n / side - 0.5)) / scale) for i in range(n)]
+        return [x / sum(k) for x in k]
+
+    rows, columns = [weights(h, y) for y in range(side)], [weights(w, x) for x in range(side)]
+    want = [sum(rows[y][i] * sum(columns[x][j] * grey[i, j] for j in range(w) if columns[x][j]) for i in range(h) if rows[y][i]) / 255 for y in range(side) for x in range(side)]
+    got = M.image_to_features(frame).first().features
+    assert len(got) == side * side and np.allclose(got, np.clip(want, 0, 1))
+
+
+def test_detection_key_rounds_exact_values(spark):
+    rows = spark.createDataFrame([(0.0625, -0.0625, 0.125), (0.1875, 0.3, 0.345), (1.0005, 0.0, 1.005)], "u double, v double, s double")
+    got = [r.k for r in rows.coalesce(1).select(G.detection_key(F.col("u"), F.col("v"), F.col("s")).alias("k")).collect()]
+    assert sorted(got) == ["0.063:-0.063:0.13", "0.188:0.300:0.34", "1.000:0.000:1.00"]

@@ -85,3 +85,27 @@ def test_track_ids_go_on(spark, sf, tmp_path):
     columns = ("frame_number", "det_idx", "track_id", "class", "score")
     got = spark.read.parquet(f"{tmp_path}/s/detections")
     assert rows(got, *columns) == rows(D.detect_chain(preds), *columns)
+
+
+def test_window_rates(spark, sf, tmp_path):
+    frames = view(spark, sf, "frames").select("camera_id", "frame_number", "ts_ms")
+    got = ran(S.window_rates(as_stream(spark, frames, f"{tmp_path}/in", "ts_ms")), tmp_path, "out")
+    want = L.window_fps(frames)
+    assert rows(got, "camera_id", "ts_ms", "fps") == rows(want, "camera_id", "ts_ms", "fps") and got.count() > 0
+
+
+@pytest.mark.parametrize("parts", [(2, 5), (5, 2)])
+def test_lost_frames(spark, sf, tmp_path, parts):
+    frames = view(spark, sf, "frames").select("camera_id", "frame_number", "ts_ms")
+    sent = frames.filter("frame_number % 7 <> 3")
+    streams = [as_stream(spark, df, f"{tmp_path}/in{i}", "frame_number", n) for i, (df, n) in enumerate(zip((frames, sent), parts))]
+    got = ran(S.lost_frames(*streams), tmp_path, "out")
+    last = sent.groupBy("camera_id").agg(F.max("frame_number").alias("last"))
+    want = L.dropped_frames(frames, sent).join(last, "camera_id").filter("frame_number < last")
+    assert rows(got, "camera_id", "frame_number", "dropped_total") == rows(want, "camera_id", "frame_number", "dropped_total") and got.count() > 0
+
+
+def test_points_of_a_stream_in_zones(spark, sf, tmp_path):
+    markers, zones = view(spark, sf, "markers"), view(spark, sf, "zone_vertices")
+    got = ran(O.point_in_zone(as_stream(spark, markers, f"{tmp_path}/in", "marker_id"), zones), tmp_path, "out")
+    assert rows(got, "marker_id", "zone_id") == rows(O.point_in_zone(markers, zones), "marker_id", "zone_id") and got.count() > 0
