@@ -10,6 +10,7 @@ from .lm_scoring import OP2_SQL, op2_lm_scoring
 from .near_duplicates import op6_simhash_components
 from .packing import op5_best_fit_packing
 from .phrases import OP12_SQL, op12_phrases
+from .prefix_trie import op13_prefix_trie
 from .substrings import OP1_SQL, op1_substring_dedup
 from .token_output import op9_token_output
 from .warc import op4_warc
@@ -26,5 +27,6 @@ QUERIES = {
     "op9_token_output": op9_token_output,
     "op10_line_dedup": op10_line_dedup,
     "op12_phrases": op12_phrases,
+    "op13_prefix_trie": op13_prefix_trie,
 }
 ORACLE_SQL: dict[str, str] = {"op1_substring_dedup": OP1_SQL, "op2_lm_scoring": OP2_SQL, "op8_decontamination": OP8_SQL, "op12_phrases": OP12_SQL}
