@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from typing import NamedTuple
 
+import numpy as np
 import pyarrow
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -108,3 +110,35 @@ def words(text, pattern: str = SPACES):
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+class Words(NamedTuple):
+    """The words of some texts: the words, the row and the number of the piece of each, and its first and last byte in data."""
+
+    words: pyarrow.LargeStringArray
+    row: np.ndarray
+    piece: np.ndarray
+    first: np.ndarray
+    last: np.ndarray
+    data: bytes
+
+
+def split_words(texts: pyarrow.Array, table: bytes) -> Words:
+    """All words of an Arrow column of texts; the table maps what is between words to a space, what ends a piece to a line feed."""
+    texts = texts.fill_null("")
+    kind = np.int64 if pyarrow.types.is_large_string(texts.type) else np.int32
+    at = np.frombuffer(texts.buffers()[1], kind)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+    data = bytes(memoryview(texts.buffers()[2])[at[0] : at[-1]]) if texts.buffers()[2] else b""
+    raw = np.frombuffer(data.translate(table), np.uint8)
+    starts = at[:-1] - at[0]
+    new = np.zeros(len(raw) + 1, bool)
+    new[starts] = True
+    new[-1] = True
+    gap = (raw == 32) | (raw == 10)
+    first = np.flatnonzero(~gap & (new[:-1] | np.append(True, gap[:-1])[: len(gap)]))
+    last = np.flatnonzero(~gap & (new[1:] | np.append(gap[1:], True)[: len(gap)]))
+    breaks = np.cumsum((raw == 10) | new[:-1])
+    offsets = np.zeros(len(first) + 1, np.int64)
+    np.cumsum(last - first + 1, out=offsets[1:])
+    made = pyarrow.LargeStringArray.from_buffers(len(first), pyarrow.py_buffer(offsets), pyarrow.py_buffer(raw[~gap].tobytes()))
+    return Words(made, np.searchsorted(starts, first, "right") - 1, breaks[first] if len(first) else first, first, last, data)

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import in_slices, load, stored, worker_cache
+from .common import in_slices, load, split_words, stored, worker_cache
 
 LEAST, LONGEST, SHARE, TOP = 10, 3, 50, 2000
 #: The characters that end a piece, those between words, the language of rows without one.
@@ -37,28 +37,6 @@ PART = 1 << 15
 PLAIN = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ" + PIECE_ENDS + BLANKS, b"abcdefghijklmnopqrstuvwxyz" + b"\n" * len(PIECE_ENDS) + b" " * len(BLANKS))
 
 
-def split_words(texts: pa.Array) -> tuple[pa.StringArray, np.ndarray, np.ndarray]:
-    """All words of an Arrow column of texts, the row of each, and the number of its piece."""
-    texts = texts.fill_null("")
-    kind = np.int64 if pa.types.is_large_string(texts.type) else np.int32
-    at = np.frombuffer(texts.buffers()[1], kind)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
-    data = texts.buffers()[2]
-    raw = np.frombuffer(bytes(memoryview(data)[at[0] : at[-1]]).translate(PLAIN) if data else b"", np.uint8)
-    starts = at[:-1] - at[0]
-    new = np.zeros(len(raw) + 1, bool)
-    new[starts] = True
-    new[-1] = True
-    gap = (raw == 32) | (raw == 10)
-    first = np.flatnonzero(~gap & (new[:-1] | np.append(True, gap[:-1])[: len(gap)]))
-    last = np.flatnonzero(~gap & (new[1:] | np.append(gap[1:], True)[: len(gap)]))
-    breaks = np.cumsum((raw == 10) | new[:-1])
-    offsets = np.zeros(len(first) + 1, np.int64)
-    np.cumsum(last - first + 1, out=offsets[1:])
-    values = raw[~gap].tobytes()
-    made = pa.LargeStringArray.from_buffers(len(first), pa.py_buffer(offsets), pa.py_buffer(values))
-    return made, np.searchsorted(starts, first, "right") - 1, breaks[first] if len(first) else first
-
-
 def ranked(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct codes by falling frequency, how often they come, and each code's rank."""
     found, inverse, times = np.unique(codes, return_inverse=True, return_counts=True)
@@ -123,7 +101,7 @@ def marked(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
 
 def _words_of(block: pa.RecordBatch):
     """Ranks of a block's words among its distinct (language, word), these (two lists) and their counts, pieces, and languages with their words' numbers."""
-    words, row, piece = split_words(block.column(0))
+    words, row, piece, *_ = split_words(block.column(0), PLAIN)
     langs = block.column(1).fill_null(NO_LANG).dictionary_encode()
     names = langs.dictionary.to_pylist()
     code = langs.indices.to_numpy(zero_copy_only=False).astype(np.int64)[row] if len(row) else np.zeros(0, np.int64)

@@ -13,6 +13,7 @@ from .phrases import OP12_SQL, op12_phrases
 from .prefix_trie import op13_prefix_trie
 from .substrings import OP1_SQL, op1_substring_dedup
 from .token_output import op9_token_output
+from .toxicity import op11_toxicity
 from .warc import op4_warc
 
 QUERIES = {
@@ -26,6 +27,7 @@ QUERIES = {
     "op8_decontamination": op8_decontamination,
     "op9_token_output": op9_token_output,
     "op10_line_dedup": op10_line_dedup,
+    "op11_toxicity": op11_toxicity,
     "op12_phrases": op12_phrases,
     "op13_prefix_trie": op13_prefix_trie,
 }
