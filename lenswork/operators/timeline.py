@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.common import BUCKET, RANGE_MS, as_of, exclusive_sum, keys_of, numbered, previous
+from ..functions.common import BUCKET, RANGE_MS, as_of, exclusive_sum, following, kept, keys_of, numbered, previous
 
 #: Weight of the newest rate, depth of the history, tick lengths in ms.
 ALPHA, HISTORY, MJPEG_TICK, SSE_TICK, FPS_WINDOW = 0.1, 64, 33, 250, 1000
-CHUNK = 10_000
+CHUNK, TICKS = 10_000, 16_384
 
 
 def number_frames(df: DataFrame, order: tuple[str, ...] = ("ts_ms", "event_id")) -> DataFrame:
@@ -84,9 +85,9 @@ def dropped_frames(captured: DataFrame, dispatched: DataFrame) -> DataFrame:
 
 
 def gaps(dispatched: DataFrame) -> DataFrame:
-    """Missing numbers after each frame that is followed by a gap."""
-    w = Window.partitionBy(*keys_of(dispatched)).orderBy("frame_number")
-    return dispatched.withColumn("missing", F.lead("frame_number").over(w) - F.col("frame_number") - 1).filter("missing > 0")
+    """Missing numbers after each frame that is followed by a gap; ranges of numbers are looked at apart."""
+    rows = following(dispatched, keys_of(dispatched), "frame_number", "frame_number", BUCKET, "_next")
+    return rows.withColumn("missing", F.col("_next") - F.col("frame_number") - 1).filter("missing > 0").drop("_next")
 
 
 def inflight(dispatch: DataFrame, done: DataFrame) -> DataFrame:
@@ -127,48 +128,89 @@ def frame_lookup(requests: DataFrame, df: DataFrame, n: int = HISTORY, done: str
     return rows.select("request_id", *keys, "frame_number", F.when(F.col("any"), 200).otherwise(204).alias("status"), F.when(hit, F.col("frame_number")).otherwise(F.col("latest_frame")).alias("sent_frame"), warning.alias("warning"))
 
 
+def ticks(span: DataFrame, step_ms: int) -> DataFrame:
+    """span: keys, lo, hi. Rows (keys, ts_ms): the multiples of step_ms from the one at or before lo to hi; ranges of TICKS ticks are made apart, so no array and no task has a whole timeline."""
+    keys = [c for c in span.columns if c not in ("lo", "hi")]
+    first, last = (F.floor(F.col(c) / F.lit(step_ms)).cast("long") for c in ("lo", "hi"))
+    ranges = span.select(*keys, last.alias("_last"), F.explode(F.sequence(first, last, F.lit(TICKS).cast("long"))).alias("_first"))
+    ranges = ranges.repartition(*keys, "_first")
+    n = F.explode(F.sequence("_first", F.least(F.col("_first") + (TICKS - 1), "_last")))
+    return ranges.select(*keys, n.alias("_n")).select(*keys, (F.col("_n") * step_ms).alias("ts_ms"))
+
+
 def tick_snapshots(df: DataFrame, step_ms: int = SSE_TICK, keep_alive: bool = True) -> DataFrame:
     """At each tick from the first second on the most recent frame; before the first one a null frame (keep_alive) or nothing."""
     keys = keys_of(df)
-    span = df.groupBy(*keys).agg(F.min("ts_ms").alias("lo"), F.max("ts_ms").alias("hi"))
-    low = F.floor(F.col("lo") / step_ms) * step_ms
-    ticks = span.select(*keys, F.explode(F.sequence(low, F.floor(F.col("hi") / step_ms) * step_ms, F.lit(step_ms).cast("long"))).alias("ts_ms"))
-    found = as_of(ticks, df, keys, "ts_ms", ["frame_number"], ["frame_number"])
+    span = df.groupBy(*keys).agg(F.min("ts_ms").alias("lo"), F.max("ts_ms").alias("hi")).filter("lo is not null")
+    found = as_of(ticks(span, step_ms), df, keys, "ts_ms", ["frame_number"], ["frame_number"])
     return found if keep_alive else found.filter(F.col("frame_number").isNotNull())
 
 
 def window_fps(df: DataFrame, window_ms: int = FPS_WINDOW) -> DataFrame:
     """Rate over drifting windows: a window closes on the first frame more than window_ms after the last close.
 
-    After a silence of more than window_ms the next frame closes the window whenever it began. So the sessions
-    between such silences are folded apart, and a session's first close needs one row of the session before.
-    A camera that is never silent is one session, and so one task: each close depends on the one before.
+    Each close depends on the one before, so the closes are a path of pointers: every time points to the first one
+    more than window_ms later. Ranges of a camera's timeline follow the pointers inside them, each by itself, up to
+    the time from which the path leaves the range (its exit). Only exits point on to other ranges; pointer doubling
+    over their small table, a round for each power of two, marks the exits that the path from the first frame
+    meets. A last pass lists the closes in every range from the time at which the path enters it. So a camera that
+    is never silent is as many tasks as it has ranges. Frames without a time are left out.
     """
     keys = keys_of(df)
-    order = Window.partitionBy(*keys).orderBy("ts_ms", "frame_number")
-    silent = F.coalesce(F.col("ts_ms") - F.lag("ts_ms").over(order) > window_ms, F.lit(False)).cast("long")
-    rows = df.select(*keys, "ts_ms", "frame_number").withColumn("_silent", silent).withColumn("session", F.sum("_silent").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["ts_ms", "frame_number"])
-        session, first = int(pdf.session.iloc[0]), int(pdf.ts_ms.iloc[0])
-        out, start, n = [], first, 1 if session == 0 else 0
-        for ts in map(int, pdf.ts_ms.iloc[1:]):
-            n += 1
-            if ts - start > window_ms:
-                out.append((session, ts, n * 1000 / (ts - start), None, None))
-                start, n = ts, 0
-        out.append((session, first, None, start, n))  # how the session ended
-        found = pd.DataFrame(out, columns=["session", "ts_ms", "fps", "start", "n"]).astype({"fps": "float64", "start": "Int64", "n": "Int64"})
-        return found.assign(**{k: pdf[k].iloc[0] for k in keys})[[*keys, *found.columns]]
-
+    width = max(RANGE_MS, window_ms + 1)
+    rows = numbered(df.filter("ts_ms is not null").select(*keys, "ts_ms", "frame_number"), keys, ["ts_ms", "frame_number"], width, "_nth")
+    times = rows.groupBy(*keys, "ts_ms").agg(F.min("_nth").alias("nth")).withColumn("range", F.floor(F.col("ts_ms") / width))
     typed = "".join(f"{k} {df.schema[k].dataType.simpleString()}, " for k in keys)
-    folded = rows.drop("_silent").groupBy(*keys, "session").applyInPandas(run, f"{typed}session long, ts_ms long, fps double, start long, n long")
-    # the last row of the session before, of which there is one each
-    before = F.lag(F.struct("start", "n")).over(Window.partitionBy(*keys, F.col("start").isNull()).orderBy("session"))
-    first = (before["n"] + 1) * F.lit(1000.0) / (F.col("ts_ms") - before["start"])
-    closed = folded.withColumn("fps", F.when(F.col("start").isNull(), F.col("fps")).otherwise(first))
-    return closed.filter("fps is not null").select(*keys, "ts_ms", "fps")
+
+    def inner_path(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("ts_ms", ignore_index=True)
+        ts = pdf.ts_ms.to_numpy(np.int64)
+        after = np.searchsorted(ts, ts + window_ms, "right")
+        leave = np.arange(len(ts))
+        for i in range(len(ts) - 1, -1, -1):
+            if after[i] < len(ts):
+                leave[i] = leave[after[i]]
+        return pdf.assign(exit=ts[leave], exit_nth=pdf.nth.to_numpy()[leave])
+
+    times = kept(times.groupBy(*keys, "range").applyInPandas(inner_path, f"{typed}ts_ms long, nth long, range long, exit long, exit_nth long"), "window-pointers")
+    exits = times.select(*keys, F.col("exit").alias("ts_ms")).distinct()
+    # the first time after an exit's window: looked up backwards on the negative axis
+    beyond = exits.select(*keys, (-(F.col("ts_ms") + window_ms + 1)).alias("_at"))
+    found = as_of(beyond, times.withColumn("_at", -F.col("ts_ms")), keys, "_at", ["nth"], ["ts_ms", "exit"], width).filter("ts_ms is not null")
+    hops = kept(found.select(*keys, (-F.col("_at") - (window_ms + 1)).alias("here"), F.col("ts_ms").alias("enter"), F.col("exit").alias("there")), "window-hops")
+
+    first = times.groupBy(*keys).agg(F.min_by(F.struct("ts_ms", "exit"), "ts_ms").alias("f"))
+    reached = kept(first.select(*keys, F.col("f.exit").alias("here")), "window-exits")
+    leaps = hops.select(*keys, "here", "there")
+    while True:
+        new = kept(reached.join(leaps, [*keys, "here"]).select(*keys, F.col("there").alias("here")), "window-exits")
+        if new.isEmpty():
+            break
+        reached = reached.unionByName(new)
+        onward = leaps.select(*keys, F.col("here").alias("there"), F.col("there").alias("_far"))
+        leaps = kept(leaps.join(onward, [*keys, "there"]).select(*keys, "here", F.col("_far").alias("there")), "window-leaps")
+
+    entered = hops.join(reached, [*keys, "here"]).select(*keys, F.col("enter").alias("entry"), F.col("here").alias("before"))
+    starts = first.select(*keys, F.col("f.ts_ms").alias("entry"), F.lit(None).cast("long").alias("before"))
+    entries = entered.unionByName(starts).withColumn("range", F.floor(F.col("entry") / width))
+    numbers = times.select(*keys, F.col("ts_ms").alias("before"), F.col("nth").alias("before_nth"))
+    entries = entries.join(numbers, [*keys, "before"], "left")
+
+    def closes(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("ts_ms", ignore_index=True)
+        ts, nth, row = pdf.ts_ms.to_numpy(np.int64), pdf.nth.to_numpy(np.int64), pdf.iloc[0]
+        i = int(np.searchsorted(ts, int(row.entry)))
+        begins = pd.isna(row.before)  # the path's first time closes nothing
+        # the frame with which a camera begins counts in its window; any other that begins one is counted before
+        out = [] if begins else [(int(ts[i]), (nth[i] - int(row.before_nth) + (row.before_nth == 1)) * 1000 / (ts[i] - int(row.before)))]
+        extra = 1 if begins else 0
+        while (j := int(np.searchsorted(ts, ts[i] + window_ms, "right"))) < len(ts):
+            out.append((int(ts[j]), (nth[j] - nth[i] + extra) * 1000 / (ts[j] - ts[i])))
+            i, extra = j, 0
+        return pd.DataFrame(out, columns=["ts_ms", "fps"]).astype({"ts_ms": "int64", "fps": "float64"}).assign(**{k: pdf[k].iloc[0] for k in keys})[[*keys, "ts_ms", "fps"]]
+
+    here = times.select(*keys, "range", "ts_ms", "nth").join(entries, [*keys, "range"])
+    return here.groupBy(*keys, "range").applyInPandas(closes, f"{typed}ts_ms long, fps double")
 
 
 def tumbling_fps(df: DataFrame, window: str = "1 second") -> DataFrame:
