@@ -32,6 +32,8 @@ LEAST, LONGEST, SHARE, TOP = 10, 3, 50, 2000
 PIECE_ENDS, BLANKS, NO_LANG = b".,;:!?\n\x0b\x0c\r", b" \t", "und"
 #: Side of a tile, pairs from which a tile is counted by direct address, and bits of a level's bitmap (16 MB).
 TILE, DENSE, BITS = 512, 1 << 14, 1 << 27
+#: Bytes of text in a block: its arrays take some thirty times as much.
+BLOCK = 4 << 20
 #: A bitmap comes in parts of so many bits (what bitmap_construct_agg makes).
 PART = 1 << 15
 PLAIN = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ" + PIECE_ENDS + BLANKS, b"abcdefghijklmnopqrstuvwxyz" + b"\n" * len(PIECE_ENDS) + b" " * len(BLANKS))
@@ -124,7 +126,7 @@ def count_words(docs: DataFrame) -> DataFrame:
 
     def run(batches):
         worker_cache("phrases")
-        for b in in_slices(batches):
+        for b in in_slices(batches, BLOCK):
             _, of_lang, words, times, _, totals = _words_of(b)
             yield pa.RecordBatch.from_arrays([pa.array(of_lang, pa.string()), words.cast(pa.string()), pa.array(times, pa.int64())], ["lang", "word", "n"])
             yield pa.RecordBatch.from_arrays([pa.array(list(totals), pa.string()), pa.nulls(len(totals), pa.string()), pa.array(list(totals.values()), pa.int64())], ["lang", "word", "n"])
@@ -139,7 +141,7 @@ def count_phrases(docs: DataFrame, size: int, bitmaps: list[np.ndarray]) -> Data
 
     def run(batches):
         worker_cache("phrases")
-        for b in in_slices(batches):
+        for b in in_slices(batches, BLOCK):
             rank, of_lang, words, _, piece, _ = _words_of(b)
             keys = _keys(of_lang, words)
             ok = marked(sent.value[0], keys)
