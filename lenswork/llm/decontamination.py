@@ -9,7 +9,10 @@ A hash hit counts only if the words themselves are equal.
 
 Rows: null or wordless texts have no windows; equal rows give equal results; a document id used
 for several texts keeps each text's own hits. An item without words matches nothing; an empty
-benchmark leaves all documents clean, an empty document table gives no rows.
+benchmark leaves all documents clean, an empty document table gives no rows. A null item_id is the empty
+string: such items are one, count in n_items and stand as nothing between the commas of the digested list. Null
+doc_ids are kept apart by their texts. Items' order is that of their ids as strings, so ties don't occur. Texts of
+any length are read whole; other columns, whatever their names, are left as they are.
 """
 
 from __future__ import annotations
@@ -32,7 +35,7 @@ def normalised_words(text):
 
 def benchmark_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """Rows (size, hash, gram, items): every different window and the items that have it."""
-    w = benchmark.select(F.col("item_id").cast("string").alias("item_id"), normalised_words(F.col("text")).alias("w")).filter(F.size("w") > 0)
+    w = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), normalised_words(F.col("text")).alias("w")).filter(F.size("w") > 0)
     size = F.least(F.size("w"), F.lit(window))
     grams = w.select("item_id", F.explode(F.transform(F.sequence(F.lit(1), F.size("w") - size + 1), lambda i: F.slice("w", i, size))).alias("gram"))
     grams = grams.groupBy("gram").agg(F.array_sort(F.collect_set("item_id")).alias("items"))

@@ -2,12 +2,17 @@
 
 A word's script (by code point range) narrows the languages; within them a word's score is the sum of
 log probabilities of its hashed character n-grams. Viterbi over the words' scores, with a penalty for
-each switch, labels spans. The n-gram table is learned from at most about SAMPLE labelled texts for each
-language (picked by a hash of the id, so that the sample is bounded and always the same); its size
-is languages x BUCKETS. The text alone is used for a prediction.
+each switch, labels spans. The n-gram table is learned from at most about SAMPLE different labelled texts for
+each language (picked by a 62-bit hash of id and text, so that the sample is bounded and always the same, and no
+language is without a text however many rows it has). Its size is bounded: languages x BUCKETS numbers up to
+TABLE of them, beyond that fewer buckets. At most MOST_LANGUAGES languages are learned, those with most rows. The
+text alone is used for a prediction.
 
 Rows: a text that is null or has no letter is `und` with score 0; rows without a label teach nothing;
-without any labelled text all are `und`. Repeated rows give equal results.
+without any labelled text all are `und`. A repeated row is learned from once; repeated rows give equal results.
+Null ids and repeated ids are like any other, as the text takes part in the choice. Languages with equal sums are
+taken in the order of their names. Texts of any length are read whole, a few at a time. An empty table gives no
+rows. Other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -24,8 +29,10 @@ SAMPLE, BUCKETS, SIZES, SWITCH, SHARPNESS = 2000, 1 << 16, (1, 2, 3, 4), 6.0, 0.
 LEAST_SHARE = 0.005
 #: Words kept per task (about 100 MB), and words of mixed texts that are labelled together (or one text).
 CACHE_WORDS, TOGETHER = 400_000, 400_000
-#: Languages beyond which learning refuses: the table has BUCKETS numbers for each (32 MB at most in all).
-MOST_LANGUAGES = 128
+#: Languages that are learned at most, and numbers of the n-gram table (32 MB).
+MOST_LANGUAGES, TABLE = 4096, 1 << 23
+#: Share of a language's rows that the sample takes, in so many parts.
+PARTS = 1 << 62
 #: Unicode ranges of scripts (first and last code point).
 SCRIPTS = [
     ("latin", 0x41, 0x24F), ("greek", 0x370, 0x3FF), ("cyrillic", 0x400, 0x52F), ("armenian", 0x530, 0x58F), ("hebrew", 0x590, 0x5FF),
@@ -68,13 +75,21 @@ def grams(found: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(where), np.concatenate(bucket)
 
 
+def buckets_for(languages: int) -> int:
+    """Buckets of the table: BUCKETS, or the largest power of two that keeps it within TABLE numbers."""
+    out = BUCKETS
+    while out * languages > TABLE:
+        out //= 2
+    return out
+
+
 class Model:
     """Table of log probabilities (buckets x languages) and each script's candidates."""
 
     def __init__(self, langs: list[str], counts: np.ndarray, scripts: np.ndarray):
         self.langs = langs
         smooth = counts + 0.5
-        self.table = np.log(smooth / smooth.sum(axis=0)).astype(np.float32) if len(langs) else np.zeros((BUCKETS, 0), np.float32)
+        self.table = np.log(smooth / smooth.sum(axis=0)).astype(np.float32) if len(langs) else np.zeros((len(counts), 0), np.float32)
         self.table -= self.table.mean(axis=1, keepdims=True) if len(langs) else 0
         share = scripts / np.maximum(1, scripts.sum(axis=0))
         self.candidate = share >= LEAST_SHARE
@@ -83,6 +98,7 @@ class Model:
     def word_scores(self, found: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Scores (words x languages) and letters of words."""
         where, bucket = grams(found)
+        bucket %= len(self.table)
         out = np.stack([np.bincount(where, self.table[bucket, k], len(found))[: len(found)] for k in range(len(self.langs))], axis=1)
         letters = np.array([sum(map(str.isalpha, w)) for w in found], np.int64)
         scripts = np.array([script_of(w) for w in found])
@@ -147,15 +163,17 @@ def held_out(doc_id):
 
 def learn(docs: DataFrame, sample: int = SAMPLE) -> Model:
     """From the labelled rows of docs (doc_id, text, lang), at most about `sample` of each language."""
-    rows = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull()).select(F.col("doc_id").alias("doc_id"), "text", "lang")
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(MOST_LANGUAGES + 1).collect()}
+    rows = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull()).select(F.xxhash64("doc_id", "text").alias("h"), "text", F.col("lang").cast("string").alias("lang"))
+    most = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES)
+    sizes = {r["lang"]: r["n"] for r in most.collect()}
     langs = sorted(sizes)
-    if len(langs) > MOST_LANGUAGES:
-        raise ValueError(f"{len(langs)} languages are labelled; at most {MOST_LANGUAGES} can be learned")
+    buckets = buckets_for(len(langs))
     if not langs:
         return Model([], np.zeros((BUCKETS, 0)), np.zeros((len(NAMES) + 1, 0)))
-    share = F.create_map(*[x for lang in langs for x in (F.lit(lang), F.lit(int(min(1.0, sample / sizes[lang]) * 1_000_000)))])
-    rows = rows.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share[F.col("lang")])
+    shares = docs.sparkSession.createDataFrame([(x, max(1, int(min(1.0, sample / n) * PARTS))) for x, n in sizes.items()], "lang string, share long")
+    near = rows.join(F.broadcast(shares), "lang").filter(F.pmod("h", F.lit(PARTS)) < F.col("share")).select("lang", "h", "text")  # at most MOST_LANGUAGES shares
+    one = rows.join(F.broadcast(shares), "lang").groupBy("lang").agg(F.min(F.struct("h", "text")).alias("x")).select("lang", "x.h", "x.text")
+    rows = near.unionByName(one).groupBy("lang", "h").agg(F.first("text").alias("text")).select("h", "text", "lang")
 
     def count(batches):
         from collections import Counter
@@ -169,17 +187,18 @@ def learn(docs: DataFrame, sample: int = SAMPLE) -> Model:
                 if not found:
                     continue
                 where, bucket = grams(found)
-                n = np.bincount(bucket, times[where], BUCKETS)
+                n = np.bincount(bucket % buckets, times[where], buckets)
                 s = np.bincount([script_of(w) for w in found], times, len(NAMES) + 1)
                 n = np.concatenate([n, s])
                 used = np.flatnonzero(n)
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(used)), pa.array(used, pa.int64()), pa.array(n[used])], ["lang", "bucket", "n"])
 
     table = rows.mapInArrow(count, "lang string, bucket long, n double").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
-    counts = np.zeros((BUCKETS + len(NAMES) + 1, len(langs)))
-    got = table.toPandas()  # at most languages x (BUCKETS + scripts)
-    counts[got.bucket.to_numpy(), [langs.index(x) for x in got.lang]] = got.n.to_numpy()
-    return Model(langs, counts[:BUCKETS], counts[BUCKETS:])
+    counts = np.zeros((buckets + len(NAMES) + 1, len(langs)))
+    got = table.toPandas()  # at most TABLE and languages x scripts
+    place = {x: k for k, x in enumerate(langs)}
+    counts[got.bucket.to_numpy(np.int64), [place[x] for x in got.lang]] = got.n.to_numpy()
+    return Model(langs, counts[:buckets], counts[buckets:])
 
 
 def _predictor(model: Model):
@@ -188,7 +207,7 @@ def _predictor(model: Model):
     kept = {"scores": np.zeros((1024, max(1, len(model.langs))), np.float32), "letters": np.zeros(1024, np.int16)}
 
     def look_up(group: list[list[str]]) -> list[list[int]]:
-        if len(known) > CACHE_WORDS:
+        if len(known) > min(CACHE_WORDS, max(5000, (1 << 25) // max(1, len(model.langs)))):
             known.clear()
         found = [list(map(known.get, w)) for w in group]
         new = list({w for ws, f in zip(group, found) if None in f for w, i in zip(ws, f) if i is None})
@@ -225,7 +244,7 @@ def _predictor(model: Model):
                 if a >= 0:
                     out[i] = _judge(model, e, letters, np.full(len(e), a))
                     continue
-                if held + len(e) > TOGETHER:
+                if held + len(e) > TOGETHER // max(1, len(model.langs) // 32):
                     settle()
                     held = 0
                 mixed.append((i, e, letters))
