@@ -99,6 +99,14 @@ def as_of(ticks: DataFrame, events: DataFrame, group: list[str], at: str, order:
     return found.select(*group, F.col("_at").alias(at), *[F.col(f"_packet.{c}").alias(c) for c in packet])
 
 
+def open_file(path: str):
+    """A file that a task reads piece by piece, through pyarrow's file systems."""
+    from pyarrow import fs
+
+    system, inner = fs.FileSystem.from_uri(path if "://" in path else "file://" + path.removeprefix("file:"))
+    return system.open_input_file(inner)
+
+
 def shared_path(spark: SparkSession, name: str) -> str:
     """A new path in the folder that driver and executors share; a temporary one only in one process without such a setting."""
     base = spark.conf.get("spark.checkpoint.dir", None)

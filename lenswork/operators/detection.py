@@ -7,7 +7,7 @@ run_id and camera_id. Everything but numbering is stateless per frame, so all bu
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -22,6 +22,8 @@ LABEL_RISE, GLYPH_WIDTH, GLYPH_HEIGHT = 12, 6, 8
 LABEL_COLOR, BACKGROUND, INFO_COLOR = "0,255,0,255", "0,0,0,180", "255,255,255,255"
 EPSILON = 1e-6
 BOX = ["x1", "y1", "x2", "y2"]
+#: Cells along a side of a frame at most, where pairs of its boxes are looked for.
+GRID = 32
 
 
 def explode_predictions(df: DataFrame, tensor: str = "tensor") -> DataFrame:
@@ -83,13 +85,26 @@ def nms(df: DataFrame, threshold: float = IOU) -> DataFrame:
 
 
 def iou_pairs(df: DataFrame, least: float = IOU) -> DataFrame:
-    """Pairs of boxes of one frame that overlap by more than `least`: an equi-join on the frame with the overlap as its rest."""
+    """Pairs of boxes of one frame that overlap by more than `least`.
+
+    A frame is cut into cells of twice its boxes' mean sides (its extent has GRID cells a side at most). Boxes meet
+    in the cells that they touch, and a pair counts in the one that has its overlap's first corner, so a crowded
+    frame is not all pairs of its boxes. Boxes without an area overlap nothing.
+    """
     keys = keys_of(df, "frame_number")
-    a, b = df.alias("a"), df.alias("b")
-    on = [F.col(f"a.{k}") == F.col(f"b.{k}") for k in keys] + [F.col("a.pred_idx") < F.col("b.pred_idx"), F.col("a.x1") < F.col("b.x2"), F.col("b.x1") < F.col("a.x2")]
-    of = lambda s: F.struct(*[F.col(f"{s}.{c}").alias(c) for c in BOX])
-    rows = a.join(b, on).withColumn("iou", iou(of("a"), of("b"))).filter(F.col("iou") > least)
-    return rows.select(*[F.col(f"a.{k}").alias(k) for k in keys], F.col("a.pred_idx").alias("pred_a"), F.col("b.pred_idx").alias("pred_b"), "iou")
+    boxes = df.filter("x2 > x1 and y2 > y1").select(*keys, "pred_idx", *BOX)
+    sides = boxes.groupBy(*keys).agg(*[F.greatest(F.avg(F.col(f"{c}2") - F.col(f"{c}1")) * 2, (F.max(f"{c}2") - F.min(f"{c}1")) / GRID).alias(f"_side_{c}") for c in "xy"])
+    rows = boxes.join(sides, keys)
+    cell = lambda c, at: F.floor(at / F.col(f"_side_{c}"))
+    for c in "xy":
+        rows = rows.withColumn(f"_cell_{c}", F.explode(F.sequence(cell(c, F.col(f"{c}1")), cell(c, F.col(f"{c}2")))))
+    place = [*keys, "_cell_x", "_cell_y"]
+    other = rows.select(*place, *[F.col(c).alias(f"{c}_b") for c in ("pred_idx", *BOX)])
+    rows = rows.join(other, place).filter("pred_idx < pred_idx_b and x1 < x2_b and x1_b < x2 and y1 < y2_b and y1_b < y2")
+    first = [F.col(f"_cell_{c}") == cell(c, F.greatest(f"{c}1", f"{c}1_b")) for c in "xy"]
+    of = lambda end: F.struct(*[F.col(f"{c}{end}").alias(c) for c in BOX])
+    rows = rows.filter(first[0] & first[1]).withColumn("iou", iou(of(""), of("_b"))).filter(F.col("iou") > least)
+    return rows.select(*keys, F.col("pred_idx").alias("pred_a"), F.col("pred_idx_b").alias("pred_b"), "iou")
 
 
 def rescale_boxes(df: DataFrame, src_w, src_h, det_w, det_h) -> DataFrame:
@@ -168,24 +183,30 @@ def draw_list(df: DataFrame, frames: DataFrame | None = None) -> DataFrame:
     return out.unionByName(frames.select(*keys_of(frames, "frame_number"), F.lit(None).cast("long").alias("track_id"), F.inline(info)))
 
 
-def detect(frames: DataFrame, model_fn: Callable, schema: str, columns: list[str], batch_size: int = 8) -> DataFrame:
-    """Scores frames in batches: model_fn takes a pandas frame and returns a list with one item (a dict of `schema`) per row.
+def detect(frames: DataFrame, model_fn: Callable, schema: str, columns: list[str], batch_size: int = 8, made: bool = False) -> DataFrame:
+    """Scores frames in batches: a model takes a pandas frame of `columns` and returns a list with one item (a dict of `schema`) per row.
 
-    A wrong number of results is an error, as a frame without its result would be lost.
+    model_fn is the model or, with made, makes it: once for each Python worker, which then serves many batches and
+    tasks. A wrong number of results is an error, as a frame without its result would be lost.
     """
     import pandas as pd
+    from pyspark.ml.functions import predict_batch_udf
+    from pyspark.sql.types import _parse_datatype_string
+
+    def make():
+        model = model_fn() if made else model_fn
+
+        def run(*arrays) -> list[dict]:
+            part = pd.DataFrame(dict(zip(columns, arrays)))
+            out = list(model(part))
+            if len(out) != len(part):
+                raise ValueError(f"the model gave {len(out)} results for {len(part)} frames")
+            return out
+
+        return run
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for k in range(0, len(pdf), batch_size):
-                part = pdf.iloc[k : k + batch_size]
-                out = list(model_fn(part))
-                if len(out) != len(part):
-                    raise ValueError(f"the model gave {len(out)} results for {len(part)} frames")
-                yield pd.concat([part[columns].reset_index(drop=True), pd.DataFrame(out)], axis=1)
-
-    kept = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in frames.select(*columns).schema)
-    return frames.mapInPandas(run, f"{kept}, {schema}")
+    score = predict_batch_udf(make, return_type=_parse_datatype_string(schema), batch_size=batch_size)
+    return frames.select(*columns, score(*columns).alias("_found")).select(*columns, "_found.*")
 
 
 def filter_class(df: DataFrame, name: str = "FACE") -> DataFrame:

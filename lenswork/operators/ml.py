@@ -22,9 +22,13 @@ def normalise_pixels(c: Column) -> Column:
 
 
 def train_classifier(df: DataFrame, features: str = "features", label: str = "label", max_iter: int = 60, seed: int = 0) -> PipelineModel:
-    """Layers d-HIDDEN-CLASSES, trained by Spark's own classifier (L-BFGS, sigmoid units): the same shape, another optimiser."""
+    """Layers d-HIDDEN-CLASSES, trained by Spark's own classifier (L-BFGS, sigmoid units): the same shape, another optimiser
+    (network.train_network has the same one). A table without rows is an error."""
     rows = df.select(array_to_vector(F.col(features).cast("array<double>")).alias("raw"), F.col(label).cast("double").alias("label"))
-    size = len(rows.first()["raw"])
+    first = rows.first()
+    if first is None:
+        raise ValueError("there are no rows to train on")
+    size = len(first["raw"])
     scale = StandardScaler(inputCol="raw", outputCol="features", withMean=True)
     net = MultilayerPerceptronClassifier(layers=[size, HIDDEN, CLASSES], maxIter=max_iter, seed=seed)
     return Pipeline(stages=[scale, net]).fit(rows)

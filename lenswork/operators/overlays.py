@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.common import BUCKET, numbered
+from ..functions.common import BUCKET, kept, numbered, previous
 from .geo import global_pixels
 
 #: Earth radii in m (distances, areas), pixels around a marker, cluster cells and the zoom that ends them.
@@ -13,6 +13,11 @@ DISTANCE_RADIUS, AREA_RADIUS = 6_371_000.0, 6_378_137.0
 MARKER_PIXELS, CLUSTER_PIXELS, CLUSTER_ZOOM = 16.0, 80, 16
 FILTERS = {"marker": "marker", "route": "polyline", "zone": "polygon", "box": "rectangle"}
 TINY = 1e-12
+#: Cells of zones: degrees of the top one, the deepest level, edges from which one is cut, degrees around one in
+#: which edges count as its own.
+TOP_DEGREES, DEEPEST, MOST_EDGES, MARGIN = 512.0, 24, 16, 1e-9
+#: Levels that a round goes down.
+CUT_LEVELS = 3
 
 
 def haversine(lat1: Column, lng1: Column, lat2: Column, lng2: Column) -> Column:
@@ -68,47 +73,140 @@ def bounds(points: DataFrame, key: str) -> DataFrame:
 
 
 def _edges(vertices: DataFrame, key: str) -> DataFrame:
-    w = Window.partitionBy(key, "ring").orderBy("vtx")
-    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    before = lambda c: F.coalesce(F.lag(c).over(w), F.last(c).over(whole))
-    return vertices.withColumns({"lat0": before("lat"), "lng0": before("lng")})
+    """Each vertex with the one before it in its ring (the last one before the first); ranges of a ring are looked at apart."""
+    ring = [key, "ring"]
+    rows = vertices.select(*ring, "vtx", "lat", "lng", F.struct("lat", "lng").alias("_p"))
+    last = rows.groupBy(*ring).agg(F.max_by("_p", "vtx").alias("_last"))
+    rows = previous(rows, ring, "vtx", "_p", BUCKET, "_q").join(last, ring).withColumn("_q", F.coalesce("_q", "_last"))
+    return rows.select(*ring, "vtx", "lat", "lng", F.col("_q.lat").alias("lat0"), F.col("_q.lng").alias("lng0"))
+
+
+CELL = ["level", "cx", "cy"]
+
+
+def _side(level: Column) -> Column:
+    """Degrees of a cell's side: halves of TOP_DEGREES, which are exact numbers."""
+    return F.lit(TOP_DEGREES) / F.pow(F.lit(2.0), level)
+
+
+def _centre() -> tuple[Column, Column]:
+    """A cell's reference point (lat, lng): near the middle, off all round numbers."""
+    return (F.col("cy") + 0.4876543211) * _side(F.col("level")), (F.col("cx") + 0.5123456789) * _side(F.col("level"))
+
+
+def _few_cells(box: DataFrame) -> DataFrame:
+    """Bounds with the cells that they touch, of the level at which these are two by two, or three where rounding has it so."""
+    extent = F.greatest(F.col("north") - F.col("south"), F.col("east") - F.col("west"), F.lit(TOP_DEGREES / 2**DEEPEST))
+    rows = box.withColumn("level", F.greatest(F.lit(0), F.floor(F.log2(F.lit(TOP_DEGREES) / extent))).cast("int"))
+    over = lambda low, high: F.explode(F.sequence(F.floor(F.col(low) / _side(F.col("level"))), F.floor(F.col(high) / _side(F.col("level")))))
+    return rows.withColumn("cx", over("west", "east")).withColumn("cy", over("south", "north"))
+
+
+def _crosses_flat(e, lat: Column, lng_a: Column, lng_b: Column | None = None) -> Column:
+    """Whether an edge crosses the parallel `lat` east of lng_a, or between lng_a and lng_b."""
+    dy = e("lat0") - e("lat")
+    at = (e("lng0") - e("lng")) * (lat - e("lat")) / F.when(dy == 0, TINY).otherwise(dy) + e("lng")
+    there = (lng_a < at) if lng_b is None else ((lng_a < at) != (lng_b < at))
+    return ((e("lat") > lat) != (e("lat0") > lat)) & there
+
+
+def _crosses_steep(e, lng: Column, lat_a: Column, lat_b: Column) -> Column:
+    dx = e("lng0") - e("lng")
+    at = (e("lat0") - e("lat")) * (lng - e("lng")) / F.when(dx == 0, TINY).otherwise(dx) + e("lat")
+    return ((e("lng") > lng) != (e("lng0") > lng)) & ((lat_a < at) != (lat_b < at))
+
+
+def _touches() -> Column:
+    """Whether an edge (lat, lng, lat0, lng0) comes within MARGIN of a cell."""
+    side = _side(F.col("level"))
+    south, west = F.col("cy") * side - MARGIN, F.col("cx") * side - MARGIN
+    north, east = south + side + 2 * MARGIN, west + side + 2 * MARGIN
+    near = (F.greatest("lat", "lat0") >= south) & (F.least("lat", "lat0") <= north) & (F.greatest("lng", "lng0") >= west) & (F.least("lng", "lng0") <= east)
+    turn = lambda lat, lng: (F.col("lng0") - F.col("lng")) * (lat - F.col("lat")) - (F.col("lat0") - F.col("lat")) * (lng - F.col("lng"))
+    corners = [turn(lat, lng) for lat in (south, north) for lng in (west, east)]
+    return near & (F.least(*corners) <= 0) & (F.greatest(*corners) >= 0)
+
+
+def _differ(a: str, b: str) -> Column:
+    return F.array_union(F.array_except(a, b), F.array_except(b, a))
+
+
+def zone_cells(vertices: DataFrame, zone: str = "zone_id") -> DataFrame:
+    """An adaptive cover of zones (zone, ring, vtx, lat, lng): rows (level, cx, cy, zone, odd, edges), stored.
+
+    A cell is a square of the map that halves from level to level. `odd` has the rings around its reference point,
+    `edges` the edges that come into it; the number of edges between two points of a cell tells whether they are
+    on the same side of a ring, and none of the zone's other edges matters. A cell with more than MOST_EDGES is cut
+    into those CUT_LEVELS below it, in rounds, whose reference points follow from its own. Cells without edges are wholly inside (the
+    others are left out), so a large zone has few, and no row has a whole zone.
+    """
+    edges = _edges(vertices, zone)
+    cells = _few_cells(bounds(vertices.filter("ring = 0"), zone)).select(zone, *CELL)
+    lat, lng = _centre()
+    here = edges.join(cells, zone)
+    around = here.filter(_crosses_flat(F.col, lat, lng)).groupBy(zone, *CELL, "ring").agg(F.count(F.lit(1)).alias("n")).filter("n % 2 = 1")
+    none = F.array().cast("array<int>")
+
+    def with_rings(cells: DataFrame, rings: DataFrame, name: str) -> DataFrame:
+        lists = rings.groupBy(zone, *CELL).agg(F.collect_list(F.col("ring").cast("int")).alias(name))
+        return cells.join(lists, [zone, *CELL], "left").withColumn(name, F.coalesce(name, none))
+
+    cells = kept(with_rings(cells, around, "odd"), "cells")
+    inside = kept(here.filter(_touches()).select(zone, *CELL, "ring", "lat", "lng", "lat0", "lng0"), "edges-of-cells")
+    done = []
+    while True:
+        sizes = inside.groupBy(zone, *CELL).agg(F.count(F.lit(1)).alias("n"))
+        heavy = sizes.filter((F.col("n") > MOST_EDGES) & (F.col("level") < DEEPEST)).drop("n")
+        edge = F.collect_list(F.struct("ring", "lat", "lng", "lat0", "lng0")).alias("edges")
+        light = inside.join(heavy, [zone, *CELL], "left_anti").groupBy(zone, *CELL).agg(edge)
+        rows = cells.join(heavy, [zone, *CELL], "left_anti").join(light, [zone, *CELL], "left")
+        whole = F.array_contains("odd", 0) & ~F.exists("odd", lambda r: r > 0)
+        done.append(kept(rows.filter(F.col("edges").isNotNull() | whole).select(*CELL, zone, "odd", "edges"), "zone-cells"))
+        if heavy.isEmpty():
+            break
+        part = range(2**CUT_LEVELS)
+        quarter = F.explode(F.array(*[F.struct((F.col("level") + CUT_LEVELS).alias("level"), (2**CUT_LEVELS * F.col("cx") + i).alias("cx"), (2**CUT_LEVELS * F.col("cy") + j).alias("cy")) for i in part for j in part]))
+        from_lat, from_lng = _centre()
+        split = lambda df, *c: df.join(heavy, [zone, *CELL]).select(zone, *c, from_lat.alias("_lat"), from_lng.alias("_lng"), quarter.alias("q")).select(zone, "q.*", *c, "_lat", "_lng")
+        parts = split(inside, "ring", "lat", "lng", "lat0", "lng0")
+        lat, lng = _centre()
+        times = _crosses_flat(F.col, lat, lng, F.col("_lng")).cast("int") + _crosses_steep(F.col, F.col("_lng"), lat, F.col("_lat")).cast("int")
+        flips = parts.groupBy(zone, *CELL, "ring").agg(F.sum(times).alias("n")).filter("n % 2 = 1")
+        cells = kept(with_rings(split(cells, "odd").drop("_lat", "_lng"), flips, "flips").withColumn("odd", _differ("odd", "flips")).drop("flips"), "cells")
+        inside = kept(parts.filter(_touches()).drop("_lat", "_lng"), "edges-of-cells")
+    out = done[0]
+    for d in done[1:]:
+        out = out.unionByName(d)
+    return out
 
 
 def point_in_zone(points: DataFrame, vertices: DataFrame, point: str = "marker_id", zone: str = "zone_id") -> DataFrame:
     """Pairs of points and zones (vertices: zone, ring, vtx, lat, lng) with the point inside ring 0 and outside of the others.
 
-    Pairs come from a join on one-degree cells under the zone's bounds. A zone's edges are one array, and the
-    parity of a ray's crossings of a ring decides within the row; so points can be a stream.
+    A point meets the cells of zone_cells that it lies in. In a cell without edges it is inside; in another one
+    the edges between it and the cell's reference point decide within the row. So points can be a stream.
     """
-    box = _cells(bounds(vertices.filter("ring = 0"), zone))
-    p = points.select(point, F.col("lat").alias("plat"), F.col("lng").alias("plng"), F.floor("lat").alias("row"), F.floor("lng").alias("column"))
-    near = p.join(box, ["row", "column"]).filter("plat between south and north and plng between west and east").select(point, zone, "plat", "plng")
-    edge = F.struct("ring", "lat", "lng", "lat0", "lng0")
-    shapes = _edges(vertices, zone).groupBy(zone).agg(F.collect_list(edge).alias("edges"))
-    rows = near.join(shapes, zone)
-
-    def crosses(e: Column) -> Column:
-        dy = e["lat0"] - e["lat"]
-        at = (e["lng0"] - e["lng"]) * (F.col("plat") - e["lat"]) / F.when(dy == 0, TINY).otherwise(dy) + e["lng"]
-        return ((e["lat"] > F.col("plat")) != (e["lat0"] > F.col("plat"))) & (F.col("plng") < at)
-
-    crossed = F.transform(F.filter("edges", crosses), lambda e: e["ring"])
+    cells = zone_cells(vertices, zone)
+    levels = [r["level"] for r in cells.select("level").distinct().collect()]  # at most DEEPEST + 1
+    at = F.explode(F.array(*map(F.lit, levels)) if levels else F.array().cast("array<int>"))
+    p = points.select(point, F.col("lat").alias("plat"), F.col("lng").alias("plng"), at.alias("level"))
+    p = p.withColumns({"cx": F.floor(F.col("plng") / _side(F.col("level"))), "cy": F.floor(F.col("plat") / _side(F.col("level")))})
+    lat, lng = _centre()
+    rows = p.join(cells, CELL).withColumns({"clat": lat, "clng": lng})
+    met = lambda test: F.transform(F.filter("edges", test), lambda e: e["ring"].cast("int"))
+    flat = met(lambda e: _crosses_flat(lambda c: e[c], F.col("plat"), F.col("plng"), F.col("clng")))
+    steep = met(lambda e: _crosses_steep(lambda c: e[c], F.col("clng"), F.col("plat"), F.col("clat")))
+    rows = rows.withColumn("crossed", F.coalesce(F.concat("odd", flat, steep), F.col("odd")))
     inside = lambda ring: F.size(F.filter("crossed", lambda r: r == ring)) % 2 == 1
     hole = F.exists(F.array_distinct("crossed"), lambda r: (r > 0) & inside(r))
-    return rows.withColumn("crossed", crossed).filter(inside(0) & ~hole).select(point, zone)
-
-
-def _cells(box: DataFrame) -> DataFrame:
-    """Bounds, once for each one-degree cell (row, column) that they touch."""
-    over = lambda low, high: F.explode(F.sequence(F.floor(low), F.floor(high)))
-    return box.drop("center_lat", "center_lng").withColumn("row", over("south", "north")).withColumn("column", over("west", "east"))
+    return rows.filter(inside(0) & ~hole).select(point, zone)
 
 
 def hit_test(points: DataFrame, markers: DataFrame, shapes: DataFrame, zoom: float) -> DataFrame:
     """Pairs (point_id, overlay_id): markers (overlay_id, lat, lng) within MARKER_PIXELS, shapes (overlay_id, ring, vtx, lat, lng) whose bounds or any ring hold the point.
 
     A ring lies within its shape's bounds, so the bounds decide. Markers meet points in cells of pixels,
-    shapes in cells of one degree.
+    shapes in the few cells of their size.
     """
     x, y = global_pixels(F.col("lat"), F.col("lng"), zoom)
     cell = lambda c: F.floor(c / MARKER_PIXELS)
@@ -118,8 +216,11 @@ def hit_test(points: DataFrame, markers: DataFrame, shapes: DataFrame, zoom: flo
     cells = p.withColumn("dx", F.explode(around)).withColumn("dy", F.explode(around)).select("point_id", "px", "py", (cell(F.col("px")) + F.col("dx")).alias("cx"), (cell(F.col("py")) + F.col("dy")).alias("cy"))
     on_marker = cells.join(m.select("overlay_id", "mx", "my", cell(F.col("mx")).alias("cx"), cell(F.col("my")).alias("cy")), ["cx", "cy"])
     on_marker = on_marker.filter(F.pow(F.col("px") - F.col("mx"), 2) + F.pow(F.col("py") - F.col("my"), 2) <= MARKER_PIXELS**2).select("point_id", "overlay_id")
-    box = _cells(bounds(shapes, "overlay_id"))
-    on_shape = p.withColumns({"row": F.floor("lat"), "column": F.floor("lng")}).join(box, ["row", "column"]).filter("lat between south and north and lng between west and east").select("point_id", "overlay_id")
+    box = kept(_few_cells(bounds(shapes, "overlay_id")), "shapes-in-cells")
+    levels = [r["level"] for r in box.select("level").distinct().collect()]  # at most DEEPEST + 1
+    at = p.withColumn("level", F.explode(F.array(*map(F.lit, levels)) if levels else F.array().cast("array<int>")))
+    at = at.withColumns({"cx": F.floor(F.col("lng") / _side(F.col("level"))), "cy": F.floor(F.col("lat") / _side(F.col("level")))})
+    on_shape = at.join(box, CELL).filter("lat between south and north and lng between west and east").select("point_id", "overlay_id")
     return on_marker.unionByName(on_shape).distinct()
 
 
@@ -228,6 +329,63 @@ def cluster_markers(markers: DataFrame, zoom: int) -> DataFrame:
     return markers.select(*cell, "lat", "lng").groupBy("cell_x", "cell_y").agg(F.count(F.lit(1)).alias("n"), F.avg("lat").alias("lat"), F.avg("lng").alias("lng"))
 
 
+def _lead(points: DataFrame, radius: float) -> DataFrame:
+    """points: id, x, y, n. Rows (id, lead): every point's cluster.
+
+    Points are taken in the order of most markers, then of a mixed id: a point that no earlier leader has within the
+    radius leads, and each other point goes to the first leader that has it. Done in rounds: a point leads once no
+    undecided point before it is within the radius, and then decides those around it. Cells are so small that all
+    points of one are within the radius of each other, so a round looks at one candidate of a cell, and a point at
+    those of the 25 cells around it: the work is in proportion to the points, however crowded a place is.
+    """
+    side = radius / 2**0.5
+    rank = F.struct((-F.col("n")).alias("n"), F.xxhash64("id").alias("h"), "id").alias("rank")
+    cell = [F.floor(F.col(c) / side).alias(f"c{c}") for c in "xy"]
+    points = kept(points.select("id", "x", "y", rank, *cell), "points")
+    offsets = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in range(-2, 3) for j in range(-2, 3)])
+
+    def around(df: DataFrame) -> DataFrame:
+        """Candidates or leaders in each cell in which a point can be within the radius."""
+        spread = df.select(F.col("rank").alias("lead"), F.col("x").alias("lx"), F.col("y").alias("ly"), "cx", "cy", F.explode(offsets).alias("o"))
+        return spread.select("lead", "lx", "ly", (F.col("cx") + F.col("o.i")).alias("cx"), (F.col("cy") + F.col("o.j")).alias("cy"))
+
+    near = F.pow(F.col("x") - F.col("lx"), 2) + F.pow(F.col("y") - F.col("ly"), 2) <= radius**2
+    left, leaders = points, []
+    while not left.isEmpty():
+        best = left.groupBy("cx", "cy").agg(F.min(F.struct("rank", "x", "y")).alias("b")).select("cx", "cy", "b.*")
+        late = left.join(around(best), ["cx", "cy"]).filter(near & (F.col("rank") < F.col("lead"))).select(F.col("lead").alias("rank")).distinct()
+        leaders.append(kept(best.join(late, "rank", "left_anti").select("rank", "x", "y", "cx", "cy"), "leaders"))
+        decided = left.join(around(leaders[-1]), ["cx", "cy"]).filter(near).select("id").distinct()
+        left = kept(left.join(decided, "id", "left_anti"), "points")
+    every = leaders[0] if leaders else points.limit(0).select("rank", "x", "y", "cx", "cy")
+    for found in leaders[1:]:
+        every = every.unionByName(found)
+    of = points.join(around(every), ["cx", "cy"]).filter(near).groupBy("id").agg(F.min("lead").alias("lead"))
+    return of.select("id", F.col("lead.id").alias("lead"))
+
+
+def cluster_levels(markers: DataFrame, low: int = 0, top: int = CLUSTER_ZOOM) -> DataFrame:
+    """markers: marker_id, lat, lng. Rows (zoom, cluster_id, n, lat, lng, parent_id) of a hierarchy of clusters from zoom top down to low.
+
+    At `top` every marker is its own cluster. At each zoom below, the clusters of the zoom above are gathered around
+    those that lead (see _lead) within CLUSTER_PIXELS; a cluster has its leader's id, its place is the mean of its
+    markers, and parent_id names its cluster one zoom below (null at `low`). So a marker is in one cluster a zoom.
+    """
+    found = kept(markers.filter("marker_id is not null and lat is not null and lng is not null").select(F.col("marker_id").alias("cluster_id"), F.lit(1).cast("long").alias("n"), "lat", "lng"), "clusters")
+    out = []
+    for zoom in range(top, low, -1):
+        x, y = global_pixels(F.col("lat"), F.col("lng"), zoom - 1)
+        lead = kept(_lead(found.select(F.col("cluster_id").alias("id"), x.alias("x"), y.alias("y"), "n"), float(CLUSTER_PIXELS)).withColumnsRenamed({"id": "cluster_id", "lead": "parent_id"}), "parents")
+        rows = found.join(lead, "cluster_id")
+        out.append(rows.select(F.lit(zoom).alias("zoom"), "cluster_id", "n", "lat", "lng", "parent_id"))
+        mean = lambda c: (F.sum(F.col(c) * F.col("n")) / F.sum("n")).alias(c)
+        found = kept(rows.groupBy(F.col("parent_id").alias("cluster_id")).agg(mean("lat"), mean("lng"), F.sum("n").alias("n")).select("cluster_id", "n", "lat", "lng"), "clusters")
+    last = found.select(F.lit(low).alias("zoom"), "cluster_id", "n", "lat", "lng", F.lit(None).cast(markers.schema["marker_id"].dataType).alias("parent_id"))
+    for rows in out:
+        last = last.unionByName(rows)
+    return last
+
+
 def normalise_rings(c: Column, depth: int) -> Column:
     """Nested arrays of points to an array of rings; depth counts the array levels (1: a single ring)."""
     if depth == 1:

@@ -9,12 +9,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.common import clamp, keys_of
+from ..functions.common import clamp, keys_of, previous
 
 #: Smallest magnitude that is motion, overlay strengths and green ramps.
 THRESHOLD = 20
 PAGE_ALPHA, HUD_ALPHA = 0.5, 0.6
 PAGE_RAMP, HUD_RAMP = (80.0, 1.1), (120.0, 1.5)
+#: Numbers of a camera's frames that one task compares.
+FRAMES = 256
 
 
 def resize(image: np.ndarray, width: int, height: int) -> np.ndarray:
@@ -83,8 +85,10 @@ def pixel_delta(pixels: DataFrame, threshold: int = THRESHOLD, first: str = "ski
 
 
 def frame_delta(frames: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
-    """frames: keys, frame_number, data (bytes, 3 per pixel). mags: a byte array of rounded-down magnitudes against the frame before."""
-    w = Window.partitionBy(*keys_of(frames)).orderBy("frame_number")
+    """frames: keys, frame_number, data (bytes, 3 per pixel). mags: a byte array of rounded-down magnitudes against the frame before.
+
+    Ranges of FRAMES numbers of a camera are compared apart; each gets the last frame of the range before.
+    """
 
     @F.pandas_udf("binary")
     def delta(a: pd.Series, b: pd.Series) -> pd.Series:
@@ -96,7 +100,7 @@ def frame_delta(frames: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
 
         return pd.Series([one(x, y) for x, y in zip(a, b)])
 
-    rows = frames.withColumn("_before", F.lag("data").over(w))
+    rows = previous(frames, keys_of(frames), "frame_number", "data", FRAMES, "_before")
     return rows.withColumn("mags", delta("data", "_before")).drop("_before", "data")
 
 

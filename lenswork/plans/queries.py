@@ -108,7 +108,7 @@ def _(p):
 
 @query(
     "iou_pairs",
-    f"""with b as (select frame_number, pred_idx, {CORNERS} from raw_preds where score >= 0.25),
+    f"""with b as materialized (select frame_number, pred_idx, {CORNERS} from raw_preds where score >= 0.25),
     i as (select a.frame_number, a.pred_idx pred_a, b.pred_idx pred_b, greatest(0, least(a.x2, b.x2) - greatest(a.x1, b.x1)) * greatest(0, least(a.y2, b.y2) - greatest(a.y1, b.y1)) inter,
       (a.x2 - a.x1) * (a.y2 - a.y1) + (b.x2 - b.x1) * (b.y2 - b.y1) areas from b a join b on a.frame_number = b.frame_number and a.pred_idx < b.pred_idx)
     select frame_number, pred_a, pred_b, round(inter / (areas - inter + 1e-6), 6) + 0.0 iou from i where inter / (areas - inter + 1e-6) > 0.45""",
@@ -320,6 +320,18 @@ def _(f):
     return L.tick_snapshots(f)
 
 
+@query(
+    "tick_pictures",
+    """with s as (select camera_id, min(ts_ms) lo, max(ts_ms) hi from frames group by 1),
+    t as (select camera_id, unnest(range(lo // 33 * 33, hi // 33 * 33 + 1, 33)) ts_ms from s),
+    l as (select camera_id, ts_ms, max(frame_number) frame_number from frames group by 1, 2)
+    select t.camera_id, t.ts_ms, l.frame_number from t asof join l on t.camera_id = l.camera_id and t.ts_ms >= l.ts_ms""",
+    "frames",
+)
+def _(f):
+    return L.tick_snapshots(f, L.MJPEG_TICK, keep_alive=False)
+
+
 @query(
     "window_fps",
     """with s as (select camera_id, frame_number, ts_ms, ts_ms start, 1 n, cast(null as double) fps from frames where frame_number = 1
@@ -479,6 +491,12 @@ def _(p):
     return rounded(rows, "green").select("frame_number", "px", "green", "alpha")
 
 
+@query("hud_overlay", f"with {RGB}, v as (select frame_number, px, case when mean < 20 then 0 else mean end mag from m) select frame_number, px, round(least(255, 120 + 1.5 * mag), 6) green, cast(floor(mag * cast(0.6 as double) + 0.5) as int) alpha from v", "pixels")
+def _(p):
+    rows = P.motion_overlay(P.pixel_delta(coloured(p)), P.HUD_ALPHA, P.HUD_RAMP)
+    return rounded(rows, "green").select("frame_number", "px", "green", "alpha")
+
+
 # maps
 
 @query("tile_xy", "select marker_id, cast(((floor((lng + 180) / 360 * 4096) % 4096) + 4096) % 4096 as bigint) tile_x, cast(greatest(0, least(4095, floor((1 - ln(tan(radians(lat)) + 1 / cos(radians(lat))) / pi()) / 2 * 4096))) as bigint) tile_y from markers", "markers")
@@ -732,6 +750,11 @@ def _(m):
     return rounded(O.cluster_markers(m, 5), "lat", "lng")
 
 
+@query("marker_levels", None, "markers")
+def _(m):
+    return O.cluster_levels(m, 2, 5)
+
+
 # arrays and the classifier
 
 @query("normalised_pixels", "select vec_id, list_transform(embedding, lambda x: greatest(0, least(255, round(128 + cast(x as double) * 400))) / 255) pixels from embeddings", "embeddings")
@@ -869,6 +892,45 @@ def _(p):
     return got.select("frame_number", "det_idx", "class", "score", *[F.col("bbox")[i].alias(c) for i, c in enumerate(D.BOX)], "track_id")
 
 
+@query(
+    "message_bearings",
+    f"""with b as (select frame_number, pred_idx, frame_number % 4 camera_id, score, pred_idx % 5 shape, x / 640.0 u, y / 640.0 v from raw_preds where score >= 0.25 and class_id < 2 and pred_idx % 5 < 4 and w >= 2 and h >= 2),
+    c as (select *, 47.6 + camera_id * 0.001 lat, -122.3 + camera_id * 0.002 lng, camera_id * 90.0 yaw from b),
+    p as (select *, {PX}, radians(yaw) + pi() a from c),
+    o as (select (-122.299 + 180) / 360 * 256 * 65536 ox, (0.5 - ln((1 + sin(radians(47.601))) / (1 - sin(radians(47.601)))) / (4 * pi())) * 256 * 65536 oy),
+    w as (select *, px - ox sx, -(py - oy) sz from p, o),
+    r as (select *, sx + (u - 0.5) * 16 * cos(a) wx, sz - (u - 0.5) * 16 * sin(a) wz, sx - sin(a) * 4.5 / tan(radians(25)) rx, sz - cos(a) * 4.5 / tan(radians(25)) rz from w),
+    z as (select *, ((540 - degrees(atan2(wx - rx, wz - rz))) % 360 + 360) % 360 d from r)
+    select frame_number, pred_idx, round(u, 6) u, round(v, 6) v, round(d, 4) azimuth, {WIND} wind from z
+    union all select frame_number, pred_idx, cast(0.5 as double), cast(0.5 as double), null, null from raw_preds where score >= 0.25 and class_id < 2 and pred_idx % 5 = 4 and w >= 2 and h >= 2""",
+    "raw_preds",
+)
+def _(p):
+    """Boxes of each shape, told in messages: a list, named corners, a corner and sides, the fields of the item itself, and none."""
+    spark = p.sparkSession
+    cameras = spark.range(4).select(F.col("id").alias("camera_id"), (F.lit(47.6) + F.col("id") * F.lit(0.001)).alias("lat"), (F.lit(-122.3) + F.col("id") * F.lit(0.002)).alias("lon"), (F.col("id") * 90.0).alias("yaw_deg"), F.lit(47.601).alias("centre_lat"), F.lit(-122.299).alias("centre_lon"))
+    x1, y1, x2, y2 = F.col("x") - F.col("w") / 2, F.col("y") - F.col("h") / 2, F.col("x") + F.col("w") / 2, F.col("y") + F.col("h") / 2
+    number = lambda c: c.cast("string")
+    named = lambda **c: F.concat(*[x for i, (k, v) in enumerate(c.items()) for x in (F.lit(f'{"," if i else ""}"{k}":'), number(v))])
+    shape = F.col("pred_idx") % 5
+    box = F.when(shape == 0, F.concat(F.lit('"bbox":['), F.concat_ws(",", *map(number, (x1, y1, x2, y2))), F.lit("]")))
+    box = box.when(shape == 1, F.concat(F.lit('"bbox":{'), named(x1=x1, y1=y1, x2=x2, y2=y2), F.lit("}"))).when(shape == 2, F.concat(F.lit('"bbox":{'), named(x=x1, y=y1, w=F.col("w"), height=F.col("h")), F.lit("}")))
+    box = box.when(shape == 3, named(left=x1, top=y1, right=x2, bottom=y2)).otherwise('"bbox":"none"')
+    name = F.when(F.col("class_id") == 0, '"class":"FACE",').when(F.col("class_id") > 1, '"label":"OBJECT",').otherwise("")
+    rows = D.filter_confidence(p).filter("w >= 2 and h >= 2")
+    items = rows.select("frame_number", "pred_idx", F.concat(F.lit("{"), name, F.lit('"track_id":'), number(F.col("pred_idx")), F.lit(',"score":'), number(F.col("score")), F.lit(","), box, F.lit("}")).alias("item"))
+    lists = items.groupBy("frame_number").agg(F.concat_ws(",", F.array_sort(F.collect_list("item"))).alias("items"))
+    field = F.when(F.col("frame_number") % 3 == 0, "boxes").when(F.col("frame_number") % 3 == 1, "objects").otherwise("detections")
+    messages = lists.select(F.concat(F.lit('{"frame_number":'), number(F.col("frame_number")), F.lit(',"image_width":640,"height":640,"'), field, F.lit('":['), "items", F.lit("]}")).alias("payload"))
+    told = records.parse_detections_json(messages).withColumns({"camera_id": F.col("frame_number") % 4, "pred_idx": F.col("track_id")})
+    columns = ["frame_number", "pred_idx", "u", "v", "azimuth", "wind"]
+    lists, fields = told.filter("bbox is not null"), told.filter("bbox is null").drop("bbox").withColumnRenamed("box", "bbox")
+    rows = G.bearings(lists.drop("box"), F.broadcast(cameras)).select(*columns).unionByName(G.bearings(fields, F.broadcast(cameras)).select(*columns))  # four rows
+    lost = (F.col("pred_idx") % 5 == 4)
+    rows = rounded(rounded(rows, "u", "v"), "azimuth", digits=4)
+    return rows.withColumns({"azimuth": F.when(~lost, F.col("azimuth")), "wind": F.when(~lost, F.col("wind"))})
+
+
 @query(
     "geojson_features",
     """select route_id overlay_id, 'LineString' kind, 'ROUTE ' || route_id as label, count(*) n_points, arg_min(lng, seq) first_lng, arg_min(lat, seq) first_lat from routes group by route_id

@@ -9,24 +9,18 @@ import posixpath
 import struct
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.common import open_file
 from ..operators.telemetry import trace_order
+from .mjpeg import RANGE, images_ending_in
 
-#: First and last bytes of a JPEG, magic numbers of image and label files, names of a digit set's files.
-JPEG_START, JPEG_END = b"\xff\xd8", b"\xff\xd9"
+#: Magic numbers of image and label files, names of a digit set's files.
 IMAGES_MAGIC, LABELS_MAGIC = 2051, 2049
 DIGIT_FILES = {"train": ("train-images-idx3-ubyte", "train-labels-idx1-ubyte"), "test": ("t10k-images-idx3-ubyte", "t10k-labels-idx1-ubyte")}
-#: Bytes read at once, and records of a digit set that one row of the plan stands for.
-PIECE, RECORDS = 1 << 20, 4096
-
-
-def _open(path: str):
-    from pyarrow import fs
-
-    system, inner = fs.FileSystem.from_uri(path if "://" in path else "file://" + path.removeprefix("file:"))
-    return system.open_input_file(inner)
+#: Records of a digit set that one row of the plan stands for.
+RECORDS = 4096
 
 
 def _listed(spark: SparkSession, path: str) -> DataFrame:
@@ -45,35 +39,35 @@ def stream_frames(spark: SparkSession, path: str) -> DataFrame:
     return spark.readStream.format("binaryFile").load(path)
 
 
-def split_jpegs(pieces, start: bytes = JPEG_START, end: bytes = JPEG_END):
-    """(offset, JPEG) of each complete image in a stream of bytes; bytes before a start and an unfinished tail are dropped."""
-    held, base = b"", 0
-    for piece in pieces:
-        held += piece
-        while True:
-            a = held.find(start)
-            if a < 0:  # the last byte may be half a start
-                base, held = base + max(0, len(held) - 1), held[-1:]
-                break
-            z = held.find(end, a + len(start))
-            if z < 0:
-                base, held = base + a, held[a:]
-                break
-            yield base + a, held[a : z + len(end)]
-            base, held = base + z + len(end), held[z + len(end) :]
+def read_mjpeg(spark: SparkSession, path: str, width: int = RANGE) -> DataFrame:
+    """Rows (path, frame_number from 1, start, jpeg), in a stream's order; ranges of `width` bytes of a file are read by tasks of their own.
 
+    A first look counts the images that end in each range, a row each; so the second one knows its first number.
+    """
+    listed = _listed(spark, path).filter("length > 0")
+    ranges = listed.select("path", "length", F.explode(F.sequence(F.lit(0).cast("long"), F.col("length") - 1, F.lit(width).cast("long"))).alias("lo"))
+    ranges = ranges.select("path", "lo", F.least(F.col("lo") + width, F.col("length")).alias("hi")).repartition("path", "lo")
+
+    def count(batches):
+        for b in batches:
+            n = []
+            for name, lo, hi in zip(*(b.column(c).to_pylist() for c in ("path", "lo", "hi"))):
+                with open_file(name) as f:
+                    n.append(sum(1 for _ in images_ending_in(f, lo, hi)))
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(n, pa.int64())], ["path", "lo", "hi", "n"])
 
-def read_mjpeg(spark: SparkSession, path: str) -> DataFrame:
-    """Rows (path, frame_number from 1, start, jpeg), in a stream's order; a task reads a stream piece by piece."""
+    counts = ranges.mapInArrow(count, "path string, lo long, hi long, n long")
+    before = Window.partitionBy("path").orderBy("lo").rowsBetween(Window.unboundedPreceding, -1)
+    numbered = counts.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))).filter("n > 0").repartition("path", "lo")
 
     def split(batches):
         for b in batches:
-            for name in b.column("path").to_pylist():
-                with _open(name) as f:
-                    for n, (at, jpeg) in enumerate(split_jpegs(iter(lambda: f.read(PIECE), b"")), 1):
+            for name, lo, hi, first in zip(*(b.column(c).to_pylist() for c in ("path", "lo", "hi", "before"))):
+                with open_file(name) as f:
+                    for n, (at, jpeg) in enumerate(images_ending_in(f, lo, hi), first + 1):
                         yield pa.RecordBatch.from_pydict({"path": [name], "frame_number": [n], "start": [at], "jpeg": [jpeg]})
 
-    return _listed(spark, path).select("path").mapInArrow(split, "path string, frame_number long, start long, jpeg binary")
+    return numbered.mapInArrow(split, "path string, frame_number long, start long, jpeg binary")
 
 
 def read_idx(spark: SparkSession, path: str, part: str = "train") -> DataFrame:
@@ -84,7 +78,7 @@ def read_idx(spark: SparkSession, path: str, part: str = "train") -> DataFrame:
     images, labels = (posixpath.join(path, name) for name in DIGIT_FILES[part])
 
     def head(name: str, fields: str):
-        with _open(name) as f:
+        with open_file(name) as f:
             return struct.unpack(fields, f.read(struct.calcsize(fields))), f.size()
 
     (magic, n, h, w), size = head(images, ">4I")
@@ -98,7 +92,7 @@ def read_idx(spark: SparkSession, path: str, part: str = "train") -> DataFrame:
         for b in batches:
             for i in b.column("id").to_pylist():
                 lo, hi = i * RECORDS, min(n, (i + 1) * RECORDS)
-                with _open(images) as f, _open(labels) as g:
+                with open_file(images) as f, open_file(labels) as g:
                     f.seek(16 + lo * h * w)
                     g.seek(8 + lo)
                     pixels, digits = f.read((hi - lo) * h * w), g.read(hi - lo)

@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.common import keys_of
+from ..functions.common import keys_of, open_file
+
+#: Bytes of a file of frames that a task reads at most.
+RANGE_BYTES = 64 << 20
 
 #: Class of a box without one, default host and payload type of a udp source, reconnection delay of an event stream.
 DEFAULT_CLASS, ANY_HOST, PAYLOAD, RETRY = "FACE", "0.0.0.0", "96", "retry: 500"
-_ITEM = "class string, label string, score double, bbox array<double>, track_id long"
-_MESSAGE = "timestamp_ms long, frame_number long, fps double, width long, image_width long, height long, image_height long, " + ", ".join(
-    f"{name} array<struct<{_ITEM.replace(' ', ':').replace(',:', ',')}>>" for name in ("detections", "boxes", "objects")
-)
+_MESSAGE = "timestamp_ms long, frame_number long, fps double, width long, image_width long, height long, image_height long, detections array<variant>, boxes array<variant>, objects array<variant>"
+#: The names of a box's corners and sides.
+SIDES = ("x1", "y1", "x2", "y2", "left", "top", "right", "bottom", "x", "y", "w", "h", "width", "height")
 
 
 def to_detections_json(detections: DataFrame, frames: DataFrame) -> DataFrame:
@@ -26,13 +29,24 @@ def to_detections_json(detections: DataFrame, frames: DataFrame) -> DataFrame:
 
 
 def parse_detections_json(df: DataFrame, column: str = "payload") -> DataFrame:
-    """A row for each box of the messages, whichever of the known names their fields have; unreadable messages and empty lists give none."""
+    """A row for each box of the messages, whichever of the known names their fields have; unreadable messages and empty lists give none.
+
+    A box is the item's `bbox` or, without one, the item itself. Four numbers come as bbox, named corners or sides as
+    the fields of the struct `box`; what has neither shape is null in both.
+    """
     rows = df.select(F.from_json(column, _MESSAGE).alias("m"))
     found = F.posexplode(F.coalesce("m.detections", "m.boxes", "m.objects"))
     rows = rows.select("m", found.alias("det_idx", "d"))
     size = [F.coalesce("m.width", "m.image_width").alias("width"), F.coalesce("m.height", "m.image_height").alias("height")]
-    name = F.coalesce("d.class", "d.label", F.lit(DEFAULT_CLASS)).alias("class")
-    return rows.select("m.timestamp_ms", "m.frame_number", "m.fps", *size, "det_idx", name, "d.score", "d.bbox", "d.track_id")
+    get = lambda name, kind: F.try_variant_get("d", f"$.{name}", kind)
+    own = get("bbox", "variant")
+    there = own.isNotNull() & ~F.is_variant_null(own)
+    side = lambda name: F.when(there, F.try_variant_get(own, f"$.{name}", "double")).otherwise(get(name, "double"))
+    sides = F.struct(*[side(name).alias(name) for name in SIDES])
+    named = F.coalesce(*[F.col(f"_box.{name}") for name in SIDES]).isNotNull()
+    name = F.coalesce(get("class", "string"), get("label", "string"), F.lit(DEFAULT_CLASS)).alias("class")
+    rows = rows.select("m.timestamp_ms", "m.frame_number", "m.fps", *size, "det_idx", name, get("score", "double").alias("score"), get("bbox", "array<double>").alias("bbox"), sides.alias("_box"), get("track_id", "long").alias("track_id"))
+    return rows.withColumn("box", F.when(named, F.col("_box"))).drop("_box")
 
 
 def read_sse(spark: SparkSession, path: str) -> DataFrame:
@@ -59,13 +73,30 @@ def write_sse(messages: DataFrame, path: str) -> None:
 
 
 def read_raw_bgr(spark: SparkSession, path: str, width: int, height: int) -> DataFrame:
-    """Frames (data, width, height) of files of fixed-size records; a file that ends within a record is an error."""
+    """Frames (path, frame_number from 1, data, width, height) of files of fixed-size records; a file that ends within a record is an error.
+
+    A file is cut into ranges of records, which tasks read apart and a few records at a time.
+    """
     size = width * height * 3
-    short = spark.read.format("binaryFile").load(path).select("path", "length").filter(F.col("length") % size != 0).first()
+    listed = spark.read.format("binaryFile").load(path).select("path", "length")
+    short = listed.filter(F.col("length") % size != 0).first()
     if short:
         raise ValueError(f"{short.path}: {short.length} bytes are no whole number of frames of {size}")
-    rows = spark.sparkContext.binaryRecords(path, size).map(lambda b: (bytearray(b),))
-    return spark.createDataFrame(rows, "data binary").withColumns({"width": F.lit(width), "height": F.lit(height)})
+    each = max(1, RANGE_BYTES // size)
+    n = (F.col("length") / size).cast("long")
+    ranges = listed.filter("length > 0").select("path", n.alias("n"), F.explode(F.sequence(F.lit(0).cast("long"), n - 1, F.lit(each).cast("long"))).alias("lo"))
+    ranges = ranges.select("path", "lo", F.least(F.col("lo") + each, F.col("n")).alias("hi")).repartition("path", "lo")
+
+    def read(batches):
+        for b in batches:
+            for name, lo, hi in zip(*(c.to_pylist() for c in b.columns)):
+                with open_file(name) as f:
+                    f.seek(lo * size)
+                    for k in range(lo, hi):
+                        yield pa.RecordBatch.from_pydict({"path": [name], "frame_number": [k + 1], "data": [f.read(size)]})
+
+    rows = ranges.mapInArrow(read, "path string, frame_number long, data binary")
+    return rows.withColumns({"width": F.lit(width), "height": F.lit(height)})
 
 
 def source_catalog(df: DataFrame, uri: str = "uri") -> DataFrame:

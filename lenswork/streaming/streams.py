@@ -19,6 +19,9 @@ from ..operators.detection import detect_chain
 from ..operators.health import STALL
 from ..operators.timeline import ALPHA, FPS_WINDOW, HISTORY, frame_history, latest_frame
 
+#: Tables of earlier batches that a folding sink leaves (a reader may be at one of them).
+KEPT_BATCHES = 3
+
 
 def _typed(df: DataFrame, columns: list[str]) -> str:
     return ", ".join(f"{c} {df.schema[c].dataType.simpleString()}" for c in columns)
@@ -154,8 +157,8 @@ def drained(stream: DataFrame, name: str) -> DataFrame:
 def fold_into(path: str, fold: Callable[[DataFrame], DataFrame]) -> Callable[[DataFrame, int], None]:
     """For foreachBatch: the table of batch n is fold(table of batch n - 1 and batch n), written to path/batch=n.
 
-    A batch that runs again after a failure reads the same table before it and overwrites its own. fold must
-    give the columns of the batch and be small (latest packets, a history, the overlays that exist).
+    A batch that runs again after a failure reads the same table before it and overwrites its own; tables older than
+    KEPT_BATCHES go. fold must give the columns of the batch and be small (latest packets, a history, the overlays that exist).
     """
 
     def run(batch: DataFrame, number: int) -> None:
@@ -164,10 +167,16 @@ def fold_into(path: str, fold: Callable[[DataFrame], DataFrame]) -> Callable[[Da
         if number > 0:
             rows = spark.read.schema(batch.schema).parquet(f"{path}/batch={number - 1}").unionByName(batch)
         fold(rows).select(*batch.columns).write.mode("overwrite").parquet(f"{path}/batch={number}")
+        _remove(spark, f"{path}/batch={number - KEPT_BATCHES}")
 
     return run
 
 
+def _remove(spark, path: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def latest_sink(path: str, done: str = "done_seq") -> Callable[[DataFrame, int], None]:
     """Keeps the packet completed last of each stream."""
     return fold_into(path, lambda rows: latest_frame(rows, done))

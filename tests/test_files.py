@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lenswork.operators import telemetry as T
 from lenswork.plans.fixtures import view
 from lenswork.sources import files as S
+from lenswork.sources import mjpeg as MJ
 
 
 def png(width, height, rgb):
@@ -29,9 +30,9 @@ def test_image_folder(spark, tmp_path):
 def test_jpegs_across_pieces(size):
     a, b = b"\xff\xd8one\xff\xd9", b"\xff\xd8\xfftwo\xff\xd9"
     stream = b"junk\xff" + a + b"--" + b + b"\xff\xd8tail"
-    got = list(S.split_jpegs(stream[i : i + size] for i in range(0, len(stream), size)))
+    got = list(MJ.split_jpegs(stream[i : i + size] for i in range(0, len(stream), size)))
     assert got == [(5, a), (5 + len(a) + 2, b)]
-    assert list(S.split_jpegs([])) == []
+    assert list(MJ.split_jpegs([])) == []
 
 
 def test_mjpeg_files(spark, tmp_path):
