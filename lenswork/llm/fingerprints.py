@@ -10,7 +10,8 @@ chunks before it shuffles them.
 Rows: a null text counts as empty; an empty text has the fingerprint zero. Each row is a document
 of its own, also with repeated or null ids: documents stand in descending doc_id order, nulls last,
 equal ids in the order of their texts' hashes. Rows with equal ids and texts are one row with their number
-until the end.
+until the end. Texts of any length are read whole. An empty table gives no rows. Only doc_id and text are
+read; other columns, whatever their names, don't matter.
 """
 
 from __future__ import annotations

@@ -14,7 +14,11 @@ variant has no more different lines than places times characters. A key without
 any number of different lines (numbered ones); they are sorted in one task. The texts are shuffled once; all
 passes read that shuffle.
 
-Rows: null texts stay null; blank lines are kept; equal rows keep the same lines.
+Rows: null texts stay null; blank lines are kept; equal rows keep the same lines. A null id counts as NO_ID, the
+smallest one; equal ids of different texts are told apart by the texts' hashes, in whose order they stand; of equal
+lines the first by id, text hash and place stays. Texts of any length are read whole, a few at a time. An empty
+table gives no rows. `dedup_lines` reads doc_id and text only; `drop_repeated_lines` carries all other columns,
+whatever their names, in one struct.
 """
 
 from __future__ import annotations

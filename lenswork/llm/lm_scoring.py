@@ -11,7 +11,9 @@ n-grams of each text are looked up and summed. However frequent an n-gram is, a
 and no block grows with it; the number of ranges grows with the corpus.
 
 Rows: null and wordless texts have no words and the score 0; equal rows count as often as they are there and
-get equal scores; an id used by several texts keeps them apart; an empty table gives an empty result.
+get equal scores; an id used by several texts keeps them apart, null ids are like any other; an empty table gives
+an empty result. A very long text is cut over blocks and summed again. Only doc_id and text are read; other columns,
+whatever their names, don't matter.
 """
 
 from __future__ import annotations

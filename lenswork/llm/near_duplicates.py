@@ -11,7 +11,9 @@ sample). Pairs of these between different groups are bounded by sizes, places an
 sets decide.
 
 Rows: a null or blank text has the fingerprint zero and no shingles; documents without shingles form
-one group of their own. Equal texts share everything. Repeated and null ids are one document per text.
+one group of their own. Equal texts share everything. Repeated and null ids are one document per text; null ids come
+last, and of equal ids the least text hash is first. Texts of any length are read whole. An empty table gives no rows.
+Groups need doc_id and text only; `drop_near_duplicates` carries all other columns, whatever their names, in one struct.
 """
 
 from __future__ import annotations

@@ -10,7 +10,8 @@ that blocks cost next to nothing against one global packing. Blocks have a bound
 task sees all items; full-length pieces are sequences of their own and skip all this.
 
 Rows: null texts count as empty (one piece, the end id alone); repeated rows are items of their
-own; an empty table gives no rows.
+own, also with null or repeated ids; an empty table gives no rows. Longer texts than a sequence are cut; equal
+sizes are packed in any order. Only doc_id and text are read; other columns, whatever their names, don't matter.
 """
 
 from __future__ import annotations

@@ -16,7 +16,8 @@ third of the texts share one row for each so many words of the corpus meets. The
 
 Rows: null and blank texts have no words and keep nothing; texts shorter than the window stay whole;
 equal rows are occurrences of each other. An id used by several texts keeps them apart. An empty
-table gives no rows.
+table gives no rows. A null id counts as NO_ID, one document per text. Texts of any length are read whole. Only
+doc_id and text are read; other columns, whatever their names, don't matter.
 """
 
 from __future__ import annotations

@@ -8,7 +8,8 @@ percentile of the differences. The sidecar (`.idx`, an Arrow file) has the block
 and first ids in its schema's metadata, and a row (doc_id, start, n_tokens) for each document.
 
 Rows: null texts count as empty; each row is a document of its own, null ids come first and
-equal ids stand in the order of their texts. An empty table gives no files and no rows.
+equal ids stand in the order of their texts. An empty table gives no files and no rows. Very long texts span blocks.
+Only doc_id and text are read; other columns, whatever their names, don't matter.
 """
 
 from __future__ import annotations

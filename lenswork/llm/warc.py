@@ -8,7 +8,9 @@ decided on digests, with the maximum formed before the shuffle; only digests tha
 and very common ones (an empty payload, say) are dealt over many tasks.
 
 Rows: a null html is an empty payload; pages with equal ids and payloads are all responses (or all
-revisits of the same page); a null url is an empty target. An empty table gives no archives and no rows.
+revisits of the same page); a null page_id is smaller than any other; a null url is an empty target. An empty table
+gives no archives and no rows. A payload of any length is one record. Only page_id, url and html are read; other
+columns, whatever their names, don't matter.
 """
 
 from __future__ import annotations
