@@ -734,9 +734,9 @@ def _(m, r, z):
     return rows.select("overlay_id", *[F.when(on_route, F.round(c, 5) + F.lit(0.0)).otherwise(F.col(c)).alias(c) for c in ("lat", "lng")])
 
 
-@query("overlay_labels", "select overlay_id, label from overlays where overlay_id % 3 = 0 union all select c_custkey + 10000000, 'ID ' || (c_custkey + 10000000) from customer where c_custkey % 3 = 1", "overlays", "customer")
+@query("overlay_labels", "select overlay_id, label from overlays union all select c_custkey + 10000000, 'ID ' || (c_custkey + 10000000) from customer", "overlays", "customer")
 def _(o, c):
-    ids = o.filter("overlay_id % 3 = 0").select("overlay_id").unionByName(c.filter("c_custkey % 3 = 1").select((F.col("c_custkey") + 10000000).alias("overlay_id")))
+    ids = o.select("overlay_id").unionByName(c.select((F.col("c_custkey") + 10000000).alias("overlay_id")))
     return O.overlay_labels(ids, o)
 
 
