@@ -5,6 +5,10 @@
 3. near_duplicates: one document (the smallest doc_id) of each group that shares 0.8 of its five-word shingles stays.
 4. decontamination: documents that contain a window of a benchmark item go.
 5. packing: the rest is packed into sequences of 4096 tokens; rows are pieces, as in op5.
+
+Rows: a null or blank text has no language and goes in the first stage. Null and repeated ids are documents of their
+own by their texts; repeated rows are near-duplicates of each other, so one stays. The first four stages return all
+columns of their input, whatever their names, and change text and n_chars only. An empty table gives no rows.
 """
 
 from __future__ import annotations
