@@ -11,8 +11,9 @@ deletion verifies the distance: equal variants with the same place are one chang
 a whole line is one insertion apart, equal variants with other places (two edits) don't count. A line takes
 the least of its group's first places, so no pairs are formed. Equal lines are one row from the start, and a
 variant has no more different lines than places times characters. A key without a quarter can be shared by
-any number of different lines (numbered ones); they are sorted in one task. The texts are shuffled once; all
-passes read that shuffle.
+any number of different lines (numbered ones): the task that makes the keys settles those of which it has
+several lines itself, and sends one row of them to where the key's other lines meet. The texts are shuffled
+once; all passes read that shuffle.
 
 Rows: null texts stay null; blank lines are kept; equal rows keep the same lines. A null id counts as NO_ID, the
 smallest one; equal ids of different texts are told apart by the texts' hashes, in whose order they stand; of equal
@@ -23,6 +24,7 @@ whatever their names, in one struct.
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -35,6 +37,8 @@ LEAST_CHARS, NO_ID = 16, -(1 << 63)
 #: A line is common if it makes up this share of all (so there are at most as many common ones) and comes so
 #: often; the join of common lines is dealt over SALTS tasks each.
 SHARE, COMMON, SALTS = 1000, 1000, 64
+#: Rows of keys that a task settles at a time.
+SETTLED = 100_000
 
 
 def normal(line: str) -> str:
@@ -98,7 +102,7 @@ def line_table(docs: DataFrame, least_chars: int) -> DataFrame:
 
 
 def _emit(docs: DataFrame, asked: DataFrame, level: int) -> DataFrame:
-    """asked: h, first, shared. Rows (h, key, k): keys without parts (levels 0 and 1), or deletions and their places (2)."""
+    """asked: h, first, shared. Rows (h, key, k, salt): keys without parts (levels 0 and 1), or deletions and their places (2); salt as in `_settled`."""
     asked = asked.groupBy("first.doc_id", "first.text_hash").agg(F.collect_list(F.struct(F.col("first.line").alias("line"), "h", "shared")).alias("asked"))
 
     def run(batches):
@@ -113,23 +117,35 @@ def _emit(docs: DataFrame, asked: DataFrame, level: int) -> DataFrame:
                     else:
                         parts = range(8) if level == 0 else [4 * k + j for k in x["shared"] for j in range(4)]
                         out += [(x["h"], key(line, k, level), k) for k in parts]
-                if len(out) > 50_000:
-                    yield _triples(out)
+                if len(out) > SETTLED:
+                    yield _settled(out, level < 2)
                     out = []
             if out:
-                yield _triples(out)
+                yield _settled(out, level < 2)
 
-    return docs.join(asked, ["doc_id", "text_hash"]).select("text", "asked").mapInArrow(run, "h long, key long, k int")
+    return docs.join(asked, ["doc_id", "text_hash"]).select("text", "asked").mapInArrow(run, "h long, key long, k int, salt int")
 
 
-def _triples(out: list[tuple]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), (pa.int64(), pa.int64(), pa.int32()))], ["h", "key", "k"])
+def _settled(out: list[tuple], settle: bool) -> pa.RecordBatch:
+    """Rows (h, key, k, salt) of rows at hand. Keys of several lines at hand are settled: their rows are told by a
+    salt that isn't 0, dealing them over tasks, and one that goes on to meet the key's other rows by -1."""
+    h, keys, k = (np.array(c, np.int64) for c in zip(*out))
+    salt = np.zeros(len(h), np.int32)
+    if settle:
+        order = np.lexsort((h, keys))
+        starts = np.flatnonzero(np.append(True, keys[order][1:] != keys[order][:-1]))
+        ends = np.append(starts[1:], len(h))
+        several = np.repeat(h[order[starts]] != h[order[ends - 1]], ends - starts)  # sorted by h: the ends differ
+        salt[order[several]] = 1 + (h[order[several]] & 0xFFFF)
+        salt[order[starts[several[starts]]]] = -1
+    return pa.RecordBatch.from_arrays([pa.array(h), pa.array(keys), pa.array(k, pa.int32()), pa.array(salt)], ["h", "key", "k", "salt"])
 
 
 def _meeting(rows: DataFrame) -> DataFrame:
-    """The rows whose key another line has too."""
-    over = Window.partitionBy("key")
-    return rows.withColumns({"lo": F.min("h").over(over), "hi": F.max("h").over(over)}).filter("lo <> hi").drop("lo", "hi")
+    """The rows whose key another line has too: settled ones, and those that meet another one or one of a settled key."""
+    over = Window.partitionBy("key", F.greatest("salt", F.lit(0)))
+    met = (F.col("salt") != 0) | (F.min("h").over(over) != F.max("h").over(over))
+    return rows.withColumn("met", met).filter("met").drop("met", "salt")
 
 
 def earliest(docs: DataFrame, lines: DataFrame) -> DataFrame:

@@ -37,6 +37,8 @@ SIGNATURE, MOST_SIGNATURE_BITS, TABLES, WINDOW_BITS, BLOCK, RADIUS = 256, 62, 12
 #: Texts looked at for the order of the shingles, how many of their shingles are put last at most, and bits
 #: of a set's bitmap. None of these changes the result.
 ORDER_TEXTS, LAST_SHINGLES, BITMAP, ROUNDING = 10_000, 200_000, 1024, 1e-9
+#: A fingerprint of so many documents, and of this share of all, is common; each common one is dealt over SALTS tasks.
+FREQUENT, SALTS = 1000, 64
 
 
 def shingle_hashes(text: str | None, size: int) -> np.ndarray:
@@ -79,12 +81,20 @@ def fingerprints(docs: DataFrame, size: int = 3) -> DataFrame:
 def fingerprint_components(docs: DataFrame, size: int = 3, radius: int = 2) -> DataFrame:
     """Rows (doc_id, fp, component_id): component_id is the smallest doc_id reachable over links of at most radius bits."""
     rows = stored(fingerprints(docs, size), "simhash")
-    nodes = rows.groupBy("fp").agg(F.min("doc_id").alias("first"))
+    nodes = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")), "fingerprints")
     roots = components(links(nodes.select("fp", F.col("fp").alias("id")), 64, radius))
     of = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     of = stored(of, "nodes")
     least = of.groupBy("root").agg(F.min("first").alias("component_id"))
-    return rows.join(of.join(least, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+    found = of.join(least, "root").select("fp", "component_id")
+    # at most FREQUENT fingerprints are common
+    most = max(FREQUENT, rows.count() // FREQUENT)
+    common = F.broadcast(nodes.filter(F.col("n") >= most).select("fp", F.lit(True).alias("common")))
+    salt = lambda x: F.when(F.col("common"), x)
+    dealt = rows.join(common, "fp", "left").withColumn("salt", F.coalesce(salt(F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")), F.lit(0)))
+    salts = F.explode(F.coalesce(salt(F.sequence(F.lit(0), F.lit(SALTS - 1))), F.array(F.lit(0)))).alias("salt")
+    found = found.join(common, "fp", "left").select("fp", "component_id", salts)
+    return dealt.join(found, ["fp", "salt"]).select("doc_id", "fp", "component_id")
 
 
 def op6_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:

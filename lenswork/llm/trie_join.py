@@ -2,8 +2,9 @@
 
 Spark walks the upper levels, in which a pair must agree: `links` turns each fingerprint so that each of
 radius + 1 blocks stands on top once (one of them is equal in any pair within the radius), and what has an
-equal block meets in one task, however many fingerprints there are. Light blocks share tasks of about NODE
-fingerprints; a block of more is cut into parts. Inside a task the walk goes on over sorted arrays: the pair
+equal block meets in one task. Light blocks share tasks of about NODE fingerprints. In a block of more the
+bits below it are turned in the same way, so Spark goes further down where many fingerprints are, and a pair
+still agrees somewhere; different fingerprints end up apart. Inside a task the walk goes on over sorted arrays: the pair
 of intervals splits by the next bit, differing bits add up, and a pair is dropped when they exceed the
 radius. What a task returns are not all pairs but a forest with the nearest of them that keeps everything
 connected that any pair connects.
@@ -131,15 +132,39 @@ def _leaves(a, b, al, ah, bl, bh, radius, found) -> None:
 
 
 def links(points: DataFrame, bits: int, radius: int) -> DataFrame:
-    """points: fp (long) and id (long). Rows (a, b) of ids: a forest of the links of fingerprints within the radius in fp's low `bits` bits."""
-    low = F.col("fp").bitwiseAND(F.lit(-1 if bits == 64 else (1 << bits) - 1))
-    turns = []
-    for k in range(radius + 1):
-        by = bits * k // (radius + 1)
-        turned = F.shiftleft(low, by).bitwiseOR(F.shiftrightunsigned(low, bits - by)) if by else low
-        turns.append(F.struct(F.lit(k).alias("tab"), turned.bitwiseAND(F.lit(-1 if bits == 64 else (1 << bits) - 1)).alias("fp")))
-    points = points.select("id", F.lit(None).cast("binary").alias("sig"), F.explode(F.array(*turns)).alias("turn")).select("turn.tab", "turn.fp", "id", "sig")
-    return block_links(points, bits, bits // (radius + 1), radius)
+    """points: fp (long, each once) and id (long). Rows (a, b) of ids: a forest of the links of fingerprints within the radius in fp's low `bits` bits."""
+    mask = lambda n: F.lit(-1 if n == 64 else (1 << n) - 1)
+    rows = points.select(F.lit(0).cast("long").alias("tab"), F.col("fp").bitwiseAND(mask(bits)).alias("fp"), "id", F.lit(None).cast("binary").alias("sig"))
+    found, left = None, bits
+    while True:
+        turns, low = [], F.col("fp").bitwiseAND(mask(left))
+        for k in range(radius + 1):
+            by = left * k // (radius + 1)
+            turned = F.shiftleft(low, by).bitwiseOR(F.shiftrightunsigned(low, left - by)).bitwiseAND(mask(left)) if by else low
+            turns.append(F.struct((F.col("tab") * (radius + 1) + k).alias("tab"), F.col("fp").bitwiseXOR(low).bitwiseOR(turned).alias("fp")))
+        rows = rows.select("id", "sig", F.explode(F.array(*turns)).alias("turn")).select("turn.tab", "turn.fp", "id", "sig")
+        left -= left // (radius + 1)
+        heavy = _heavy(_placed(rows, bits, bits - left))
+        deeper = left // (radius + 1) > 0 and not heavy.isEmpty()
+        here = block_links(rows, bits, bits - left, radius, heavy=heavy, skip=deeper)
+        found = here if found is None else found.unionByName(here)
+        if not deeper:
+            return found.distinct()
+        rows = stored(_placed(rows, bits, bits - left).join(_small(heavy), ["tab", "value"], "left_semi").drop("value"), "heavy-block-rows")
+
+
+def _placed(points: DataFrame, bits: int, block: int) -> DataFrame:
+    """points with the value of their top `block` bits."""
+    value = F.shiftrightunsigned("fp", bits - block)
+    return points.withColumn("value", value if bits == 64 else value.bitwiseAND(F.lit((1 << block) - 1)))
+
+
+def _heavy(placed: DataFrame) -> DataFrame:
+    return stored(placed.groupBy("tab", "value").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 2 * NODE), "heavy-blocks")
+
+
+def _small(heavy: DataFrame) -> DataFrame:
+    return F.broadcast(heavy) if heavy.limit(FEW_HEAVY + 1).count() <= FEW_HEAVY else heavy
 
 
 def _crowds(fp: np.ndarray, ids: np.ndarray, distance, most: int, shift: np.uint64, add) -> np.ndarray:
@@ -172,31 +197,39 @@ def _crowds(fp: np.ndarray, ids: np.ndarray, distance, most: int, shift: np.uint
     return kept[np.lexsort((ids[kept], fp[kept]))]
 
 
-def block_links(points: DataFrame, bits: int, block: int, radius: int, most: int | None = None) -> DataFrame:
+def block_links(points: DataFrame, bits: int, block: int, radius: int, most: int | None = None, heavy: DataFrame | None = None, skip: bool = False) -> DataFrame:
     """points: tab, fp (long), id (long) and sig (binary; null: the fingerprint itself). Rows (a, b) of ids.
 
     A link joins points of one tab that have equal top `block` bits, are within the radius in all `bits`
     bits and, with signatures, have at most `most` different bits in those. Returned is a forest of each
-    task's links. Without signatures no group is torn apart: a part of a heavy block meets the whole block.
+    task's links. Heavy blocks (given, or counted here) are left out with `skip`. Else, without signatures, any
+    two parts of a heavy block meet in a task of their own, so no group is torn apart and none is without bound.
     With signatures (guesses that the caller verifies, with a way to find the rest) a part meets itself and a
     few fingerprints that all parts get, so the work grows with the block and not with its square.
     """
     n = points.groupBy("tab").count().agg(F.max("count")).first()[0] or 0
-    value = F.shiftrightunsigned("fp", bits - block)
-    placed = points.withColumn("value", value if bits == 64 else value.bitwiseAND(F.lit((1 << block) - 1)))
-    heavy = stored(placed.groupBy("tab", "value").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 2 * NODE), "heavy-blocks")
-    few = heavy.limit(FEW_HEAVY + 1).count()
-    placed = placed.join(F.broadcast(heavy) if few <= FEW_HEAVY else heavy, ["tab", "value"], "left") if few else placed.withColumn("n", F.lit(None).cast("long"))
+    placed = _placed(points, bits, block)
+    heavy = _heavy(placed) if heavy is None else heavy
+    if heavy.isEmpty():
+        placed = placed.withColumn("n", F.lit(None).cast("long"))
+    elif skip:
+        placed = placed.join(_small(heavy), ["tab", "value"], "left_anti").withColumn("n", F.lit(None).cast("long"))
+    else:
+        placed = placed.join(_small(heavy), ["tab", "value"], "left")
     parts = F.coalesce(F.ceil(F.col("n") / (2 * NODE)), F.lit(1)).cast("int")
     lump = F.when(F.col("n").isNull(), F.pmod(F.xxhash64("value"), F.lit(max(1, -(-n // NODE)))))
     own, every = F.pmod(F.xxhash64("id"), parts).cast("int"), F.sequence(F.lit(0), parts - 1)
     rows = placed.select("tab", "value", "fp", "id", "sig", parts.alias("parts"), lump.alias("lump"), own.alias("own"), every.alias("every"), "n")
     key = F.when(F.col("n").isNotNull(), F.col("value")).alias("block")
-    first = rows.select("tab", "lump", key, F.col("own").alias("part"), F.lit(0).alias("side"), "fp", "id", "sig")
-    other = rows.filter("parts > 1")
-    if most is not None:
-        other = other.filter(F.pmod(F.xxhash64("id", F.lit(1)), F.ceil(F.col("n") / PIVOTS)) == 0)
-    second = other.select("tab", "lump", key, F.explode("every").alias("part"), F.lit(1).alias("side"), "fp", "id", "sig")
+    if most is None:
+        one, two = F.col("own"), F.col("two")
+        pair = (F.least(one, two).cast("long") * F.col("parts") + F.greatest(one, two)).alias("part")
+        met = rows.withColumn("two", F.explode("every")).select("tab", "lump", key, pair, (one > two).cast("int").alias("side"), "fp", "id", "sig")
+    else:
+        first = rows.select("tab", "lump", key, F.col("own").cast("long").alias("part"), F.lit(0).alias("side"), "fp", "id", "sig")
+        other = rows.filter("parts > 1").filter(F.pmod(F.xxhash64("id", F.lit(1)), F.ceil(F.col("n") / PIVOTS)) == 0)
+        second = other.select("tab", "lump", key, F.explode("every").cast("long").alias("part"), F.lit(1).alias("side"), "fp", "id", "sig")
+        met = first.unionByName(second)
 
     def join(table: pa.Table) -> pa.Table:
         side, fp, ids = (table.column(c).to_numpy() for c in ("side", "fp", "id"))
@@ -236,4 +269,4 @@ def block_links(points: DataFrame, bits: int, block: int, radius: int, most: int
         a, b = forest.reduce()
         return pa.table({"a": pa.array(names[a], pa.int64()), "b": pa.array(names[b], pa.int64())})
 
-    return first.unionByName(second).groupBy("tab", "lump", "block", "part").applyInArrow(join, "a long, b long").distinct()
+    return met.groupBy("tab", "lump", "block", "part").applyInArrow(join, "a long, b long").distinct()
