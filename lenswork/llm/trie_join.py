@@ -228,7 +228,7 @@ def block_links(points: DataFrame, bits: int, block: int, radius: int, most: int
     else:
         first = rows.select("tab", "lump", key, F.col("own").cast("long").alias("part"), F.lit(0).alias("side"), "fp", "id", "sig")
         other = rows.filter("parts > 1").filter(F.pmod(F.xxhash64("id", F.lit(1)), F.ceil(F.col("n") / PIVOTS)) == 0)
-        second = other.select("tab", "lump", key, F.explode("every").cast("long").alias("part"), F.lit(1).alias("side"), "fp", "id", "sig")
+        second = other.select("tab", "lump", key, F.explode(F.col("every").cast("array<long>")).alias("part"), F.lit(1).alias("side"), "fp", "id", "sig")
         met = first.unionByName(second)
 
     def join(table: pa.Table) -> pa.Table:
