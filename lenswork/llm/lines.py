@@ -12,8 +12,9 @@ a whole line is one insertion apart, equal variants with other places (two edits
 the least of its group's first places, so no pairs are formed. Equal lines are one row from the start, and a
 variant has no more different lines than places times characters. A key without a quarter can be shared by
 any number of different lines (numbered ones): the task that makes the keys settles those of which it has
-several lines itself, and sends one row of them to where the key's other lines meet. The texts are shuffled
-once; all passes read that shuffle.
+several lines itself, and sends one row of them to where the key's other lines meet. Keys are polynomials of the
+code points, computed for thousands of lines at a time; two parts that meet by chance only go one level further
+down. The texts are shuffled once; all passes read that shuffle.
 
 Rows: null texts stay null; blank lines are kept; equal rows keep the same lines. A null id counts as NO_ID, the
 smallest one; equal ids of different texts are told apart by the texts' hashes, in whose order they stand; of equal
@@ -24,6 +25,8 @@ whatever their names, in one struct.
 
 from __future__ import annotations
 
+from collections import Counter
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -37,20 +40,27 @@ LEAST_CHARS, NO_ID = 16, -(1 << 63)
 #: A line is common if it makes up this share of all (so there are at most as many common ones) and comes so
 #: often; the join of common lines is dealt over SALTS tasks each.
 SHARE, COMMON, SALTS = 1000, 1000, 64
-#: Rows of keys that a task settles at a time.
-SETTLED = 100_000
+#: Rows of keys that a task settles at a time, and characters of their lines (or one line).
+SETTLED, CHARS = 100_000, 1 << 19
+#: Keys of more characters than this are hashed one by one: the others' powers of BASE are a table.
+LONG, BASE = 1 << 16, 0x9E3779B97F4A7C15
 
 
 def normal(line: str) -> str:
     return " ".join(line.split()).lower()
 
 
+def normal_lines(text: str) -> list[str]:
+    """normal of each line."""
+    return [" ".join(line.split()) for line in text.lower().split("\n")]
+
+
 def _hash(text: str, seed: int = 0) -> int:
     return xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass"), seed) - (1 << 63)
 
 
-def span(length: int, k: int, level: int) -> tuple[int, int, int]:
-    """Part k of a line of that length: its first place and its end in a line of `base` characters, and base.
+def span(length, k, level: int):
+    """Part k of a line of that length (numbers or arrays): its first place and its end in a line of `base` characters, and base.
 
     Level 0 has the quarters, as a line of its length (0 to 3) and as one with a character too many (4 to 7);
     level 1 the quarters of these.
@@ -68,6 +78,50 @@ def key(line: str, k: int, level: int) -> int:
     return _hash(f"{base} {a} {z} {line[:a]}\n{line[z + len(line) - base :]}")
 
 
+def _powers() -> tuple[np.ndarray, np.ndarray]:
+    """BASE to the powers from 0 to LONG + 1, and their inverses modulo 2^64."""
+    cache = worker_cache("lines")
+    if "powers" not in cache:
+        up = [np.full(LONG + 2, x, np.uint64) for x in (BASE, pow(BASE, -1, 1 << 64))]
+        for x in up:
+            x[0] = 1
+        cache["powers"] = [np.cumprod(x, dtype=np.uint64) for x in up]
+    return cache["powers"]
+
+
+def _mixed(x: np.ndarray, factor: int) -> np.ndarray:
+    x = x * np.uint64(factor)
+    return x ^ (x >> np.uint64(29))
+
+
+def keys(lines: list[str], row: np.ndarray, k: np.ndarray, level: int) -> np.ndarray:
+    """Hashes of the lines lines[row] without part k: equal where these parts and what is left out are as in `key`."""
+    lengths = np.fromiter(map(len, lines), np.int64, len(lines))
+    a, z, base = span(lengths[row], k, level)
+    plain = base <= LONG
+    out = np.empty(len(row), np.int64)
+    for i in np.flatnonzero(~plain):
+        out[i] = key(lines[row[i]], int(k[i]), level)
+    row, a, z, base = row[plain], a[plain], z[plain], base[plain]
+    tabled = lengths <= LONG + 1
+    text = "".join(lines if tabled.all() else [x for x, t in zip(lines, tabled) if t])
+    lengths = np.where(tabled, lengths, 0)
+    ends = np.cumsum(lengths)
+    starts = ends - lengths
+    up, down = _powers()
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    sums = np.zeros(len(codes) + 1, np.uint64)
+    np.cumsum(_mixed(codes + np.uint64(1), 0xBF58476D1CE4E5B9) * up[np.arange(len(codes)) - np.repeat(starts, lengths)], out=sums[1:])
+    rest = z + lengths[row] - base
+    before = sums[starts[row] + a] - sums[starts[row]]
+    after = (sums[ends[row]] - sums[starts[row] + rest]) * down[rest]
+    x = _mixed(before, 0x94D049BB133111EB) + after
+    x = _mixed(x, 0xC2B2AE3D27D4EB4F) + ((base << 40) + (a << 20) + z).astype(np.uint64)
+    x = _mixed(_mixed(x, 0x9FB21C651E98DF25), 0xD6E8FEB86659FD93)
+    out[plain] = x.view(np.int64)
+    return out
+
+
 def variants(line: str, shared: list[int]):
     """(hash, place) of the line itself (-1) and of its deletions in the parts (of level 1) left out of shared keys."""
     places: set[int] = set()
@@ -84,19 +138,26 @@ def line_table(docs: DataFrame, least_chars: int) -> DataFrame:
 
     def run(batches):
         worker_cache("lines")
+        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.bool_()]
         for b in in_slices(batches):
-            ids, hashes, texts = (c.to_pylist() for c in b.columns)
+            ids, hashes = (c.to_numpy() for c in b.columns[:2])
+            texts = b.column(2).to_pylist()
             for lo in range(0, len(texts), 500):
-                out: list[tuple] = []
-                for i in range(lo, min(lo + 500, len(texts))):
-                    seen: dict[str, list[int]] = {}  # first place, times
-                    for n, line in enumerate(texts[i].split("\n") if texts[i] else []):
-                        if x := normal(line):
-                            seen.setdefault(x, [n, 0])[1] += 1
-                    out += [(ids[i], hashes[i], n, times, _hash(x), len(x) >= least_chars) for x, (n, times) in seen.items()]
-                if out:
-                    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.bool_()]
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], ["doc_id", "text_hash", "line", "times", "h", "near"])
+                found, places, times, counts = [], [], [], []
+                for text in texts[lo : lo + 500]:
+                    here = normal_lines(text) if text else []
+                    first = dict(zip(reversed(here), range(len(here) - 1, -1, -1)))  # the first place is put in last
+                    first.pop("", None)
+                    again = Counter(here) if len(first) < len(here) else None
+                    found += first
+                    places += first.values()
+                    times += map(again.__getitem__, first) if again else [1] * len(first)
+                    counts.append(len(first))
+                if found:
+                    h = np.fromiter(map(xxhash.xxh64_intdigest, found), np.uint64, len(found)) ^ np.uint64(1 << 63)
+                    near = np.fromiter(map(len, found), np.int64, len(found)) >= least_chars
+                    made = [np.repeat(ids[lo : lo + 500], counts), np.repeat(hashes[lo : lo + 500], counts), places, times, h.view(np.int64), near]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(made, kinds)], ["doc_id", "text_hash", "line", "times", "h", "near"])
 
     return docs.mapInArrow(run, "doc_id long, text_hash long, line int, times int, h long, near boolean")
 
@@ -105,39 +166,63 @@ def _emit(docs: DataFrame, asked: DataFrame, level: int) -> DataFrame:
     """asked: h, first, shared. Rows (h, key, k, salt): keys without parts (levels 0 and 1), or deletions and their places (2); salt as in `_settled`."""
     asked = asked.groupBy("first.doc_id", "first.text_hash").agg(F.collect_list(F.struct(F.col("first.line").alias("line"), "h", "shared")).alias("asked"))
 
-    def run(batches):
+    def parts(batches):
+        for b in in_slices(batches):
+            wanted = b.column(1).flatten()
+            line, h, shared = (wanted.field(c) for c in ("line", "h", "shared"))
+            h, many = h.to_numpy(), shared.value_lengths().to_numpy()
+            made = 4 * many if level else np.full(len(h), 8)
+            k = (4 * shared.flatten().to_numpy()[:, None] + np.arange(4)).ravel() if level else np.tile(np.arange(8), len(h))
+            after = np.append(0, np.cumsum(made))
+            places, lo, n, found, chars = line.to_pylist(), 0, 0, [], 0
+
+            def settled():
+                row = np.repeat(np.arange(len(found)), made[lo:n])
+                of = k[after[lo] : after[n]].astype(np.int64)
+                return _settled(np.repeat(h[lo:n], made[lo:n]), keys(found, row, of, level), of, True)
+
+            for text, count in zip(b.column(0).to_pylist(), b.column(1).value_lengths().to_pylist()):
+                split = text.lower().split("\n")
+                for place in places[n : n + count]:
+                    x = " ".join(split[place].split())
+                    found.append(x)
+                    chars += len(x)
+                    n += 1
+                    if after[n] - after[lo] > SETTLED or chars > CHARS:
+                        yield settled()
+                        lo, found, chars = n, [], 0
+            if found:
+                yield settled()
+
+    def deletions(batches):
         for b in in_slices(batches):
             out: list[tuple] = []
             for text, wanted in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 split = text.split("\n")
                 for x in wanted:
-                    line = normal(split[x["line"]])
-                    if level == 2:
-                        out += [(x["h"], v, p) for v, p in variants(line, x["shared"])]
-                    else:
-                        parts = range(8) if level == 0 else [4 * k + j for k in x["shared"] for j in range(4)]
-                        out += [(x["h"], key(line, k, level), k) for k in parts]
-                if len(out) > SETTLED:
-                    yield _settled(out, level < 2)
-                    out = []
+                    out += [(x["h"], v, p) for v, p in variants(normal(split[x["line"]]), x["shared"])]
+                    if len(out) > SETTLED:
+                        yield _settled(*(np.array(c, np.int64) for c in zip(*out)), False)
+                        out = []
             if out:
-                yield _settled(out, level < 2)
+                yield _settled(*(np.array(c, np.int64) for c in zip(*out)), False)
 
-    return docs.join(asked, ["doc_id", "text_hash"]).select("text", "asked").mapInArrow(run, "h long, key long, k int, salt int")
+    return docs.join(asked, ["doc_id", "text_hash"]).select("text", "asked").mapInArrow(parts if level < 2 else deletions, "h long, key long, k int, salt int")
 
 
-def _settled(out: list[tuple], settle: bool) -> pa.RecordBatch:
+def _settled(h: np.ndarray, keys: np.ndarray, k: np.ndarray, settle: bool) -> pa.RecordBatch:
     """Rows (h, key, k, salt) of rows at hand. Keys of several lines at hand are settled: their rows are told by a
     salt that isn't 0, dealing them over tasks, and one that goes on to meet the key's other rows by -1."""
-    h, keys, k = (np.array(c, np.int64) for c in zip(*out))
     salt = np.zeros(len(h), np.int32)
     if settle:
-        order = np.lexsort((h, keys))
+        order = np.argsort(keys)
         starts = np.flatnonzero(np.append(True, keys[order][1:] != keys[order][:-1]))
-        ends = np.append(starts[1:], len(h))
-        several = np.repeat(h[order[starts]] != h[order[ends - 1]], ends - starts)  # sorted by h: the ends differ
-        salt[order[several]] = 1 + (h[order[several]] & 0xFFFF)
-        salt[order[starts[several[starts]]]] = -1
+        sizes = np.diff(np.append(starts, len(h)))
+        lines = h[order]
+        several = np.minimum.reduceat(lines, starts) != np.maximum.reduceat(lines, starts)
+        dealt = order[np.repeat(several, sizes)]
+        salt[dealt] = 1 + (h[dealt] & 0xFFFF)
+        salt[order[starts[several]]] = -1
     return pa.RecordBatch.from_arrays([pa.array(h), pa.array(keys), pa.array(k, pa.int32()), pa.array(salt)], ["h", "key", "k", "salt"])
 
 
@@ -191,17 +276,17 @@ def _texts_and_rules(docs: DataFrame, least_chars: int) -> DataFrame:
 
 def _without(text: str | None, gone: list | None) -> tuple[str | None, int, int]:
     """The text that is left, lines before, lines removed."""
-    split = text.split("\n") if text is not None else []
     if not gone:
-        return text, len(split), 0
+        return text, 0 if text is None else text.count("\n") + 1, 0
+    split = text.split("\n")
     rule = {x["h"]: x["all"] for x in gone}
     kept, seen = [], set()
-    for line in split:
-        x = normal(line)
-        h = _hash(x) if x else None
-        if h in rule and (rule[h] or h in seen):
-            continue
-        seen.add(h)
+    for line, x in zip(split, normal_lines(text)):
+        h = xxhash.xxh64_intdigest(x) - (1 << 63) if x else None
+        if h in rule:
+            if rule[h] or h in seen:
+                continue
+            seen.add(h)
         kept.append(line)
     return "\n".join(kept), len(split), len(split) - len(kept)
 
