@@ -9,6 +9,9 @@
 Rows: a null or blank text has no language and goes in the first stage. Null and repeated ids are documents of their
 own by their texts; repeated rows are near-duplicates of each other, so one stays. The first four stages return all
 columns of their input, whatever their names, and change text and n_chars only. An empty table gives no rows.
+
+Where the session sets no size of Arrow batches, the first two stages set one (16 MB) that stays: their Python runs when
+the caller writes what they return.
 """
 
 from __future__ import annotations
@@ -16,16 +19,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from lenswork.llm import decontamination, language, lines, near_duplicates, packing
-from lenswork.llm.common import load, stored
+from lenswork.llm.common import keep_batches_small, load, stored
 
 LEAST_LANGUAGE_SCORE = 0.5
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    keep_batches_small(spark)
     return language.keep_known(docs, language.learn(docs), LEAST_LANGUAGE_SCORE)
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    keep_batches_small(spark)
     return lines.drop_repeated_lines(docs)
 
 

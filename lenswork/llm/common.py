@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
+from contextlib import contextmanager
 from typing import NamedTuple
 
 import numpy as np
@@ -41,18 +44,36 @@ def fresh_path(spark: SparkSession, name: str) -> str:
 WHILE_WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": str(16 << 20)}
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it back: cuts lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = fresh_path(spark, name)
-    before = {k: spark.conf.get(k, None) for k in WHILE_WRITING}
-    for k, v in WHILE_WRITING.items():
+@contextmanager
+def settings(spark: SparkSession, wanted: dict[str, str]):
+    before = {k: spark.conf.get(k, None) for k in wanted}
+    for k, v in wanted.items():
         spark.conf.set(k, v)
     try:
-        df.write.parquet(path)
+        yield
     finally:
         for k, v in before.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def small_batches(spark: SparkSession):
+    """While something is collected, Arrow batches stay as small as while a table is written."""
+    return settings(spark, {k: v for k, v in WHILE_WRITING.items() if "arrow" in k})
+
+
+def keep_batches_small(spark: SparkSession) -> None:
+    """For results that the caller writes: from now on Arrow batches of the session stay small, unless it has set their size itself."""
+    for k, v in WHILE_WRITING.items():
+        if "arrow" in k and spark.conf.get(k, None) is None:
+            spark.conf.set(k, v)
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Write df to the shared folder and read it back: cuts lineage, survives lost executors."""
+    spark = df.sparkSession
+    path = fresh_path(spark, name)
+    with settings(spark, WHILE_WRITING):
+        df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.stored_at = path
     return out
@@ -65,7 +86,10 @@ def worker_cache(name: str) -> dict:
     """What an operator keeps between tasks of one Python worker; that of other operators is let go."""
     if name not in _caches:
         _caches.clear()
+        gc.collect()
         pyarrow.default_memory_pool().release_unused()
+        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc keeps freed memory otherwise
+            trim(0)
     return _caches.setdefault(name, {})
 
 

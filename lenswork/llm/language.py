@@ -17,18 +17,23 @@ rows. Other columns, whatever their names, are not read.
 
 from __future__ import annotations
 
+from collections import Counter
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import in_slices, load, worker_cache
+from .common import in_slices, load, small_batches, worker_cache
+from .tokens import in_groups
 
 SAMPLE, BUCKETS, SIZES, SWITCH, SHARPNESS = 2000, 1 << 16, (1, 2, 3, 4), 6.0, 0.35
 #: Share of a language's letters in a script that makes it a candidate there.
 LEAST_SHARE = 0.005
 #: Words kept per task (about 100 MB), and words of mixed texts that are labelled together (or one text).
 CACHE_WORDS, TOGETHER = 400_000, 400_000
+#: Characters of words (or one word) whose n-grams are made together (about 190 bytes for each).
+GRAM_CHARS = 1 << 17
 #: Languages that are learned at most, and numbers of the n-gram table (32 MB).
 MOST_LANGUAGES, TABLE = 4096, 1 << 23
 #: Share of a language's rows that the sample takes, in so many parts.
@@ -97,9 +102,12 @@ class Model:
 
     def word_scores(self, found: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Scores (words x languages) and letters of words."""
-        where, bucket = grams(found)
-        bucket %= len(self.table)
-        out = np.stack([np.bincount(where, self.table[bucket, k], len(found))[: len(found)] for k in range(len(self.langs))], axis=1)
+        out = np.empty((len(found), len(self.langs)))
+        for lo, hi in in_groups(found, GRAM_CHARS):
+            where, bucket = grams(found[lo:hi])
+            bucket %= len(self.table)
+            for k in range(len(self.langs)):
+                out[lo:hi, k] = np.bincount(where, self.table[bucket, k], hi - lo)[: hi - lo]
         letters = np.array([sum(map(str.isalpha, w)) for w in found], np.int64)
         scripts = np.array([script_of(w) for w in found])
         out[~self.candidate[np.maximum(scripts, 0)]] = -50.0
@@ -161,6 +169,26 @@ def held_out(doc_id):
     return F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2
 
 
+def _gram_counts(batches, buckets: int):
+    """batches: h, text, lang. Batches (lang, bucket, n): n-grams of each bucket, and words of each script after the buckets; a slice of texts at a time."""
+    worker_cache("language")
+    for b in in_slices(batches):
+        texts, of = b.column(1).to_pylist(), b.column(2).to_pylist()
+        for lang in sorted(set(of)):
+            seen = Counter(w for t, x in zip(texts, of) if x == lang for w in t.split())
+            found = [w for w in seen if script_of(w) >= 0]
+            if not found:
+                continue
+            times = np.array([seen[w] for w in found], np.float64)
+            n = np.zeros(buckets + len(NAMES) + 1)
+            for lo, hi in in_groups(found, GRAM_CHARS):
+                where, bucket = grams(found[lo:hi])
+                n[:buckets] += np.bincount(bucket % buckets, times[lo:hi][where], buckets)
+            n[buckets:] = np.bincount([script_of(w) for w in found], times, len(NAMES) + 1)
+            used = np.flatnonzero(n)
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(used)), pa.array(used, pa.int64()), pa.array(n[used])], ["lang", "bucket", "n"])
+
+
 def learn(docs: DataFrame, sample: int = SAMPLE) -> Model:
     """From the labelled rows of docs (doc_id, text, lang), at most about `sample` of each language."""
     rows = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull()).select(F.xxhash64("doc_id", "text").alias("h"), "text", F.col("lang").cast("string").alias("lang"))
@@ -176,26 +204,12 @@ def learn(docs: DataFrame, sample: int = SAMPLE) -> Model:
     rows = near.unionByName(one).groupBy("lang", "h").agg(F.first("text").alias("text")).select("h", "text", "lang")
 
     def count(batches):
-        from collections import Counter
-
-        for b in batches:
-            texts, of = b.column(1).to_pylist(), b.column(2).to_pylist()
-            for lang in sorted(set(of)):
-                seen = Counter(w for t, x in zip(texts, of) if x == lang for w in t.split())
-                found = [w for w in seen if script_of(w) >= 0]
-                times = np.array([seen[w] for w in found], np.float64)
-                if not found:
-                    continue
-                where, bucket = grams(found)
-                n = np.bincount(bucket % buckets, times[where], buckets)
-                s = np.bincount([script_of(w) for w in found], times, len(NAMES) + 1)
-                n = np.concatenate([n, s])
-                used = np.flatnonzero(n)
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(used)), pa.array(used, pa.int64()), pa.array(n[used])], ["lang", "bucket", "n"])
+        return _gram_counts(batches, buckets)
 
     table = rows.mapInArrow(count, "lang string, bucket long, n double").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     counts = np.zeros((buckets + len(NAMES) + 1, len(langs)))
-    got = table.toPandas()  # at most TABLE and languages x scripts
+    with small_batches(docs.sparkSession):
+        got = table.toPandas()  # at most TABLE and languages x scripts
     place = {x: k for k, x in enumerate(langs)}
     counts[got.bucket.to_numpy(np.int64), [place[x] for x in got.lang]] = got.n.to_numpy()
     return Model(langs, counts[:buckets], counts[buckets:])

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import discard, in_slices, load, stored, unused, worker_cache
+from .common import discard, in_slices, load, small_batches, stored, unused, worker_cache
 from .components import components
 from .trie_join import block_links, links
 
@@ -129,14 +129,16 @@ def shingle_counts(texts: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]
     """Shingles that come in several of about ORDER_TEXTS texts, sorted, and in how many."""
 
     def run(batches):
-        for b in batches:
+        worker_cache("signatures")
+        for b in in_slices(batches):
             found = [np.unique(shingle_hashes(t, size).astype(np.uint64)) for t in b.column(0).to_pylist()]
             h, n = np.unique(np.concatenate(found or [np.zeros(0, np.uint64)]), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n)], ["h", "n"])
 
     every = max(1, texts.count() // ORDER_TEXTS)
     counts = texts.filter(F.pmod("text_hash", F.lit(every)) == 0).select("text").mapInArrow(run, "h long, n long")
-    found = counts.groupBy("h").agg(F.sum("n").alias("n")).filter("n > 1").orderBy(F.desc("n"), "h").limit(LAST_SHINGLES).toArrow()
+    with small_batches(texts.sparkSession):
+        found = counts.groupBy("h").agg(F.sum("n").alias("n")).filter("n > 1").orderBy(F.desc("n"), "h").limit(LAST_SHINGLES).toArrow()
     h, n = found.column("h").to_numpy().view(np.uint64), found.column("n").to_numpy()
     order = np.argsort(h)
     return h[order], n[order]

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import load, stored
+from .common import in_slices, load, stored, worker_cache
 from .tokens import encoder, in_groups
 
 SEQUENCE, BLOCK_ITEMS, ISLANDS, ROUNDS, GENERATIONS, POPULATION = 4096, 2000, 3, 2, 16, 6
@@ -43,7 +43,7 @@ def cut_pieces(docs: DataFrame, tokenizer_path: str, end_id: int, leading_space:
     def cut(batches):
         encode = encoder(tokenizer_path, leading_space).encode
         end = np.array([end_id], "<u4").tobytes()
-        for batch in batches:
+        for batch in in_slices(batches):
             doc_ids, texts = batch.column(0), batch.column(1).to_pylist()
             row, piece, start, length, crc = [], [], [], [], []
             for lo, hi in in_groups(texts):
@@ -165,6 +165,7 @@ def _pack_blocks(items: DataFrame, most: int) -> DataFrame:
     schema = "block long, island int, score double, bins array<int>"
 
     def step(pdf: pd.DataFrame, seeds: pd.DataFrame | None, turn: int) -> pd.DataFrame:
+        worker_cache("packing")  # the tokenizer and its chunks go
         pdf = pdf.sort_values(["length", "uid"], ascending=[False, True])
         block, island, size = int(pdf.block.iloc[0]), int(pdf.island.iloc[0]), pdf.length.tolist()
         found = []
