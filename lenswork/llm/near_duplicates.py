@@ -7,8 +7,8 @@ windows of each signature: below a block of BLOCK equal bits the walk allows RAD
 signature sorts out most chance meetings, and the sets themselves decide. That only puts most of each group
 together. What it misses an exact join finds: in any fixed order of the shingles, two sets this similar
 share one of the first n - ceil(similarity n) + 1 of each (the order puts shingles of many texts last, by a
-sample). Pairs of these between different groups are bounded by sizes, places and bitmaps, and again the
-sets decide.
+sample). Pairs of these between different groups are bounded by sizes, places and parities, and again the
+sets decide. Parities are made with the signatures, so only texts of pairs that pass are read again.
 
 Rows: a null or blank text has the fingerprint zero and no shingles; documents without shingles form
 one group of their own. Equal texts share everything. Repeated and null ids are one document per text; null ids come
@@ -35,8 +35,10 @@ SHINGLE, SIMILARITY = 5, 0.8
 #: differ in the rest (at 0.8 on average 15 % of 44, plus three deviations). None of these changes the result.
 SIGNATURE, MOST_SIGNATURE_BITS, TABLES, WINDOW_BITS, BLOCK, RADIUS = 256, 62, 12, 64, 20, 14
 #: Texts looked at for the order of the shingles, how many of their shingles are put last at most, and bits
-#: of a set's bitmap. None of these changes the result.
-ORDER_TEXTS, LAST_SHINGLES, BITMAP, ROUNDING = 10_000, 200_000, 1024, 1e-9
+#: of a set's parities (at least, and at most). None of these changes the result.
+ORDER_TEXTS, LAST_SHINGLES, PARITIES, ROUNDING = 10_000, 200_000, (64, 1 << 16), 1e-9
+#: Sets in a group with others up to which their table is broadcast (16 bytes each); beyond that it is shuffled.
+FEW_LINKED = 1 << 16
 #: A fingerprint of so many documents, and of this share of all, is common; each common one is dealt over SALTS tasks.
 FREQUENT, SALTS = 1000, 64
 
@@ -155,15 +157,38 @@ def prefix(shingles: np.ndarray, counts: tuple[np.ndarray, np.ndarray], similari
     return shingles[np.lexsort((shingles, weight))[:k]].view(np.int64)
 
 
-def exact_candidates(sets: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
-    """sets: id, n, prefix; roots: id, root. Pairs (a, b) of sets under different roots that may be similar enough: no similar pair is missing.
+def parities(shingles: np.ndarray) -> bytes:
+    """Flags, one or two for each shingle of a set: whether an odd number of them falls there. A power of two, so that halves can be laid over each other."""
+    low, high = PARITIES
+    bits = min(high, max(low, 1 << max(0, len(shingles) - 1).bit_length()))
+    return np.packbits(np.bincount((shingles % np.uint64(bits)).astype(np.int64), minlength=bits).astype(np.uint8) & 1).tobytes()
+
+
+def least_difference(x: list[bytes], y: list[bytes]) -> np.ndarray:
+    """For pairs of parities, how many shingles only one of the sets has, at least: each turns one flag."""
+    lx, ly = (np.array([*map(len, c)], np.int64) for c in (x, y))
+    out = np.zeros(len(x), np.int64)
+    for a, b in set(zip(lx.tolist(), ly.tolist())):
+        here = np.flatnonzero((lx == a) & (ly == b)).tolist()
+        flags = []
+        for c in (x, y):
+            part = np.frombuffer(b"".join([c[k] for k in here]), np.uint8).reshape(len(here), -1)
+            while part.shape[1] > min(a, b):
+                half = part.shape[1] // 2
+                part = part[:, :half] ^ part[:, half:]
+            flags.append(part)
+        out[here] = np.bitwise_count(flags[0] ^ flags[1]).sum(axis=1, dtype=np.int64)
+    return out
+
+
+def exact_candidates(sets: DataFrame, similarity: float) -> DataFrame:
+    """sets: id, root, n, prefix. Pairs (a, b) of sets under different roots that may be similar enough: no similar pair is missing.
 
     Of the root with most sets at a key only the others' partners are formed, never its own pairs.
     """
-    of = stored(sets.join(roots, "id"), "sets-under-roots")
-    keys = of.select("root", F.explode("prefix").alias("key")).groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"))
+    keys = sets.select("root", F.explode("prefix").alias("key")).groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"))
     shared = stored(keys.filter("lo < hi").select("key"), "shared-shingles")
-    sets_at = stored(of.select("id", "root", "n", F.posexplode("prefix").alias("pos", "key")).join(shared, "key"), "sets-at-shared-shingles")
+    sets_at = stored(sets.select("id", "root", "n", F.posexplode("prefix").alias("pos", "key")).join(shared, "key"), "sets-at-shared-shingles")
     most = sets_at.groupBy("key", "root").agg(F.count(F.lit(1)).alias("times")).groupBy("key").agg(F.max(F.struct("times", "root"))["root"].alias("most"))
     met = sets_at.join(most, "key")
     a, b = (met.select("key", "most", *[F.col(c).alias(f"{c}_{x}") for c in ("id", "root", "n", "pos")]) for x in "ab")
@@ -172,7 +197,7 @@ def exact_candidates(sets: DataFrame, roots: DataFrame, similarity: float) -> Da
     both = F.least(F.col("n_a") - F.col("pos_a"), F.col("n_b") - F.col("pos_b"))  # at most, at the first shared shingle
     pairs = pairs.filter(both >= (F.col("n_a") + F.col("n_b")) * (similarity / (1 + similarity)) - ROUNDING)
     found = stored(pairs.select(F.col("id_b").alias("a"), F.col("id_a").alias("b")).distinct(), "exact-candidates")
-    discard(of, shared, sets_at)
+    discard(shared, sets_at)
     return found
 
 
@@ -188,37 +213,41 @@ def _least_row():
 
 def _grouped(docs: DataFrame, size: int, similarity: float) -> DataFrame:
     """Rows (doc_id, text_hash, first): first is the least row of the group, which groups with equal ids don't share."""
-    schema = "doc_id long, text_hash long, id long, sig binary, n int, prefix array<long>"
+    schema = "doc_id long, text_hash long, id long, sig binary, bits binary, n int, prefix array<long>"
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
     counts = docs.sparkSession.sparkContext.broadcast(shingle_counts(texts, size))
 
     def run(batches):
         worker_cache("signatures")
         for b in in_slices(batches):
-            ids, sigs, sizes, firsts = [], [], [], []
+            ids, sigs, bits, sizes, firsts = [], [], [], [], []
             for t in b.column(2).to_pylist():
                 s = np.unique(shingle_hashes(t, size).astype(np.uint64))
                 ids.append(xxhash.xxh64_intdigest(s.tobytes()) - (1 << 63))
                 sigs.append(signature(s))
+                bits.append(parities(s))
                 sizes.append(len(s))
                 firsts.append(prefix(s, counts.value, similarity))
             ends = np.cumsum([0, *map(len, firsts)]).astype(np.int32)
             firsts = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(firsts or [np.zeros(0, np.int64)])))
-            made = [pa.array(ids, pa.int64()), pa.array(sigs, pa.binary()), pa.array(sizes, pa.int32()), firsts]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *made], ["doc_id", "text_hash", "id", "sig", "n", "prefix"])
+            made = [pa.array(ids, pa.int64()), pa.array(sigs, pa.binary()), pa.array(bits, pa.binary()), pa.array(sizes, pa.int32()), firsts]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *made], ["doc_id", "text_hash", "id", "sig", "bits", "n", "prefix"])
 
-    rows = stored(texts.mapInArrow(run, schema), "signatures")  # id: the hash of the set of shingles
-    nodes = rows.groupBy("id").agg(_least_row().alias("first"), F.first("sig").alias("sig"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
+    made = stored(texts.mapInArrow(run, schema), "signatures")  # id: the hash of the set of shingles
+    nodes = made.groupBy("id").agg(_least_row().alias("first"), *[F.first(c).alias(c) for c in ("sig", "bits", "n", "prefix")])
     nodes = stored(nodes, "shingle-sets")
+    rows = stored(made.select("doc_id", "text_hash", "id"), "texts-of-sets")
+    discard(made)
     digits = F.concat(F.hex("sig"), F.hex("sig"))
     part = lambda t, k: F.conv(F.substring(digits, t * BLOCK // 4 + 1 + 8 * k, 8), 16, 10).cast("long")
     tabs = F.explode(F.array(*[F.struct(F.lit(t).alias("tab"), F.shiftleft(part(t, 0), 32).bitwiseOR(part(t, 1)).alias("fp")) for t in range(TABLES)]))
     points = nodes.select("id", "sig", tabs.alias("x")).select("x.tab", "x.fp", "id", "sig")
     candidates = stored(block_links(points, WINDOW_BITS, BLOCK, RADIUS, MOST_SIGNATURE_BITS), "candidates")
-    places = nodes.select("id", "first.doc_id", "first.text_hash")
+    places = nodes.select("id", "first.doc_id", "first.text_hash", "n", "bits")
     roots = components(verify(candidates, places, docs, size, similarity))
-    of = nodes.select("id").join(roots, nodes.id == roots.node, "left").select("id", F.coalesce("root", "id").alias("root"))
-    more = verify(exact_candidates(nodes.select("id", "n", "prefix"), of, similarity), places, docs, size, similarity)
+    linked = F.broadcast(roots) if roots.limit(FEW_LINKED + 1).count() <= FEW_LINKED else roots
+    of = nodes.join(linked, nodes.id == roots.node, "left").select("id", F.coalesce("root", "id").alias("root"), "n", "prefix")
+    more = verify(exact_candidates(of, similarity), places, docs, size, similarity)
     roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
     of = nodes.select("id", "first").join(roots, nodes.id == roots.node, "left").select("id", "first", F.coalesce("root", "id").alias("root"))
     of = stored(of, "nodes")
@@ -228,30 +257,23 @@ def _grouped(docs: DataFrame, size: int, similarity: float) -> DataFrame:
 
 
 def verify(candidates: DataFrame, nodes: DataFrame, docs: DataFrame, size: int, similarity: float) -> DataFrame:
-    """Those of the pairs (a stored table, which goes) whose sets of shingles are similar enough; only texts that are in a pair are looked at.
+    """Those of the pairs (a stored table, which goes) whose sets of shingles are similar enough; nodes: id, doc_id, text_hash, n, bits.
 
-    A text with very many partners is b in most of its pairs; sets are joined to b first, while pairs are short.
+    Only texts of pairs that are possible by their parities are looked at. A text with very many partners is b in most of its pairs; sets are joined to b first, while pairs are short.
     """
 
     def sets(batches):
         for b in in_slices(batches):
-            found = [np.unique(shingle_hashes(t, size).astype(np.uint64)) for t in b.column(1).to_pylist()]
-            bits = []
-            for x in found:
-                flags = np.zeros(BITMAP, bool)
-                flags[(x % np.uint64(BITMAP)).astype(np.int64)] = True
-                bits.append(np.packbits(flags).tobytes())
-            made = [pa.array([len(x) for x in found], pa.int64()), pa.array(bits, pa.binary()), pa.array([x.tobytes() for x in found], pa.binary())]
-            yield pa.RecordBatch.from_arrays([b.column(0), *made], ["id", "n", "bits", "shingles"])
+            found = [np.unique(shingle_hashes(t, size).astype(np.uint64)).tobytes() for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.binary())], ["id", "shingles"])
 
     def possible(batches):
-        """A bit that only one set has stands for a shingle that the other lacks."""
-        for b in batches:
-            x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint64).reshape(b.num_rows, -1) for c in ("x", "y"))
-            nx, ny = b.column("nx").to_numpy(), b.column("ny").to_numpy()
-            both = np.minimum(nx - np.bitwise_count(x & ~y).sum(axis=1, dtype=np.int64), ny - np.bitwise_count(y & ~x).sum(axis=1, dtype=np.int64))
-            keep = pa.array(both >= similarity / (1 + similarity) * (nx + ny) - ROUNDING)
-            yield pa.RecordBatch.from_arrays([b.column(c).filter(keep) for c in ("a", "b")], ["a", "b"])
+        for b in in_slices(batches):
+            of = {c: b.column(c) for c in ("a", "b", "nx", "ny", "x", "y")}
+            both = of["nx"].to_numpy().astype(np.int64) + of["ny"].to_numpy()
+            apart = least_difference(of["x"].to_pylist(), of["y"].to_pylist())
+            keep = pa.array((both - apart) / 2 >= similarity / (1 + similarity) * both - ROUNDING)
+            yield pa.RecordBatch.from_arrays([of[c].filter(keep) for c in ("a", "b")], ["a", "b"])
 
     def similar(batches):
         for b in in_slices(batches):
@@ -262,15 +284,16 @@ def verify(candidates: DataFrame, nodes: DataFrame, docs: DataFrame, size: int,
                 keep.append(both >= similarity * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep)) for c in b.columns[:2]], ["a", "b"])
 
-    wanted = candidates.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(nodes, "id")
+    left, right = (nodes.select(F.col("id").alias(c), F.col("n").alias(f"n{x}"), F.col("bits").alias(x)) for c, x in (("a", "x"), ("b", "y")))
+    pairs = stored(candidates.join(right, "b").join(left, "a").mapInArrow(possible, "a long, b long"), "possible")
+    discard(candidates)
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(nodes.select("id", "doc_id", "text_hash"), "id")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
     texts = texts.join(wanted, (texts.doc_id.eqNullSafe(wanted.doc_id)) & (texts.text_hash == wanted.text_hash)).select("id", "text").dropDuplicates(["id"])
-    have = stored(texts.mapInArrow(sets, "id long, n long, bits binary, shingles binary"), "shingles")
-    left, right = (have.select(F.col("id").alias(c), F.col("n").alias(f"n{x}"), F.col("bits").alias(x)) for c, x in (("a", "x"), ("b", "y")))
-    pairs = candidates.join(right, "b").join(left, "a").mapInArrow(possible, "a long, b long")
-    pairs = pairs.join(have.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b").join(have.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a")
-    found = stored(pairs.select("a", "b", "x", "y").mapInArrow(similar, "a long, b long"), "verified")
-    discard(candidates, have)
+    have = stored(texts.mapInArrow(sets, "id long, shingles binary"), "shingles")
+    met = pairs.join(have.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b").join(have.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a")
+    found = stored(met.select("a", "b", "x", "y").mapInArrow(similar, "a long, b long"), "verified")
+    discard(pairs, have)
     return found
 
 
