@@ -206,7 +206,8 @@ def hit_test(points: DataFrame, markers: DataFrame, shapes: DataFrame, zoom: flo
     """Pairs (point_id, overlay_id): markers (overlay_id, lat, lng) within MARKER_PIXELS, shapes (overlay_id, ring, vtx, lat, lng) whose bounds or any ring hold the point.
 
     A ring lies within its shape's bounds, so the bounds decide. Markers meet points in cells of pixels,
-    shapes in the few cells of their size.
+    shapes in the few cells of their size. Markers are shuffled: by the size of their file Spark would take millions
+    of them for few and send them through the driver.
     """
     x, y = global_pixels(F.col("lat"), F.col("lng"), zoom)
     cell = lambda c: F.floor(c / MARKER_PIXELS)
@@ -214,7 +215,7 @@ def hit_test(points: DataFrame, markers: DataFrame, shapes: DataFrame, zoom: flo
     m = markers.withColumns({"mx": x, "my": y})
     around = F.sequence(F.lit(-1), F.lit(1))
     cells = p.withColumn("dx", F.explode(around)).withColumn("dy", F.explode(around)).select("point_id", "px", "py", (cell(F.col("px")) + F.col("dx")).alias("cx"), (cell(F.col("py")) + F.col("dy")).alias("cy"))
-    on_marker = cells.join(m.select("overlay_id", "mx", "my", cell(F.col("mx")).alias("cx"), cell(F.col("my")).alias("cy")), ["cx", "cy"])
+    on_marker = cells.join(m.select("overlay_id", "mx", "my", cell(F.col("mx")).alias("cx"), cell(F.col("my")).alias("cy")).hint("merge"), ["cx", "cy"])
     on_marker = on_marker.filter(F.pow(F.col("px") - F.col("mx"), 2) + F.pow(F.col("py") - F.col("my"), 2) <= MARKER_PIXELS**2).select("point_id", "overlay_id")
     box = kept(_few_cells(bounds(shapes, "overlay_id")), "shapes-in-cells")
     levels = [r["level"] for r in box.select("level").distinct().collect()]  # at most DEEPEST + 1
@@ -225,8 +226,8 @@ def hit_test(points: DataFrame, markers: DataFrame, shapes: DataFrame, zoom: flo
 
 
 def overlays_at(hits: DataFrame, order: DataFrame) -> DataFrame:
-    """hits with order (overlay_id, created): each point's overlays once, in order."""
-    rows = hits.distinct().join(order, "overlay_id").groupBy("point_id").agg(F.array_sort(F.collect_list(F.struct("created", "overlay_id"))).alias("o"))
+    """hits with order (overlay_id, created; a row for each overlay, so it is never broadcast): each point's overlays once, in order."""
+    rows = hits.distinct().join(order.hint("merge"), "overlay_id").groupBy("point_id").agg(F.array_sort(F.collect_list(F.struct("created", "overlay_id"))).alias("o"))
     return rows.select("point_id", F.transform("o", lambda x: x["overlay_id"]).alias("overlays"))
 
 
