@@ -152,10 +152,14 @@ def label_layout(df: DataFrame) -> DataFrame:
     return df.withColumns({"label_x": F.round("x1").cast("int"), "label_y": F.greatest(F.lit(0), F.round("y1").cast("int") - LABEL_RISE), "label_w": F.length("label_text") * GLYPH_WIDTH, "label_h": F.lit(GLYPH_HEIGHT)})
 
 
-def frame_info_text(df: DataFrame, width: str = "width", height: str = "height") -> DataFrame:
-    """The frame's own line, its corner at the lower right and its width; a rate half-way between two tenths goes to the even one."""
+def frame_info_text(df: DataFrame, width: str = "width", height: str = "height", number: Column | None = None) -> DataFrame:
+    """The frame's own line, its corner at the lower right and its width; a rate half-way between two tenths goes to the even one.
+
+    number: how the frame's number is written; without it in six digits, or more where it has more.
+    """
     half_way = F.col("fps") * 4 % 2 == 1  # only quarters are exactly half-way
-    text = F.format_string("FRAME %06d  FPS %4.1f", "frame_number", F.when(half_way, F.bround("fps", 1)).otherwise(F.col("fps")))
+    number = F.format_string("%06d", "frame_number") if number is None else number
+    text = F.format_string("FRAME %s  FPS %4.1f", number, F.when(half_way, F.bround("fps", 1)).otherwise(F.col("fps")))
     rows = df.withColumn("info_text", text).withColumn("info_w", F.least(F.length("info_text") * GLYPH_WIDTH, F.col(width)))
     return rows.withColumns({"info_x": F.greatest(F.lit(0), F.col(width) - F.col("info_w") - 4), "info_y": F.greatest(F.lit(0), F.col(height) - LABEL_RISE)})
 

@@ -1,9 +1,24 @@
 """What only larger tables show: the queries on sf0.001 with keys and values far up."""
 
+import os
 import re
 
+import duckdb
 
-from lenswork.plans.queries import QUERIES
+from lenswork.operators import detection as D
+from lenswork.plans.queries import ORACLE_SQL, QUERIES
+from tests.conftest import compare
+
+
+def copy_of(sf, folder, **replaced):
+    """The tables of sf with those that `replaced` has as SQL over {t}."""
+    for f in os.listdir(sf):
+        name = f.removesuffix(".parquet")
+        if name in replaced:
+            duckdb.sql(f"copy ({replaced[name].format(t=f"'{sf}/{f}'")}) to '{folder}/{f}' (format parquet)")
+        else:
+            os.symlink(f"{sf}/{f}", f"{folder}/{f}")
+    return str(folder)
 
 
 def test_overlays_at_broadcasts_neither_markers_nor_their_order(spark, sf):
@@ -18,3 +33,13 @@ def test_overlays_at_broadcasts_neither_markers_nor_their_order(spark, sf):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     assert "SortMergeJoin" in plan
     assert all("level" in keys for keys in re.findall(r"BroadcastHashJoin \[([^\]]*)\]", plan)), plan
+
+
+def test_draw_list_of_frames_beyond_a_million(spark, sf, tmp_path):
+    far = copy_of(sf, tmp_path, lineitem="select * replace (l_orderkey + 9000000 as l_orderkey) from {t}")
+    compare(spark, far, QUERIES["draw_list"], ORACLE_SQL["draw_list"])
+
+
+def test_the_operator_writes_all_digits_of_a_frame(spark):
+    rows = spark.createDataFrame([(n, 0.0, 640, 480) for n in (7, 1_000_000)], "frame_number long, fps double, width int, height int")
+    assert [r.info_text for r in D.frame_info_text(rows).orderBy("frame_number").collect()] == ["FRAME 000007  FPS  0.0", "FRAME 1000000  FPS  0.0"]
