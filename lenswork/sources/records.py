@@ -117,16 +117,30 @@ def source_catalog(df: DataFrame, uri: str = "uri") -> DataFrame:
     return rows.withColumn("error", F.when(udp & (rest == ""), "no host and port").when(udp & F.col("port").isNull(), "invalid port"))
 
 
+def plain_number(c: Column) -> Column:
+    """A double in its shortest digits, with a point from 0.0001 up to 10^16 and with an exponent (1e-05, 1.5e+17) beyond."""
+    size, text = F.abs(c), c.cast("string")
+    digits = F.regexp_replace(c.cast("decimal(38,21)").cast("string"), "0+$", "")
+    whole = F.concat(digits, F.when(digits.endswith("."), "0").otherwise(""))
+    power = F.regexp_extract(text, "E-?([0-9]+)$", 1)
+    mantissa = F.regexp_replace(F.regexp_extract(text, "^(.*)E", 1), r"\.0$", "")
+    scientific = F.concat(mantissa, F.when(text.contains("E-"), "e-").otherwise("e+"), F.when(F.length(power) < 2, "0").otherwise(""), power)
+    endless = F.when(F.isnan(c), "nan").when(size == float("inf"), F.when(c > 0, "inf").otherwise("-inf"))
+    own = F.when((c == 0) | (size >= 1e-3) & (size < 1e7), text)  # as Spark writes it
+    return F.coalesce(endless, own, F.when((size >= 1e-4) & (size < 1e16), whole), scientific)
+
+
 def to_prometheus(metrics: DataFrame) -> DataFrame:
     """metrics as aggregate_metrics gives them. Lines (value) of the text exposition, a row each."""
     label = F.when(F.col("label_key") == "none", "").otherwise(F.concat(F.col("label_key"), F.lit('="'), F.col("label_val"), F.lit('"')))
     rows = metrics.withColumn("_label", label)
     braces = lambda c: F.when(c == "", "").otherwise(F.concat(F.lit("{"), c, F.lit("}")))
-    line = lambda suffix, labels, v: F.concat(F.col("name"), F.lit(suffix), braces(labels), F.lit(" "), v.cast("string"))
+    line = lambda suffix, labels, v: F.concat(F.col("name"), F.lit(suffix), braces(labels), F.lit(" "), v)
     own = F.col("_label")
     quantiles = [
-        line("", F.concat_ws(",", F.nullif(own, F.lit("")), F.lit(f'quantile="{int(c[1:]) / 100}"')), F.col(c)) for c in metrics.columns if c[0] == "p" and c[1:].isdigit()
+        line("", F.concat_ws(",", F.nullif(own, F.lit("")), F.lit(f'quantile="{int(c[1:]) / 100}"')), plain_number(F.col(c))) for c in metrics.columns if c[0] == "p" and c[1:].isdigit()
     ]
-    histogram = F.array(*quantiles, line("_sum", own, F.col("value")), line("_count", own, F.col("count")))
-    lines = F.when(F.col("kind") == "histogram", histogram).otherwise(F.array(line("", own, F.col("value"))))
+    value = plain_number(F.col("value"))
+    histogram = F.array(*quantiles, line("_sum", own, value), line("_count", own, F.col("count").cast("string")))
+    lines = F.when(F.col("kind") == "histogram", histogram).otherwise(F.array(line("", own, value)))
     return rows.select(F.explode(lines).alias("value"))
